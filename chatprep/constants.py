@@ -9,7 +9,7 @@ UNK_ID = 3
 PAD_TEXT = "<pad>"
 BOS_TEXT = "<bos>"
 EOS_TEXT = "<eos>"
-UNK_TEXT = "་"
+UNK_TEXT = chr(0x0F0B)
 N_SPECIAL = 4
 
 # Field names tried, in this order, for the two sides of a paired record.
@@ -27,10 +27,13 @@ HUMAN_ALIASES = ["human", "user"]
 MODEL_ALIASES = ["gpt", "assistant", "model", "chatbot"]
 
 # Code points that count as white space when text is stripped.
-WHITESPACE = (
-    "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f \u0085  "
-    "           "
-    "    　"
+WHITESPACE = "".join(
+    chr(point)
+    for point in [
+        0x0009, 0x000A, 0x000B, 0x000C, 0x000D, 0x001C, 0x001D, 0x001E, 0x001F, 0x0020,
+        0x0085, 0x00A0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006,
+        0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    ]
 )
 
 # Sample length and the largest batch each model size allows.

@@ -1,7 +1,8 @@
 """Reading values out of JSON text without schema inference.
 
 Inference would merge and sort field names; which field comes first and whether a field
-is missing or null both carry meaning here, so records stay raw text plus a string map.
+is missing or null both carry meaning here, so records stay raw text. Values are read by
+name into a struct, where the last duplicate of a field wins (a map would return the first).
 """
 
 from __future__ import annotations
@@ -9,63 +10,83 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OBJECT = "map<string,string>"
 # A JSON value whose text begins with none of these can only have been a string.
 _MAYBE_NOT_STRING = r"^[\[{\-0-9tf]"
 
 
-def as_object(raw: Column) -> Column:
-    """Fields of a JSON object as text (last duplicate wins); null for anything else."""
-    return F.from_json(raw, _OBJECT)
+def _quoted(key: str) -> str:
+    return "`" + key.replace("`", "``") + "`"
 
 
-def as_list(raw: Column, key: str) -> Column:
+def fields(raw: Column, *keys: str) -> Column:
+    """The named fields as text, in one parse; null where missing, null or not an object."""
+    return F.from_json(raw, "struct<" + ", ".join(f"{_quoted(k)}: string" for k in keys) + ">")
+
+
+def keys_of(raw: Column) -> Column:
+    """Field names in source order; null for anything but an object."""
+    return F.json_object_keys(raw)
+
+
+def is_object(raw: Column) -> Column:
+    return keys_of(raw).isNotNull()
+
+
+def has_field(raw: Column, key: str) -> Column:
+    return F.coalesce(F.array_contains(keys_of(raw), key), F.lit(False))
+
+
+def list_under(raw: Column, key: str) -> Column:
     """Raw elements of the list under `key`; null when the value is not a list."""
-    quoted = key.replace("`", "``")
-    return F.from_json(raw, f"struct<`{quoted}`: array<string>>").getField(key)
+    return F.from_json(raw, f"struct<{_quoted(key)}: array<string>>")[key]
 
 
-def as_root_list(raw: Column) -> Column:
+def root_list(raw: Column) -> Column:
     return F.from_json(raw, "array<string>")
 
 
-def kind_of(raw: Column, key: str | None = None) -> Column:
-    """Variant type name of a whole document, or of the value under `key`."""
-    v = F.try_parse_json(raw)
-    if key is None:
-        return F.schema_of_variant(v)
-    escaped = key.replace("\\", "\\\\").replace("'", "\\'")
-    return F.schema_of_variant(F.variant_get(v, f"$['{escaped}']", "variant"))
+def root_kind(raw: Column) -> Column:
+    """Variant type name of a whole document, null when it does not parse."""
+    return F.schema_of_variant(F.try_parse_json(raw))
+
 
+def kind_under(raw: Column, key: str) -> Column:
+    """Variant type name of the value under `key`."""
+    return F.schema_of_variant(F.from_json(raw, f"struct<{_quoted(key)}: variant>")[key])
 
-def is_text(raw: Column, fields: Column, key: str) -> Column:
-    """Whether the value under `key` is a JSON string; parses types only where in doubt."""
-    text = fields[key]
+
+def kinds(raw: Column) -> Column:
+    """Field name -> variant, to ask for the type of a field known only at run time."""
+    return F.from_json(raw, "map<string,variant>")
+
+
+def _kind_matches(raw: Column, key: str, kind: str, in_doubt: bool) -> Column:
+    return F.coalesce(kind_under(raw, key).startswith(kind), F.lit(in_doubt))
+
+
+def is_text(raw: Column, text: Column, key: str) -> Column:
+    """Whether the value under `key` (printed as `text`) is a JSON string.
+
+    Types are parsed only where the printed form leaves a doubt.
+    """
     return (
         F.when(text.isNull(), False)
         .when(~text.rlike(_MAYBE_NOT_STRING), True)
-        .otherwise(F.coalesce(kind_of(raw, key) == "STRING", F.lit(True)))
+        .otherwise(_kind_matches(raw, key, "STRING", True))
     )
 
 
-def field_text(raw: Column, fields: Column, key: str) -> Column:
-    """The value under `key` as printed text: missing '', null None, booleans capitalised.
-
-    Lists and objects come out as JSON text.
-    """
-    text = fields[key]
-    truth = text.isin("true", "false") & F.coalesce(kind_of(raw, key) == "BOOLEAN", F.lit(False))
+def printed(raw: Column, text: Column, key: str) -> Column:
+    """The value as text: missing '', null None, booleans capitalised, nested as JSON."""
     return (
-        F.when(~F.map_contains_key(fields, key), "")
-        .when(text.isNull(), "None")
-        .when(truth, F.initcap(text))
+        F.when(text.isNull(), F.when(has_field(raw, key), "None").otherwise(""))
+        .when(text.isin("true", "false") & _kind_matches(raw, key, "BOOLEAN", False), F.initcap(text))
         .otherwise(text)
     )
 
 
-def parts_text(raw: Column, fields: Column, key: str) -> Column:
-    """Like `field_text`, but a list of `{text}` parts becomes their texts joined."""
-    parts = F.from_json(fields[key], "array<string>")
-    texts = F.transform(parts, lambda p: F.coalesce(as_object(p)["text"], F.lit("")))
-    is_list = fields[key].startswith("[") & F.coalesce(kind_of(raw, key).startswith("ARRAY"), F.lit(False))
-    return F.when(is_list, F.array_join(texts, "")).otherwise(field_text(raw, fields, key))
+def printed_parts(raw: Column, text: Column, key: str) -> Column:
+    """Like `printed`, but a list of `{text}` parts becomes their texts joined."""
+    texts = F.transform(root_list(text), lambda part: F.coalesce(fields(part, "text")["text"], F.lit("")))
+    is_list = text.startswith("[") & _kind_matches(raw, key, "ARRAY", False)
+    return F.when(F.coalesce(is_list, F.lit(False)), F.array_join(texts, "")).otherwise(printed(raw, text, key))

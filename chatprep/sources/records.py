@@ -51,17 +51,13 @@ def records_of_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     which `assert_records` reports.
     """
     raw = F.col(text)
-    kind = J.kind_of(raw)
-    fields = J.as_object(raw)
+    kind, kinds = J.root_kind(raw), J.kinds(raw)
     # `filter` keeps source order, so the first survivor is the first list in the document.
-    lists = F.filter(
-        F.json_object_keys(raw),
-        lambda k: fields[k].startswith("[") & F.regexp_like(kind, F.concat(F.lit("(^OBJECT<|, )`?"), F.regexp_replace(k, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit("`?: ARRAY"))),
-    )
+    lists = F.filter(J.keys_of(raw), lambda k: F.schema_of_variant(kinds[k]).startswith("ARRAY"))
     chosen = F.when(F.array_contains(lists, "data"), F.lit("data")).otherwise(F.get(lists, F.lit(0)))
     records = (
-        F.when(kind.startswith("ARRAY"), J.as_root_list(raw))
-        .when(chosen.isNotNull(), J.as_root_list(fields[chosen]))
+        F.when(kind.startswith("ARRAY"), J.root_list(raw))
+        .when(chosen.isNotNull(), J.root_list(F.from_json(raw, "map<string,string>")[chosen]))
         .when(kind.startswith("OBJECT"), F.array(raw))
         .otherwise(F.array(F.lit(None).cast("string")))
     )
@@ -71,15 +67,14 @@ def records_of_documents(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def split_corrupt(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records that are JSON objects, the others)."""
-    is_object = J.as_object(F.col("raw")).isNotNull()
+    is_object = J.is_object(F.col("raw"))
     return records.filter(is_object), records.filter(~is_object).withColumnRenamed("raw", "_corrupt")
 
 
 def strict_objects(records: DataFrame) -> DataFrame:
     """Fail the job on the first record that is not a JSON object."""
     message = F.concat(F.lit("not a JSON object: record "), F.to_json(F.struct("rec_id")))
-    ok = J.as_object(F.col("raw")).isNotNull()
-    return records.withColumn("raw", F.when(ok, F.col("raw")).otherwise(F.raise_error(message)))
+    return records.withColumn("raw", F.when(J.is_object(F.col("raw")), F.col("raw")).otherwise(F.raise_error(message)))
 
 
 def first_record(records: DataFrame) -> str:

@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`; a local one only if unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="chatprep-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = folder or tempfile.mkdtemp(prefix="chatprep-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
