@@ -157,6 +157,19 @@ def pairs_from_turns(records: DataFrame, max_chars: int | None = None) -> DataFr
     )
 
 
+def turns_corpus(records: DataFrame) -> DataFrame:
+    """Texts `(text)` with exactly the characters of `pairs_from_turns`, each turn once.
+
+    A newline is among them only if some input has a system text or an earlier turn in front.
+    """
+    raw = F.col("raw")
+    both = F.filter(turns_of(raw), lambda t: (t["human"] != "") & (t["assistant"] != ""))
+    parsed = records.select(system_of(raw).alias("system"), both.alias("turns")).filter("size(turns) > 0")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["human"], F.lit(" "), t["assistant"])), " ")
+    newline = F.when(F.col("system").isNotNull() | (F.size("turns") > 1), "\n").otherwise("")
+    return parsed.select(F.concat(or_empty(F.col("system")), newline, said).alias("text"))
+
+
 def pairs_of_layout(records: DataFrame, layout: str, keys: tuple[str, str] | None = None, max_chars: int | None = None) -> DataFrame:
     """Pairs of a corpus whose layout (and, if paired, fields) are known."""
     if layout == L.TURNS:

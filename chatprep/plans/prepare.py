@@ -30,12 +30,13 @@ class TrainingSet:
 def training_set_from_records(records: DataFrame, size: str = "small", eval_ratio: float = 0.0, **split) -> TrainingSet:
     """Records of any layout to split samples."""
     block = BLOCK_SIZES[size]
-    whole, _, _ = pairs.load_pairs(records)
-    system = layout.uniform_system(records).first()["system"]
-    vocabulary = vocab.build_vocab(vocab.pair_text(whole))
-    codec = vocab.Codec.of(vocabulary)
     cut, _, _ = pairs.load_pairs(records, max_chars=block)
+    # Only turn records repeat text in their inputs; their vocabulary is read off the turns.
+    has_history = layout.detect_layout(records) == layout.TURNS
+    vocabulary = vocab.build_vocab(pairs.turns_corpus(records) if has_history else vocab.pair_text(cut))
+    codec = vocab.Codec.of(vocabulary)
     made = samples.make_samples(cut, codec, block)
+    system = layout.uniform_system(records).first()["system"]
     return TrainingSet(batching.train_val_split(made, ["rec_id", "pos"], eval_ratio, **split), vocabulary, codec, system)
 
 
