@@ -47,7 +47,7 @@ def _from_turns(raw: Column) -> Column:
 
 def _from_speakers(raw: Column, key: str, role: str, text: str) -> Column:
     def message(e: Column) -> Column:
-        f = J.fields(e, role, text, "content")
+        f = J.fields(e, *dict.fromkeys((role, text, "content")))
         who = f[role]
         named = F.when(who.isin(HUMAN_ALIASES), "user").when(who.isin(MODEL_ALIASES), "assistant").otherwise(who)
         content = J.printed_parts(e, f[text], text)

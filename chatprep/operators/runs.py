@@ -48,8 +48,9 @@ def running_generation(tokens: DataFrame, codec: Codec, piece_steps: int = MAX_N
 
 def throughput(tokens: DataFrame, gen: str = "gen_id", ts: str = "ts") -> DataFrame:
     """`(gen_id, n_tokens, seconds, tokens_per_sec)`; every token counts, 0 where no time passed."""
-    at = F.col(ts).cast("double")
-    timed = tokens.groupBy(gen).agg(F.count("*").alias("n_tokens"), (F.max(at) - F.min(at)).alias("seconds"))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    elapsed = (F.max(at) - F.min(at)) / F.lit(1e6)
+    timed = tokens.groupBy(gen).agg(F.count("*").alias("n_tokens"), elapsed.alias("seconds"))
     rate = F.when(F.col("seconds") > 0, F.col("n_tokens") / F.col("seconds")).otherwise(0.0)
     return timed.withColumn("tokens_per_sec", rate)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import blank_to_null, join_lines, or_empty, strip
@@ -25,13 +26,18 @@ CHUNK_TURNS = 4096
 BROADCAST_UNITS = 100_000
 
 _UNIT = ["conv_id", "chunk"]
-_IN_CHUNK = W.partitionBy(*_UNIT).orderBy("turn")
-_WHOLE_CHUNK = _IN_CHUNK.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-_BEFORE_IN_CHUNK = _IN_CHUNK.rowsBetween(W.unboundedPreceding, -1)
-# Over one row per chunk of a long conversation.
-_CHUNKS = W.partitionBy("conv_id").orderBy("chunk")
-_EARLIER_CHUNKS = _CHUNKS.rowsBetween(W.unboundedPreceding, -1)
-_ALL_CHUNKS = _CHUNKS.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+def _in_chunk() -> WindowSpec:
+    return W.partitionBy(*_UNIT).orderBy("turn")
+
+
+def _before_in_chunk() -> WindowSpec:
+    return _in_chunk().rowsBetween(W.unboundedPreceding, -1)
+
+
+def _chunks_before() -> WindowSpec:
+    """Over one row per chunk of a long conversation."""
+    return W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
 
 
 class _ChunkedTurns:
@@ -56,6 +62,7 @@ class _ChunkedTurns:
 
 
 def _in_context(chunks: _ChunkedTurns) -> DataFrame:
+    whole = _in_chunk().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     text_if_system = F.when(F.col("role") == "system", F.col("text"))
     rows = chunks.rows.select(
         *_UNIT,
@@ -63,13 +70,13 @@ def _in_context(chunks: _ChunkedTurns) -> DataFrame:
         "role",
         "text",
         # Plain columns: a struct here would be shuffled beside the columns it is made of.
-        F.lead("role").over(_IN_CHUNK).alias("next_role"),
-        F.lead("text").over(_IN_CHUNK).alias("next_text"),
-        F.first(text_if_system, ignorenulls=True).over(_WHOLE_CHUNK).alias("system"),
+        F.lead("role").over(_in_chunk()).alias("next_role"),
+        F.lead("text").over(_in_chunk()).alias("next_text"),
+        F.first(text_if_system, ignorenulls=True).over(whole).alias("system"),
     )
     if not chunks.any_long:
         return rows
-    last = F.lead("turn").over(_IN_CHUNK).isNull()
+    last = F.lead("turn").over(_in_chunk()).isNull()
     joined = rows.withColumn("last", last).join(_chunk_edges(chunks), _UNIT, "left")
     return joined.select(
         *_UNIT,
@@ -88,10 +95,11 @@ def _chunk_edges(chunks: _ChunkedTurns) -> DataFrame:
         F.min_by(F.struct("role", "text"), "turn").alias("head"),
         F.min(F.when(F.col("role") == "system", F.struct("turn", "text"))).alias("sys"),
     )
+    chunks_of_one = W.partitionBy("conv_id")
     return per_chunk.select(
         *_UNIT,
-        F.lead("head").over(_CHUNKS).alias("follower"),
-        F.min("sys").over(_ALL_CHUNKS)["text"].alias("conv_system"),
+        F.lead("head").over(chunks_of_one.orderBy("chunk")).alias("follower"),
+        F.min("sys").over(chunks_of_one)["text"].alias("conv_system"),
     )
 
 
@@ -132,10 +140,10 @@ def _exchanges(chunks: _ChunkedTurns) -> DataFrame:
         strip(F.col("next_text")).alias("assistant"),
     ).filter("human <> '' AND assistant <> ''")
     size = F.length("human") + F.length("assistant") + F.lit(2).cast("bigint")
-    rows = kept.withColumn("in_chunk", F.coalesce(F.sum(size).over(_BEFORE_IN_CHUNK), F.lit(0)))
+    rows = kept.withColumn("in_chunk", F.coalesce(F.sum(size).over(_before_in_chunk()), F.lit(0)))
     if chunks.any_long:
         sizes = chunks.of_long_conversations(kept).groupBy(*_UNIT).agg(F.sum(size).alias("chars"))
-        carried = sizes.select(*_UNIT, F.sum("chars").over(_EARLIER_CHUNKS).alias("carried"))
+        carried = sizes.select(*_UNIT, F.sum("chars").over(_chunks_before()).alias("carried"))
         rows = rows.join(carried, _UNIT, "left").withColumn("carried", F.coalesce("carried", F.lit(0)))
     else:
         rows = rows.withColumn("carried", F.lit(0))
@@ -168,7 +176,7 @@ def history_pairs(turns: DataFrame, max_chars: int | None = None, chunk_turns: i
         return F.lit(True) if max_chars is None else F.col(offset) < max_chars
 
     exchange = cut(F.concat("human", F.lit("\n"), "assistant"))
-    told = F.array_join(F.collect_list(F.when(near("chars_before"), exchange)).over(_BEFORE_IN_CHUNK), "\n")
+    told = F.array_join(F.collect_list(F.when(near("chars_before"), exchange)).over(_before_in_chunk()), "\n")
     out = rows.withColumn("told", blank_to_null(cut(told)))
     if chunks.any_long:
         # One text per chunk; its first exchange is always near its start, so none is missing.
@@ -177,7 +185,7 @@ def history_pairs(turns: DataFrame, max_chars: int | None = None, chunk_turns: i
             cut(F.array_join(F.transform(ordered, lambda p: p["t"]), "\n")).alias("chunk_told"),
             F.first("carried").alias("carried"),
         )
-        earlier = F.collect_list(F.when(near("carried"), F.col("chunk_told"))).over(_EARLIER_CHUNKS)
+        earlier = F.collect_list(F.when(near("carried"), F.col("chunk_told"))).over(_chunks_before())
         carried = per_chunk.select(*_UNIT, blank_to_null(cut(F.array_join(earlier, "\n"))).alias("carried_told"))
         out = out.join(carried, _UNIT, "left")
     else:

@@ -157,12 +157,13 @@ def stream_throughput(
 
     A window comes out once the watermark has passed its end.
     """
-    counted = tokens.withWatermark(ts, delay).groupBy(F.window(ts, width), source).agg(F.count("*").alias("n_tokens"))
-    seconds = F.col("window.end").cast("double") - F.col("window.start").cast("double")
+    timed = tokens.withColumn(ts, F.col(ts).cast("timestamp"))
+    counted = timed.withWatermark(ts, delay).groupBy(F.window(ts, width), source).agg(F.count("*").alias("n_tokens"))
+    micros = F.unix_micros(F.col("window.end").cast("timestamp")) - F.unix_micros(F.col("window.start").cast("timestamp"))
     return counted.select(
         source,
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
         "n_tokens",
-        (F.col("n_tokens") / seconds).alias("tokens_per_sec"),
+        (F.col("n_tokens") * 1e6 / micros).alias("tokens_per_sec"),
     )
