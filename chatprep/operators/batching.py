@@ -40,22 +40,12 @@ def assign_batches(
     A last batch short of `batch_rows` is left out unless `drop_last` is off, as it should
     be for validation rows.
     """
-    placed = _placed(df, keys, epoch, batch_rows, seed)
-    if not drop_last:
-        return placed
-    full = df.count() // batch_rows
-    return placed.filter(F.col("batch_id") < full)
-
-
-def _placed(df: DataFrame, keys: list[str], epoch: int, batch_rows: int, seed: int) -> DataFrame:
-    ranked = shuffled_rank(df, keys, f"{seed}:{epoch}", rank="_rank")
+    ranked = shuffled_rank(df, keys, f"{seed}:{epoch}", "_rank", "_total")
     at = F.col("_rank") - 1
-    return ranked.select(
-        *df.columns,
-        F.lit(epoch).alias("epoch"),
-        F.floor(at / batch_rows).alias("batch_id"),
-        (at % batch_rows).cast("int").alias("row_in_batch"),
-    )
+    batch = F.floor(at / batch_rows)
+    kept = ranked.filter(batch < F.floor(F.col("_total") / batch_rows)) if drop_last else ranked
+    row = (at % batch_rows).cast("int")
+    return kept.select(*df.columns, F.lit(epoch).alias("epoch"), batch.alias("batch_id"), row.alias("row_in_batch"))
 
 
 def pad_batches(batches: DataFrame, columns: tuple = ("x", "y"), pad_ids: tuple | None = None) -> DataFrame:

@@ -25,18 +25,23 @@ def _running_before(counts: DataFrame, key: str, value: str, out: str) -> DataFr
     return counts.select(key, F.coalesce(F.sum(value).over(before), F.lit(0)).alias(out))
 
 
-def shuffled_rank(df: DataFrame, keys: list[str], seed, rank: str = "rank") -> DataFrame:
-    """Adds `rank`: 1-based position in the order of the seeded hash of the unique `keys`.
+def shuffled_rank(df: DataFrame, keys: list[str], seed, rank: str = "rank", total: str = "total") -> DataFrame:
+    """Adds `rank`, the 1-based position in the order of the seeded hash of the unique `keys`, and the row count.
 
     Rows move once, by hash bucket; the counts before each bucket come back by broadcast,
     one row per bucket.
     """
     h = seeded_hash(seed, *[F.col(c) for c in keys])
     hashed = df.withColumn("_h", h).withColumn("_bucket", hex_prefix(F.col("_h"), 1, _HEX_DIGITS))
-    counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    offsets = F.broadcast(_running_before(counts, "_bucket", "_n", "_before"))
+    counts = df.select(hex_prefix(h, 1, _HEX_DIGITS).alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        "_bucket",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(W.partitionBy()).alias(total),
+    )
     numbered = hashed.withColumn("_i", F.row_number().over(W.partitionBy("_bucket").orderBy("_h", *keys)))
-    joined = numbered.join(offsets, "_bucket")
+    joined = numbered.join(F.broadcast(offsets), "_bucket")
     return joined.withColumn(rank, F.col("_before") + F.col("_i")).drop("_h", "_bucket", "_before", "_i")
 
 

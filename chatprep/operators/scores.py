@@ -1,8 +1,9 @@
 """Choosing candidates from score tables `(ctx_id, token_id, score)`.
 
-A context may hold any share of the candidates: per-context facts are combinable aggregates
-or top-k filters that Spark applies in each task before the shuffle, and what is joined
-back to the rows is one row per context, a join adaptive execution splits when it is skewed.
+A context may hold any share of the candidates. Facts about a context are combinable
+aggregates, or top-k filters that Spark applies in each task before the shuffle. Candidates
+meet them by context and slice, a slice being a hash of the candidate: a large context
+spreads over its slices, and the facts, one row per context, are repeated once per slice.
 """
 
 from __future__ import annotations
@@ -14,29 +15,38 @@ from pyspark.sql import functions as F
 from chatprep.functions.hashing import seeded_hash, uniform
 from chatprep.operators.ranks import grouped_offset
 
-_SALTS = 8
+_SLICES = 16
 _EXPONENT_STEP = 64.0
 
 
+def _sliced(rows: DataFrame, token: str) -> DataFrame:
+    return rows.withColumn("_slice", F.pmod(F.xxhash64(token), F.lit(_SLICES)).cast("int"))
+
+
+def _with_facts(sliced: DataFrame, facts: DataFrame, ctx: str) -> DataFrame:
+    each = F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1)))
+    return sliced.join(facts.withColumn("_slice", each), [ctx, "_slice"])
+
+
 def topk_filter(scores: DataFrame, k: int | None, ctx: str = "ctx_id", token: str = "token_id", score: str = "score") -> DataFrame:
     """Candidates scoring at least the k-th highest of their context, all ties kept; no `k`, no filter.
 
-    Candidates compete first within slices of their context, so a context of ties is not
-    gathered in one task; the k-th score is then looked for among the survivors.
+    Candidates compete within their slice first, so ties of any number are not gathered in
+    one task; the k-th score is then looked for among the survivors.
     """
     if not k:
         return scores
-    slice_of = F.pmod(F.xxhash64(token), F.lit(_SALTS)).cast("int")
     in_slice = W.partitionBy(ctx, "_slice").orderBy(F.desc(score))
-    near = scores.withColumn("_slice", slice_of).withColumn("_r", F.rank().over(in_slice)).filter(F.col("_r") <= k)
+    near = _sliced(scores, token).withColumn("_r", F.rank().over(in_slice)).filter(F.col("_r") <= k)
     best = F.row_number().over(W.partitionBy(ctx).orderBy(F.desc(score)))
-    kth = (
-        near.select(ctx, score, best.alias("_n")).filter(F.col("_n") <= k).groupBy(ctx).agg(F.min(score).alias("_kth"))
-    )
-    return near.join(kth, ctx).filter(F.col(score) >= F.col("_kth")).select(*scores.columns)
+    ranked = near.select(ctx, score, best.alias("_n")).filter(F.col("_n") <= k)
+    kth = ranked.groupBy(ctx).agg(F.min(score).alias("_kth"))
+    return _with_facts(near, kth, ctx).filter(F.col(score) >= F.col("_kth")).select(*scores.columns)
 
 
-def softmax(scores: DataFrame, temperature: float = 1.0, ctx: str = "ctx_id", score: str = "score") -> DataFrame:
+def softmax(
+    scores: DataFrame, temperature: float = 1.0, ctx: str = "ctx_id", token: str = "token_id", score: str = "score"
+) -> DataFrame:
     """Adds `prob`, the softmax of `score / temperature` within a context.
 
     The denominator is summed per context and per range of 64 exponents, relative to the
@@ -49,7 +59,20 @@ def softmax(scores: DataFrame, temperature: float = 1.0, ctx: str = "ctx_id", sc
     top = sums.withColumn("top", F.max("step").over(W.partitionBy(ctx)))
     shrunk = F.col("z") * F.exp((F.col("step") - F.col("top")) * _EXPONENT_STEP)
     total = top.groupBy(ctx).agg((F.first("top") * _EXPONENT_STEP + F.ln(F.sum(shrunk))).alias("_log_z"))
-    return scaled.join(total, ctx).select(*scores.columns, F.exp(F.col("_s") - F.col("_log_z")).alias("prob"))
+    joined = _with_facts(_sliced(scaled, token), total, ctx)
+    return joined.select(*scores.columns, F.exp(F.col("_s") - F.col("_log_z")).alias("prob"))
+
+
+def _gumbel(seed, ctx: str, token: str):
+    return -F.ln(-F.ln(uniform(seeded_hash(seed, F.col(ctx), F.col(token)))))
+
+
+def sample_scores(
+    scores: DataFrame, seed, temperature: float = 1.0, ctx: str = "ctx_id", token: str = "token_id", score: str = "score"
+) -> DataFrame:
+    """`sample_one` of the softmax of `scores`, without computing it: the denominator shifts all alike."""
+    noisy = F.col(score) / F.lit(float(temperature)) + _gumbel(seed, ctx, token)
+    return scores.groupBy(ctx).agg(F.max_by(token, noisy).alias(token))
 
 
 def sample_one(probs: DataFrame, seed, ctx: str = "ctx_id", token: str = "token_id") -> DataFrame:
@@ -57,8 +80,8 @@ def sample_one(probs: DataFrame, seed, ctx: str = "ctx_id", token: str = "token_
 
     Adds Gumbel noise made from a hash to each log probability and takes the largest.
     """
-    noise = -F.ln(-F.ln(uniform(seeded_hash(seed, F.col(ctx), F.col(token)))))
-    return probs.filter("prob > 0").groupBy(ctx).agg(F.max_by(token, F.ln("prob") + noise).alias(token))
+    noisy = F.ln("prob") + _gumbel(seed, ctx, token)
+    return probs.filter("prob > 0").groupBy(ctx).agg(F.max_by(token, noisy).alias(token))
 
 
 def nucleus_filter(probs: DataFrame, p: float = 0.9, ctx: str = "ctx_id", token: str = "token_id") -> DataFrame:
@@ -73,7 +96,7 @@ def nucleus_filter(probs: DataFrame, p: float = 0.9, ctx: str = "ctx_id", token:
     above = F.sum("mass").over(W.partitionBy(ctx).orderBy(F.desc("_power")).rowsBetween(W.unboundedPreceding, -1))
     reached = mass.withColumn("_above", F.coalesce(above, F.lit(0.0))).filter(F.col("_above") < p)
     limits = reached.groupBy(ctx).agg(F.min("_power").alias("_cut"), F.max("_above").alias("_above"))
-    joined = marked.join(limits, ctx)
+    joined = _with_facts(_sliced(marked, token), limits, ctx)
     over = joined.filter("_power > _cut").select(*probs.columns)
     at_cut = joined.filter("_power = _cut").withColumn("_falling", -F.col("prob"))
     placed = grouped_offset(at_cut, [ctx], ["_falling", token], "prob", "_mass")

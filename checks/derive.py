@@ -20,20 +20,19 @@ def _lines() -> Column:
     return F.split("text", "\n")
 
 
-def message_records(documents: DataFrame) -> DataFrame:
-    """Lines alternate between user and assistant; every fifth length makes a system line."""
+def message_raw() -> Column:
+    """A `messages` record. Lines alternate between user and assistant; every fifth length makes a system line."""
 
     def message(line: Column, i: Column) -> Column:
         alternate = F.when(i % 2 == 0, "user").otherwise("assistant")
         role = F.when(F.length(line) % 5 == 0, "system").otherwise(alternate)
         return F.struct(role.alias("role"), line.alias("content"))
 
-    raw = F.to_json(F.struct(F.col("source").alias("system"), F.transform(_lines(), message).alias("messages")))
-    return documents.select(F.col("doc_id").alias("rec_id"), raw.alias("raw"))
+    return F.to_json(F.struct(F.col("source").alias("system"), F.transform(_lines(), message).alias("messages")))
 
 
-def sharegpt_records(documents: DataFrame) -> DataFrame:
-    """As `message_records`, with other speaker names; a third of the texts sit under `content`."""
+def sharegpt_raw() -> Column:
+    """A `conversations` record: as `message_raw`, with other speaker names; a third of the texts sit under `content`."""
 
     def message(line: Column, i: Column) -> Column:
         human = F.when(F.length(line) % 2 == 0, "human").otherwise("user")
@@ -45,12 +44,11 @@ def sharegpt_records(documents: DataFrame) -> DataFrame:
             F.when(elsewhere, line).alias("content"),
         )
 
-    raw = F.to_json(F.struct(F.col("lang").alias("system"), F.transform(_lines(), message).alias("conversations")))
-    return documents.select(F.col("doc_id").alias("rec_id"), raw.alias("raw"))
+    return F.to_json(F.struct(F.col("lang").alias("system"), F.transform(_lines(), message).alias("conversations")))
 
 
-def turn_records(documents: DataFrame) -> DataFrame:
-    """Lines two by two are a turn; a side whose length divides by 7 is left blank."""
+def turn_raw() -> Column:
+    """A `conversation` record. Lines two by two are a turn; a side whose length divides by 7 is left blank."""
     line = _lines()
 
     def side(i: Column) -> Column:
@@ -63,16 +61,14 @@ def turn_records(documents: DataFrame) -> DataFrame:
     count = F.ceil(F.size(line) / 2).cast("int")
     turns = F.transform(F.sequence(F.lit(0), count - 1), turn)
     system = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.col("source")))
-    raw = F.to_json(F.struct(system.alias("system"), turns.alias("conversation")))
-    return documents.select(F.col("doc_id").alias("rec_id"), raw.alias("raw"))
+    return F.to_json(F.struct(system.alias("system"), turns.alias("conversation")))
 
 
-def text_records(documents: DataFrame) -> DataFrame:
-    """The first line, quoted and padded, asks; the rest answers. `response` is decoy text."""
+def text_raw() -> Column:
+    """A paired record. The first line, quoted and padded, asks; the rest answers. `response` is decoy text."""
     asked = F.concat(F.lit(' 　"'), F.get(_lines(), F.lit(0)), F.lit("\"' "))
     rest = F.array_join(F.slice(_lines(), F.lit(2), F.greatest(F.size(_lines()), F.lit(1))), "\n")
-    raw = F.to_json(F.struct("doc_id", F.col("lang").alias("response"), rest.alias("output"), asked.alias("prompt")))
-    return documents.select(F.col("doc_id").alias("rec_id"), raw.alias("raw"))
+    return F.to_json(F.struct("doc_id", F.col("lang").alias("response"), rest.alias("output"), asked.alias("prompt")))
 
 
 def number_records(events: DataFrame) -> DataFrame:
@@ -84,14 +80,16 @@ def number_records(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("rec_id"), raw.alias("raw"))
 
 
-def mixed_records(documents: DataFrame) -> DataFrame:
+def mixed_raw() -> Column:
     """Each document in one of four layouts, by its id."""
-    kinds = [message_records, sharegpt_records, turn_records, text_records]
-    parts = [make(documents.filter(F.col("doc_id") % len(kinds) == i)) for i, make in enumerate(kinds)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    kind = F.col("doc_id") % 4
+    return (
+        F.when(kind == 0, message_raw()).when(kind == 1, sharegpt_raw()).when(kind == 2, turn_raw()).otherwise(text_raw())
+    )
+
+
+def records(documents: DataFrame, raw: Column) -> DataFrame:
+    return documents.select(F.col("doc_id").alias("rec_id"), raw.alias("raw"))
 
 
 def json_documents(documents: DataFrame) -> DataFrame:

@@ -188,6 +188,12 @@ def encoded_documents(name: str, tokens: str) -> str:
     return ids_of(name, "documents", "doc_id", tokens)
 
 
+SAMPLED = f"""WITH {SCORES}, top AS (SELECT ctx_id, token_id, score FROM (SELECT *, rank() OVER (PARTITION BY ctx_id ORDER BY score DESC) AS r FROM sc) WHERE r <= 50),
+{softmax_of('top')},
+u AS (SELECT *, (CAST('0x' || left(md5('42:' || ctx_id || ':' || token_id), 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM pr)
+SELECT ctx_id, arg_max(token_id, ln(prob) - ln(-ln(u))) AS token_id FROM u GROUP BY 1"""
+
+
 SQL = {
     "samples": f"WITH {SAMPLES} SELECT conv_id, turn, len(ids) AS n_tokens, {csv('ids')} AS ids FROM samples",
     "pairs_adjacent": f"WITH {ADJACENT} SELECT * FROM adj",
@@ -294,10 +300,8 @@ SELECT conv_id, turn, {clean("q")} AS cleaned, {clean_keep("q")} AS kept FROM q"
     "excerpts": f"SELECT doc_id, {excerpt('text', 120)} AS head FROM documents",
     "topk_ties": f"WITH {SCORES} SELECT ctx_id, token_id, score FROM (SELECT *, rank() OVER (PARTITION BY ctx_id ORDER BY score DESC) AS r FROM sc) WHERE r <= 5",
     "softmax": f"WITH {SCORES}, {softmax_of('sc')} SELECT ctx_id, token_id, round(prob, 9) AS prob FROM pr",
-    "sample_one": f"""WITH {SCORES}, top AS (SELECT ctx_id, token_id, score FROM (SELECT *, rank() OVER (PARTITION BY ctx_id ORDER BY score DESC) AS r FROM sc) WHERE r <= 50),
-{softmax_of('top')},
-u AS (SELECT *, (CAST('0x' || left(md5('42:' || ctx_id || ':' || token_id), 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM pr)
-SELECT ctx_id, arg_max(token_id, ln(prob) - ln(-ln(u))) AS token_id FROM u GROUP BY 1""",
+    "sample_one": SAMPLED,
+    "sample_scores": SAMPLED,
     "nucleus": f"""WITH {SCORES}, {softmax_of('sc')},
 c AS (SELECT *, coalesce(sum(prob) OVER (PARTITION BY ctx_id ORDER BY prob DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pr)
 SELECT ctx_id, token_id FROM c WHERE before < 0.9::DOUBLE""",

@@ -78,19 +78,19 @@ def pairs_history_cut(spark, sf):
 
 
 def pairs_messages_nested(spark, sf):
-    return P.pairs_from_messages(D.message_records(_documents(spark, sf)))
+    return P.pairs_from_messages(D.records(_documents(spark, sf), D.message_raw()))
 
 
 def pairs_sharegpt_nested(spark, sf):
-    return P.pairs_from_sharegpt(D.sharegpt_records(_documents(spark, sf)))
+    return P.pairs_from_sharegpt(D.records(_documents(spark, sf), D.sharegpt_raw()))
 
 
 def pairs_turns_nested(spark, sf):
-    return P.pairs_from_turns(D.turn_records(_documents(spark, sf)))
+    return P.pairs_from_turns(D.records(_documents(spark, sf), D.turn_raw()))
 
 
 def pairs_records(spark, sf):
-    records = D.text_records(_documents(spark, sf))
+    records = D.records(_documents(spark, sf), D.text_raw())
     return P.pairs_from_records(records, *L.detect_keys(records)).drop("pos")
 
 
@@ -100,7 +100,7 @@ def pairs_records_numbers(spark, sf):
 
 
 def pairs_mixed(spark, sf):
-    return P.pairs_of_mixed(D.mixed_records(_documents(spark, sf)), ("prompt", "output"))
+    return P.pairs_of_mixed(D.records(_documents(spark, sf), D.mixed_raw()), ("prompt", "output"))
 
 
 def pair_drop_reasons(spark, sf):
@@ -111,18 +111,18 @@ def pair_drop_reasons(spark, sf):
 
 
 def layouts(spark, sf):
-    return D.mixed_records(_documents(spark, sf)).groupBy(L.layout_of(F.col("raw")).alias("layout")).agg(F.count("*").alias("n"))
+    return D.records(_documents(spark, sf), D.mixed_raw()).groupBy(L.layout_of(F.col("raw")).alias("layout")).agg(F.count("*").alias("n"))
 
 
 def uniform_system(spark, sf):
     docs = _documents(spark, sf)
-    mixed = L.uniform_system(D.message_records(docs)).select(F.lit("by source").alias("corpus"), "system")
-    same = D.message_records(docs.withColumn("source", F.regexp_replace("source", "[0-9]+$", "")))
+    mixed = L.uniform_system(D.records(docs, D.message_raw())).select(F.lit("by source").alias("corpus"), "system")
+    same = D.records(docs.withColumn("source", F.regexp_replace("source", "[0-9]+$", "")), D.message_raw())
     return mixed.unionByName(L.uniform_system(same).select(F.lit("one name").alias("corpus"), "system"))
 
 
 def dataset_summary(spark, sf):
-    records = D.text_records(_documents(spark, sf))
+    records = D.records(_documents(spark, sf), D.text_raw())
     keys = L.detect_keys(records)
     return L.dataset_summary(P.pairs_from_records(records, *keys), *keys, L.uniform_system(records).first()["system"])
 
@@ -265,17 +265,17 @@ def lr_schedule(spark, sf):
 
 
 def chat_messages(spark, sf):
-    chats = C.chat_messages(D.turn_records(_documents(spark, sf)))
+    chats = C.chat_messages(D.records(_documents(spark, sf), D.turn_raw()))
     return chats.select("rec_id", F.posexplode("messages").alias("pos", "m")).select("rec_id", "pos", "m.role", "m.content")
 
 
 def chat_messages_lists(spark, sf):
-    chats = C.chat_messages(D.sharegpt_records(_documents(spark, sf)))
+    chats = C.chat_messages(D.records(_documents(spark, sf), D.sharegpt_raw()))
     return chats.select("rec_id", F.posexplode("messages").alias("pos", "m")).select("rec_id", "pos", "m.role", "m.content")
 
 
 def render_chat(spark, sf):
-    chats = C.chat_messages(D.text_records(_documents(spark, sf)))
+    chats = C.chat_messages(D.records(_documents(spark, sf), D.text_raw()))
     return chats.select("rec_id", C.render_chat(F.col("messages"), generation_prompt=True).alias("text"))
 
 
@@ -363,6 +363,10 @@ def sample_one(spark, sf):
     return G.sample_one(probs, SPLIT_SEED)
 
 
+def sample_scores(spark, sf):
+    return G.sample_scores(G.topk_filter(D.event_scores(_events(spark, sf)), 50), SPLIT_SEED, temperature=20.0)
+
+
 def nucleus(spark, sf):
     probs = G.softmax(D.event_scores(_events(spark, sf)), temperature=20.0)
     return G.nucleus_filter(probs, 0.9).select("ctx_id", "token_id")
@@ -435,7 +439,7 @@ def stream_samples(spark, sf):
     docs = _documents(spark, sf)
     path = new_folder(spark, "turn-records")
     tagged = F.concat(F.lit('{"doc_id": '), F.col("rec_id").cast("string"), F.lit(", "), F.substring("raw", 2, 2**30))
-    D.turn_records(docs).select(tagged.alias("value")).write.text(path)
+    D.records(docs, D.turn_raw()).select(tagged.alias("value")).write.text(path)
     arriving = Rec.stream_jsonl(spark, path)
     records = arriving.select(J.fields(F.col("raw"), "doc_id")["doc_id"].cast("bigint").alias("rec_id"), "raw")
     made = Z.stream_samples(records, L.TURNS, _codec(spark, sf), BLOCK)
@@ -479,7 +483,7 @@ QUERIES = [
     chat_messages, chat_messages_lists, render_chat, render_turns, tokenize_truncate, pack_blocks, pack_global,
     lm_collate, pack_efficiency,
     context_window_n2, normalize_history, build_prompt, truncate_prompt, clean_message, excerpts,
-    topk_ties, softmax, sample_one, nucleus,
+    topk_ties, softmax, sample_one, sample_scores, nucleus,
     assemble_generation, running_generation, throughput, epoch_rollup, early_stop, best_epoch,
     pool_embeddings, pad_dims, svd_energy,
     stream_samples, stream_context_window, stream_early_stop, stream_throughput,
