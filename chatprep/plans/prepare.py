@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatprep.constants import BLOCK_SIZES
 from chatprep.operators import batching, chat, context, layout, pairs, samples, turns, vocab
 from chatprep.sources import records as R
+from chatprep.sources.shared import stored
 
 
 def open_records(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +20,10 @@ def open_records(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TrainingSet:
-    """Samples with their split, the vocabulary behind them, and the shared system text."""
+    """Samples with their split, the vocabulary behind them, and the shared system text.
+
+    The samples are a stored table: the split and every epoch's batches read them again.
+    """
 
     samples: DataFrame
     vocabulary: DataFrame
@@ -35,7 +39,7 @@ def training_set_from_records(records: DataFrame, size: str = "small", eval_rati
     has_history = layout.detect_layout(records) == layout.TURNS
     vocabulary = vocab.build_vocab(pairs.turns_corpus(records) if has_history else vocab.pair_text(cut))
     codec = vocab.Codec.of(vocabulary)
-    made = samples.make_samples(cut, codec, block)
+    made = stored(samples.make_samples(cut, codec, block), "samples")
     system = layout.uniform_system(records).first()["system"]
     return TrainingSet(batching.train_val_split(made, ["rec_id", "pos"], eval_ratio, **split), vocabulary, codec, system)
 
@@ -45,7 +49,7 @@ def training_set_from_turns(table: DataFrame, size: str = "small", eval_ratio: f
     block = BLOCK_SIZES[size]
     vocabulary = vocab.build_vocab(turns.pair_corpus(table))
     codec = vocab.Codec.of(vocabulary)
-    made = samples.make_samples(turns.history_pairs(table, max_chars=block), codec, block)
+    made = stored(samples.make_samples(turns.history_pairs(table, max_chars=block), codec, block), "samples")
     return TrainingSet(batching.train_val_split(made, ["conv_id", "turn"], eval_ratio, **split), vocabulary, codec)
 
 
