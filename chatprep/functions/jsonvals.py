@@ -7,7 +7,7 @@ name into a struct, where the last duplicate of a field wins (a map would return
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A JSON value whose text begins with none of these can only have been a string.
@@ -90,3 +90,40 @@ def printed_parts(raw: Column, text: Column, key: str) -> Column:
     texts = F.transform(root_list(text), lambda part: F.coalesce(fields(part, "text")["text"], F.lit("")))
     is_list = text.startswith("[") & _kind_matches(raw, key, "ARRAY", False)
     return F.when(F.coalesce(is_list, F.lit(False)), F.array_join(texts, "")).otherwise(printed(raw, text, key))
+
+
+def with_objects(
+    df: DataFrame, out: str, key: str, plain: tuple = (), shown: tuple = (), parts: tuple = (), raw: str = "raw"
+) -> DataFrame:
+    """Adds `out`: the objects in the list under `key` as structs of text, null for other elements.
+
+    `plain` fields come as they are, `shown` ones through `printed`, `parts` ones through
+    `printed_parts`. One typed parse reads the list; only where its outcome leaves a doubt
+    (an element that is no object, a text that may not have been a string) are the elements
+    read one by one. Null when the value is no list.
+    """
+    names = [*plain, *shown, *parts]
+    element = "struct<" + ", ".join(f"{_quoted(n)}: string" for n in names) + ">"
+    typed = F.from_json(raw, f"struct<{_quoted(key)}: array<{element}>>")[key]
+
+    def doubtful(e: Column) -> Column:
+        found = F.lit(False)
+        for name in (*shown, *parts):
+            text = e[name]
+            found = found | text.isNull() | text.isin("true", "false")
+            if name in parts:
+                found = found | text.startswith("[")
+        return found
+
+    def one(p: Column) -> Column:
+        text = p["fields"]
+        values = [text[n].alias(n) for n in plain]
+        values += [printed(p["raw"], text[n], n).alias(n) for n in shown]
+        values += [printed_parts(p["raw"], text[n], n).alias(n) for n in parts]
+        return F.when(is_object(p["raw"]), F.struct(*values))
+
+    # The inner pass parses an element once, the outer one reads its fields many times.
+    parsed = F.transform(list_under(F.col(raw), key), lambda e: F.struct(e.alias("raw"), fields(e, *names).alias("fields")))
+    sure = F.col("_typed").isNotNull() & ~F.exists("_typed", doubtful)
+    chosen = F.when(sure, F.col("_typed")).otherwise(F.transform(parsed, one).cast(f"array<{element}>"))
+    return df.withColumn("_typed", typed).withColumn(out, chosen).drop("_typed")

@@ -12,7 +12,7 @@ from chatprep.constants import HUMAN_ALIASES, MODEL_ALIASES, PAD_ID
 from chatprep.functions import jsonvals as J
 from chatprep.functions.text import or_empty, strip
 from chatprep.operators.batching import pad_batches
-from chatprep.operators.layout import MESSAGES, PAIRED, SHAREGPT, TURNS, layout_of
+from chatprep.operators.pairs import with_sharegpt
 from chatprep.operators.ranks import ordered_offset, ordered_rank, shuffled_rank
 from chatprep.operators.vocab import Codec
 
@@ -30,42 +30,25 @@ def _first_system(raw: Column) -> Column:
     return F.when(system != "", F.array(_message("system", system))).otherwise(none)
 
 
-def _from_turns(raw: Column) -> Column:
-    def turn(e: Column) -> Column:
-        f = J.fields(e, "human", "assistant")
-        human = strip(J.printed(e, f["human"], "human"))
-        assistant = strip(J.printed(e, f["assistant"], "assistant"))
-        return F.struct(human.alias("human"), assistant.alias("assistant"))
-
-    said = F.filter(
-        F.transform(J.list_under(raw, "conversation"), turn),
-        lambda t: (t["human"] != "") | (t["assistant"] != ""),
-    )
+def _of_turns(turns: Column) -> Column:
+    stripped = F.transform(turns, lambda t: F.struct(strip(t["human"]).alias("human"), strip(t["assistant"]).alias("assistant")))
+    said = F.filter(stripped, lambda t: (t["human"] != "") | (t["assistant"] != ""))
     both = F.transform(said, lambda t: F.array(_message("user", t["human"]), _message("assistant", t["assistant"])))
-    return F.concat(_first_system(raw), F.flatten(both))
-
+    return F.flatten(both)
 
-def _from_speakers(raw: Column, key: str, role: str, text: str) -> Column:
-    def message(e: Column) -> Column:
-        f = J.fields(e, *dict.fromkeys((role, text, "content")))
-        who = f[role]
-        named = F.when(who.isin(HUMAN_ALIASES), "user").when(who.isin(MODEL_ALIASES), "assistant").otherwise(who)
-        content = J.printed_parts(e, f[text], text)
-        if text != "content":
-            content = F.when(J.has_field(e, text), content).otherwise(J.printed_parts(e, f["content"], "content"))
-        return F.when(J.is_object(e), _message(named, content))
 
-    said = F.transform(J.list_under(raw, key), message)
-    return F.concat(_first_system(raw), F.filter(said, lambda m: m.isNotNull()))
+def _of_speakers(said: Column, who: str, text: str) -> Column:
+    def message(m: Column) -> Column:
+        role = F.when(m[who].isin(HUMAN_ALIASES), "user").when(m[who].isin(MODEL_ALIASES), "assistant").otherwise(m[who])
+        return _message(role, m[text])
 
+    return F.transform(F.filter(said, lambda m: m.isNotNull()), message)
 
-def _from_pair(raw: Column) -> Column:
-    keys = J.keys_of(raw)
 
+def _of_pair(raw: Column, entries: Column, keys: Column) -> Column:
     def side(name: str, at: int) -> Column:
         key = F.when(F.array_contains(keys, name), F.lit(name)).otherwise(F.try_element_at(keys, F.lit(at)))
-        entries = F.filter(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: e["key"] == key)
-        value = F.try_element_at(entries, F.lit(-1))["value"]
+        value = F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
         truth = value.isin("true", "false") & (F.schema_of_variant(J.kinds(raw)[key]) == "BOOLEAN")
         return F.when(value.isNull(), "None").when(truth, F.initcap(value)).otherwise(value)
 
@@ -81,15 +64,17 @@ def chat_messages(records: DataFrame) -> DataFrame:
     """
     raw = F.col("raw")
     kept = [c for c in records.columns if c != "raw"]
-    marked = records.withColumn("_layout", layout_of(raw))
-    layout = F.col("_layout")
+    parsed = J.with_objects(records, "_turns", "conversation", shown=("human", "assistant"))
+    parsed = J.with_objects(parsed, "_messages", "messages", plain=("role",), parts=("content",))
+    parsed = with_sharegpt(parsed, "_sharegpt", parts=True)
+    parsed = parsed.withColumn("_entries", F.map_entries(F.from_json(raw, "map<string,string>"))).withColumn("_keys", J.keys_of(raw))
     messages = (
-        F.when(layout == TURNS, _from_turns(raw))
-        .when(layout == MESSAGES, _from_speakers(raw, "messages", "role", "content"))
-        .when(layout == SHAREGPT, _from_speakers(raw, "conversations", "from", "value"))
-        .when(layout == PAIRED, _from_pair(raw))
+        F.when(F.col("_turns").isNotNull(), F.concat(_first_system(raw), _of_turns(F.col("_turns"))))
+        .when(F.col("_messages").isNotNull(), F.concat(_first_system(raw), _of_speakers(F.col("_messages"), "role", "content")))
+        .when(F.col("_sharegpt").isNotNull(), F.concat(_first_system(raw), _of_speakers(F.col("_sharegpt"), "from", "text")))
+        .otherwise(_of_pair(raw, F.col("_entries"), F.col("_keys")))
     )
-    return marked.select(*kept, messages.alias("messages"))
+    return parsed.select(*kept, messages.alias("messages"))
 
 
 @dataclass(frozen=True)

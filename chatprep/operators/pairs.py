@@ -39,21 +39,23 @@ def pairs_from_records(records: DataFrame, input_key: str, output_key: str, stri
     return sides.filter("input <> '' AND output <> ''")
 
 
-def _adjacent(records: DataFrame, speakers: Column, prefix: Column, humans: list[str], models: list[str]) -> DataFrame:
+def _adjacent(records: DataFrame, prefix: Column, who: str, text: Column, humans: list[str], models: list[str]) -> DataFrame:
     """Pairs of neighbours spoken by a human and then the model; the answer must have text.
 
-    `speakers` is an array of `(who, text)`. It is exploded beside itself, so each neighbour
-    is one array access and the array is parsed once per record.
+    `records` holds the spoken objects as `said`, whose field `who` names the speaker and
+    whose text is `text`, an expression on `one`. The list is exploded beside itself, so a
+    neighbour is one array access.
     """
-    kept = _kept(records)
-    parsed = records.select(*kept, prefix.alias("prefix"), speakers.alias("all"))
-    each = parsed.select(*kept, "prefix", "all", F.posexplode("all").alias("pos", "one"))
-    left, right = F.col("one"), F.get("all", F.col("pos") + 1)
-    found = each.filter(left["who"].isin(humans)).select(*kept, "pos", "prefix", left["text"].alias("asked"), right.alias("next"))
+    kept = [c for c in records.columns if c not in ("raw", "said")]
+    parsed = records.select(*kept, prefix.alias("prefix"), "said")
+    each = parsed.select(*kept, "prefix", "said", F.posexplode("said").alias("pos", "one"))
+    spoken = each.filter(F.col("one")[who].isin(humans)).select(
+        *kept, "pos", "prefix", text.alias("asked"), F.get("said", F.col("pos") + 1).alias("one")
+    )
     asked = F.when(F.col("prefix") != "", F.concat("prefix", F.lit("\n"), "asked")).otherwise(F.col("asked"))
     return (
-        found.filter(F.col("next")["who"].isin(models))
-        .select(*kept, "pos", strip(asked).alias("input"), strip(F.col("next")["text"]).alias("output"))
+        spoken.filter(F.col("one")[who].isin(models))
+        .select(*kept, "pos", strip(asked).alias("input"), strip(text).alias("output"))
         .filter("output <> ''")
     )
 
@@ -80,48 +82,45 @@ def _prefix_of_messages(raw: Column) -> Column:
 
 def pairs_from_messages(records: DataFrame) -> DataFrame:
     """Pairs of `{messages: [{role, content}]}` records; each stands alone, without history."""
-    raw = F.col("raw")
+    said = J.with_objects(records, "said", "messages", plain=("role",), parts=("content",))
+    text = F.col("one")["content"]
+    return _adjacent(said, _prefix_of_messages(F.col("raw")), "role", text, ["user"], ["assistant"])
 
-    def speaker(e: Column) -> Column:
-        f = J.fields(e, "role", "content")
-        return F.struct(
-            F.when(J.is_object(e), f["role"]).alias("who"),
-            J.printed_parts(e, f["content"], "content").alias("text"),
-        )
 
-    speakers = F.transform(J.list_under(raw, "messages"), speaker)
-    return _adjacent(records, speakers, _prefix_of_messages(raw), ["user"], ["assistant"])
+def with_sharegpt(records: DataFrame, out: str, parts: bool = False) -> DataFrame:
+    """Adds `out`: `(from, text)` of a record's `conversations`, `content` standing in for a missing `value`."""
+    texts = ("value", "content")
+    said = J.with_objects(records, "_both", "conversations", plain=("from",), **{"parts" if parts else "shown": texts})
+    raws = J.list_under(F.col("raw"), "conversations")
+    # A blank `value` beside a `content` is the one case that needs to know whether the field is there.
+    unsure = F.exists("_both", lambda m: (m["value"] == "") & (m["content"] != ""))
+    there = F.when(unsure, F.transform(raws, lambda e: J.has_field(e, "value")))
+    marked = said.withColumn("_there", there)
+
+    def one(m: Column, i: Column) -> Column:
+        text = F.when((m["value"] == "") & ~F.coalesce(F.get("_there", i), F.lit(True)), m["content"]).otherwise(m["value"])
+        return F.when(m.isNotNull(), F.struct(m["from"].alias("from"), text.alias("text")))
+
+    return marked.withColumn(out, F.transform("_both", one)).drop("_both", "_there")
 
 
 def pairs_from_sharegpt(records: DataFrame) -> DataFrame:
-    """Pairs of `{conversations: [{from, value}]}` records; `content` stands in for a missing `value`."""
+    """Pairs of `{conversations: [{from, value}]}` records."""
     raw = F.col("raw")
     system = J.fields(raw, "system")["system"]
     prefix = F.when(J.is_text(raw, system, "system"), system).otherwise("")
-
-    def speaker(e: Column) -> Column:
-        f = J.fields(e, "from", "value", "content")
-        text = F.when(J.has_field(e, "value"), J.printed(e, f["value"], "value")).otherwise(
-            J.printed(e, f["content"], "content")
-        )
-        return F.struct(F.when(J.is_object(e), f["from"]).alias("who"), text.alias("text"))
-
-    speakers = F.transform(J.list_under(raw, "conversations"), speaker)
-    return _adjacent(records, speakers, prefix, HUMAN_ALIASES, MODEL_ALIASES)
+    return _adjacent(with_sharegpt(records, "said"), prefix, "from", F.col("one")["text"], HUMAN_ALIASES, MODEL_ALIASES)
 
 
-def turns_of(raw: Column) -> Column:
-    """`{human, assistant}` turns of a record, stripped; null sides count as ''."""
+def with_turns(records: DataFrame) -> DataFrame:
+    """Adds `system` and `turns`: the stripped `(pos, human, assistant)` turns with text on both sides."""
+    said = J.with_objects(records, "_said", "conversation", plain=("human", "assistant"))
 
-    def turn(e: Column, i: Column) -> Column:
-        f = J.fields(e, "human", "assistant")
-        return F.struct(
-            i.alias("pos"),
-            or_empty(strip(f["human"])).alias("human"),
-            or_empty(strip(f["assistant"])).alias("assistant"),
-        )
+    def turn(t: Column, i: Column) -> Column:
+        return F.struct(i.alias("pos"), strip(t["human"]).alias("human"), strip(t["assistant"]).alias("assistant"))
 
-    return F.transform(J.list_under(raw, "conversation"), turn)
+    both = F.filter(F.transform("_said", turn), lambda t: (t["human"] != "") & (t["assistant"] != ""))
+    return said.select(*records.columns, system_of(F.col("raw")).alias("system"), both.alias("turns"))
 
 
 def system_of(raw: Column) -> Column:
@@ -137,9 +136,7 @@ def pairs_from_turns(records: DataFrame, max_chars: int | None = None) -> DataFr
     the work on a long record linear.
     """
     kept = _kept(records)
-    raw = F.col("raw")
-    both = F.filter(turns_of(raw), lambda t: (t["human"] != "") & (t["assistant"] != ""))
-    parsed = records.select(*kept, system_of(raw).alias("system"), both.alias("turns"))
+    parsed = with_turns(records).drop("raw")
 
     def cut(text: Column) -> Column:
         return text if max_chars is None else F.substring(text, 1, max_chars)
@@ -162,9 +159,7 @@ def turns_corpus(records: DataFrame) -> DataFrame:
 
     A newline is among them only if some input has a system text or an earlier turn in front.
     """
-    raw = F.col("raw")
-    both = F.filter(turns_of(raw), lambda t: (t["human"] != "") & (t["assistant"] != ""))
-    parsed = records.select(system_of(raw).alias("system"), both.alias("turns")).filter("size(turns) > 0")
+    parsed = with_turns(records).filter("size(turns) > 0")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["human"], F.lit(" "), t["assistant"])), " ")
     newline = F.when(F.col("system").isNotNull() | (F.size("turns") > 1), "\n").otherwise("")
     return parsed.select(F.concat(or_empty(F.col("system")), newline, said).alias("text"))

@@ -37,7 +37,7 @@ def _conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return Tab.spread(table(spark, sf, "documents"))
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
