@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from chatprep.constants import HUMAN_ALIASES, MODEL_ALIASES, PAD_ID
 from chatprep.functions import jsonvals as J
+from chatprep.functions.rows import each_value
 from chatprep.functions.text import or_empty, strip
 from chatprep.operators.batching import pad_batches
-from chatprep.operators.pairs import with_sharegpt
+from chatprep.operators.pairs import with_messages, with_sharegpt
 from chatprep.operators.ranks import ordered_offset, ordered_rank, shuffled_rank
 from chatprep.operators.vocab import Codec
 
@@ -65,8 +66,7 @@ def chat_messages(records: DataFrame) -> DataFrame:
     raw = F.col("raw")
     kept = [c for c in records.columns if c != "raw"]
     parsed = J.with_objects(records, "_turns", "conversation", shown=("human", "assistant"))
-    parsed = J.with_objects(parsed, "_messages", "messages", plain=("role",), parts=("content",))
-    parsed = with_sharegpt(parsed, "_sharegpt", parts=True)
+    parsed = with_sharegpt(with_messages(parsed), parts=True)
     parsed = parsed.withColumn("_entries", F.map_entries(F.from_json(raw, "map<string,string>"))).withColumn("_keys", J.keys_of(raw))
     messages = (
         F.when(F.col("_turns").isNotNull(), F.concat(_first_system(raw), _of_turns(F.col("_turns"))))
@@ -154,9 +154,10 @@ def pack(
     end = F.when(F.col("_all") >= max_len, whole).otherwise(F.col("_all"))
     placed = placed.withColumn("_to", F.least(F.col("_from") + F.col("_n"), end)).filter("_from < _to")
     blocks = F.sequence(F.floor(F.col("_from") / max_len), F.floor((F.col("_to") - 1) / max_len))
-    met = df.join(placed.select(*order, "group_id", "_from", "_to"), order)
+    # Both sides by key: positions are few bytes a row and unique, so they make the hash table.
+    met = df.join(placed.select(*order, "group_id", "_from", "_to").hint("shuffle_hash"), order)
     made = met.select("group_id", "_from", "_to", ids.alias("_ids"), blocks.alias("_blocks"))
-    parts = made.select("group_id", "_from", "_to", "_ids", F.explode("_blocks").alias("block_id"))
+    parts = each_value(made, ["group_id", "_from", "_to", "_ids"], "_blocks", "block_id")
 
     begin = F.greatest(F.col("_from"), F.col("block_id") * max_len)
     end = F.least(F.col("_to"), (F.col("block_id") + 1) * max_len)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatprep.constants import HUMAN_ALIASES, MODEL_ALIASES
 from chatprep.functions import jsonvals as J
+from chatprep.functions.rows import each_value, settled
 from chatprep.functions.text import blank_to_null, clean, join_lines, or_empty, strip
 from chatprep.operators import layout as L
 
@@ -19,6 +20,15 @@ def _kept(records: DataFrame) -> list[str]:
     return [c for c in records.columns if c != "raw"]
 
 
+def _pair(pos: Column, asked: Column, answer: Column) -> Column:
+    return F.struct(pos.alias("pos"), asked.alias("input"), answer.alias("output"))
+
+
+def _exploded(parsed: DataFrame, kept: list[str], pairs: Column) -> DataFrame:
+    """`(kept..., pos, input, output)` from an array of pairs per record."""
+    return each_value(parsed, kept, pairs, "_pair").select(*kept, "_pair.pos", "_pair.input", "_pair.output")
+
+
 def pairs_from_records(records: DataFrame, input_key: str, output_key: str, strict: bool = True) -> DataFrame:
     """One cleaned pair per record, kept only where both sides have text.
 
@@ -30,34 +40,29 @@ def pairs_from_records(records: DataFrame, input_key: str, output_key: str, stri
     if strict:
         ok = J.is_object(raw)
         parsed = parsed.withColumn("raw", F.when(ok, raw).otherwise(F.raise_error(F.concat(F.lit("record is not an object: "), raw))))
-    sides = parsed.select(
-        *kept,
-        F.lit(0).alias("pos"),
+    sides = settled(
+        parsed,
+        [*kept, F.lit(0).alias("pos")],
         clean(J.printed(raw, F.col("f")[input_key], input_key)).alias("input"),
         clean(J.printed(raw, F.col("f")[output_key], output_key)).alias("output"),
     )
     return sides.filter("input <> '' AND output <> ''")
 
 
-def _adjacent(records: DataFrame, prefix: Column, who: str, text: Column, humans: list[str], models: list[str]) -> DataFrame:
+def _adjacent(said: str, prefix: str, who: str, text: str, humans: list[str], models: list[str]) -> Column:
     """Pairs of neighbours spoken by a human and then the model; the answer must have text.
 
-    `records` holds the spoken objects as `said`, whose field `who` names the speaker and
-    whose text is `text`, an expression on `one`. The list is exploded beside itself, so a
-    neighbour is one array access.
+    `said` and `prefix` name columns: an array read element by element has to be one, or it
+    would be parsed again for every element.
     """
-    kept = [c for c in records.columns if c not in ("raw", "said")]
-    parsed = records.select(*kept, prefix.alias("prefix"), "said")
-    each = parsed.select(*kept, "prefix", "said", F.posexplode("said").alias("pos", "one"))
-    spoken = each.filter(F.col("one")[who].isin(humans)).select(
-        *kept, "pos", "prefix", text.alias("asked"), F.get("said", F.col("pos") + 1).alias("one")
-    )
-    asked = F.when(F.col("prefix") != "", F.concat("prefix", F.lit("\n"), "asked")).otherwise(F.col("asked"))
-    return (
-        spoken.filter(F.col("one")[who].isin(models))
-        .select(*kept, "pos", strip(asked).alias("input"), strip(text).alias("output"))
-        .filter("output <> ''")
-    )
+
+    def pair(m: Column, i: Column) -> Column:
+        after = F.get(said, i + 1)
+        asked = F.when(F.col(prefix) != "", F.concat(prefix, F.lit("\n"), m[text])).otherwise(m[text])
+        spoken = m[who].isin(humans) & after[who].isin(models)
+        return F.when(spoken, _pair(i, strip(asked), strip(after[text])))
+
+    return F.filter(F.transform(said, pair), lambda p: p["output"] != "")
 
 
 def _prefix_of_messages(raw: Column) -> Column:
@@ -80,15 +85,23 @@ def _prefix_of_messages(raw: Column) -> Column:
     return F.when(~empty, value).when(~other_empty, other).otherwise("")
 
 
+def with_messages(records: DataFrame) -> DataFrame:
+    """Adds `_messages`, `(role, content)` objects, and `_messages_prefix`."""
+    said = J.with_objects(records, "_messages", "messages", plain=("role",), parts=("content",))
+    return said.withColumn("_messages_prefix", _prefix_of_messages(F.col("raw")))
+
+
+def _message_pairs() -> Column:
+    return _adjacent("_messages", "_messages_prefix", "role", "content", ["user"], ["assistant"])
+
+
 def pairs_from_messages(records: DataFrame) -> DataFrame:
     """Pairs of `{messages: [{role, content}]}` records; each stands alone, without history."""
-    said = J.with_objects(records, "said", "messages", plain=("role",), parts=("content",))
-    text = F.col("one")["content"]
-    return _adjacent(said, _prefix_of_messages(F.col("raw")), "role", text, ["user"], ["assistant"])
+    return _exploded(with_messages(records), _kept(records), _message_pairs())
 
 
-def with_sharegpt(records: DataFrame, out: str, parts: bool = False) -> DataFrame:
-    """Adds `out`: `(from, text)` of a record's `conversations`, `content` standing in for a missing `value`."""
+def with_sharegpt(records: DataFrame, parts: bool = False) -> DataFrame:
+    """Adds `_sharegpt`, `(from, text)` objects, `content` standing in for a missing `value`, and `_sharegpt_prefix`."""
     texts = ("value", "content")
     said = J.with_objects(records, "_both", "conversations", plain=("from",), **{"parts" if parts else "shown": texts})
     raws = J.list_under(F.col("raw"), "conversations")
@@ -101,31 +114,57 @@ def with_sharegpt(records: DataFrame, out: str, parts: bool = False) -> DataFram
         text = F.when((m["value"] == "") & ~F.coalesce(F.get("_there", i), F.lit(True)), m["content"]).otherwise(m["value"])
         return F.when(m.isNotNull(), F.struct(m["from"].alias("from"), text.alias("text")))
 
-    return marked.withColumn(out, F.transform("_both", one)).drop("_both", "_there")
+    system = J.fields(F.col("raw"), "system")["system"]
+    prefix = F.when(J.is_text(F.col("raw"), system, "system"), system).otherwise("")
+    return marked.withColumn("_sharegpt", F.transform("_both", one)).withColumn("_sharegpt_prefix", prefix).drop("_both", "_there")
+
+
+def _sharegpt_pairs() -> Column:
+    return _adjacent("_sharegpt", "_sharegpt_prefix", "from", "text", HUMAN_ALIASES, MODEL_ALIASES)
 
 
 def pairs_from_sharegpt(records: DataFrame) -> DataFrame:
     """Pairs of `{conversations: [{from, value}]}` records."""
-    raw = F.col("raw")
-    system = J.fields(raw, "system")["system"]
-    prefix = F.when(J.is_text(raw, system, "system"), system).otherwise("")
-    return _adjacent(with_sharegpt(records, "said"), prefix, "from", F.col("one")["text"], HUMAN_ALIASES, MODEL_ALIASES)
+    return _exploded(with_sharegpt(records), _kept(records), _sharegpt_pairs())
+
+
+def system_of(raw: Column) -> Column:
+    """The stripped `system` text of a record, null when blank."""
+    return blank_to_null(strip(J.fields(raw, "system")["system"]))
 
 
 def with_turns(records: DataFrame) -> DataFrame:
-    """Adds `system` and `turns`: the stripped `(pos, human, assistant)` turns with text on both sides."""
+    """Adds `_turns`, the stripped `(pos, human, assistant)` turns with text on both sides, and `_system`."""
     said = J.with_objects(records, "_said", "conversation", plain=("human", "assistant"))
 
     def turn(t: Column, i: Column) -> Column:
         return F.struct(i.alias("pos"), strip(t["human"]).alias("human"), strip(t["assistant"]).alias("assistant"))
 
     both = F.filter(F.transform("_said", turn), lambda t: (t["human"] != "") & (t["assistant"] != ""))
-    return said.select(*records.columns, system_of(F.col("raw")).alias("system"), both.alias("turns"))
+    return said.withColumn("_turns", both).withColumn("_system", system_of(F.col("raw"))).drop("_said")
 
 
-def system_of(raw: Column) -> Column:
-    """The stripped `system` text of a record, null when blank."""
-    return blank_to_null(strip(J.fields(raw, "system")["system"]))
+def _turn_pairs(max_chars: int | None) -> Column:
+    """Pairs of `_turns` with their history; `_first_turns` are the turns that can be in one."""
+
+    def cut(text: Column) -> Column:
+        return text if max_chars is None else F.substring(text, 1, max_chars)
+
+    def line(t: Column) -> Column:
+        return F.concat(t["human"], F.lit("\n"), t["assistant"])
+
+    def pair(t: Column, i: Column) -> Column:
+        earlier = F.slice("_first_turns", F.lit(1), F.least(i, F.size("_first_turns")))
+        told = blank_to_null(cut(F.array_join(F.transform(earlier, line), "\n")))
+        return _pair(t["pos"], cut(join_lines(F.col("_system"), told, t["human"])), t["assistant"])
+
+    return F.transform("_turns", pair)
+
+
+def _with_first_turns(parsed: DataFrame, max_chars: int | None) -> DataFrame:
+    # A turn adds at least 4 characters, which bounds how many can be within the limit.
+    first = F.col("_turns") if max_chars is None else F.slice("_turns", 1, max_chars // 4 + 1)
+    return parsed.withColumn("_first_turns", first)
 
 
 def pairs_from_turns(records: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -135,23 +174,7 @@ def pairs_from_turns(records: DataFrame, max_chars: int | None = None) -> DataFr
     only that much of each input: exact for samples of at most that many ids, and it keeps
     the work on a long record linear.
     """
-    kept = _kept(records)
-    parsed = with_turns(records).drop("raw")
-
-    def cut(text: Column) -> Column:
-        return text if max_chars is None else F.substring(text, 1, max_chars)
-
-    each = parsed.select(*kept, "system", "turns", F.posexplode("turns").alias("i", "turn"))
-    # Every earlier turn adds at least 4 characters, which bounds how many can matter.
-    reach = F.col("i") if max_chars is None else F.least(F.col("i"), F.lit(max_chars // 4 + 1))
-    earlier = F.transform(F.slice("turns", F.lit(1), reach), lambda t: F.concat(t["human"], F.lit("\n"), t["assistant"]))
-    told = blank_to_null(cut(F.array_join(earlier, "\n")))
-    return each.select(
-        *kept,
-        F.col("turn")["pos"].alias("pos"),
-        cut(join_lines(F.col("system"), told, F.col("turn")["human"])).alias("input"),
-        F.col("turn")["assistant"].alias("output"),
-    )
+    return _exploded(_with_first_turns(with_turns(records), max_chars), _kept(records), _turn_pairs(max_chars))
 
 
 def turns_corpus(records: DataFrame) -> DataFrame:
@@ -159,10 +182,11 @@ def turns_corpus(records: DataFrame) -> DataFrame:
 
     A newline is among them only if some input has a system text or an earlier turn in front.
     """
-    parsed = with_turns(records).filter("size(turns) > 0")
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["human"], F.lit(" "), t["assistant"])), " ")
-    newline = F.when(F.col("system").isNotNull() | (F.size("turns") > 1), "\n").otherwise("")
-    return parsed.select(F.concat(or_empty(F.col("system")), newline, said).alias("text"))
+    parsed = with_turns(records)
+    said = F.array_join(F.transform("_turns", lambda t: F.concat(t["human"], F.lit(" "), t["assistant"])), " ")
+    newline = F.when(F.col("_system").isNotNull() | (F.size("_turns") > 1), "\n").otherwise("")
+    whole = F.concat(or_empty(F.col("_system")), newline, said)
+    return parsed.select(F.when(F.size("_turns") > 0, whole).otherwise("").alias("text"))
 
 
 def pairs_of_layout(records: DataFrame, layout: str, keys: tuple[str, str] | None = None, max_chars: int | None = None) -> DataFrame:
@@ -186,14 +210,24 @@ def load_pairs(records: DataFrame, max_chars: int | None = None) -> tuple[DataFr
     return pairs_of_layout(records, layout, max_chars=max_chars), name, name
 
 
-def pairs_of_mixed(records: DataFrame, keys: tuple[str, str]) -> DataFrame:
-    """Pairs of a corpus in which every record is read by its own layout."""
-    marked = records.withColumn("layout", L.layout_of(F.col("raw")))
-    parts = [
-        pairs_of_layout(marked.filter(F.col("layout") == name), name, keys)
-        for name in (L.TURNS, L.MESSAGES, L.SHAREGPT, L.PAIRED)
-    ]
-    first, *others = parts
-    for part in others:
-        first = first.unionByName(part)
-    return first
+def pairs_of_mixed(records: DataFrame, keys: tuple[str, str], max_chars: int | None = None) -> DataFrame:
+    """Pairs of a corpus in which every record is read by its own layout, kept as `layout`; one scan."""
+    kept = [*_kept(records), "layout"]
+    parsed = _with_first_turns(with_turns(with_sharegpt(with_messages(records))), max_chars)
+    raw = F.col("raw")
+    layout = (
+        F.when(F.col("_turns").isNotNull(), L.TURNS)
+        .when(F.col("_messages").isNotNull(), L.MESSAGES)
+        .when(F.col("_sharegpt").isNotNull(), L.SHAREGPT)
+        .otherwise(L.PAIRED)
+    )
+    sides = [clean(J.printed(raw, J.fields(raw, *keys)[key], key)) for key in keys]
+    single = F.filter(F.array(_pair(F.lit(0), *sides)), lambda p: (p["input"] != "") & (p["output"] != ""))
+    marked = parsed.withColumn("layout", layout)
+    pairs = (
+        F.when(F.col("layout") == L.TURNS, _turn_pairs(max_chars))
+        .when(F.col("layout") == L.MESSAGES, _message_pairs())
+        .when(F.col("layout") == L.SHAREGPT, _sharegpt_pairs())
+        .otherwise(single)
+    )
+    return _exploded(marked, kept, pairs)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.constants import EOS_ID, N_SPECIAL
+from chatprep.functions.rows import each
 from chatprep.functions.text import escape_tilde
 from chatprep.operators.vocab import Codec
 from chatprep.sources.shared import pinned
@@ -41,9 +42,9 @@ def assemble_generation(tokens: DataFrame, codec: Codec, piece_steps: int = MAX_
 
 def running_generation(tokens: DataFrame, codec: Codec, piece_steps: int = MAX_NEW_TOKENS, gen: str = "gen_id") -> DataFrame:
     """`(gen_id, piece, pos, text)`: the text of a piece as it stood after each kept token."""
-    each = _pieces(tokens, piece_steps, gen).select(gen, "piece", "ids", F.posexplode("ids").alias("pos", "_id"))
+    rows = each(_pieces(tokens, piece_steps, gen), [gen, "piece", "ids"], "ids", "pos", "_id")
     so_far = F.slice("ids", F.lit(1), F.col("pos") + 1)
-    return each.select(gen, "piece", "pos", escape_tilde(codec.decode(so_far)).alias("text"))
+    return rows.select(gen, "piece", "pos", escape_tilde(codec.decode(so_far)).alias("text"))
 
 
 def throughput(tokens: DataFrame, gen: str = "gen_id", ts: str = "ts") -> DataFrame:

@@ -48,9 +48,8 @@ class _ChunkedTurns:
         later = self._cut(turns.filter(F.col("turn") >= chunk_turns).select("conv_id", "turn"), chunk_turns)
         with_first = F.explode(F.array(F.lit(0).cast("bigint"), F.col("chunk")))
         self._long = later.select(*_UNIT).distinct().select("conv_id", with_first.alias("chunk")).distinct()
-        found = self._long.limit(BROADCAST_UNITS + 1).count()
-        self.any_long = found > 0
-        if found <= BROADCAST_UNITS:
+        self.any_long = not later.isEmpty()
+        if self.any_long and self._long.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS:
             self._long = F.broadcast(self._long)
 
     @staticmethod

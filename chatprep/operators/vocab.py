@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatprep.constants import BOS_TEXT, EOS_TEXT, N_SPECIAL, PAD_TEXT, UNK_ID, UNK_TEXT
 from chatprep.functions.codec import characters, ids_of, text_of, with_specials
+from chatprep.functions.rows import each, each_value
 from chatprep.sources.tables import assert_vocab_size
 
 
@@ -20,7 +21,7 @@ def pair_text(pairs: DataFrame) -> DataFrame:
 
 def _each_char(df: DataFrame, text: str, distinct: bool) -> DataFrame:
     chars = characters(F.col(text))
-    return df.select(F.explode(F.array_distinct(chars) if distinct else chars).alias("ch"))
+    return each_value(df, [], F.array_distinct(chars) if distinct else chars, "ch")
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
@@ -114,7 +115,7 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, keys: list[str], text: str =
     For vocabularies that should stay a table; slower than `Codec.encode`, which is the
     default. Rows are regrouped by their unique keys, so a group is one text.
     """
-    chars = df.select(*keys, F.posexplode(characters(F.col(text))).alias("pos", "ch"))
+    chars = each(df, keys, characters(F.col(text)), "pos", "ch")
     known = vocab.filter(F.col("id") >= UNK_ID).select("ch", "id")
     looked = chars.join(F.broadcast(known), "ch", "left")
     spots = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.functions import jsonvals as J
+from chatprep.functions.rows import each
 from chatprep.functions.text import strip
 
 
@@ -61,7 +62,7 @@ def records_of_documents(df: DataFrame, key: str, text: str) -> DataFrame:
         .when(kind.startswith("OBJECT"), F.array(raw))
         .otherwise(F.array(F.lit(None).cast("string")))
     )
-    exploded = df.select(F.col(key).alias("doc"), F.posexplode(records).alias("pos", "raw"))
+    exploded = each(df, [F.col(key).alias("doc")], records, "pos", "raw")
     return exploded.select(F.struct("doc", "pos").alias("rec_id"), "raw")
 
 

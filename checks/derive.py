@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.functions.codec import characters
+from chatprep.functions.rows import each
 from chatprep.operators.vocab import Codec
 
 
@@ -108,8 +108,8 @@ def json_documents(documents: DataFrame) -> DataFrame:
 def answer_tokens(conversations: DataFrame, codec: Codec) -> DataFrame:
     """Tokens of every answer with begin and end ids; `gen_id` is the conversation, so its first end id counts."""
     answers = conversations.filter("role = 'assistant'")
-    each = answers.select("conv_id", "turn", F.posexplode(codec.encode(F.col("text"))).alias("pos", "token_id"))
-    return each.select(F.col("conv_id").alias("gen_id"), (F.col("turn") * 65536 + F.col("pos")).alias("step"), "token_id")
+    rows = each(answers, ["conv_id", "turn"], codec.encode(F.col("text")), "pos", "token_id")
+    return rows.select(F.col("conv_id").alias("gen_id"), (F.col("turn") * 65536 + F.col("pos")).alias("step"), "token_id")
 
 
 def event_scores(events: DataFrame) -> DataFrame:
@@ -144,7 +144,3 @@ def label_pieces(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vectors as source pieces of characters: a vector's label is the character's id."""
     pieces = embeddings.select(F.col("label").alias("id"), F.lit(0).alias("piece_pos"), F.col("vec_id").alias("source_id"))
     return pieces, embeddings.select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vec"))
-
-
-def text_characters(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.posexplode(characters(F.col("text"))).alias("pos", "ch"))

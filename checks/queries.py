@@ -10,6 +10,7 @@ from checks.derive import table
 from chatprep.constants import SPLIT_SEED
 from chatprep.functions import jsonvals as J
 from chatprep.functions.codec import ids_csv
+from chatprep.functions.rows import each
 from chatprep.functions.text import clean, clean_keep_inner_space, excerpt
 from chatprep.operators import batching as B
 from chatprep.operators import chat as C
@@ -266,12 +267,12 @@ def lr_schedule(spark, sf):
 
 def chat_messages(spark, sf):
     chats = C.chat_messages(D.records(_documents(spark, sf), D.turn_raw()))
-    return chats.select("rec_id", F.posexplode("messages").alias("pos", "m")).select("rec_id", "pos", "m.role", "m.content")
+    return each(chats, ["rec_id"], "messages", "pos", "m").select("rec_id", "pos", "m.role", "m.content")
 
 
 def chat_messages_lists(spark, sf):
     chats = C.chat_messages(D.records(_documents(spark, sf), D.sharegpt_raw()))
-    return chats.select("rec_id", F.posexplode("messages").alias("pos", "m")).select("rec_id", "pos", "m.role", "m.content")
+    return each(chats, ["rec_id"], "messages", "pos", "m").select("rec_id", "pos", "m.role", "m.content")
 
 
 def render_chat(spark, sf):
@@ -411,8 +412,7 @@ def best_epoch(spark, sf):
 
 
 def _long(vectors: DataFrame, key: str, digits: int) -> DataFrame:
-    each = vectors.select(key, F.posexplode("vec").alias("dim", "x"))
-    return each.select(key, "dim", F.round("x", digits).alias("x"))
+    return each(vectors, [key], "vec", "dim", "x").select(key, "dim", F.round("x", digits).alias("x"))
 
 
 def pool_embeddings(spark, sf):
