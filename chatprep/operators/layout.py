@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.constants import INPUT_CANDIDATES, OUTPUT_CANDIDATES
@@ -25,11 +25,13 @@ def layout_of(raw: Column) -> Column:
     )
 
 
+def layout_of_text(spark: SparkSession, raw: str) -> str:
+    return spark.createDataFrame([(raw,)], "raw string").select(layout_of(F.col("raw"))).first()[0]
+
+
 def detect_layout(records: DataFrame) -> str:
     """Layout of the first record, which stands for the corpus."""
-    first = assert_records(records)
-    spark = records.sparkSession
-    return spark.createDataFrame([(first,)], "raw string").select(layout_of(F.col("raw"))).first()[0]
+    return layout_of_text(records.sparkSession, assert_records(records))
 
 
 def choose_keys(
@@ -49,48 +51,45 @@ def choose_keys(
     return chosen
 
 
-def detect_keys(records: DataFrame, **candidates) -> tuple[str, str]:
-    """Field names of the first record's two sides."""
-    first = json.loads(assert_records(records))
+def keys_of_text(raw: str, **candidates) -> tuple[str, str]:
+    first = json.loads(raw)
     if not isinstance(first, dict):
         raise CorpusError("record 0 is not an object")
     return choose_keys(list(first), **candidates)
 
 
-def uniform_value(df: DataFrame, value: Column, order: Column) -> DataFrame:
-    """One row `(system)`: the value every row shares, ignoring nulls before the first value.
-
-    One combinable aggregate: all values equal means min = max, and no null may follow the
-    first value. Blank or differing values give null.
-    """
-    facts = df.select(value.alias("v"), order.alias("o")).agg(
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-        F.min(F.when(F.col("v").isNotNull(), F.col("o"))).alias("first_value"),
-        F.max(F.when(F.col("v").isNull(), F.col("o"))).alias("last_null"),
-    )
-    nulls_lead = F.col("last_null").isNull() | (F.col("last_null") < F.col("first_value"))
-    same = (F.col("lo") == F.col("hi")) & nulls_lead & (F.col("lo") != "")
-    return facts.select(F.when(same, F.col("lo")).alias("system"))
+def detect_keys(records: DataFrame, **candidates) -> tuple[str, str]:
+    """Field names of the first record's two sides."""
+    return keys_of_text(assert_records(records), **candidates)
 
 
 def uniform_system(records: DataFrame) -> DataFrame:
-    """The `system` text all object records share, as one row; a missing field counts as ''.
+    """One row `(system)`: the text all object records share; a missing field counts as ''.
 
-    A record that does not parse makes the answer null, as does any difference.
+    Nulls ahead of the first text do not matter; a null after it, any difference, a blank
+    text and a record that does not parse make it null. One combinable aggregate over one
+    pass: all texts are equal where the least is the greatest.
     """
     raw = F.col("raw")
     text = J.fields(raw, "system")["system"]
     marked = records.select(
         "rec_id",
-        F.when(J.has_field(raw, "system"), text).otherwise("").alias("system"),
+        F.when(J.has_field(raw, "system"), text).otherwise("").alias("text"),
         J.is_object(raw).alias("object"),
-        J.root_kind(raw).isNull().alias("broken"),
+        (~J.is_object(raw) & J.root_kind(raw).isNull()).alias("broken"),
+    )
+    said = F.when(F.col("object"), F.col("text"))
+    at = F.col("rec_id")
+    facts = marked.agg(
+        F.min(said).alias("lo"),
+        F.max(said).alias("hi"),
+        F.min(F.when(said.isNotNull(), at)).alias("first_text"),
+        F.max(F.when(F.col("object") & said.isNull(), at)).alias("last_null"),
+        F.coalesce(F.bool_or("broken"), F.lit(False)).alias("broken"),
     )
-    found = uniform_value(marked.filter("object"), F.col("system"), F.col("rec_id"))
-    if marked.filter("broken AND NOT object").limit(1).count():
-        return found.select(F.lit(None).cast("string").alias("system"))
-    return found
+    nulls_lead = F.col("last_null").isNull() | (F.col("last_null") < F.col("first_text"))
+    same = (F.col("lo") == F.col("hi")) & nulls_lead & (F.col("lo") != "") & ~F.col("broken")
+    return facts.select(F.when(same, F.col("lo")).alias("system"))
 
 
 def dataset_summary(pairs: DataFrame, input_key: str, output_key: str, system: str | None = None) -> DataFrame:

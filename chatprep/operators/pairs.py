@@ -14,6 +14,7 @@ from chatprep.functions import jsonvals as J
 from chatprep.functions.rows import each_value, settled
 from chatprep.functions.text import blank_to_null, clean, join_lines, or_empty, strip
 from chatprep.operators import layout as L
+from chatprep.sources.records import assert_records
 
 
 def _kept(records: DataFrame) -> list[str]:
@@ -200,11 +201,15 @@ def pairs_of_layout(records: DataFrame, layout: str, keys: tuple[str, str] | Non
     return pairs_from_records(records, *keys)
 
 
-def load_pairs(records: DataFrame, max_chars: int | None = None) -> tuple[DataFrame, str, str]:
-    """Pairs of a corpus and the names of its two sides, decided by its first record."""
-    layout = L.detect_layout(records)
+def load_pairs(records: DataFrame, max_chars: int | None = None, first: str | None = None) -> tuple[DataFrame, str, str]:
+    """Pairs of a corpus and the names of its two sides, decided by its first record.
+
+    Pass `first` where it is known, or all records are looked through for it.
+    """
+    first = first or assert_records(records)
+    layout = L.layout_of_text(records.sparkSession, first)
     if layout == L.PAIRED:
-        keys = L.detect_keys(records)
+        keys = L.keys_of_text(first)
         return pairs_from_records(records, *keys), *keys
     name = {L.TURNS: "conversation", L.MESSAGES: "messages", L.SHAREGPT: "conversations"}[layout]
     return pairs_of_layout(records, layout, max_chars=max_chars), name, name

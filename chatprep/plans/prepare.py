@@ -31,12 +31,15 @@ class TrainingSet:
     system: str | None = None
 
 
-def training_set_from_records(records: DataFrame, size: str = "small", eval_ratio: float = 0.0, **split) -> TrainingSet:
-    """Records of any layout to split samples."""
+def training_set_from_records(
+    records: DataFrame, size: str = "small", eval_ratio: float = 0.0, first: str | None = None, **split
+) -> TrainingSet:
+    """Records of any layout to split samples; `first` is the first record where it is known."""
     block = BLOCK_SIZES[size]
-    cut, _, _ = pairs.load_pairs(records, max_chars=block)
+    first = first or R.assert_records(records)
+    cut, _, _ = pairs.load_pairs(records, block, first)
     # Only turn records repeat text in their inputs; their vocabulary is read off the turns.
-    has_history = layout.detect_layout(records) == layout.TURNS
+    has_history = layout.layout_of_text(records.sparkSession, first) == layout.TURNS
     vocabulary = vocab.build_vocab(pairs.turns_corpus(records) if has_history else vocab.pair_text(cut))
     codec = vocab.Codec.of(vocabulary)
     made = stored(samples.make_samples(cut, codec, block), "samples")

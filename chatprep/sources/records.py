@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +80,21 @@ def strict_objects(records: DataFrame) -> DataFrame:
     return records.withColumn("raw", F.when(J.is_object(F.col("raw")), F.col("raw")).otherwise(F.raise_error(message)))
 
 
+def first_line(spark: SparkSession, path) -> str:
+    """The first non-blank line of the first file under `path`, without reading the others.
+
+    What `first_record(read_jsonl(spark, path))` returns, for corpora too large to look
+    through for their least record.
+    """
+    for file in sorted(spark.read.text(path).inputFiles()):
+        top = spark.read.text(unquote(file)).select(strip(F.col("value")).alias("raw")).filter("raw <> ''").take(1)
+        if top:
+            return top[0]["raw"]
+    raise CorpusError("dataset is empty")
+
+
 def first_record(records: DataFrame) -> str:
-    """Raw text of the first record; raises on an empty corpus."""
+    """Raw text of the first record, a top-1 by `rec_id`; raises on an empty corpus."""
     top = records.orderBy("rec_id").limit(1).select("raw").collect()
     if not top:
         raise CorpusError("dataset is empty")

@@ -16,8 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_lines(documents: DataFrame) -> DataFrame:
+    """Lines as a column: inside a lambda a split would run again for every element."""
+    return documents.withColumn("lines", F.split("text", "\n"))
+
+
 def _lines() -> Column:
-    return F.split("text", "\n")
+    return F.col("lines")
 
 
 def message_raw() -> Column:
@@ -89,7 +94,7 @@ def mixed_raw() -> Column:
 
 
 def records(documents: DataFrame, raw: Column) -> DataFrame:
-    return documents.select(F.col("doc_id").alias("rec_id"), raw.alias("raw"))
+    return with_lines(documents).select(F.col("doc_id").alias("rec_id"), raw.alias("raw"))
 
 
 def json_documents(documents: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def json_documents(documents: DataFrame) -> DataFrame:
         .when(kind == 2, F.to_json(F.struct(F.lit("[").alias("meta"), line.alias("rows"), F.array(F.lit(7)).alias("other"))))
         .otherwise(F.to_json(F.struct(F.col("doc_id").alias("instruction"), F.col("text").alias("output"))))
     )
-    return documents.select("doc_id", doc.alias("value"))
+    return with_lines(documents).select("doc_id", doc.alias("value"))
 
 
 def answer_tokens(conversations: DataFrame, codec: Codec) -> DataFrame:

@@ -152,3 +152,16 @@ def test_vocabulary_files(spark, tmp_path):
     state = Tab.vocab_to_json(vocab)
     assert json.loads(state.first()["state"]) == {"stoi": dict(rows), "itos": {str(i): c for c, i in rows}}
     assert sorted(values(Tab.vocab_from_json(state), "ch", "id")) == sorted(rows)
+
+
+def test_the_first_record_is_looked_for_in_the_first_file(spark, tmp_path):
+    (tmp_path / "a b.jsonl").write_text("\n \n")
+    (tmp_path / "b.jsonl").write_text('{"q": "first", "a": "1"}\n{"q": "second", "a": "1"}\n')
+    (tmp_path / "c.jsonl").write_text('{"q": "third", "a": "1"}\n')
+    assert json.loads(R.first_record(R.read_jsonl(spark, str(tmp_path))))["q"] == "first"
+    assert json.loads(R.first_line(spark, str(tmp_path)))["q"] == "first"
+    assert texts_of(P.load_pairs(R.read_jsonl(spark, str(tmp_path)), first=R.first_line(spark, str(tmp_path)))[0]) == ["first", "second", "third"]
+
+
+def texts_of(pairs):
+    return sorted(r["input"] for r in pairs.collect())
