@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatprep.constants import HUMAN_ALIASES, MODEL_ALIASES, PAD_ID
 from chatprep.functions import jsonvals as J
-from chatprep.functions.rows import each_value
+from chatprep.functions.rows import each, each_value
 from chatprep.functions.text import or_empty, strip
 from chatprep.operators.batching import pad_batches
 from chatprep.operators.pairs import with_messages, with_sharegpt
@@ -122,20 +122,10 @@ def tokenize_truncate(df: DataFrame, codec: Codec, text: str = "text", max_len:
     return df.withColumn("ids", ids)
 
 
-def pack(
-    df: DataFrame, order: list[str], ids: Column, n_ids: Column, max_len: int = 512, rows_per_group: int | None = 1000
-) -> DataFrame:
-    """`(group_id, block_id, ids)`: ids of consecutive rows joined and cut into blocks.
+def _placed(df: DataFrame, order: list[str], n_ids: Column, max_len: int, rows_per_group: int | None) -> DataFrame:
+    """Rows with `group_id` and the span `_from`, `_to` their kept ids take in their group.
 
-    Every `rows_per_group` rows in the order of the unique `order` columns form a group; a
-    group's ids are joined without a separator and what does not fill a last block is left
-    out, unless the group is shorter than one block, which is then kept short. With no
-    group size the whole table is one group.
-
-    Rows know from running sums over their lengths at which id they begin, so each cuts
-    itself into its parts of blocks, and only one block is ever gathered in one place.
-    `n_ids` gives the number of ids without making them; ordering and summing carry no
-    text, which moves once, to meet its position. `ids` makes the ids.
+    Ordering and summing carry lengths only; what a row holds moves once, to meet its span.
     """
     sizes = df.select(*order, n_ids.cast("bigint").alias("_n"))
     if rows_per_group is None:
@@ -153,9 +143,26 @@ def pack(
     whole = F.floor(F.col("_all") / max_len) * max_len
     end = F.when(F.col("_all") >= max_len, whole).otherwise(F.col("_all"))
     placed = placed.withColumn("_to", F.least(F.col("_from") + F.col("_n"), end)).filter("_from < _to")
+    # Both sides by key: spans are few bytes a row and unique, so they make the hash table.
+    return df.join(placed.select(*order, "group_id", "_from", "_to").hint("shuffle_hash"), order)
+
+
+def pack(
+    df: DataFrame, order: list[str], ids: Column, n_ids: Column, max_len: int = 512, rows_per_group: int | None = 1000
+) -> DataFrame:
+    """`(group_id, block_id, ids)`: ids of consecutive rows joined and cut into blocks.
+
+    Every `rows_per_group` rows in the order of the unique `order` columns form a group; a
+    group's ids are joined without a separator and what does not fill a last block is left
+    out, unless the group is shorter than one block, which is then kept short. With no
+    group size the whole table is one group.
+
+    Rows know from running sums over lengths at which id they begin, so each cuts itself
+    into its parts of blocks, and only one block is ever gathered in one place. `n_ids`
+    gives the number of ids without making them, `ids` makes them.
+    """
+    met = _placed(df, order, n_ids, max_len, rows_per_group)
     blocks = F.sequence(F.floor(F.col("_from") / max_len), F.floor((F.col("_to") - 1) / max_len))
-    # Both sides by key: positions are few bytes a row and unique, so they make the hash table.
-    met = df.join(placed.select(*order, "group_id", "_from", "_to").hint("shuffle_hash"), order)
     made = met.select("group_id", "_from", "_to", ids.alias("_ids"), blocks.alias("_blocks"))
     parts = each_value(made, ["group_id", "_from", "_to", "_ids"], "_blocks", "block_id")
 
@@ -167,9 +174,29 @@ def pack(
     return parts.groupBy("group_id", "block_id").agg(F.flatten(F.transform(joined, lambda p: p["part"])).alias("ids"))
 
 
-def pack_text(df: DataFrame, order: list[str], codec: Codec, text: str = "text", max_len: int = 512, rows_per_group: int | None = 1000) -> DataFrame:
-    """`pack` of a text column under the character vocabulary, without begin and end ids."""
-    return pack(df, order, codec.encode(F.col(text), add_special=False), F.length(text), max_len, rows_per_group)
+def pack_text(
+    df: DataFrame, order: list[str], codec: Codec, text: str = "text", max_len: int = 512, rows_per_group: int | None = 1000
+) -> DataFrame:
+    """`pack` of a text column under the character vocabulary, without begin and end ids.
+
+    One character is one id, so texts are cut and shuffled as they are, a quarter of the
+    bytes of their ids, and encoded block by block.
+    """
+    met = _placed(df.select(*order, text), order, F.length(text), max_len, rows_per_group)
+    kept = F.substring(F.col(text), F.lit(1), (F.col("_to") - F.col("_from")).cast("int"))
+    first = F.floor(F.col("_from") / max_len)
+    lead = ((F.col("_first") + 1) * max_len - F.col("_from")).cast("int")
+    # The rest begins at a block's start; one pass of the pattern cuts it, however long it is.
+    rest = F.regexp_extract_all(F.substring("_kept", lead + 1, F.length("_kept")), F.lit(f"(?s).{{1,{max_len}}}"), F.lit(0))
+    made = met.select("group_id", "_from", first.alias("_first"), kept.alias("_kept"))
+    pieces = F.concat(F.array(F.substring("_kept", F.lit(1), lead)), rest)
+    parts = each(made, ["group_id", "_from", "_first"], pieces, "i", "part")
+    block = F.col("_first") + F.col("i")
+    joined = F.array_sort(F.collect_list(F.struct(F.col("_from").alias("at"), "part")))
+    blocks = parts.groupBy("group_id", block.alias("block_id")).agg(
+        F.array_join(F.transform(joined, lambda p: p["part"]), "").alias("text")
+    )
+    return blocks.select("group_id", "block_id", codec.encode(F.col("text"), add_special=False).alias("ids"))
 
 
 def lm_collate(batches: DataFrame, pad_id: int = PAD_ID) -> DataFrame:

@@ -16,6 +16,7 @@ from chatprep.functions.hashing import hex_prefix, seeded_hash
 from chatprep.sources.shared import pinned
 
 _HEX_DIGITS = 4  # 65,536 buckets: 15 million rows each at a trillion rows
+_FEW = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -48,8 +49,8 @@ def shuffled_rank(df: DataFrame, keys: list[str], seed, rank: str = "rank", tota
 def smallest_hashes(df: DataFrame, h: Column, n_of_total) -> str | None:
     """The largest of the `n_of_total(row count)` smallest hashes; null for none.
 
-    Counts by the leading digits say in which bucket the cut falls, counts by the next
-    digits narrow it to one in four billion rows: two bounded tables reach the driver.
+    Counts by the leading digits say in which bucket the cut falls, and if that still holds
+    many rows, counts by the next digits narrow it down: bounded tables reach the driver.
     """
     hashes = df.select(h.alias("h"))
 
@@ -62,14 +63,15 @@ def smallest_hashes(df: DataFrame, h: Column, n_of_total) -> str | None:
     if left <= 0:
         return None
     prefix, level = "", first
-    for depth in range(2):
+    while True:
         for row in level:
             if left <= row["n"]:
                 prefix += row["p"]
                 break
             left -= row["n"]
-        if depth == 0:
-            level = counts(hashes.filter(F.col("h").startswith(prefix)), 1 + _HEX_DIGITS)
+        if row["n"] <= _FEW:
+            break
+        level = counts(hashes.filter(F.col("h").startswith(prefix)), 1 + len(prefix))
     tail = hashes.filter(F.col("h").startswith(prefix)).orderBy("h").limit(left)
     return tail.agg(F.max("h").alias("h")).first()["h"]
 

@@ -20,8 +20,10 @@ def test_split_sizes(spark, n, ratio, val):
     assert {r["id"] for r in got if r["split"] == "val"} == want and len(got) == n
 
 
-def test_split_finds_the_cut_below_the_first_digits(spark):
+@pytest.mark.parametrize("few", [1, 100_000])
+def test_split_finds_the_cut_below_the_first_digits(spark, monkeypatch, few):
     """Enough rows that buckets of the leading digits hold several."""
+    monkeypatch.setattr(R, "_FEW", few)
     n = 300_000
     got = B.train_val_split(spark.range(n), ["id"], 0.37).filter("split = 'val'")
     assert got.count() == int(n * 0.37)

@@ -57,6 +57,17 @@ def test_packing_against_a_loop(spark, size, group):
     assert sorted((r["group_id"], r["block_id"], r["ids"]) for r in got) == want
 
 
+@pytest.mark.parametrize("size", [1, 4, 7, 100])
+@pytest.mark.parametrize("group", [3, None])
+def test_packing_text_equals_packing_its_ids(spark, size, group):
+    texts = ["ab😀", "", "x\ny\r\n 　é" * 3, "😀", "c", chr(0x0F0B), "long " * 12, "", "é́", "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(3)
+    codec = V.Codec.of(V.build_vocab(df))
+    by_ids = C.pack(df, ["k"], codec.encode(F.col("text"), False), F.length("text"), size, group)
+    by_text = C.pack_text(df, ["k"], codec, max_len=size, rows_per_group=group)
+    assert sorted(map(tuple, by_text.collect())) == sorted(map(tuple, by_ids.collect()))
+
+
 def test_packed_text_keeps_order(spark):
     rows = [(i, f"text {i} " * (i % 5)) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, text string").repartition(7)
