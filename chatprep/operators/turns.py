@@ -20,6 +20,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import blank_to_null, join_lines, or_empty, strip
+from chatprep.sources.shared import pinned
 
 CHUNK_TURNS = 4096
 # Chunks of long conversations up to this many are broadcast: about 3 MB of keys.
@@ -47,23 +48,29 @@ class _ChunkedTurns:
         self.rows = self._cut(turns, chunk_turns)
         later = self._cut(turns.filter(F.col("turn") >= chunk_turns).select("conv_id", "turn"), chunk_turns)
         with_first = F.explode(F.array(F.lit(0).cast("bigint"), F.col("chunk")))
-        self._long = later.select(*_UNIT).distinct().select("conv_id", with_first.alias("chunk")).distinct()
+        self.carried = None
         self.any_long = not later.isEmpty()
-        if self.any_long and self._long.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS:
-            self._long = F.broadcast(self._long)
+        if self.any_long:
+            units = later.select(*_UNIT).distinct().select("conv_id", with_first.alias("chunk")).distinct()
+            self._long = pinned(units)
+            if self._long.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS:
+                self._long = F.broadcast(self._long)
+            # One row per chunk, needed again and again: computed once.
+            self.edges = pinned(_chunk_edges(self.long_rows()))
 
     @staticmethod
     def _cut(turns: DataFrame, chunk_turns: int) -> DataFrame:
         return turns.withColumn("chunk", F.expr(f"turn div {chunk_turns}"))
 
-    def of_long_conversations(self, df: DataFrame) -> DataFrame:
-        return df.join(self._long, _UNIT, "left_semi")
+    def long_rows(self) -> DataFrame:
+        """The turns of long conversations, picked before anything is computed on them."""
+        return self.rows.join(self._long, _UNIT, "left_semi")
 
 
-def _in_context(chunks: _ChunkedTurns) -> DataFrame:
+def _in_context(chunks: _ChunkedTurns, turns: DataFrame) -> DataFrame:
     whole = _in_chunk().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     text_if_system = F.when(F.col("role") == "system", F.col("text"))
-    rows = chunks.rows.select(
+    rows = turns.select(
         *_UNIT,
         "turn",
         "role",
@@ -76,7 +83,7 @@ def _in_context(chunks: _ChunkedTurns) -> DataFrame:
     if not chunks.any_long:
         return rows
     last = F.lead("turn").over(_in_chunk()).isNull()
-    joined = rows.withColumn("last", last).join(_chunk_edges(chunks), _UNIT, "left")
+    joined = rows.withColumn("last", last).join(chunks.edges, _UNIT, "left")
     return joined.select(
         *_UNIT,
         "turn",
@@ -88,9 +95,9 @@ def _in_context(chunks: _ChunkedTurns) -> DataFrame:
     )
 
 
-def _chunk_edges(chunks: _ChunkedTurns) -> DataFrame:
+def _chunk_edges(long_rows: DataFrame) -> DataFrame:
     """Per chunk of a long conversation: the turn that follows it and the conversation's system text."""
-    per_chunk = chunks.of_long_conversations(chunks.rows).groupBy(*_UNIT).agg(
+    per_chunk = long_rows.groupBy(*_UNIT).agg(
         F.min_by(F.struct("role", "text"), "turn").alias("head"),
         F.min(F.when(F.col("role") == "system", F.struct("turn", "text"))).alias("sys"),
     )
@@ -108,7 +115,8 @@ def turns_in_context(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFr
     `(conv_id, turn, role, text, next_role, next_text, system)`; the system text is that of
     the conversation's first `system` turn, as it stands, null where there is none.
     """
-    return _in_context(_ChunkedTurns(turns, chunk_turns)).drop("chunk")
+    chunks = _ChunkedTurns(turns, chunk_turns)
+    return _in_context(chunks, chunks.rows).drop("chunk")
 
 
 def adjacent_pairs(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
@@ -123,27 +131,31 @@ def adjacent_pairs(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFram
     ).filter("output <> ''")
 
 
-def _exchanges(chunks: _ChunkedTurns) -> DataFrame:
-    """Kept exchanges without history, and the length of the text that precedes each.
-
-    `(conv_id, chunk, turn, system, human, assistant, in_chunk, carried, chars_before)`:
-    texts stripped, blank sides dropped, blank system text null; the lengths count earlier
-    exchanges with their newlines, within the chunk, in earlier chunks, and in all.
-    """
-    found = _in_context(chunks).filter("role = 'user' AND next_role = 'assistant'")
-    kept = found.select(
+def _kept(chunks: _ChunkedTurns, turns: DataFrame) -> DataFrame:
+    """Exchanges `(conv_id, chunk, turn, system, human, assistant)` with text on both sides, stripped."""
+    found = _in_context(chunks, turns).filter("role = 'user' AND next_role = 'assistant'")
+    return found.select(
         *_UNIT,
         "turn",
         blank_to_null(strip(F.col("system"))).alias("system"),
         strip(F.col("text")).alias("human"),
         strip(F.col("next_text")).alias("assistant"),
     ).filter("human <> '' AND assistant <> ''")
+
+
+def _exchanges(chunks: _ChunkedTurns, turns: DataFrame) -> DataFrame:
+    """Kept exchanges without history, and the length of the text that precedes each.
+
+    Adds `in_chunk`, `carried` and `chars_before`: the lengths of earlier exchanges with
+    their newlines, within the chunk, in earlier chunks, and in all.
+    """
     size = F.length("human") + F.length("assistant") + F.lit(2).cast("bigint")
-    rows = kept.withColumn("in_chunk", F.coalesce(F.sum(size).over(_before_in_chunk()), F.lit(0)))
+    rows = _kept(chunks, turns).withColumn("in_chunk", F.coalesce(F.sum(size).over(_before_in_chunk()), F.lit(0)))
     if chunks.any_long:
-        sizes = chunks.of_long_conversations(kept).groupBy(*_UNIT).agg(F.sum(size).alias("chars"))
-        carried = sizes.select(*_UNIT, F.sum("chars").over(_chunks_before()).alias("carried"))
-        rows = rows.join(carried, _UNIT, "left").withColumn("carried", F.coalesce("carried", F.lit(0)))
+        if chunks.carried is None:
+            sizes = _kept(chunks, chunks.long_rows()).groupBy(*_UNIT).agg(F.sum(size).alias("chars"))
+            chunks.carried = pinned(sizes.select(*_UNIT, F.sum("chars").over(_chunks_before()).alias("carried")))
+        rows = rows.join(chunks.carried, _UNIT, "left").withColumn("carried", F.coalesce("carried", F.lit(0)))
     else:
         rows = rows.withColumn("carried", F.lit(0))
     return rows.withColumn("chars_before", F.col("in_chunk") + F.col("carried"))
@@ -151,7 +163,8 @@ def _exchanges(chunks: _ChunkedTurns) -> DataFrame:
 
 def base_pairs(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """Kept exchanges `(conv_id, turn, system, human, assistant, chars_before)`, history only counted."""
-    return _exchanges(_ChunkedTurns(turns, chunk_turns)).select(
+    chunks = _ChunkedTurns(turns, chunk_turns)
+    return _exchanges(chunks, chunks.rows).select(
         "conv_id", "turn", "system", "human", "assistant", "chars_before"
     )
 
@@ -166,7 +179,7 @@ def history_pairs(turns: DataFrame, max_chars: int | None = None, chunk_turns: i
     Without it every row holds its whole history, as long as the data says.
     """
     chunks = _ChunkedTurns(turns, chunk_turns)
-    rows = _exchanges(chunks)
+    rows = _exchanges(chunks, chunks.rows)
 
     def cut(text: Column) -> Column:
         return text if max_chars is None else F.substring(text, 1, max_chars)
@@ -180,7 +193,7 @@ def history_pairs(turns: DataFrame, max_chars: int | None = None, chunk_turns: i
     if chunks.any_long:
         # One text per chunk; its first exchange is always near its start, so none is missing.
         ordered = F.array_sort(F.collect_list(F.struct("turn", exchange.alias("t"))))
-        per_chunk = chunks.of_long_conversations(rows).filter(near("in_chunk")).groupBy(*_UNIT).agg(
+        per_chunk = _exchanges(chunks, chunks.long_rows()).filter(near("in_chunk")).groupBy(*_UNIT).agg(
             cut(F.array_join(F.transform(ordered, lambda p: p["t"]), "\n")).alias("chunk_told"),
             F.first("carried").alias("carried"),
         )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,3 +124,24 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, keys: list[str], text: str =
     grouped = looked.groupBy(*keys).agg(F.transform(spots, lambda s: s["id"]).alias("ids"))
     none = F.array().cast("array<int>")
     return df.select(*keys).join(grouped, keys, "left").withColumn("ids", F.coalesce("ids", none))
+
+
+def arrow_encoder(codec: Codec):
+    """A function from text column to ids, the same as `Codec.ids`, vectorised over Arrow batches.
+
+    A batch is decoded to code points in one go and looked up in one array access; moving
+    the ids back costs more than that saves (half the speed of `Codec.ids` where measured),
+    so it is meant for pipelines that are in Python already.
+    """
+    lookup = np.fromstring(codec.lookup, dtype=np.int32, sep=",")
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        texts = texts.fillna("")
+        whole = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        known = whole < len(lookup)
+        ids = np.where(known, lookup[np.where(known, whole, 0)], UNK_ID).astype(np.int32)
+        ends = texts.str.len().cumsum().to_numpy()
+        return pd.Series(np.split(ids, ends[:-1])) if len(texts) else pd.Series([], dtype=object)
+
+    return encode

@@ -235,6 +235,7 @@ SELECT * FROM vocab""",
 WHERE ch NOT IN (SELECT ch FROM vocab WHERE id >= 4) GROUP BY 1""",
     "encode": f"WITH {VOCAB}, {encoded_documents('enc', f'''list_concat(list_concat(['<bos>'], {chars('text')}), ['<eos>'])''')} SELECT doc_id, {csv('ids')} AS ids FROM enc",
     "encode_joined": f"WITH {VOCAB}, {encoded_documents('enc', chars('text'))} SELECT doc_id, {csv('ids')} AS ids FROM enc",
+    "encode_arrow": f"WITH {VOCAB}, {encoded_documents('enc', chars('text'))} SELECT doc_id, {csv('ids')} AS ids FROM enc",
     "decode_round_trip": f"""WITH {VOCAB}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS p FROM documents)
 SELECT doc_id, coalesce(string_agg(CASE WHEN id >= 4 THEN ch END, '' ORDER BY p), '') AS text FROM c LEFT JOIN vocab USING (ch) GROUP BY 1""",
     "decode_with_specials": f"""WITH {VOCAB}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS p FROM documents)

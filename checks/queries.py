@@ -193,6 +193,11 @@ def encode_joined(spark, sf):
     return encoded.select("doc_id", ids_csv(F.col("ids")).alias("ids"))
 
 
+def encode_arrow(spark, sf):
+    encoder = V.arrow_encoder(_codec(spark, sf))
+    return _documents(spark, sf).select("doc_id", ids_csv(encoder("text")).alias("ids"))
+
+
 def decode_round_trip(spark, sf):
     codec = _codec(spark, sf)
     ids = _documents(spark, sf).select("doc_id", codec.encode(F.col("text")).alias("ids"))
@@ -476,7 +481,7 @@ QUERIES = [
     samples, pairs_adjacent, pairs_history, pairs_history_cut, pairs_messages_nested, pairs_sharegpt_nested,
     pairs_turns_nested, pairs_records, pairs_records_numbers, pairs_mixed, pair_drop_reasons,
     layouts, uniform_system, dataset_summary, preview, read_jsonl_fields, read_json_documents, split_corrupt,
-    vocab, vocab_size, vocab_round_trip, char_frequency, vocab_pruned, oov_report, encode, encode_joined,
+    vocab, vocab_size, vocab_round_trip, char_frequency, vocab_pruned, oov_report, encode, encode_joined, encode_arrow,
     decode_round_trip, decode_with_specials,
     shift_targets, length_profile, train_val_split, assign_batches, assign_batches_documents, pad_batches,
     batch_matrices, loss_mask, batch_plan, lr_schedule,

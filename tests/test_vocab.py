@@ -29,6 +29,8 @@ def test_encode_forms_agree(spark, corpus):
     codec = V.Codec.of(vocab)
     got = {r["k"]: (r["a"], r["b"]) for r in corpus.select("k", codec.encode(F.col("text")).alias("a"), codec.encode(F.col("text"), False).alias("b")).collect()}
     joined = {r["k"]: r["ids"] for r in V.encode_by_join(corpus, vocab, ["k"]).collect()}
+    arrow = {r["k"]: r["ids"] for r in corpus.select("k", V.arrow_encoder(codec)("text").alias("ids")).collect()}
+    assert arrow == joined
     for k, text in enumerate(TEXTS):
         assert got[k][0] == model.encode(want, text)
         assert got[k][1] == joined[k] == model.encode(want, text)[1:-1]
