@@ -11,10 +11,20 @@ from chatprep.functions.text import clean_keep_inner_space, strip
 from chatprep.operators.vocab import Codec
 
 
+# Spark cuts a row-number filter per task up to this many rows (its own default).
+_TOP_K_PER_TASK = 1000
+_SLICES = 64
+
+
 def is_system() -> Column:
     return F.coalesce(F.col("role") == "system", F.lit(False))
 
 
+def _newest(rows: DataFrame, group: list[str], k: int) -> DataFrame:
+    at = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("turn")))
+    return rows.withColumn("_n", at).filter(F.col("_n") <= k).drop("_n")
+
+
 def context_window(history: DataFrame, n: int) -> DataFrame:
     """The messages that go with a new prompt: adds `section`, to be read in `(section, turn)` order.
 
@@ -27,8 +37,12 @@ def context_window(history: DataFrame, n: int) -> DataFrame:
     """
     if n <= 0:
         return history.withColumn("section", F.lit(1))
-    newest = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
-    others = history.filter(~is_system()).withColumn("_n", newest).filter(F.col("_n") <= 2 * n).drop("_n")
+    others = history.filter(~is_system())
+    if 2 * n > _TOP_K_PER_TASK:
+        # Too many for Spark to cut per task: first the newest of slices of a conversation.
+        sliced = others.withColumn("_slice", F.pmod(F.col("turn"), F.lit(_SLICES)))
+        others = _newest(sliced, ["conv_id", "_slice"], 2 * n).drop("_slice")
+    others = _newest(others, ["conv_id"], 2 * n)
     sizes = history.groupBy("conv_id").agg(F.count("*").alias("_n"))
     system = history.filter(is_system()).join(sizes, "conv_id")
     front = F.when(F.col("_n") > 2 * n, 0).otherwise(1)

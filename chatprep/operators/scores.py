@@ -38,8 +38,10 @@ def topk_filter(scores: DataFrame, k: int | None, ctx: str = "ctx_id", token: st
         return scores
     in_slice = W.partitionBy(ctx, "_slice").orderBy(F.desc(score))
     near = _sliced(scores, token).withColumn("_r", F.rank().over(in_slice)).filter(F.col("_r") <= k)
+    # At most k rows of a slice, ties or not, can decide which score is the k-th.
+    few = near.select(ctx, score, F.row_number().over(in_slice).alias("_i")).filter(F.col("_i") <= k)
     best = F.row_number().over(W.partitionBy(ctx).orderBy(F.desc(score)))
-    ranked = near.select(ctx, score, best.alias("_n")).filter(F.col("_n") <= k)
+    ranked = few.select(ctx, score, best.alias("_n")).filter(F.col("_n") <= k)
     kth = ranked.groupBy(ctx).agg(F.min(score).alias("_kth"))
     return _with_facts(near, kth, ctx).filter(F.col(score) >= F.col("_kth")).select(*scores.columns)
 

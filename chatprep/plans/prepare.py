@@ -32,10 +32,13 @@ class TrainingSet:
 
 
 def training_set_from_records(
-    records: DataFrame, size: str = "small", eval_ratio: float = 0.0, first: str | None = None, **split
+    records: DataFrame, size: str = "small", eval_ratio: float = 0.0, first: str | None = None, block_size: int | None = None, **split
 ) -> TrainingSet:
-    """Records of any layout to split samples; `first` is the first record where it is known."""
-    block = BLOCK_SIZES[size]
+    """Records of any layout to split samples; `first` is the first record where it is known.
+
+    `block_size` overrides that of the size, e.g. with what `samples.length_profile` calls for.
+    """
+    block = block_size or BLOCK_SIZES[size]
     first = first or R.assert_records(records)
     cut, _, _ = pairs.load_pairs(records, block, first)
     # Only turn records repeat text in their inputs; their vocabulary is read off the turns.
@@ -47,17 +50,22 @@ def training_set_from_records(
     return TrainingSet(batching.train_val_split(made, ["rec_id", "pos"], eval_ratio, **split), vocabulary, codec, system)
 
 
-def training_set_from_turns(table: DataFrame, size: str = "small", eval_ratio: float = 0.0, **split) -> TrainingSet:
+def training_set_from_turns(
+    table: DataFrame, size: str = "small", eval_ratio: float = 0.0, block_size: int | None = None, **split
+) -> TrainingSet:
     """Row-per-turn conversations to split samples, history in front of every input."""
-    block = BLOCK_SIZES[size]
+    block = block_size or BLOCK_SIZES[size]
     vocabulary = vocab.build_vocab(turns.pair_corpus(table))
     codec = vocab.Codec.of(vocabulary)
     made = stored(samples.make_samples(turns.history_pairs(table, max_chars=block), codec, block), "samples")
     return TrainingSet(batching.train_val_split(made, ["conv_id", "turn"], eval_ratio, **split), vocabulary, codec)
 
 
-def epoch_batches(prepared: DataFrame, keys: list[str], split: str, epoch: int, batch_rows: int = 16) -> DataFrame:
-    """Padded batches of one epoch; only training drops a short last batch."""
+def epoch_batches(
+    prepared: DataFrame, keys: list[str], split: str, epoch: int, batch_rows: int = 16, size: str = "small"
+) -> DataFrame:
+    """Padded batches of one epoch, no larger than the size allows; only training drops a short last batch."""
+    batch_rows = batching.batch_rows_for(size, batch_rows)
     part = prepared.filter(F.col("split") == split).drop("split")
     placed = batching.assign_batches(samples.shift_targets(part), keys, epoch, batch_rows, drop_last=split == "train")
     return batching.pad_batches(placed)

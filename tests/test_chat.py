@@ -6,6 +6,7 @@ from chatprep.operators import chat as C
 from chatprep.operators import context as X
 from chatprep.operators import vocab as V
 from chatprep.plans import prepare
+from chatprep.sources import tables as Tab
 from tests import model
 
 
@@ -108,6 +109,14 @@ def test_context_window(spark, n):
         assert [(r["turn"], r["role"], r["text"]) for r in got if r["conv_id"] == conv] == model.context(HISTORY[:length], n)
 
 
+def test_wide_context_windows(spark, monkeypatch):
+    monkeypatch.setattr(X, "_TOP_K_PER_TASK", 1)
+    rows = [(1, t, "system" if t % 50 == 7 else "user", str(t)) for t in range(300)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = X.context_window(turns, 40).orderBy("section", "turn").collect()
+    assert [(r["turn"], r["role"], r["text"]) for r in got] == model.context([r[1:] for r in rows], 40)
+
+
 def test_normalized_history(spark):
     past = spark.createDataFrame([(1, 0, "u1", "a1"), (1, 1, "u2", ""), (1, 2, "u3", None)], "conv_id long, pos int, user string, assistant string")
     prompts = spark.createDataFrame([(1, ' "p " ')], "conv_id long, prompt string")
@@ -142,6 +151,9 @@ def test_ways_through(spark, records, tmp_path):
         batches = prepare.epoch_batches(ready.samples, ["rec_id", "pos"], split, 1)
         assert batches.count() == rows
         assert batches.groupBy("batch_id").agg(F.countDistinct(F.size("x")).alias("w")).filter("w > 1").count() == 0
+    assert prepare.epoch_batches(ready.samples, ["rec_id", "pos"], "train", 1, size="max").groupBy("batch_id").count().filter("count <> 4").count() == 0
+    Tab.write_samples(ready.samples, str(tmp_path / "samples"))
+    assert spark.read.parquet(str(tmp_path / "samples")).filter("split = 'val'").count() == 20
     codec = ready.codec
     blocks = prepare.finetune_blocks(found, codec.encode(F.col("text"), False), F.length("text"), max_len=64)
     assert {len(r["ids"]) for r in blocks.collect()} == {64}
