@@ -53,18 +53,20 @@ def records_of_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     list-valued field in source order, else itself. Anything else gives a null `raw`,
     which `assert_records` reports.
     """
-    raw = F.col(text)
-    kind, kinds = J.root_kind(raw), J.kinds(raw)
-    # `filter` keeps source order, so the first survivor is the first list in the document.
-    lists = F.filter(J.keys_of(raw), lambda k: F.schema_of_variant(kinds[k]).startswith("ARRAY"))
-    chosen = F.when(F.array_contains(lists, "data"), F.lit("data")).otherwise(F.get(lists, F.lit(0)))
+    raw = F.col("raw")
+    # A map keeps source order, so the first list left in it is the first in the document.
+    lists = F.map_filter(J.kinds(raw), lambda _, value: F.schema_of_variant(value).startswith("ARRAY"))
+    parsed = df.select(F.col(key).alias("doc"), F.col(text).alias("raw"))
+    parsed = parsed.select("doc", "raw", J.root_kind(raw).alias("kind"), F.map_keys(lists).alias("lists"))
+    chosen = F.when(F.array_contains("lists", "data"), F.lit("data")).otherwise(F.get("lists", F.lit(0)))
+    parsed = parsed.select("doc", "raw", "kind", chosen.alias("chosen"))
     records = (
-        F.when(kind.startswith("ARRAY"), J.root_list(raw))
-        .when(chosen.isNotNull(), J.root_list(F.from_json(raw, "map<string,string>")[chosen]))
-        .when(kind.startswith("OBJECT"), F.array(raw))
+        F.when(F.col("kind").startswith("ARRAY"), J.root_list(raw))
+        .when(F.col("chosen").isNotNull(), J.root_list(F.from_json(raw, "map<string,string>")[F.col("chosen")]))
+        .when(F.col("kind").startswith("OBJECT"), F.array(raw))
         .otherwise(F.array(F.lit(None).cast("string")))
     )
-    exploded = each(df, [F.col(key).alias("doc")], records, "pos", "raw")
+    exploded = each(parsed, ["doc"], records, "pos", "raw")
     return exploded.select(F.struct("doc", "pos").alias("rec_id"), "raw")
 
 

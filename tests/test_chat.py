@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from chatprep.operators import chat as C
 from chatprep.operators import context as X
 from chatprep.operators import vocab as V
 from chatprep.plans import prepare
+from chatprep.sources import records as R
 from chatprep.sources import tables as Tab
 from tests import model
 
@@ -166,3 +169,21 @@ def test_ways_through(spark, records, tmp_path):
     answered = turns.unionByName(spark.createDataFrame([(1, 7, "assistant", "f"), (2, 0, "user", "g"), (2, 1, "assistant", "h")], turns.schema))
     trained = prepare.training_set_from_turns(answered, "small", 0.5)
     assert sorted(r["split"] for r in trained.samples.collect()) == ["train", "val"] and trained.codec.size > 4
+
+
+def test_from_files_to_blocks(spark, tmp_path):
+    """Records of several files keep their file order through packing."""
+    folder = tmp_path / "corpus.jsonl"
+    folder.mkdir()
+    for part in range(3):
+        lines = [json.dumps({"instruction": f"q{part}.{i}", "output": f"a{part}.{i}"}) for i in range(20)]
+        (folder / f"part-{part}").write_text("\n".join(lines) + "\n")
+    found = prepare.open_records(spark, str(folder))
+    ready = prepare.training_set_from_records(found, eval_ratio=0.1, first=R.first_line(spark, str(folder)))
+    assert {r["split"]: r["count"] for r in ready.samples.groupBy("split").count().collect()} == {"train": 54, "val": 6}
+    template = C.ChatTemplate("", "\n")
+    codec = V.Codec.of(V.build_vocab(spark.createDataFrame([("qa.0123456789\n",)], "text string")))
+    blocks = prepare.finetune_blocks(found, codec.encode(F.col("text"), False), F.length("text"), 32, template=template)
+    text = "".join(r["t"] for r in blocks.orderBy("group_id", "block_id").select(codec.decode(F.col("ids")).alias("t")).collect())
+    whole = "".join(f"q{p}.{i}\na{p}.{i}\n" for p in range(3) for i in range(20))
+    assert text == whole[: len(whole) // 32 * 32]

@@ -12,7 +12,7 @@ def texts(df):
     return [(r["input"], r["output"]) for r in df.orderBy("rec_id", "pos").collect()]
 
 
-def test_readme_layouts(records):
+def test_documented_layouts(records):
     paired = records({"instruction": "a", "output": "b"}, {"prompt": "c", "response": "d"})
     found, asked, answered = P.load_pairs(paired)
     assert (asked, answered) == ("instruction", "output") and texts(found) == [("a", "b")]
