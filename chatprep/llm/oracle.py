@@ -63,4 +63,26 @@ SQL = {
         c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
         SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
         FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op10_line_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS raw FROM documents),
+        l AS (
+            SELECT r, source, unnest(raw) AS line, unnest(range(len(raw))) AS pos FROM d WHERE text <> ''),
+        t AS (
+            SELECT r, pos, source, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+        s AS (
+            SELECT key FROM t WHERE key <> '' GROUP BY key
+            HAVING count(DISTINCT source) + max((source IS NULL)::INTEGER) >= 10),
+        m AS (SELECT t.*, s.key IS NOT NULL AS shared FROM t LEFT JOIN s USING (key)),
+        g AS (
+            SELECT r, (count(*) FILTER (key <> ''))::INTEGER AS n_lines, (count(*) FILTER (shared))::INTEGER AS n_shared,
+                   coalesce(sum(length(key)) FILTER (shared), 0) > 0.5 * sum(length(key)) AS copy,
+                   string_agg(line, chr(10) ORDER BY pos) FILTER (NOT shared) AS rest
+            FROM m GROUP BY r),
+        o AS (
+            SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_shared, 0) AS n_shared,
+                   CASE WHEN copy THEN 0 ELSE coalesce(n_shared, 0) END AS n_removed,
+                   CASE WHEN text = '' OR copy OR coalesce(n_shared, 0) = 0 THEN text ELSE coalesce(rest, '') END AS text
+            FROM d LEFT JOIN g USING (r))
+        SELECT doc_id, n_lines, n_shared, n_removed, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM o""",
 }

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.llm import embedding_dedup, mixing, simhash, topk
+from chatprep.llm import embedding_dedup, line_dedup, mixing, quality, simhash, topk, toxicity, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    counted = wordpiece.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), wordpiece.load())
+    return counted.drop("text")
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of every other vector for each whose id is divisible by 20."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -28,10 +34,31 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_severity(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", "severity", "grade", "toxic_probability", (F.col("toxic_probability") >= 0.5).cast("int").alias("toxic"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = [op2_top_k, op3_mixture, op4_embedding_dedup, op8_simhash_dedup]
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by labels of those that are not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(documents, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that many sources share, and what is left of every document without them."""
+    cleaned = line_dedup.remove_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    left = F.col("text")
+    return cleaned.select("doc_id", "n_lines", "n_shared", "n_removed", F.length(left).alias("n_chars"), F.md5(left.cast("binary")).alias("text_md5"))
+
+
+QUERIES = [op1_token_counts, op2_top_k, op3_mixture, op4_embedding_dedup, op5_toxicity, op8_simhash_dedup, op9_quality, op10_line_dedup]
