@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.llm import embedding_dedup, line_dedup, mixing, quality, simhash, topk, toxicity, wordpiece
+from chatprep.llm import embedding_dedup, line_dedup, mixing, quality, simhash, suffix_tree, topk, toxicity, wordpiece
+from chatprep.llm.frames import remainder_of_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "severity", "grade", "toxic_probability", (F.col("toxic_probability") >= 0.5).cast("int").alias("toxic"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, by a model of those that are not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder_of_id("doc_id", 7) == 2
+    scored = suffix_tree.scores(documents.withColumn("held_out", held_out), documents.filter(~held_out))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,4 +70,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_shared", "n_removed", F.length(left).alias("n_chars"), F.md5(left.cast("binary")).alias("text_md5"))
 
 
-QUERIES = [op1_token_counts, op2_top_k, op3_mixture, op4_embedding_dedup, op5_toxicity, op8_simhash_dedup, op9_quality, op10_line_dedup]
+QUERIES = [op1_token_counts, op2_top_k, op3_mixture, op4_embedding_dedup, op5_toxicity, op6_suffix_tree, op8_simhash_dedup, op9_quality, op10_line_dedup]
