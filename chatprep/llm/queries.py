@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.llm import embedding_dedup, line_dedup, mixing, quality, simhash, suffix_tree, topk, toxicity, wordpiece
+from chatprep.llm import embedding_dedup, line_dedup, mixing, quality, sentencepiece_sampling, simhash, suffix_tree, topk, toxicity, wordpiece
 from chatprep.llm.frames import remainder_of_id
 
 
@@ -51,6 +51,24 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def sampled(documents: DataFrame) -> DataFrame:
+    """One row per document and sample: pieces, probabilities, and whether decoding gives the text back."""
+    pieces = sentencepiece_sampling.load()
+    encoded = sentencepiece_sampling.encode(documents.select("doc_id", "text"), pieces)
+    known = F.md5(F.col("text").cast("binary")).alias("text_md5")
+    each = encoded.select("doc_id", known, F.posexplode("samples").alias("sample", "one")).select("doc_id", "text_md5", "sample", "one.*")
+    decoded = sentencepiece_sampling.decode(each, pieces)
+    same = F.md5(F.col("decoded").cast("binary")) == F.col("text_md5")
+    return decoded.select(
+        "doc_id", "sample", F.size("ids").alias("n_pieces"), "log_probability", "inclusion", F.xxhash64("ids").alias("ids_hash"), same.alias("restored")
+    )
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct segmentations of every document."""
+    return sampled(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -70,4 +88,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_shared", "n_removed", F.length(left).alias("n_chars"), F.md5(left.cast("binary")).alias("text_md5"))
 
 
-QUERIES = [op1_token_counts, op2_top_k, op3_mixture, op4_embedding_dedup, op5_toxicity, op6_suffix_tree, op8_simhash_dedup, op9_quality, op10_line_dedup]
+QUERIES = [op1_token_counts, op2_top_k, op3_mixture, op4_embedding_dedup, op5_toxicity, op6_suffix_tree, op7_sentencepiece, op8_simhash_dedup, op9_quality, op10_line_dedup]

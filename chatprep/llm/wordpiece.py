@@ -108,17 +108,17 @@ def build(pieces: Iterable[bytes], lead: bytes = b"", tail: bytes = b"") -> Auto
                 fails[v], pops[v] = children[z][by[v]], popped
         if fails[v] >= 0 and at_end[fails[v]] >= 0:
             at_end[v] = pops[v] + at_end[fails[v]]
-    base, owner, child = _displaced(children)
+    base, owner, child = displaced(children)
     return Automaton(base, owner, child, *(np.array(x, np.int32) for x in (fails, pops, at_end)), lead, tail)
 
 
-def _displaced(children: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def displaced(children: list[dict[int, int]], width: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of children laid over each other where they leave gaps, fullest first.
 
-    Rows of several children are tried from where room was last scarce; those of one fill
+    Bytes, or whatever else the children go by, are below `width`. Rows of several children are tried from where room was last scarce; those of one fill
     what was passed over.
     """
-    size = sum(map(len, children)) * 2 + 1024
+    size = sum(map(len, children)) * 2 + 4 * width
     owner, child, base = [-1] * size, [0] * size, [0] * len(children)
     free = scarce = 0
     for v in sorted(range(len(children)), key=lambda v: -len(children[v])):
@@ -130,7 +130,7 @@ def _displaced(children: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray,
         at = start = max(free if len(row) == 1 else scarce, min(row)) - min(row)
         while any(owner[at + c] >= 0 for c in row):
             at += 1
-            if at + 512 > len(owner):
+            if at + 2 * width > len(owner):
                 owner += [-1] * size
                 child += [0] * size
         if len(row) > 1 and at > start + 64:
@@ -138,7 +138,7 @@ def _displaced(children: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray,
         base[v] = at
         for c, to in row.items():
             owner[at + c], child[at + c] = v, to
-    reach = max(base) + 256
+    reach = max(base) + width
     owner, child = owner[:reach] + [-1] * (reach - len(owner)), child[:reach] + [0] * (reach - len(child))
     # One more slot, reached as -1, leads to the root and belongs to nobody.
     return np.array(base, np.int32), np.array([*owner, -2], np.int32), np.array([*child, 0], np.int32)
