@@ -56,7 +56,7 @@ def sampled(documents: DataFrame) -> DataFrame:
     pieces = sentencepiece_sampling.load()
     encoded = sentencepiece_sampling.encode(documents.select("doc_id", "text"), pieces)
     known = F.md5(F.col("text").cast("binary")).alias("text_md5")
-    each = encoded.select("doc_id", known, F.posexplode("samples").alias("sample", "one")).select("doc_id", "text_md5", "sample", "one.*")
+    each = encoded.select("doc_id", known, F.posexplode_outer("samples").alias("sample", "one")).select("doc_id", "text_md5", "sample", "one.*")
     decoded = sentencepiece_sampling.decode(each, pieces)
     same = F.md5(F.col("decoded").cast("binary")) == F.col("text_md5")
     return decoded.select(
