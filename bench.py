@@ -6,16 +6,18 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import queries as registry  # noqa: E402
 from chatprep.session import local_session  # noqa: E402
+from chatprep.sources.shared import scratch  # noqa: E402
 
 HEADLINE = [
     "samples", "pairs_history", "pairs_messages_nested", "pairs_turns_nested", "pairs_records", "pairs_mixed",
-    "vocab", "char_frequency", "encode", "encode_joined", "decode_round_trip", "oov_report",
+    "vocab", "char_frequency", "encode", "decode_round_trip", "oov_report",
     "train_val_split", "pad_batches", "chat_messages", "render_chat", "pack_blocks", "pack_efficiency",
     "context_window_n2", "topk_ties", "softmax", "nucleus", "assemble_generation", "epoch_rollup", "early_stop",
     "pool_embeddings", "svd_energy", "stream_samples",
@@ -26,7 +28,7 @@ RUNS = 2
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "bench")
+    spark = local_session(tempfile.mkdtemp(prefix="bench-"), int(os.environ.get("BENCH_CPUS", "8")), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     by_name = {query.__name__: query for query in registry.QUERIES}
     seconds = {}
@@ -34,7 +36,8 @@ def main() -> None:
         taken = []
         for _ in range(RUNS):
             start = time.perf_counter()
-            by_name[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            with scratch(spark):
+                by_name[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
         # The first run of a query also compiles its code.
         seconds[name] = round(min(taken), 3)

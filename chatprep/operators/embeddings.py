@@ -10,6 +10,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.constants import N_SPECIAL
+
+# The driver holds this many squared doubles: 128 MB.
+MAX_DIM = 4096
+
 
 def mean_vectors(df: DataFrame, key: str, vec: str, weight: str | None = None) -> DataFrame:
     """`(key, vec)`: component-wise mean per key, one partial mean per key and task shuffled."""
@@ -22,9 +27,10 @@ def pool_embeddings(pieces: DataFrame, source: DataFrame, vocab: DataFrame, dim:
     """`(id, vec)` for every vocabulary id: the mean vector of its pieces, zeros where it has none.
 
     `pieces` is `(id, piece_pos, source_id)`, `source` is `(source_id, vec)`. A piece a
-    character uses twice counts twice, through its weight.
+    character uses twice counts twice, through its weight. Special ids are always zeros.
     """
-    weighted = pieces.groupBy("id", "source_id").agg(F.count("*").cast("double").alias("weight"))
+    of_characters = pieces.filter(F.col("id") >= N_SPECIAL)
+    weighted = of_characters.groupBy("id", "source_id").agg(F.count("*").cast("double").alias("weight"))
     pooled = mean_vectors(weighted.join(source, "source_id"), "id", "vec", "weight")
     zeros = F.array_repeat(F.lit(0.0), dim)
     return vocab.select("id").join(pooled, "id", "left").select("id", F.coalesce("vec", zeros).alias("vec"))
@@ -55,9 +61,14 @@ def svd_project(matrix: DataFrame, key: str, vec: str, target_dim: int) -> DataF
     """`(key, vec)`: rows of U*S of the uncentred matrix's thin SVD, first `target_dim` columns.
 
     U*S is A*V, and V comes from the small A'A; its columns' signs are arbitrary. Never
-    more columns than the matrix has rows or dimensions.
+    more columns than the matrix has rows or dimensions. Rows must all have the same number
+    of dimensions, at most `MAX_DIM`, and none may be null.
     """
-    n, dim = matrix.agg(F.count("*"), F.max(F.size(vec))).first()
+    n, known, least, dim = matrix.agg(F.count("*"), F.count(vec), F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if not n:
+        return matrix.select(key, F.col(vec).cast("array<double>").alias("vec"))
+    if known != n or least != dim or dim > MAX_DIM:
+        raise ValueError(f"a matrix needs rows of one size up to {MAX_DIM}: {n - known} of {n} are null, sizes {least} to {dim}")
     values, vectors = np.linalg.eigh(gramian(matrix, vec, dim))
     order = np.argsort(values)[::-1][: min(target_dim, n, dim)]
     v = vectors[:, order]

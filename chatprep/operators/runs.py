@@ -2,49 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from chatprep.constants import EOS_ID, N_SPECIAL
 from chatprep.functions.rows import each
 from chatprep.functions.text import escape_tilde
 from chatprep.operators.vocab import Codec
-from chatprep.sources.shared import pinned
 
-MAX_NEW_TOKENS = 256
-_EPOCHS_AT_ONCE = 4096
+_STRETCH = 4096  # steps of a generation that one task gathers
 
 
-def _pieces(tokens: DataFrame, piece_steps: int, gen: str) -> DataFrame:
-    """`(gen_id, piece, ids)`: kept ids ahead of the end id, by stretches of steps.
+def _stretches(tokens: DataFrame, gen: list[str], steps: int) -> DataFrame:
+    """`(gen..., piece, ids)`: kept ids ahead of the end id, by stretches of steps, empty ones included.
 
-    Stretches are gathered first and by themselves: looking up the end per generation
-    before that would leave all tokens of a generation in one task.
+    One aggregate per stretch carries its first end step along, so the generation's end
+    comes from one row per stretch and no generation is gathered for it.
     """
-    spots = F.array_sort(F.collect_list(F.struct("step", "token_id")))
-    kept = tokens.filter(F.col("token_id") >= N_SPECIAL)
-    pieces = kept.groupBy(gen, F.floor(F.col("step") / piece_steps).alias("piece")).agg(spots.alias("spots"))
-    ends = tokens.filter(F.col("token_id") == EOS_ID).groupBy(gen).agg(F.min("step").alias("end"))
-    said = F.filter("spots", lambda t: F.col("end").isNull() | (t["step"] < F.col("end")))
-    ids = F.transform(said, lambda t: t["token_id"])
-    return pieces.join(ends, gen, "left").select(gen, "piece", ids.alias("ids")).filter("size(ids) > 0")
+    said = F.when(F.col("token_id") >= N_SPECIAL, F.struct("step", "token_id"))
+    pieces = tokens.groupBy(*gen, F.floor(F.col("step") / steps).alias("piece")).agg(
+        F.array_sort(F.collect_list(said)).alias("spots"),
+        F.min(F.when(F.col("token_id") == EOS_ID, F.col("step"))).alias("_end"),
+    )
+    ended = pieces.withColumn("_end", F.min("_end").over(W.partitionBy(*gen)))
+    before_end = F.filter("spots", lambda t: F.col("_end").isNull() | (t["step"] < F.col("_end")))
+    return ended.select(*gen, "piece", F.transform(before_end, lambda t: t["token_id"]).alias("ids"))
+
+
+def _whole(tokens: DataFrame, gen: list[str], steps: int) -> DataFrame:
+    """`(gen..., ids)`: all kept ids of a generation, in order."""
+    parts = F.array_sort(F.collect_list(F.struct("piece", "ids")))
+    gathered = _stretches(tokens, gen, steps).groupBy(*gen).agg(parts.alias("parts"))
+    return gathered.select(*gen, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
-def assemble_generation(tokens: DataFrame, codec: Codec, piece_steps: int = MAX_NEW_TOKENS, gen: str = "gen_id") -> DataFrame:
-    """`(gen_id, piece, text)`: what a generation `(gen_id, step, token_id)` said up to its end id.
+def assemble_generation(tokens: DataFrame, codec: Codec, gen: list[str] = ("gen_id",), piece_steps: int | None = None) -> DataFrame:
+    """`(gen..., text)`: what each generation `(gen..., step, token_id)` said up to its end id.
 
     Other special ids are skipped, unmapped ids become the unknown character, tildes are
-    escaped. `piece` counts stretches of `piece_steps` steps: a generation within the usual
-    limit is one row, a longer one is several, to be read in order.
+    escaped; a generation that says nothing has the empty text. With `piece_steps` it comes
+    as rows `(gen..., piece, text)`, one for each stretch of so many steps, to be read in
+    order: for tables with generations too long for a row.
     """
-    return _pieces(tokens, piece_steps, gen).select(gen, "piece", escape_tilde(codec.decode(F.col("ids"))).alias("text"))
+    gen = list(gen)
+    if piece_steps:
+        rows, keys = _stretches(tokens, gen, piece_steps), [*gen, "piece"]
+    else:
+        rows, keys = _whole(tokens, gen, _STRETCH), gen
+    return rows.select(*keys, escape_tilde(codec.decode(F.col("ids"))).alias("text"))
 
 
-def running_generation(tokens: DataFrame, codec: Codec, piece_steps: int = MAX_NEW_TOKENS, gen: str = "gen_id") -> DataFrame:
-    """`(gen_id, piece, pos, text)`: the text of a piece as it stood after each kept token."""
-    rows = each(_pieces(tokens, piece_steps, gen), [gen, "piece", "ids"], "ids", "pos", "_id")
-    so_far = F.slice("ids", F.lit(1), F.col("pos") + 1)
-    return rows.select(gen, "piece", "pos", escape_tilde(codec.decode(so_far)).alias("text"))
+def running_generation(tokens: DataFrame, codec: Codec, gen: list[str] = ("gen_id",)) -> DataFrame:
+    """`(gen..., pos, text)`: a generation's text as it stood after each kept token, from its beginning."""
+    gen = list(gen)
+    # A kept id is one character, so what had been said is a prefix of what was said in the end.
+    whole = _whole(tokens, gen, _STRETCH).select(*gen, codec.decode(F.col("ids")).alias("said"), "ids")
+    rows = each(whole.withColumn("ids", F.sequence(F.lit(1), F.size("ids"))).filter("said <> ''"), [*gen, "said"], "ids", "pos", "n")
+    return rows.select(*gen, "pos", escape_tilde(F.substring("said", F.lit(1), F.col("n"))).alias("text"))
 
 
 def throughput(tokens: DataFrame, gen: str = "gen_id", ts: str = "ts") -> DataFrame:
@@ -60,14 +80,14 @@ def epoch_rollup(steps: DataFrame, batch_rows: int = 16, block_size: int = 128)
     """Per `(run_id, epoch)` from `(run_id, epoch, step, split, loss, lr, seconds, n_tokens)` rows.
 
     Unweighted mean losses: NaN without training steps, 0 without validation steps. The
-    nominal rate counts padding, the real one the tokens that were there.
+    learning rate is that of the last training step. The nominal rate counts padding, the real one the tokens that were there.
     """
     train = F.col("split") == "train"
     seconds = F.greatest(F.sum("seconds"), F.lit(1e-6))
     rolled = steps.groupBy("run_id", "epoch").agg(
         F.coalesce(F.avg(F.when(train, F.col("loss"))), F.lit(float("nan"))).alias("train_loss"),
         F.coalesce(F.avg(F.when(F.col("split") == "val", F.col("loss"))), F.lit(0.0)).alias("val_loss"),
-        F.max_by("lr", "step").alias("lr"),
+        F.max_by("lr", F.when(train, F.col("step"))).alias("lr"),
         F.sum("seconds").alias("seconds"),
         F.count_if(train).alias("n_steps"),
         (F.count_if(train) * (batch_rows * block_size) / seconds).alias("nominal_tokens_per_sec"),
@@ -76,68 +96,57 @@ def epoch_rollup(steps: DataFrame, batch_rows: int = 16, block_size: int = 128)
     return rolled
 
 
-_STATE = "struct<best: double, bad: int, stop_epoch: bigint, n_epochs: bigint>"
+STOP_COLUMNS = "stop_epoch bigint, best_val double, bad_epochs int, n_epochs bigint"
+NEW_RUN = (None, float("inf"), 0, 0)
 
 
-def _fold(start: Column, epochs: Column, patience: int, threshold: float) -> Column:
-    """Carry a run's state over its ordered `(epoch, val_loss)`; nothing changes after the stop."""
+def epoch_losses(epochs: DataFrame) -> DataFrame:
+    """`(run_id, epoch, val_loss)` where there is a loss."""
+    typed = epochs.select("run_id", F.col("epoch").cast("bigint").alias("epoch"), F.col("val_loss").cast("double").alias("val_loss"))
+    return typed.filter(F.col("val_loss").isNotNull())
 
-    def step(state: Column, e: Column) -> Column:
-        better = e["val_loss"] < state["best"] - F.lit(threshold)
-        bad = F.when(better, F.lit(0)).otherwise(state["bad"] + 1)
-        stop = F.when(bad >= patience, e["epoch"])
-        moved = F.struct(
-            F.when(better, e["val_loss"]).otherwise(state["best"]).alias("best"),
-            bad.alias("bad"),
-            stop.alias("stop_epoch"),
-            (state["n_epochs"] + 1).alias("n_epochs"),
-        )
-        return F.when(state["stop_epoch"].isNotNull(), state).otherwise(moved).cast(_STATE)
 
-    return F.aggregate(epochs, start, step)
-
-
-def early_stop(epochs: DataFrame, patience: int = 3, threshold: float = 0.005, epochs_at_once: int = _EPOCHS_AT_ONCE) -> DataFrame:
+def early_stop(epochs: DataFrame, patience: int = 3, threshold: float = 0.005) -> DataFrame:
     """`(run_id, stop_epoch, best_val, bad_epochs, n_epochs)` from `(run_id, epoch, val_loss)`.
 
     An epoch improves a run if it falls below the best loss by more than `threshold`; after
     `patience` epochs without improvement the run stops (`stop_epoch` null: it did not).
 
-    Whether an epoch improves depends on which earlier ones did, so epochs are folded in
-    order, `epochs_at_once` of every run at a time; runs are short, so one round is the rule.
+    Whether an epoch improves depends on which earlier ones did, so a run is folded in
+    order: one shuffle by run, sorted there, and a fold that holds four numbers a run,
+    whatever its length and however its epochs are numbered.
     """
-    seen = epochs.filter(F.col("val_loss").isNotNull()).select(
-        "run_id",
-        F.col("epoch").cast("bigint").alias("epoch"),
-        F.col("val_loss").cast("double").alias("val_loss"),
-        F.floor(F.col("epoch") / epochs_at_once).alias("round"),
-    )
-    fresh = F.struct(
-        F.lit(float("inf")).alias("best"),
-        F.lit(0).alias("bad"),
-        F.lit(None).cast("bigint").alias("stop_epoch"),
-        F.lit(0).cast("bigint").alias("n_epochs"),
-    ).cast(_STATE)
-    rounds = [r["round"] for r in seen.select("round").distinct().orderBy("round").collect()]
-    state = None
-    for number in rounds or [0]:
-        ordered = F.array_sort(F.collect_list(F.struct("epoch", "val_loss")))
-        batch = seen.filter(F.col("round") == number).groupBy("run_id").agg(ordered.alias("epochs"))
-        if state is None:
-            state = batch.select("run_id", _fold(fresh, F.col("epochs"), patience, threshold).alias("state"))
-            continue
-        both = pinned(state).join(batch, "run_id", "full")
-        none = F.array().cast("array<struct<epoch: bigint, val_loss: double>>")
-        moved = _fold(F.coalesce("state", fresh), F.coalesce("epochs", none), patience, threshold)
-        state = both.select("run_id", moved.alias("state"))
-    at = F.col("state")
-    return state.select(
-        "run_id",
-        at["stop_epoch"].alias("stop_epoch"),
-        at["best"].alias("best_val"),
-        at["bad"].alias("bad_epochs"),
-        at["n_epochs"].alias("n_epochs"),
-    )
+    ordered = epoch_losses(epochs).repartition("run_id").sortWithinPartitions("run_id", "epoch")
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, state, rows = None, None, []
+        for batch in batches:
+            for key, epoch, loss in zip(*(batch[c].to_pylist() for c in ("run_id", "epoch", "val_loss"))):
+                if state is None or key != run:
+                    if state is not None:
+                        rows.append((run, *state))
+                    run, state = key, NEW_RUN
+                state = followed(state, epoch, loss, patience, threshold)
+            yield batch_of(rows)
+            rows = []
+        if state is not None:
+            yield batch_of([(run, *state)])
+
+    schema = to_arrow_schema(StructType([epochs.schema["run_id"], *StructType.fromDDL(STOP_COLUMNS)]))
+    return ordered.mapInArrow(follow, f"run_id {dict(epochs.dtypes)['run_id']}, {STOP_COLUMNS}")
+
+
+def followed(state: tuple, epoch: int, loss: float, patience: int, threshold: float) -> tuple:
+    """A run's `(stop_epoch, best_val, bad_epochs, n_epochs)` after one more epoch; nothing changes after the stop."""
+    stop, best, bad, n = state
+    if stop is not None:
+        return state
+    better = loss < best - threshold
+    best, bad = (loss, 0) if better else (best, bad + 1)
+    return (epoch if bad >= patience else None), best, bad, n + 1
 
 
 def best_epoch(epochs: DataFrame) -> DataFrame:

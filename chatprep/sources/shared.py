@@ -1,32 +1,43 @@
-"""Folders all executors can reach."""
+"""Folders all executors can reach, and the intermediate tables kept there."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; a local one only if unset."""
+    """The folder the cluster names in `spark.checkpoint.dir`, or the context's checkpoint folder.
+
+    There is no other choice: a folder of one machine would serve tests and lose data on a
+    cluster.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    folder = folder or tempfile.mkdtemp(prefix="chatprep-")
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path (not created) under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/chatprep/{label}-{uuid.uuid4().hex}"
+    """A fresh path (not created) under the shared folder, removed by `release`."""
+    path = f"{shared_dir(spark).rstrip('/')}/chatprep/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def pinned(df: DataFrame) -> DataFrame:
     """The frame written once to the shared folder, so later passes see the same rows.
 
-    Survives lost executors, unlike blocks kept on them.
+    Survives lost executors, unlike blocks kept on them. Spark removes it with its last
+    reference if `spark.cleaner.referenceTracking.cleanCheckpoints` is set.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -37,3 +48,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Removes the tables made so far, but for the first `keep`; frames that read them are of no use afterwards."""
+    paths = _made.get(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths[keep:]:
+        where = hadoop(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del paths[keep:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the tables made inside; write or collect results before."""
+    before = len(_made.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, keep=before)

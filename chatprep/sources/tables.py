@@ -16,15 +16,6 @@ def read_turns(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path).select(*TURN_COLUMNS)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table stored in fewer pieces than there are cores, dealt out to all of them.
-
-    Worth it before heavy work on each row; tables of more pieces stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_vocab(vocab: DataFrame, path: str) -> None:
     vocab.select("ch", "id").write.mode("overwrite").parquet(path)
 

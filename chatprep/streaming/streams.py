@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chatprep.operators.pairs import pairs_of_layout
+from chatprep.operators.runs import NEW_RUN, STOP_COLUMNS, epoch_losses, followed
 from chatprep.operators.samples import make_samples
 from chatprep.operators.vocab import Codec
 from chatprep.sources.shared import new_folder
@@ -71,94 +71,137 @@ def _trimmed(n: int):
     return trim
 
 
-def _remember(n: int):
+def _timeout(minutes: float | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if minutes else GroupStateTimeout.NoTimeout
+
+
+def _keep(state: GroupState, value: tuple, minutes: float | None) -> None:
+    """Holds the value until nothing has come for so long."""
+    state.update(value)
+    if minutes:
+        state.setTimeoutDuration(int(minutes * 60_000))
+
+
+def _remember(n: int, minutes: float | None):
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, system, others = state.get if state.exists else (0, "[]", "[]")
-        system, others = json.loads(system), json.loads(others)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, *lists = state.get if state.exists else (0, [], [], [], [], [])
+        system, others = list(zip(*lists[:2])), list(zip(*lists[2:]))
         for pdf in frames:
             seen += int(pdf["weight"].sum())
-            for turn, role, text in zip(pdf["turn"], pdf["role"], pdf["text"]):
-                (system if role == "system" else others).append([int(turn), role, text])
-            others = sorted(others)[-2 * n :]
-        system = sorted(system)
-        state.update((seen, json.dumps(system), json.dumps(others)))
+            for turn, role, text in zip(pdf["turn"].tolist(), pdf["role"], pdf["text"]):
+                if role == "system":
+                    system.append((turn, text))
+                else:
+                    others.append((turn, role, text))
+            others = sorted(others, key=lambda m: m[0])[-2 * n :]
+        system.sort(key=lambda m: m[0])
+        held = [list(c) for c in zip(*system)] or [[], []], [list(c) for c in zip(*others)] or [[], [], []]
+        _keep(state, (seen, *held[0], *held[1]), minutes)
         front = 0 if seen > 2 * n else 1
-        rows = [(key[0], seen, front, *m) for m in system] + [(key[0], seen, 1, *m) for m in others]
+        rows = [(key[0], seen, front, turn, "system", text) for turn, text in system] + [(key[0], seen, 1, *m) for m in others]
         yield pd.DataFrame(rows, columns=["conv_id", "n_seen", "section", "turn", "role", "text"])
 
     return update
 
 
-def stream_context_window(turns: DataFrame, n: int) -> DataFrame:
+def stream_context_window(turns: DataFrame, n: int, timeout_minutes: float | None = None) -> DataFrame:
     """`context_window` kept up to date while turns arrive, `n > 0`.
 
     Every conversation touched by a batch gives its whole context again, marked `n_seen`;
     the largest is the current one. State per conversation is the last `2n` messages and
-    its system messages; batches are cut down to that in each task before the shuffle.
+    its system messages; batches are cut down to that in each task before the shuffle. A
+    conversation is forgotten once nothing has come for `timeout_minutes`, if given.
     """
     light = turns.select("conv_id", "turn", "role", "text").mapInPandas(_trimmed(n), f"{_MESSAGES}, weight long")
     return light.groupBy("conv_id").applyInPandasWithState(
-        _remember(n),
+        _remember(n, timeout_minutes),
         "conv_id long, n_seen long, section int, turn long, role string, text string",
-        "seen long, system string, others string",
+        "seen long, system_turn array<long>, system array<string>, turn array<long>, role array<string>, text array<string>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        _timeout(timeout_minutes),
     )
 
 
-def _follow(patience: int, threshold: float):
+def _follow(patience: int, threshold: float, minutes: float | None):
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, bad, stop, n = state.get if state.exists else (float("inf"), 0, -1, 0)
-        arrived = pd.concat(list(frames)).sort_values("epoch")
-        for epoch, loss in zip(arrived["epoch"], arrived["val_loss"]):
-            if stop >= 0:
-                break
-            n += 1
-            if loss < best - threshold:
-                best, bad = float(loss), 0
-            else:
-                bad += 1
-            if bad >= patience:
-                stop = int(epoch)
-        state.update((best, bad, stop, n))
-        row = (key[0], None if stop < 0 else stop, best, bad, n)
-        frame = pd.DataFrame([row], columns=["run_id", "stop_epoch", "best_val", "bad_epochs", "n_epochs"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        losses = dict(zip(*state.get)) if state.exists else {}
+        for pdf in frames:
+            losses.update(zip(pdf["epoch"].tolist(), pdf["val_loss"].tolist()))
+        order = sorted(losses)
+        _keep(state, (order, [losses[e] for e in order]), minutes)
+        run = NEW_RUN
+        for epoch in order:
+            run = followed(run, epoch, losses[epoch], patience, threshold)
+        frame = pd.DataFrame([(key[0], len(order), *run)], columns=["run_id", "n_known", "stop_epoch", "best_val", "bad_epochs", "n_epochs"])
         yield frame.astype({"stop_epoch": "Int64"})
 
     return update
 
 
-def stream_early_stop(epochs: DataFrame, patience: int = 3, threshold: float = 0.005) -> DataFrame:
-    """`early_stop` while epochs arrive in order: one row per run and batch, the largest `n_epochs` is current.
+def stream_early_stop(epochs: DataFrame, patience: int = 3, threshold: float = 0.005, timeout_minutes: float | None = None) -> DataFrame:
+    """`early_stop` while epochs arrive, in any order; one row per run and batch, the largest `n_known` is current.
 
-    A batch holds as many epochs of a run as the source lets through at once
-    (`maxFilesPerTrigger`); state is the best loss and the count since.
+    An epoch that comes late can change what every later one meant, so the state of a run is
+    its epochs and losses, and each batch folds them anew; an epoch that comes again
+    replaces its loss. A run is forgotten once nothing has come for `timeout_minutes`, if
+    given.
     """
-    rows = epochs.filter("val_loss IS NOT NULL").select("run_id", F.col("epoch").cast("long"), F.col("val_loss").cast("double"))
-    return rows.groupBy("run_id").applyInPandasWithState(
-        _follow(patience, threshold),
-        "run_id long, stop_epoch long, best_val double, bad_epochs int, n_epochs long",
-        "best double, bad int, stop long, n long",
+    return epoch_losses(epochs).groupBy("run_id").applyInPandasWithState(
+        _follow(patience, threshold, timeout_minutes),
+        f"run_id long, n_known long, {STOP_COLUMNS}",
+        "epochs array<long>, losses array<double>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        _timeout(timeout_minutes),
     )
 
 
-def current(history: DataFrame, key: str, version: str) -> DataFrame:
+def current(history: DataFrame, key: str | list[str], version: str) -> DataFrame:
     """The rows of each key's latest version."""
-    latest = history.groupBy(key).agg(F.max(version).alias("_v"))
-    return history.join(latest, key).filter(F.col(version) == F.col("_v")).drop("_v")
+    keys = [key] if isinstance(key, str) else key
+    latest = history.groupBy(*keys).agg(F.max(version).alias("_v"))
+    return history.join(latest, keys).filter(F.col(version) == F.col("_v")).drop("_v")
+
+
+def drain_updates(df: DataFrame, key: list[str], label: str) -> tuple[DataFrame, int]:
+    """Run an aggregating stream over what has arrived: the latest row of every key, and how many rows came too late.
+
+    Keys come out as soon as they change, not when the watermark has passed them, so those
+    still open at the end are there too. A batch that is run again writes the same folder.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/{number}")
+
+    writer = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    schema = df.schema.add("_batch", "long")
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    history = reader.parquet(f"{path}/rows") if query.lastProgress else spark.createDataFrame([], schema)
+    return current(history, key, "_batch").drop("_batch"), late
 
 
 def stream_throughput(
-    tokens: DataFrame, width: str = "1 hour", delay: str = "10 minutes", source: str = "source", ts: str = "ts"
+    tokens: DataFrame, width: str = "1 hour", delay: str | None = "10 minutes", source: str = "source", ts: str = "ts"
 ) -> DataFrame:
-    """Tokens per source and window of event time; tokens later than `delay` are dropped.
+    """Tokens per source and window of event time.
 
-    A window comes out once the watermark has passed its end.
+    Tokens later than `delay` are dropped, and counted by the query's progress; windows are
+    forgotten once that has passed their end. Without a delay every token counts, and every
+    window is kept in mind.
     """
     timed = tokens.withColumn(ts, F.col(ts).cast("timestamp"))
-    counted = timed.withWatermark(ts, delay).groupBy(F.window(ts, width), source).agg(F.count("*").alias("n_tokens"))
+    timed = timed.withWatermark(ts, delay) if delay else timed
+    counted = timed.groupBy(F.window(ts, width), source).agg(F.count("*").alias("n_tokens"))
     micros = F.unix_micros(F.col("window.end").cast("timestamp")) - F.unix_micros(F.col("window.start").cast("timestamp"))
     return counted.select(
         source,

@@ -111,10 +111,11 @@ def json_documents(documents: DataFrame) -> DataFrame:
 
 
 def answer_tokens(conversations: DataFrame, codec: Codec) -> DataFrame:
-    """Tokens of every answer with begin and end ids; `gen_id` is the conversation, so its first end id counts."""
+    """Tokens of every answer with begin and end ids: a generation each; after the end of every third answer more tokens follow."""
     answers = conversations.filter("role = 'assistant'")
-    rows = each(answers, ["conv_id", "turn"], codec.encode(F.col("text")), "pos", "token_id")
-    return rows.select(F.col("conv_id").alias("gen_id"), (F.col("turn") * 65536 + F.col("pos")).alias("step"), "token_id")
+    beyond = F.when(F.col("turn") % 3 == 0, codec.encode(F.col("text"))).otherwise(F.array().cast("array<int>"))
+    rows = each(answers, ["conv_id", "turn"], F.concat(codec.encode(F.col("text")), beyond), "step", "token_id")
+    return rows.select("conv_id", "turn", "step", "token_id")
 
 
 def event_scores(events: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def event_steps(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("step"),
         F.when(F.col("event_type") == "view", "val").otherwise("train").alias("split"),
         F.col("value").alias("loss"),
-        (F.lit(1.0) / (F.col("event_id") + 1)).alias("lr"),
+        F.when(F.col("event_type") != "view", F.lit(1.0) / (F.col("event_id") + 1)).alias("lr"),
         (F.col("event_id") % 7 + 1).cast("double").alias("seconds"),
         (F.col("event_id") % 100).alias("n_tokens"),
     )
@@ -146,6 +147,11 @@ def event_epochs(events: DataFrame) -> DataFrame:
 
 
 def label_pieces(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vectors as source pieces of characters: a vector's label is the character's id."""
-    pieces = embeddings.select(F.col("label").alias("id"), F.lit(0).alias("piece_pos"), F.col("vec_id").alias("source_id"))
-    return pieces, embeddings.select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vec"))
+    """Vectors as source pieces of characters, by their label: one piece each, some used twice; some also of a special id."""
+    ids = F.array(
+        F.col("label") + 4,
+        F.when(F.col("vec_id") % 7 == 0, F.col("label") + 4),
+        F.when(F.col("vec_id") % 5 == 0, F.col("label") % 4),
+    )
+    pieces = embeddings.select(F.posexplode(ids).alias("piece_pos", "id"), F.col("vec_id").alias("source_id")).filter("id IS NOT NULL")
+    return pieces.select("id", "piece_pos", "source_id"), embeddings.select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vec"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from chatprep.streaming import streams as Z
 BLOCK = 256
 KEYS = ["conv_id", "turn"]
 RATIO = 0.1
+SVD_COLUMNS = 8
+STREAM_BATCHES = 4
 
 
 def _conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +43,10 @@ def _conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return Tab.spread(table(spark, sf, "documents"))
+    """The given tables can be a single piece, which one core would read; larger ones stay as they are."""
+    documents = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -383,13 +391,13 @@ def nucleus(spark, sf):
 
 def assemble_generation(spark, sf):
     codec = _codec(spark, sf)
-    return R.assemble_generation(D.answer_tokens(_conversations(spark, sf), codec), codec)
+    return R.assemble_generation(D.answer_tokens(_conversations(spark, sf), codec), codec, KEYS)
 
 
 def running_generation(spark, sf):
     codec = _codec(spark, sf)
-    grown = R.running_generation(D.answer_tokens(_conversations(spark, sf), codec), codec)
-    return grown.select("gen_id", "piece", "pos", F.md5("text").alias("text_md5"))
+    grown = R.running_generation(D.answer_tokens(_conversations(spark, sf), codec), codec, KEYS)
+    return grown.select(*KEYS, "pos", F.md5("text").alias("text_md5"))
 
 
 def throughput(spark, sf):
@@ -437,13 +445,31 @@ def svd_energy(spark, sf):
     return projected.select("vec_id", F.round(energy, 4).alias("energy"))
 
 
+def svd_columns(spark, sf):
+    """Products of the first columns: none between two, and squared lengths that fall and are more than any original column's."""
+    vectors = table(spark, sf, "embeddings")
+    projected = E.svd_project(vectors, "vec_id", "embedding", SVD_COLUMNS)
+    product = [F.sum(F.col("vec")[i] * F.col("vec")[j]).alias(f"p{i}_{j}") for i in range(SVD_COLUMNS) for j in range(i, SVD_COLUMNS)]
+    plain = [F.sum(F.col("embedding")[k].cast("double") * F.col("embedding")[k].cast("double")).alias(f"o{k}") for k in range(64)]
+    both = projected.agg(*product).crossJoin(vectors.agg(*plain))  # a row and a row
+    most = F.greatest(*[F.col(f"o{k}") for k in range(64)])
+    total = reduce(lambda a, b: a + b, [F.col(f"o{k}") for k in range(64)])
+    kept = reduce(lambda a, b: a + b, [F.col(f"p{i}_{i}") for i in range(SVD_COLUMNS)])
+    tests = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.abs(f"p{i}_{j}") < 1e-6 * F.col("p0_0") if i < j else F.col(f"p{i}_{i}") <= F.col(f"p{i - 1}_{i - 1}" if i else "p0_0")).alias("holds"))
+        for i in range(SVD_COLUMNS) for j in range(i, SVD_COLUMNS)
+    ]
+    whole = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), ((F.col("p0_0") >= most - 1e-9) & (kept <= total + 1e-9) & (kept >= total * SVD_COLUMNS / 64)).alias("holds"))
+    return both.select(F.inline(F.array(*tests, whole)))
+
+
 # --- streams -----------------------------------------------------------------------------------------
 
 
 def stream_samples(spark, sf):
     docs = _documents(spark, sf)
     path = new_folder(spark, "turn-records")
-    tagged = F.concat(F.lit('{"doc_id": '), F.col("rec_id").cast("string"), F.lit(", "), F.substring("raw", 2, 2**30))
+    tagged = F.concat(F.lit('{"doc_id": '), F.col("rec_id").cast("string"), F.lit(", "), F.expr("substring(raw, 2)"))
     D.records(docs, D.turn_raw()).select(tagged.alias("value")).write.text(path)
     arriving = Rec.stream_jsonl(spark, path)
     records = arriving.select(J.fields(F.col("raw"), "doc_id")["doc_id"].cast("bigint").alias("rec_id"), "raw")
@@ -451,28 +477,29 @@ def stream_samples(spark, sf):
     return Z.drain(made, "samples").select("rec_id", "pos", ids_csv(F.col("ids")).alias("ids"))
 
 
-def _arriving(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.option("maxFilesPerTrigger", Z.FILES_PER_BATCH).parquet(sf)
+def _arriving(spark, rows, keys):
+    """The rows as files in no order, which arrive in several batches."""
+    path = new_folder(spark, "arriving")
+    n = max(2 * STREAM_BATCHES, spark.sparkContext.defaultParallelism)
+    rows.repartition(n, F.xxhash64(*keys)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", math.ceil(n / STREAM_BATCHES)).parquet(path)
 
 
 def stream_context_window(spark, sf):
-    history = Z.drain(Z.stream_context_window(_arriving(spark, sf, "conversations"), 2), "context")
+    arriving = _arriving(spark, _conversations(spark, sf), KEYS)
+    history = Z.drain(Z.stream_context_window(arriving, 2), "context")
     return Z.current(history, "conv_id", "n_seen").drop("n_seen")
 
 
 def stream_early_stop(spark, sf):
-    path = new_folder(spark, "epochs")
-    D.event_epochs(_events(spark, sf)).write.parquet(path)
-    arriving = spark.readStream.schema("run_id long, epoch long, val_loss double").parquet(path)
-    states = Z.current(Z.drain(Z.stream_early_stop(arriving), "stops"), "run_id", "n_epochs")
+    arriving = _arriving(spark, D.event_epochs(_events(spark, sf)), ["run_id", "epoch"])
+    states = Z.current(Z.drain(Z.stream_early_stop(arriving), "stops"), "run_id", "n_known").drop("n_known")
     return states.withColumn("best_val", F.round("best_val", 9)).withColumn("bad_epochs", F.col("bad_epochs").cast("bigint"))
 
 
 def stream_throughput(spark, sf):
-    tokens = _arriving(spark, sf, "events").select(F.col("event_type").alias("source"), "ts")
-    rates = Z.drain(Z.stream_throughput(tokens), "throughput")
+    tokens = _arriving(spark, _events(spark, sf).select("event_id", F.col("event_type").alias("source"), "ts"), ["event_id"])
+    rates, _ = Z.drain_updates(Z.stream_throughput(tokens, delay=None), ["source", "window_start"], "throughput")
     start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
     return rates.select("source", start, "n_tokens", F.round("tokens_per_sec", 9).alias("tokens_per_sec"))
 
@@ -490,6 +517,6 @@ QUERIES = [
     context_window_n2, normalize_history, build_prompt, truncate_prompt, clean_message, excerpts,
     topk_ties, softmax, sample_one, sample_scores, nucleus,
     assemble_generation, running_generation, throughput, epoch_rollup, early_stop, best_epoch,
-    pool_embeddings, pad_dims, svd_energy,
+    pool_embeddings, pad_dims, svd_energy, svd_columns,
     stream_samples, stream_context_window, stream_early_stop, stream_throughput,
 ]

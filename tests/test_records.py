@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from chatprep.functions.text import clean, clean_keep_inner_space, excerpt, stri
 from chatprep.operators import layout as L
 from chatprep.operators import pairs as P
 from chatprep.sources import records as R
+from chatprep.sources import shared
 from chatprep.sources import tables as Tab
 
 PAIR = {"instruction": "ask", "output": "tell"}
@@ -165,3 +167,21 @@ def test_the_first_record_is_looked_for_in_the_first_file(spark, tmp_path):
 
 def texts_of(pairs):
     return sorted(r["input"] for r in pairs.collect())
+
+
+def test_shared_tables_need_a_folder_and_go_with_their_scope(spark, tmp_path):
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Bare:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Bare())
+    with shared.scratch(spark):
+        kept = shared.stored(spark.range(3), "numbers")
+        folder = Path(kept.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+        assert kept.count() == 3 and folder.is_dir()
+    assert not folder.exists()

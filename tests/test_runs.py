@@ -29,13 +29,25 @@ def test_generations(spark, codec):
         7: [0, 1],
     }
     df = spark.createDataFrame([(g, i, t) for g, ids in tokens.items() for i, t in enumerate(ids)], "gen_id long, step int, token_id int").repartition(4)
-    got = {}
-    for r in R.assemble_generation(df, codec).orderBy("gen_id", "piece").collect():
-        got.setdefault(r["gen_id"], []).append(r["text"])
     unknown = chr(0x0F0B)
-    assert got == {1: ["abc"], 3: ["a"], 4: ["ab"], 5: [f"a{unknown}\\~b"], 6: ["a" * 256, "a" * 256, "a" * 88]}
-    running = R.running_generation(df.filter("gen_id IN (4, 5)"), codec).orderBy("gen_id", "pos").collect()
+    whole = {1: "abc", 2: "", 3: "a", 4: "ab", 5: f"a{unknown}\\~b", 6: "a" * 600, 7: ""}
+    assert {r["gen_id"]: r["text"] for r in R.assemble_generation(df, codec).collect()} == whole
+    pieces = R.assemble_generation(df, codec, piece_steps=256).filter("gen_id = 6").orderBy("piece").collect()
+    assert [r["text"] for r in pieces] == ["a" * 256, "a" * 256, "a" * 88]
+    running = R.running_generation(df.filter("gen_id IN (2, 4, 5, 7)"), codec).orderBy("gen_id", "pos").collect()
     assert [r["text"] for r in running] == ["a", "ab", "a", f"a{unknown}", f"a{unknown}\\~", f"a{unknown}\\~b"]
+    long = R.running_generation(df.filter("gen_id = 6"), codec).orderBy("pos").collect()
+    assert [r["text"] for r in long] == ["a" * n for n in range(1, 601)]
+
+
+def test_a_generation_across_stretches(spark, codec, monkeypatch):
+    """Keys of two columns; the end id lies in another stretch than what it cuts off."""
+    monkeypatch.setattr(R, "_STRETCH", 3)
+    ids = [4, 5, 6, 4, 5, 2, 6, 6, 2, 4]
+    rows = [(c, t, i, x) for c in (1, 2) for t in (0, 4) for i, x in enumerate(ids if t else ids[6:])]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, step int, token_id int").repartition(5)
+    got = {tuple(r) for r in R.assemble_generation(df, codec, ["conv_id", "turn"]).collect()}
+    assert got == {(1, 0, "cc"), (1, 4, "abcab"), (2, 0, "cc"), (2, 4, "abcab")}
 
 
 def test_throughput(spark):
@@ -47,7 +59,7 @@ def test_throughput(spark):
 
 def test_epoch_rollup(spark):
     rows = [
-        (1, 1, 1, "train", 2.0, 0.1, 1.0, 10), (1, 1, 2, "train", 4.0, 0.2, 1.0, 30), (1, 1, 3, "val", 9.0, 0.2, 2.0, 5),
+        (1, 1, 1, "train", 2.0, 0.1, 1.0, 10), (1, 1, 2, "train", 4.0, 0.2, 1.0, 30), (1, 1, 3, "val", 9.0, None, 2.0, 5),
         (1, 2, 4, "val", 1.0, 0.3, 0.0, 5), (2, 1, 1, "train", 1.0, 0.1, 0.0, 10),
     ]
     df = spark.createDataFrame(rows, "run_id long, epoch long, step long, split string, loss double, lr double, seconds double, n_tokens long")
@@ -55,6 +67,7 @@ def test_epoch_rollup(spark):
     first = got[1, 1]
     assert (first["train_loss"], first["val_loss"], first["lr"], first["seconds"], first["n_steps"]) == (3.0, 9.0, 0.2, 4.0, 2)
     assert first["nominal_tokens_per_sec"] == 2 * 16 * 128 / 4 and first["real_tokens_per_sec"] == 10.0
+    assert got[1, 2]["lr"] is None
     assert math.isnan(got[1, 2]["train_loss"]) and got[1, 2]["val_loss"] == 1.0
     assert got[2, 1]["val_loss"] == 0.0 and got[2, 1]["nominal_tokens_per_sec"] == 2048 / 1e-6
 
@@ -71,15 +84,16 @@ CASES = {
 
 
 @pytest.mark.parametrize("patience", [1, 3])
-@pytest.mark.parametrize("at_once", [2, 3, 4096])
-def test_early_stop_against_a_loop(spark, patience, at_once):
+@pytest.mark.parametrize("scale", [1, 5000])
+def test_early_stop_against_a_loop(spark, patience, scale):
     rng = random.Random(1)
     cases = CASES | {100 + i: [rng.uniform(0, 1) for _ in range(rng.randint(1, 12))] for i in range(60)}
-    rows = [(run, e, float(x)) for run, losses in cases.items() for e, x in enumerate(losses)] + [(1, 50, None)]
+    rows = [(run, e * scale, float(x)) for run, losses in cases.items() for e, x in enumerate(losses)] + [(1, 50, None)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "run_id long, epoch long, val_loss double")
-    got = {r["run_id"]: tuple(r)[1:] for r in R.early_stop(df, patience, 0.005, at_once).collect()}
-    assert got == {run: model.early_stop([float(x) for x in losses], patience, 0.005) for run, losses in cases.items()}
+    got = {r["run_id"]: tuple(r)[1:] for r in R.early_stop(df, patience, 0.005).collect()}
+    want = {run: model.early_stop([float(x) for x in losses], patience, 0.005) for run, losses in cases.items()}
+    assert got == {run: (stop and stop * scale, *rest) for run, (stop, *rest) in want.items()}
 
 
 def test_best_epoch(spark):
@@ -88,7 +102,7 @@ def test_best_epoch(spark):
 
 
 def test_pooling(spark):
-    pieces = spark.createDataFrame([(4, 0, 10), (5, 0, 10), (5, 1, 11), (5, 2, 11)], "id int, piece_pos int, source_id long")
+    pieces = spark.createDataFrame([(4, 0, 10), (5, 0, 10), (5, 1, 11), (5, 2, 11), (0, 0, 10), (3, 0, 11)], "id int, piece_pos int, source_id long")
     source = spark.createDataFrame([(10, [1.0, 2.0]), (11, [4.0, 8.0])], "source_id long, vec array<float>")
     vocab = spark.createDataFrame([(i,) for i in range(7)], "id int")
     got = {r["id"]: r["vec"] for r in E.pool_embeddings(pieces, source, vocab, 2).collect()}
@@ -117,3 +131,13 @@ def test_svd_of_a_rank_deficient_matrix_and_padding(spark):
     with pytest.raises(ValueError, match="expected 5 x 3"):
         E.assert_embedding_shape(projected, 5, 3)
     assert E.pad_dims(projected, 2).agg(F.max(F.size("vec"))).first()[0] == 4
+
+
+@pytest.mark.parametrize("rows", [[(1, [1.0, 2.0]), (2, [1.0])], [(1, [1.0]), (2, None)]])
+def test_ragged_rows_are_refused(spark, rows):
+    with pytest.raises(ValueError, match="rows of one size"):
+        E.svd_project(spark.createDataFrame(rows, "id int, vec array<double>"), "id", "vec", 1)
+
+
+def test_svd_of_no_rows(spark):
+    assert E.svd_project(spark.createDataFrame([], "id int, vec array<float>"), "id", "vec", 1).collect() == []
