@@ -27,7 +27,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_c
 
     Left out: null ids, null vectors, vectors with null or non-finite components. Rows that
     repeat an id count once, with the smallest vector. A shorter vector counts as filled up
-    with zeros. Scores beyond a long are ordered exactly and reported as the nearest long.
+    with zeros. Scores beyond a long count as the nearest long.
     An empty table, or a query without any other vector, gives no rows.
     """
     marked = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("asks"))
@@ -47,7 +47,8 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_c
     others = dealt(vectors, 2, shards, blocks, F.expr(f"other * {shards} + mine"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        if "id" not in left.schema.names or "id" not in right.schema.names:  # a side without rows has only its key
+        # A side without rows can come without its columns.
+        if not all(side.num_rows and "id" in side.schema.names for side in (left, right)):
             return _tops([], [], 0)
         return best_of_tile(left, right, k, scale, left["tile"][0].as_py() % shards)
 
@@ -77,7 +78,7 @@ def best_of_tile(left: pa.Table, right: pa.Table, k: int, scale: float, part: in
         for ask, scores, found in zip(strip, *_strip_best(queries[start : start + _STRIP], others, strip, ids, k)):
             if len(found):
                 keys.append(ask)
-                lists.append([{"minus": -max(-_LONG, min(_LONG, int(s))), "vec_id": int(i)} for s, i in zip(scores, found)])
+                lists.append([{"minus": -int(s), "vec_id": int(i)} for s, i in zip(scores, found)])
     return _tops(keys, lists, part)
 
 
@@ -103,7 +104,7 @@ def _integers(rows: np.ndarray, scale: float) -> np.ndarray:
 def _strip_best(queries, others, asks, ids, k):
     """Scores and ids of the best `k`, per query: a partial selection, then a sort of what it kept."""
     if queries.dtype == object or others.dtype == object:
-        scores = queries.astype(object) @ others.astype(object).T
+        scores = np.clip(queries.astype(object) @ others.astype(object).T, -_LONG, _LONG)
     else:
         scores = (queries @ others.T).astype(np.int64)
     own = asks[:, None] == ids[None, :]
