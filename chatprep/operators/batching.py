@@ -59,6 +59,25 @@ def pad_batches(batches: DataFrame, columns: tuple = ("x", "y"), pad_ids: tuple
     return out.drop("_width")
 
 
+def padded_batches(
+    df: DataFrame, keys: list[str], epoch: int = 1, batch_rows: int = 16, seed: int = SPLIT_SEED, drop_last: bool = True, pad_id: int = PAD_ID
+) -> DataFrame:
+    """Samples `(keys..., ids)` to rows of one epoch's batches, `x` and `y` padded to the longest of their batch.
+
+    What `pad_batches(assign_batches(shift_targets(df)))` gives. Batches and their widths
+    are settled on lengths; ids move once, to meet their place, and are shifted and padded
+    there. The samples are read several times, so give a stored table.
+    """
+    others = [c for c in df.columns if c != "ids"]
+    placed = assign_batches(df.select(*keys, (F.size("ids") - 1).alias("_n")), keys, epoch, batch_rows, seed, drop_last)
+    sized = placed.withColumn("_width", F.max("_n").over(W.partitionBy("epoch", "batch_id")))
+    met = df.join(sized, keys)
+    fill = F.array_repeat(F.lit(pad_id), F.col("_width") - F.col("_n"))
+    x = F.concat(F.slice("ids", F.lit(1), F.col("_n")), fill)
+    y = F.concat(F.slice("ids", F.lit(2), F.col("_n")), fill)
+    return met.select(*others, x.alias("x"), y.alias("y"), "epoch", "batch_id", "row_in_batch")
+
+
 def batch_matrices(padded: DataFrame, columns: tuple = ("x", "y")) -> DataFrame:
     """One row per batch, its id columns as rectangles in row order; a batch has few rows."""
     rows = F.array_sort(F.collect_list(F.struct("row_in_batch", *columns)))

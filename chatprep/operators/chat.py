@@ -12,10 +12,12 @@ from chatprep.constants import HUMAN_ALIASES, MODEL_ALIASES, PAD_ID
 from chatprep.functions import jsonvals as J
 from chatprep.functions.rows import each, each_value
 from chatprep.functions.text import or_empty, strip
+from chatprep.operators import layout as L
 from chatprep.operators.batching import pad_batches
 from chatprep.operators.pairs import with_messages, with_sharegpt
-from chatprep.operators.ranks import ordered_offset, ordered_rank, shuffled_rank
+from chatprep.operators.ranks import grouped_offset, ordered_offset, ordered_rank, shuffled_rank
 from chatprep.operators.vocab import Codec
+from chatprep.sources.shared import pinned, stored
 
 IGNORED_LABEL = -100
 
@@ -65,14 +67,15 @@ def chat_messages(records: DataFrame) -> DataFrame:
     """
     raw = F.col("raw")
     kept = [c for c in records.columns if c != "raw"]
-    parsed = J.with_objects(records, "_turns", "conversation", shown=("human", "assistant"))
-    parsed = with_sharegpt(with_messages(parsed), parts=True)
-    parsed = parsed.withColumn("_entries", F.map_entries(F.from_json(raw, "map<string,string>"))).withColumn("_keys", J.keys_of(raw))
+    pair = F.col(L.RAW[L.PAIRED])
+    parsed = J.with_objects(L.by_layout(records), "_turns", "conversation", shown=("human", "assistant"), raw=L.RAW[L.TURNS])
+    parsed = with_sharegpt(with_messages(parsed, L.RAW[L.MESSAGES]), parts=True, raw=L.RAW[L.SHAREGPT])
+    parsed = parsed.withColumn("_entries", F.map_entries(F.from_json(pair, "map<string,string>"))).withColumn("_keys", J.keys_of(pair))
     messages = (
-        F.when(F.col("_turns").isNotNull(), F.concat(_first_system(raw), _of_turns(F.col("_turns"))))
-        .when(F.col("_messages").isNotNull(), F.concat(_first_system(raw), _of_speakers(F.col("_messages"), "role", "content")))
-        .when(F.col("_sharegpt").isNotNull(), F.concat(_first_system(raw), _of_speakers(F.col("_sharegpt"), "from", "text")))
-        .otherwise(_of_pair(raw, F.col("_entries"), F.col("_keys")))
+        F.when(F.col("layout") == L.TURNS, F.concat(_first_system(raw), _of_turns(F.col("_turns"))))
+        .when(F.col("layout") == L.MESSAGES, F.concat(_first_system(raw), _of_speakers(F.col("_messages"), "role", "content")))
+        .when(F.col("layout") == L.SHAREGPT, F.concat(_first_system(raw), _of_speakers(F.col("_sharegpt"), "from", "text")))
+        .otherwise(_of_pair(pair, F.col("_entries"), F.col("_keys")))
     )
     return parsed.select(*kept, messages.alias("messages"))
 
@@ -122,13 +125,21 @@ def tokenize_truncate(df: DataFrame, codec: Codec, text: str = "text", max_len:
     return df.withColumn("ids", ids)
 
 
-def _placed(df: DataFrame, order: list[str], n_ids: Column, max_len: int, rows_per_group: int | None) -> DataFrame:
+def _placed(df: DataFrame, order: list[str], n_ids: Column, max_len: int, rows_per_group: int | None, unit: list[str] | None = None) -> DataFrame:
     """Rows with `group_id` and the span `_from`, `_to` their kept ids take in their group.
 
-    Ordering and summing carry lengths only; what a row holds moves once, to meet its span.
+    A group is `rows_per_group` rows, or as many of the `unit`, leading columns of the
+    order. Ordering and summing carry lengths only; what a row holds moves once, to meet its
+    span.
     """
     sizes = df.select(*order, n_ids.cast("bigint").alias("_n"))
-    if rows_per_group is None:
+    if unit and rows_per_group:
+        ranked = ordered_rank(sizes.select(*unit).distinct(), unit, "_rank")
+        groups = pinned(ranked.select(*unit, F.floor(F.col("_rank") / rows_per_group).alias("group_id")))
+        grouped = pinned(sizes.join(groups, unit))
+        placed = grouped_offset(grouped, ["group_id"], order, "_n", "_from")
+        placed = placed.join(grouped.groupBy("group_id").agg(F.sum("_n").alias("_all")), "group_id")
+    elif rows_per_group is None:
         placed = ordered_offset(sizes, order, "_n", "_from").withColumn("group_id", F.lit(0).cast("bigint"))
         total = placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         placed = placed.withColumn("_all", F.lit(total).cast("bigint"))
@@ -148,20 +159,31 @@ def _placed(df: DataFrame, order: list[str], n_ids: Column, max_len: int, rows_p
 
 
 def pack(
-    df: DataFrame, order: list[str], ids: Column, n_ids: Column, max_len: int = 512, rows_per_group: int | None = 1000
+    df: DataFrame,
+    order: list[str],
+    ids: Column,
+    n_ids: Column | None = None,
+    max_len: int = 512,
+    rows_per_group: int | None = 1000,
+    unit: list[str] | None = None,
 ) -> DataFrame:
     """`(group_id, block_id, ids)`: ids of consecutive rows joined and cut into blocks.
 
-    Every `rows_per_group` rows in the order of the unique `order` columns form a group; a
+    Every `rows_per_group` rows in the order of the unique `order` columns form a group, or
+    all rows of so many of a `unit`, e.g. the turns of 1000 conversations; a
     group's ids are joined without a separator and what does not fill a last block is left
     out, unless the group is shorter than one block, which is then kept short. With no
     group size the whole table is one group.
 
     Rows know from running sums over lengths at which id they begin, so each cuts itself
     into its parts of blocks, and only one block is ever gathered in one place. `n_ids`
-    gives the number of ids without making them, `ids` makes them.
+    gives the number of ids without making them, `ids` makes them; without it ids are made
+    once and kept, so that no tokenizer runs twice.
     """
-    met = _placed(df, order, n_ids, max_len, rows_per_group)
+    if n_ids is None:
+        df = stored(df.select(*order, ids.alias("_ids")), "ids")
+        ids, n_ids = F.col("_ids"), F.size("_ids")
+    met = _placed(df, order, n_ids, max_len, rows_per_group, unit)
     blocks = F.sequence(F.floor(F.col("_from") / max_len), F.floor((F.col("_to") - 1) / max_len))
     made = met.select("group_id", "_from", "_to", ids.alias("_ids"), blocks.alias("_blocks"))
     parts = each_value(made, ["group_id", "_from", "_to", "_ids"], "_blocks", "block_id")
@@ -199,10 +221,15 @@ def pack_text(
     return blocks.select("group_id", "block_id", codec.encode(F.col("text"), add_special=False).alias("ids"))
 
 
+def labels_of(ids: Column, pad_id: int = PAD_ID) -> Column:
+    """What a language model is to predict: the ids, -100 wherever they hold the pad id."""
+    return F.transform(ids, lambda i: F.when(i == pad_id, IGNORED_LABEL).otherwise(i))
+
+
 def lm_collate(batches: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
-    """Pads `ids` to the longest of their batch and adds `labels`, -100 wherever `ids` holds the pad id."""
-    labels = F.transform("ids", lambda i: F.when(i == pad_id, IGNORED_LABEL).otherwise(i))
-    return pad_batches(batches.withColumn("labels", labels), ("ids", "labels"), (pad_id, IGNORED_LABEL))
+    """Pads `ids` to the longest of their batch and adds `labels`, made of the padded ids so that ids alone move."""
+    padded = pad_batches(batches, ("ids",), (pad_id,))
+    return padded.withColumn("labels", labels_of(F.col("ids"), pad_id))
 
 
 def pack_efficiency(

@@ -15,14 +15,30 @@ from chatprep.sources.records import CorpusError, assert_records
 TURNS, MESSAGES, SHAREGPT, PAIRED = "turns", "messages", "sharegpt", "paired"
 
 
-def layout_of(raw: Column) -> Column:
-    """Layout of one record: `conversation`, `messages`, `conversations` lists, else paired."""
-    return (
-        F.when(J.list_under(raw, "conversation").isNotNull(), TURNS)
-        .when(J.list_under(raw, "messages").isNotNull(), MESSAGES)
-        .when(J.list_under(raw, "conversations").isNotNull(), SHAREGPT)
-        .otherwise(PAIRED)
-    )
+# Columns that hold a record's text if it has that layout, and null otherwise.
+RAW = {layout: f"_raw_{layout}" for layout in (TURNS, MESSAGES, SHAREGPT, PAIRED)}
+
+
+def layout_of(raw: Column, keys: Column | None = None) -> Column:
+    """Layout of one record: `conversation`, `messages`, `conversations` lists, else paired.
+
+    `keys`, the names of its fields where they are at hand, spare a record the look into
+    lists that it does not have.
+    """
+
+    def has_list(key: str) -> Column:
+        listed = J.list_under(raw, key).isNotNull()
+        return listed if keys is None else F.when(F.array_contains(keys, key), listed).otherwise(False)
+
+    return F.when(has_list("conversation"), TURNS).when(has_list("messages"), MESSAGES).when(has_list("conversations"), SHAREGPT).otherwise(PAIRED)
+
+
+def by_layout(records: DataFrame) -> DataFrame:
+    """Adds `layout` and the columns of `RAW`: parsers of other layouts find nothing to parse."""
+    named = records.withColumn("_names", J.keys_of(F.col("raw")))
+    marked = named.withColumn("layout", layout_of(F.col("raw"), F.col("_names"))).drop("_names")
+    texts = {column: F.when(F.col("layout") == layout, F.col("raw")) for layout, column in RAW.items()}
+    return marked.withColumns(texts)
 
 
 def layout_of_text(spark: SparkSession, raw: str) -> str:

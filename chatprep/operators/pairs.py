@@ -21,8 +21,10 @@ def _kept(records: DataFrame) -> list[str]:
     return [c for c in records.columns if c != "raw"]
 
 
-def _pair(pos: Column, asked: Column, answer: Column) -> Column:
-    return F.struct(pos.alias("pos"), asked.alias("input"), answer.alias("output"))
+def _pair(pos: Column, asked: Column, answer: Column, told: Column | None = None) -> Column:
+    """A pair; `told` is the length of the history in front of it, null if it has none of its own."""
+    told = F.lit(None) if told is None else told
+    return F.struct(pos.alias("pos"), asked.alias("input"), answer.alias("output"), told.cast("bigint").alias("told"))
 
 
 def _exploded(parsed: DataFrame, kept: list[str], pairs: Column) -> DataFrame:
@@ -30,6 +32,18 @@ def _exploded(parsed: DataFrame, kept: list[str], pairs: Column) -> DataFrame:
     return each_value(parsed, kept, pairs, "_pair").select(*kept, "_pair.pos", "_pair.input", "_pair.output")
 
 
+def _exploded_with_history(parsed: DataFrame, kept: list[str], pairs: Column, max_chars: int | None) -> DataFrame:
+    """`_exploded`, each pair with the beginning of `_told` that it says; no row holds more than one history."""
+
+    def cut(text: Column) -> Column:
+        return text if max_chars is None else F.substring(text, 1, max_chars)
+
+    rows = each_value(parsed, [*kept, "_told", "_system"], pairs, "_pair")
+    earlier = blank_to_null(F.substring("_told", F.lit(1), F.col("_pair.told").cast("int")))
+    asked = F.when(F.col("_pair.told").isNotNull(), cut(join_lines(F.col("_system"), earlier, F.col("_pair.input"))))
+    return rows.select(*kept, "_pair.pos", F.coalesce(asked, "_pair.input").alias("input"), "_pair.output")
+
+
 def pairs_from_records(records: DataFrame, input_key: str, output_key: str, strict: bool = True) -> DataFrame:
     """One cleaned pair per record, kept only where both sides have text.
 
@@ -86,10 +100,10 @@ def _prefix_of_messages(raw: Column) -> Column:
     return F.when(~empty, value).when(~other_empty, other).otherwise("")
 
 
-def with_messages(records: DataFrame) -> DataFrame:
+def with_messages(records: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds `_messages`, `(role, content)` objects, and `_messages_prefix`."""
-    said = J.with_objects(records, "_messages", "messages", plain=("role",), parts=("content",))
-    return said.withColumn("_messages_prefix", _prefix_of_messages(F.col("raw")))
+    said = J.with_objects(records, "_messages", "messages", plain=("role",), parts=("content",), raw=raw)
+    return said.withColumn("_messages_prefix", _prefix_of_messages(F.col(raw)))
 
 
 def _message_pairs() -> Column:
@@ -101,11 +115,11 @@ def pairs_from_messages(records: DataFrame) -> DataFrame:
     return _exploded(with_messages(records), _kept(records), _message_pairs())
 
 
-def with_sharegpt(records: DataFrame, parts: bool = False) -> DataFrame:
+def with_sharegpt(records: DataFrame, parts: bool = False, raw: str = "raw") -> DataFrame:
     """Adds `_sharegpt`, `(from, text)` objects, `content` standing in for a missing `value`, and `_sharegpt_prefix`."""
     texts = ("value", "content")
-    said = J.with_objects(records, "_both", "conversations", plain=("from",), **{"parts" if parts else "shown": texts})
-    raws = J.list_under(F.col("raw"), "conversations")
+    said = J.with_objects(records, "_both", "conversations", plain=("from",), raw=raw, **{"parts" if parts else "shown": texts})
+    raws = J.list_under(F.col(raw), "conversations")
     # A blank `value` beside a `content` is the one case that needs to know whether the field is there.
     unsure = F.exists("_both", lambda m: (m["value"] == "") & (m["content"] != ""))
     there = F.when(unsure, F.transform(raws, lambda e: J.has_field(e, "value")))
@@ -115,8 +129,8 @@ def with_sharegpt(records: DataFrame, parts: bool = False) -> DataFrame:
         text = F.when((m["value"] == "") & ~F.coalesce(F.get("_there", i), F.lit(True)), m["content"]).otherwise(m["value"])
         return F.when(m.isNotNull(), F.struct(m["from"].alias("from"), text.alias("text")))
 
-    system = J.fields(F.col("raw"), "system")["system"]
-    prefix = F.when(J.is_text(F.col("raw"), system, "system"), system).otherwise("")
+    system = J.fields(F.col(raw), "system")["system"]
+    prefix = F.when(J.is_text(F.col(raw), system, "system"), system).otherwise("")
     return marked.withColumn("_sharegpt", F.transform("_both", one)).withColumn("_sharegpt_prefix", prefix).drop("_both", "_there")
 
 
@@ -134,38 +148,48 @@ def system_of(raw: Column) -> Column:
     return blank_to_null(strip(J.fields(raw, "system")["system"]))
 
 
-def with_turns(records: DataFrame) -> DataFrame:
+def with_turns(records: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds `_turns`, the stripped `(pos, human, assistant)` turns with text on both sides, and `_system`."""
-    said = J.with_objects(records, "_said", "conversation", plain=("human", "assistant"))
+    said = J.with_objects(records, "_said", "conversation", plain=("human", "assistant"), raw=raw)
 
     def turn(t: Column, i: Column) -> Column:
         return F.struct(i.alias("pos"), strip(t["human"]).alias("human"), strip(t["assistant"]).alias("assistant"))
 
     both = F.filter(F.transform("_said", turn), lambda t: (t["human"] != "") & (t["assistant"] != ""))
-    return said.withColumn("_turns", both).withColumn("_system", system_of(F.col("raw"))).drop("_said")
+    return said.withColumn("_turns", both).withColumn("_system", system_of(F.col(raw))).drop("_said")
 
 
-def _turn_pairs(max_chars: int | None) -> Column:
-    """Pairs of `_turns` with their history; `_first_turns` are the turns that can be in one."""
+_BLOCK = 64  # turns whose lengths are summed at once
 
-    def cut(text: Column) -> Column:
-        return text if max_chars is None else F.substring(text, 1, max_chars)
+
+def _with_told(parsed: DataFrame, max_chars: int | None) -> DataFrame:
+    """Adds `_told`, all turns as one text, and `_lengths` and `_sums`, which say where each begins in it."""
 
     def line(t: Column) -> Column:
         return F.concat(t["human"], F.lit("\n"), t["assistant"])
 
-    def pair(t: Column, i: Column) -> Column:
-        earlier = F.slice("_first_turns", F.lit(1), F.least(i, F.size("_first_turns")))
-        told = blank_to_null(cut(F.array_join(F.transform(earlier, line), "\n")))
-        return _pair(t["pos"], cut(join_lines(F.col("_system"), told, t["human"])), t["assistant"])
+    # A turn adds at least 4 characters, which bounds how many can be within the limit.
+    first = F.col("_turns") if max_chars is None else F.slice("_turns", 1, max_chars // 4 + 1)
+    told = F.array_join(F.transform(first, line), "\n")
+    lengths = F.transform("_turns", lambda t: (F.length(t["human"]) + F.length(t["assistant"]) + 2).cast("bigint"))
+    with_lengths = parsed.withColumn("_told", told if max_chars is None else F.substring(told, 1, max_chars)).withColumn("_lengths", lengths)
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size("_lengths") - 1, F.lit(0)) / _BLOCK).cast("int"))
+    return with_lengths.withColumn("_sums", F.transform(blocks, lambda b: _sum(F.slice("_lengths", b * _BLOCK + 1, F.lit(_BLOCK)))))
 
-    return F.transform("_turns", pair)
 
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda total, n: total + n)
 
-def _with_first_turns(parsed: DataFrame, max_chars: int | None) -> DataFrame:
-    # A turn adds at least 4 characters, which bounds how many can be within the limit.
-    first = F.col("_turns") if max_chars is None else F.slice("_turns", 1, max_chars // 4 + 1)
-    return parsed.withColumn("_first_turns", first)
+
+def _turn_pairs() -> Column:
+    """Pairs of `_turns`, with the length of the turns told before each."""
+
+    def pair(t: Column, i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        before = _sum(F.slice("_sums", F.lit(1), block)) + _sum(F.slice("_lengths", block * _BLOCK + 1, i % _BLOCK))
+        return _pair(t["pos"], t["human"], t["assistant"], F.greatest(before - 1, F.lit(0).cast("bigint")))
+
+    return F.transform("_turns", pair)
 
 
 def pairs_from_turns(records: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -173,9 +197,10 @@ def pairs_from_turns(records: DataFrame, max_chars: int | None = None) -> DataFr
 
     A turn with a blank side is dropped and stays out of later history. `max_chars` keeps
     only that much of each input: exact for samples of at most that many ids, and it keeps
-    the work on a long record linear.
+    the work on a long record linear. The turns of a record are one text, of which every
+    pair takes its beginning when it becomes a row.
     """
-    return _exploded(_with_first_turns(with_turns(records), max_chars), _kept(records), _turn_pairs(max_chars))
+    return _exploded_with_history(_with_told(with_turns(records), max_chars), _kept(records), _turn_pairs(), max_chars)
 
 
 def turns_corpus(records: DataFrame) -> DataFrame:
@@ -218,21 +243,15 @@ def load_pairs(records: DataFrame, max_chars: int | None = None, first: str | No
 def pairs_of_mixed(records: DataFrame, keys: tuple[str, str], max_chars: int | None = None) -> DataFrame:
     """Pairs of a corpus in which every record is read by its own layout, kept as `layout`; one scan."""
     kept = [*_kept(records), "layout"]
-    parsed = _with_first_turns(with_turns(with_sharegpt(with_messages(records))), max_chars)
-    raw = F.col("raw")
-    layout = (
-        F.when(F.col("_turns").isNotNull(), L.TURNS)
-        .when(F.col("_messages").isNotNull(), L.MESSAGES)
-        .when(F.col("_sharegpt").isNotNull(), L.SHAREGPT)
-        .otherwise(L.PAIRED)
-    )
+    parsed = with_messages(L.by_layout(records), L.RAW[L.MESSAGES])
+    parsed = with_turns(with_sharegpt(parsed, raw=L.RAW[L.SHAREGPT]), L.RAW[L.TURNS])
+    raw = F.col(L.RAW[L.PAIRED])
     sides = [clean(J.printed(raw, J.fields(raw, *keys)[key], key)) for key in keys]
     single = F.filter(F.array(_pair(F.lit(0), *sides)), lambda p: (p["input"] != "") & (p["output"] != ""))
-    marked = parsed.withColumn("layout", layout)
     pairs = (
-        F.when(F.col("layout") == L.TURNS, _turn_pairs(max_chars))
+        F.when(F.col("layout") == L.TURNS, _turn_pairs())
         .when(F.col("layout") == L.MESSAGES, _message_pairs())
         .when(F.col("layout") == L.SHAREGPT, _sharegpt_pairs())
         .otherwise(single)
     )
-    return _exploded(marked, kept, pairs)
+    return _exploded_with_history(_with_told(parsed, max_chars), kept, pairs, max_chars)

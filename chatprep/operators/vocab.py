@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatprep.constants import BOS_TEXT, EOS_TEXT, N_SPECIAL, PAD_TEXT, UNK_ID, UNK_TEXT
+from chatprep.constants import BOS_TEXT, EOS_TEXT, MAX_CODE_POINTS, N_SPECIAL, PAD_TEXT, UNK_ID, UNK_TEXT
 from chatprep.functions.codec import characters, ids_of, text_of, with_specials
 from chatprep.functions.rows import each, each_value
 from chatprep.sources.tables import assert_vocab_size
@@ -57,6 +57,7 @@ def oov_report(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame
 
     Counts come first, so both sides of the anti join are at most one row per code point.
     """
+    assert_vocab_size(vocab.limit(MAX_CODE_POINTS + N_SPECIAL + 1).count())
     known = vocab.filter(F.col("id") >= N_SPECIAL).select("ch")
     return char_frequency(df, text).join(F.broadcast(known), "ch", "left_anti")
 
@@ -79,7 +80,8 @@ class Codec:
 
     @classmethod
     def of(cls, vocab: DataFrame) -> Codec:
-        rows = vocab.select("id", "ch").collect()
+        # One row more than can be, so that a table that is no vocabulary is refused, not gathered.
+        rows = vocab.select("id", "ch").limit(MAX_CODE_POINTS + N_SPECIAL + 1).collect()
         assert_vocab_size(len(rows))
         texts = [UNK_TEXT] * (max((r["id"] for r in rows), default=-1) + 1)
         points = {}
@@ -117,6 +119,7 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, keys: list[str], text: str =
     For vocabularies that should stay a table; slower than `Codec.encode`, which is the
     default. Rows are regrouped by their unique keys, so a group is one text.
     """
+    assert_vocab_size(vocab.limit(MAX_CODE_POINTS + N_SPECIAL + 1).count())
     chars = each(df, keys, characters(F.col(text)), "pos", "ch")
     known = vocab.filter(F.col("id") >= UNK_ID).select("ch", "id")
     looked = chars.join(F.broadcast(known), "ch", "left")

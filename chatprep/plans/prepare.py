@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.constants import BLOCK_SIZES
-from chatprep.operators import batching, chat, context, layout, pairs, samples, turns, vocab
+from chatprep.operators import batching, chat, context, embeddings, layout, pairs, samples, turns, vocab
 from chatprep.sources import records as R
 from chatprep.sources.shared import stored
 
@@ -67,16 +67,16 @@ def epoch_batches(
     """Padded batches of one epoch, no larger than the size allows; only training drops a short last batch."""
     batch_rows = batching.batch_rows_for(size, batch_rows)
     part = prepared.filter(F.col("split") == split).drop("split")
-    placed = batching.assign_batches(samples.shift_targets(part), keys, epoch, batch_rows, drop_last=split == "train")
-    return batching.pad_batches(placed)
+    return batching.padded_batches(part, keys, epoch, batch_rows, drop_last=split == "train")
 
 
 def finetune_blocks(
-    records: DataFrame, ids: Column, n_ids: Column, max_len: int = 512, packing: bool = True, template: chat.ChatTemplate = chat.CHATML
+    records: DataFrame, ids: Column, n_ids: Column | None = None, max_len: int = 512, packing: bool = True, template: chat.ChatTemplate = chat.CHATML
 ) -> DataFrame:
     """Records to rendered chats to id rows: packed blocks, or one cut row per record.
 
-    `ids` and `n_ids` are expressions on the rendered column `text`.
+    `ids` and `n_ids` are expressions on the rendered column `text`; without `n_ids` ids are
+    made once and kept.
     """
     texts = chat.chat_messages(records).select("rec_id", chat.render_chat(F.col("messages"), template).alias("text"))
     if packing:
@@ -84,6 +84,42 @@ def finetune_blocks(
     return texts.select("rec_id", F.slice(ids, 1, max_len).alias("ids"))
 
 
+def finetune_turns(
+    table: DataFrame, ids: Column, n_ids: Column | None = None, max_len: int = 512, conversations: int = 1000, template: chat.ChatTemplate = chat.CHATML
+) -> DataFrame:
+    """Row-per-turn conversations to packed blocks `(group_id, block_id, ids)`, so many conversations to a group.
+
+    A turn is rendered and tokenized by itself, and a conversation is the ids of its turns
+    in order; none is ever put together in a row. `ids` and `n_ids` are expressions on the
+    rendered column `piece`.
+    """
+    pieces = chat.render_turns(table, template)
+    return chat.pack(pieces, ["conv_id", "turn"], ids, n_ids, max_len, conversations, ["conv_id"])
+
+
+def finetune_batches(
+    blocks: DataFrame, keys: list[str], eval_ratio: float = 0.05, split: str = "train", epoch: int = 1, batch_rows: int = 2
+) -> DataFrame:
+    """Rows of `ids` to one epoch's collated batches of a split: `ids` padded, `labels` masked where they are.
+
+    The evaluation rows are an exact share; only training drops a short last batch. Give a
+    stored table.
+    """
+    part = batching.train_val_split(blocks, keys, eval_ratio).filter(F.col("split") == split).drop("split")
+    return chat.lm_collate(batching.assign_batches(part, keys, epoch, batch_rows, drop_last=split == "train"))
+
+
+def initial_embeddings(
+    pieces: DataFrame, source: DataFrame, vocabulary: DataFrame, source_dim: int, target_dim: int
+) -> DataFrame:
+    """`(id, vec)`: pooled source vectors, projected where they are too long, padded where too short, checked."""
+    pooled = stored(embeddings.pool_embeddings(pieces, source, vocabulary, source_dim), "pooled")
+    fitted = embeddings.svd_project(pooled, "id", "vec", target_dim) if source_dim > target_dim else pooled
+    out = stored(embeddings.pad_dims(fitted, target_dim), "embeddings")
+    embeddings.assert_embedding_shape(out, vocabulary.count(), target_dim)
+    return out
+
+
 def chat_prompts(history: DataFrame, prompts: DataFrame, n: int, template: chat.ChatTemplate = chat.CHATML) -> DataFrame:
     """Rendered pieces of `(conv_id, prompt)` and their context, in `(part, section, turn)` order.
 

@@ -28,7 +28,7 @@ from chatprep.operators import turns as T
 from chatprep.operators import vocab as V
 from chatprep.sources import records as Rec
 from chatprep.sources import tables as Tab
-from chatprep.sources.shared import new_folder
+from chatprep.sources.shared import new_folder, stored
 from chatprep.streaming import streams as Z
 
 BLOCK = 256
@@ -248,12 +248,12 @@ def assign_batches_documents(spark, sf):
 
 
 def pad_batches(spark, sf):
-    padded = B.pad_batches(_batches(spark, sf))
+    padded = B.padded_batches(stored(_samples(spark, sf), "samples"), KEYS)
     return padded.select("batch_id", "row_in_batch", ids_csv(F.col("x")).alias("x"), ids_csv(F.col("y")).alias("y"))
 
 
 def batch_matrices(spark, sf):
-    rows = B.batch_matrices(B.pad_batches(_batches(spark, sf)))
+    rows = B.batch_matrices(B.padded_batches(stored(_samples(spark, sf), "samples"), KEYS))
     cells = F.aggregate("x", F.lit(0).cast("bigint"), lambda n, row: n + F.size(row))
     first = F.get(F.get("y", F.lit(0)), F.lit(0))
     return rows.select("batch_id", F.size("x").alias("n_rows"), cells.alias("n_cells"), first.alias("first_y"))
