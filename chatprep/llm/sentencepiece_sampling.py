@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,10 @@ SAMPLES = 3
 ALPHA = 1.0
 SEED = 23
 _SPACE = "▁"
-_CHUNK_CHARS = 800_000
-_MAX_NOISE = 37.0  # -log of the smallest exponential number that 53 random bits give
-_FIRST_REACH = 48.0
+_CHUNK_CHARS = 500_000
+_MAX_NOISE = 23.0  # -log of the smallest exponential number that 32 random bits give
+_FIRST_REACH = 30.0
 _RANK_SHIFT = 2.0
-_UNKNOWN = -1
 
 
 @dataclass
@@ -37,6 +37,8 @@ class Pieces:
     piece: np.ndarray  # at a node of the trie, or -1
     weight: np.ndarray  # log weight of each piece
     unknown: float  # log weight of a character in no piece
+    edge_weight: np.ndarray  # of what an edge can stand for: a piece, or last, such a character
+    stand_in: np.ndarray  # what stands on the edge of such a character: by code point, its byte, or from 128 on a mark
     byte_ids: np.ndarray | None
     unknown_id: int
     decoded: list[bytes]
@@ -103,7 +105,11 @@ def load(path: str = MODEL) -> Pieces:
     word = re.compile(r"(?s).+") if crosses else re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
     prefix = model.normalize("a").startswith(_SPACE)
     unknown = float(weight[normal].min() - 10)
-    return Pieces(symbol, base, owner, child, np.array(piece, np.int32), weight, unknown, byte_ids, model.unk_id(), decoded, prefix, word, proto)
+    edge_weight = np.append(np.where(special, unknown, weight), unknown)
+    ascii_ids = byte_ids[:128] if byte_ids is not None else np.full(128, n)
+    stand_in = np.append(ascii_ids, n).astype(np.int32)
+    trie = (symbol, base, owner, child, np.array(piece, np.int32))
+    return Pieces(*trie, weight, unknown, edge_weight, stand_in, byte_ids, model.unk_id(), decoded, prefix, word, proto)
 
 
 @dataclass
@@ -125,6 +131,7 @@ class Lattice:
     log_q: np.ndarray
     steps: np.ndarray
     points: np.ndarray  # the code point after each node
+    has_odd: bool  # whether some character is written in several bytes
 
     def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by a number in (0, 1)."""
@@ -147,42 +154,54 @@ def lattice(pieces: Pieces, words: list[str], alpha: float) -> Lattice:
     inner[end] = False
     inner = np.flatnonzero(inner)  # nodes with a character after them
     points[inner] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = np.zeros(n + 1, np.int64)
+    symbol = np.zeros(n + 1, np.int32)
     symbol[inner] = pieces.symbol[points[inner]]
     # All places walk down the trie together.
-    at, state, length = inner, np.zeros(len(inner), np.int64), 0
+    at, state, length = inner, np.zeros(len(inner), np.int32), 0
     sources, targets, found = [], [], []
     while at.size:
         s = symbol[at + length]
         slot = pieces.base[state] + s
-        ok = (s > 0) & (pieces.owner[slot] == state)
+        ok = np.flatnonzero((s > 0) & (pieces.owner[slot] == state))
         at, state = at[ok], pieces.child[slot[ok]]
         length += 1
-        hit = pieces.piece[state] >= 0
+        piece = pieces.piece[state]
+        hit = np.flatnonzero(piece >= 0)
         sources.append(at[hit])
         targets.append(at[hit] + length)
-        found.append(pieces.piece[state[hit]])
+        found.append(piece[hit])
         if length == 1:  # characters that are no piece
-            rest = np.setdiff1d(inner, at[hit], assume_unique=True)
-            sources.append(rest)
-            targets.append(rest + 1)
-            found.append(np.full(len(rest), _UNKNOWN))
-    none = [np.zeros(0, np.int64)]
-    source, target, piece = (np.concatenate(x[::-1] or none).astype(np.int64) for x in (sources, targets, found))
-    order = np.argsort(source, kind="stable")
-    source, target, piece = source[order], target[order], piece[order]
-    weight = alpha * np.where(piece >= 0, pieces.weight[np.maximum(piece, 0)], pieces.unknown)
-    first = np.searchsorted(source, np.arange(n + 1))
+            odd = np.ones(n, bool)
+            odd[end] = odd[at[hit]] = False
+            odd = np.flatnonzero(odd)
+            sources.append(odd)
+            targets.append(odd + 1)
+            found.append(pieces.stand_in[np.minimum(points[odd], 128)])
+    counts = np.zeros(n + 1, np.int64)
+    for x in sources:
+        counts[x + 1] += 1
+    first = np.cumsum(counts)
+    total_edges = int(first[-1]) if n else 0
+    source, target, piece = (np.empty(total_edges, np.int32) for _ in range(3))
+    free = first[:-1].copy() if n else first
+    for x, to, p in zip(sources[::-1], targets[::-1], found[::-1]):
+        slot = free[x]
+        source[slot], target[slot], piece[slot] = x, to, p
+        free[x] += 1
+    weight = alpha * pieces.edge_weight[piece]
     # Sums over all ways from a node to its word's end, nodes nearest to an end first.
-    to_end = np.repeat(end, lengths + 1)[: n] - np.arange(n)
+    to_end = np.repeat(end, lengths + 1) - np.arange(n)
     total = np.zeros(n)
     far = to_end[source]
-    turn = np.argsort(far, kind="stable")
-    cuts = np.searchsorted(far[turn], np.arange(1, int(far.max(initial=0)) + 2))
+    longest = int(far.max(initial=0))
+    # Small integers are sorted by counting.
+    turn = np.argsort(far.astype(np.uint16) if longest < 1 << 16 else far, kind="stable")
+    cuts = np.cumsum(np.bincount(far, minlength=longest + 1))
     for a, b in zip(cuts, cuts[1:]):
         edges = turn[a:b]
-        heads = np.flatnonzero(np.r_[True, source[edges][1:] != source[edges][:-1]])
-        total[source[edges[heads]]] = np.logaddexp.reduceat(weight[edges] + total[target[edges]], heads)
+        nodes = source[edges]
+        heads = np.concatenate([[0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1])
+        total[nodes[heads]] = np.logaddexp.reduceat(weight[edges] + total[target[edges]], heads)
     log_q = weight + total[target] - total[source]
     # Node by node, so that sums do not depend on what other words are here.
     steps, width = np.exp(log_q), np.diff(first)
@@ -191,7 +210,7 @@ def lattice(pieces: Pieces, words: list[str], alpha: float) -> Lattice:
         nodes = nodes[width[nodes] > k]
         steps[first[nodes] + k] += steps[first[nodes] + k - 1]
     steps[first[1:][width > 0] - 1] = 1.0
-    return Lattice(start, end, first, source, target, piece, log_q, steps, points)
+    return Lattice(start, end, first, source, target, piece, log_q, steps, points, bool((piece >= len(pieces.decoded)).any()))
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -199,11 +218,10 @@ _LONG = (1 << 64) - 1
 
 
 def uniform(key: np.ndarray) -> np.ndarray:
-    """A number in (0, 1) for each 64-bit key."""
+    """A number in (0, 1) for each 64-bit key, of 32 random bits."""
     z = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((z >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32
 
 
 def stream(*counters: int) -> int:
@@ -221,21 +239,24 @@ def place_keys(seeds: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def walked(net: Lattice, node: np.ndarray, end: np.ndarray, keys: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random ways from nodes to the ends of their words: the edges, way after way, and the way of each."""
+    """Random ways from nodes to the ends of their words: the edges, way after way, and where each way begins."""
     going, step = np.flatnonzero(node < end), 0
     at = node.copy()
-    ways, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ways, edges, length = [], [], np.zeros(len(node) + 1, np.int64)
     while going.size:
         here = at[going]
         edge = net.drawn(here, uniform(keys[going] + np.uint64(stream(sample, step))))
         ways.append(going)
         edges.append(edge)
+        length[going + 1] += 1
         at[going] = here = net.target[edge]
         going = going[here < end[going]]
         step += 1
-    way, edge = np.concatenate(ways), np.concatenate(edges)
-    order = np.argsort(way, kind="stable")
-    return edge[order], way[order]
+    begins = np.cumsum(length)
+    whole = np.empty(int(begins[-1]), np.int64)
+    for step, (way, edge) in enumerate(zip(ways, edges)):
+        whole[begins[way] + step] = edge
+    return whole, begins
 
 
 def finished(net: Lattice, node: int, end: int, key: int, sample: int) -> list[int]:
@@ -348,23 +369,22 @@ def distinct_samples(net: Lattice, types: np.ndarray, fresh: list[tuple[np.ndarr
 def ids_of(pieces: Pieces, net: Lattice, edges: np.ndarray) -> np.ndarray:
     """Piece ids of a way; characters in no piece in bytes."""
     ids = net.piece[edges]
-    odd = np.flatnonzero(ids == _UNKNOWN)
+    odd = np.flatnonzero(ids >= len(pieces.decoded)) if net.has_odd else ()
     if not len(odd):
-        return ids.astype(np.int32)
+        return ids
     parts, last = [], 0
     for i in odd.tolist():
-        parts.append(ids[last:i])
         letter = chr(int(net.points[net.source[edges[i]]])).encode("utf-8", "replace")
-        parts.append(pieces.byte_ids[list(letter)] if pieces.byte_ids is not None else np.array([pieces.unknown_id]))
+        parts += [ids[last:i], pieces.byte_ids[list(letter)] if pieces.byte_ids is not None else np.array([pieces.unknown_id])]
         last = i + 1
     return np.concatenate([*parts, ids[last:]]).astype(np.int32)
 
 
-def text_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of texts of about as many characters."""
     first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
+    for i, length in enumerate(pa.compute.utf8_length(texts).to_pylist()):
+        size += length or 0
         if size >= _CHUNK_CHARS or i + 1 == len(texts):
             yield first, i + 1
             first, size = i + 1, 0
@@ -383,8 +403,8 @@ def segmentations(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int, a
     start, end = net.start[types], net.end[types]
     fresh = []
     for sample in range(k):
-        edges, word = walked(net, start, end, keys, sample)
-        fresh.append((edges, place[word], np.searchsorted(word, np.arange(len(types) + 1))))
+        edges, ways = walked(net, start, end, keys, sample)
+        fresh.append((edges, np.repeat(place, np.diff(ways)), ways))
     out = []
     for begin, count, own in zip(begins.tolist(), counts.tolist(), seeds):
         mine = types[begin : begin + count]
@@ -401,12 +421,12 @@ def encode(df: DataFrame, pieces: Pieces, k: int = SAMPLES, alpha: float = ALPHA
     """Adds `samples`: up to `k` distinct segmentations of the whole text, drawn without replacement.
 
     Each is a struct of `ids`, `log_probability` (a segmentation is drawn in proportion to
-    the product of its pieces' weights to the power `alpha`) and `inclusion`, the
-    probability that its perturbed log probability exceeds that of the first one left out,
-    which makes sums over samples weighted by 1 / inclusion unbiased. They come by falling
-    perturbed log probability. Draws depend on the row's id and `seed` alone, so reruns and
-    any partitioning agree; rows without an id go by their text, rows that repeat an id and
-    a text get the same samples.
+    the product of its pieces' weights to the power `alpha`), `inclusion`, the probability
+    that its perturbed log probability exceeds that of the first one left out, which makes
+    sums over samples weighted by 1 / inclusion unbiased, and `restored`, whether its
+    decoding is the text. They come by falling perturbed log probability. Draws depend on
+    the row's id and `seed` alone, so reruns and any partitioning agree; rows without an id
+    go by their text, rows that repeat an id and a text get the same samples.
 
     Null texts have null samples; empty ones have the one segmentation of no pieces. Texts
     with fewer segmentations than `k` have all of them. A column named `samples` is
@@ -416,31 +436,31 @@ def encode(df: DataFrame, pieces: Pieces, k: int = SAMPLES, alpha: float = ALPHA
     names = rows.columns
     # As large as the model file, whatever the data.
     held = df.sparkSession.sparkContext.broadcast(pieces)
-    kind = pa.struct([("ids", pa.list_(pa.int32())), ("log_probability", pa.float64()), ("inclusion", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = held.value
         for batch in batches:
-            texts = batch[text_col].to_pylist()
-            plain = pieces.normalized([t or "" for t in texts])
             seeds = batch["_seed"].to_numpy().view(np.uint64)
-            for first, last in text_chunks(plain):
-                found = segmentations(pieces, plain[first:last], seeds[first:last], k, alpha)
-                yield pa.RecordBatch.from_arrays([*[batch[n].slice(first, last - first) for n in names], _samples(found, texts[first:last], kind)], names=[*names, "samples"])
+            for first, last in text_chunks(batch[text_col]):
+                texts = batch[text_col].slice(first, last - first).to_pylist()
+                plain = pieces.normalized([t or "" for t in texts])
+                found = segmentations(pieces, plain, seeds[first:last], k, alpha)
+                same = [[decoded_text(pieces.decoded, pieces.prefix, s[0]) == t for s in samples] for samples, t in zip(found, texts)]
+                yield pa.RecordBatch.from_arrays([*[batch[n].slice(first, last - first) for n in names], _samples(found, same, texts)], names=[*names, "samples"])
 
     key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), text_col)).otherwise(F.xxhash64(F.lit(seed), id_col))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("_seed", key).mapInArrow(run, f"{fields}, samples array<struct<ids: array<int>, log_probability: double, inclusion: double>>")
+    return rows.withColumn("_seed", key).mapInArrow(run, f"{fields}, samples array<struct<ids: array<int>, log_probability: double, inclusion: double, restored: boolean>>")
 
 
-def _samples(found: list, texts: list, kind: pa.DataType) -> pa.Array:
+def _samples(found: list, same: list, texts: list) -> pa.Array:
     """The column of samples, put together from flat arrays."""
     flat = [s for samples in found for s in samples]
     ids = [s[0] for s in flat]
     inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-    structs = pa.StructArray.from_arrays([inner, pa.array([s[1] for s in flat], pa.float64()), pa.array([s[2] for s in flat], pa.float64())], fields=list(kind))
-    offsets = np.cumsum([0, *map(len, found)])
-    whole = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+    columns = [inner, pa.array([s[1] for s in flat], pa.float64()), pa.array([s[2] for s in flat], pa.float64()), pa.array([x for row in same for x in row], pa.bool_())]
+    structs = pa.StructArray.from_arrays(columns, names=["ids", "log_probability", "inclusion", "restored"])
+    whole = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), structs)
     keep = pa.array([t is not None for t in texts])
     return pa.compute.if_else(keep, whole, pa.scalar(None, whole.type)) if None in texts else whole
 
@@ -471,6 +491,7 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "deco
 
 
 def decoded_text(decoded: list[bytes], prefix: bool, ids: np.ndarray) -> str | None:
+    """The text of piece ids."""
     if len(ids) and not (0 <= ids.min() and ids.max() < len(decoded)):
         return None
     text = b"".join(map(decoded.__getitem__, ids.tolist())).decode("utf-8", "replace")

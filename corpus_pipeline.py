@@ -50,7 +50,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids: distinct segmentations of every document, with inclusion probabilities."""
     pieces = sentencepiece_sampling.load()
     encoded = sentencepiece_sampling.encode(docs.select("doc_id", "source", "text"), pieces, SAMPLES)
-    return encoded.select("doc_id", "source", F.posexplode_outer("samples").alias("sample", "one")).select("doc_id", "source", "sample", "one.*")
+    each = encoded.select("doc_id", "source", F.posexplode_outer("samples").alias("sample", "one"))
+    return each.select("doc_id", "source", "sample", "one.ids", "one.log_probability", "one.inclusion")
 
 
 STAGES = [("quality", judge), ("line_dedup", remove_lines), ("near_dedup", remove_copies), ("mixture", mix), ("encode", encode)]
