@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ SAMPLES = 3
 ALPHA = 1.0
 SEED = 23
 _SPACE = "▁"
-_CHUNK_CHARS = 500_000
+_CHUNK_CHARS = 1_000_000
 _MAX_NOISE = 23.0  # -log of the smallest exponential number that 32 random bits give
 _FIRST_REACH = 30.0
 _RANK_SHIFT = 2.0
@@ -129,6 +131,7 @@ class Lattice:
     target: np.ndarray
     piece: np.ndarray
     log_q: np.ndarray
+    log_rest: np.ndarray  # of the other edges of its node together
     steps: np.ndarray
     points: np.ndarray  # the code point after each node
     has_odd: bool  # whether some character is written in several bytes
@@ -210,7 +213,9 @@ def lattice(pieces: Pieces, words: list[str], alpha: float) -> Lattice:
         nodes = nodes[width[nodes] > k]
         steps[first[nodes] + k] += steps[first[nodes] + k - 1]
     steps[first[1:][width > 0] - 1] = 1.0
-    return Lattice(start, end, first, source, target, piece, log_q, steps, points, bool((piece >= len(pieces.decoded)).any()))
+    with np.errstate(divide="ignore"):
+        log_rest = np.log(np.maximum(-np.expm1(log_q), 0.0)) + 1e-6  # never less than any other's own
+    return Lattice(start, end, first, source, target, piece, log_q, log_rest, steps, points, bool((piece >= len(pieces.decoded)).any()))
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -289,81 +294,110 @@ def _way(net: Lattice, edges: np.ndarray, words: np.ndarray, perturbed: float) -
     return Way(edges, words, sums[:-1], float(sums[-1]), perturbed)
 
 
-def others(net: Lattice, way: Way, keys: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges not taken at steps lo to hi of a way: (perturbed, step, edge).
+def others(net: Lattice, taken: np.ndarray, before: np.ndarray, perturbed: np.ndarray, least: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges not taken where an edge was, as far as they can come to `least`: (perturbed, which of the taken, edge).
 
     Each stands for all ways through it. Their best perturbed log probability is a Gumbel
-    number around the log of their mass, given that it is below the way's own.
+    number around the log of their mass, given that it is below the way's own, `perturbed`;
+    it cannot be more than `_MAX_NOISE` above that log.
     """
-    v = net.source[way.edges[lo:hi]]
-    first = net.first[v]
-    width = net.first[v + 1] - first
-    ends = np.cumsum(width)
-    n = int(ends[-1]) if len(ends) else 0
-    ordinal = np.arange(n) - np.repeat(ends - width, width)
-    step = np.repeat(np.arange(lo, hi), width)
+    steps = np.flatnonzero(before + net.log_rest[taken] >= least - _MAX_NOISE)
+    first = net.first[net.source[taken[steps]]]
+    width = net.first[net.source[taken[steps]] + 1] - first
+    ordinal = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+    step = np.repeat(steps, width)
     edge = np.repeat(first, width) + ordinal
-    free = np.flatnonzero(edge != way.edges[step])
-    step, ordinal, edge = step[free], ordinal[free], edge[free]
-    mass = way.before[step] + net.log_q[edge]
-    key = keys + (step.astype(np.uint64) * np.uint64(64) + ordinal.astype(np.uint64)) * np.uint64(_ODD)
-    noise = np.log(-np.log(uniform(key)))
-    return -np.logaddexp(-way.perturbed, noise - mass), step, edge
+    mass = before[step] + net.log_q[edge]
+    free = np.flatnonzero((edge != taken[step]) & (mass >= least[step] - _MAX_NOISE))
+    step, ordinal, edge, mass = step[free], ordinal[free], edge[free], mass[free]
+    noise = np.log(-np.log(uniform(keys[step] + ordinal.astype(np.uint64) * np.uint64(_ODD))))
+    return -np.logaddexp(-perturbed[step], noise - mass), step, edge
 
 
-def distinct_samples(net: Lattice, types: np.ndarray, fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]], at: int, seed: np.uint64, k: int) -> tuple[list[Way], float]:
-    """The `k` segmentations of largest perturbed log probability of a text, and that of the next.
-
-    The text's words are `types`; they are number `at` and on in the ways of `fresh`, one
-    set of random ways for each sample. The best way is a plain sample. Every edge not taken
-    on the way to a found one leads to ways not found yet, the best of which is known by its
+@dataclass
+class Search:
+    """What is known of a text: ways found, and the best edges not taken, (perturbed, way, step, edge), best first."""
+
+    ways: list[Way]
+    heap: list[tuple[float, int, int, int]]
+    key: int
+    begin: int = 0  # step from which the last way is its own
+    beyond: float | None = None  # perturbed value of the best way left out, once all are found
+
+    def least(self, wanted: int) -> float:
+        return self.heap[wanted - 1][0] if len(self.heap) >= wanted else -np.inf
+
+
+def look_around(net: Lattice, searches: list[Search], i: int, k: int) -> None:
+    """Puts the edges not taken on the texts' way number `i` on their heaps, all texts together."""
+    wanted = k - i
+    pending = [(s, s.begin) for s in searches]
+    while pending:
+        parts = []
+        for s, lo in pending:
+            least = s.least(wanted)
+            # What has too little mass cannot matter, whatever its noise.
+            near = _MAX_NOISE - least if np.isfinite(least) else _FIRST_REACH if lo == s.begin else np.inf
+            hi = max(lo, int(np.searchsorted(-s.ways[i].before, near, side="right")))
+            parts.append((s, lo, hi, least))
+        sizes = np.array([hi - lo for _, lo, hi, _ in parts])
+        number = np.concatenate([np.arange(lo, hi) for _, lo, hi, _ in parts])
+        mine = np.array([s.key + stream(999, i) & _LONG for s, _, _, _ in parts], np.uint64)
+        value, at, edge = others(
+            net,
+            np.concatenate([s.ways[i].edges[lo:hi] for s, lo, hi, _ in parts]),
+            np.concatenate([s.ways[i].before[lo:hi] for s, lo, hi, _ in parts]),
+            np.repeat([s.ways[i].perturbed for s, _, _, _ in parts], sizes),
+            np.repeat([least for _, _, _, least in parts], sizes),
+            np.repeat(mine, sizes) + number.astype(np.uint64) * np.uint64(64 * _ODD & _LONG),
+        )
+        cuts = np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))
+        pending = []
+        for (s, lo, hi, least), a, b in zip(parts, cuts.tolist(), cuts[1:].tolist()):
+            best = np.arange(a, b)
+            if b - a > wanted:
+                best = a + np.argpartition(value[a:b], b - a - wanted)[b - a - wanted :]
+            found = zip(value[best].tolist(), [i] * len(best), number[at[best]].tolist(), edge[best].tolist())
+            s.heap = sorted([*s.heap, *found], reverse=True)[:wanted]
+            before, now = s.ways[i].before, s.least(wanted)
+            if hi < len(before) and (now == -np.inf or before[hi] >= now - _MAX_NOISE):
+                pending.append((s, hi))
+
+
+def distinct_ways(net: Lattice, types: np.ndarray, begins: np.ndarray, counts: np.ndarray, fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]], seeds: np.ndarray, k: int) -> list[Search]:
+    """For each text the `k` segmentations of largest perturbed log probability, and that of the next.
+
+    Text t has the words `types` from `begins[t]` on; `fresh` are random ways through all
+    words, one set for each sample. The best way is a plain sample. Every edge not taken on
+    the way to a found one leads to ways not found yet, the best of which is known by its
     perturbed value before it is looked at: the search always goes on with the largest.
     """
-    own = np.array([seed], np.uint64)
 
-    def tail(sample: int, word: int) -> tuple[np.ndarray, np.ndarray]:
-        edges, words, begins = fresh[sample]
-        cut = slice(int(begins[at + word]), int(begins[at + len(types)]))
+    def tail(sample: int, t: int, word: int) -> tuple[np.ndarray, np.ndarray]:
+        edges, words, at = fresh[sample]
+        cut = slice(int(at[begins[t] + word]), int(at[begins[t] + counts[t]]))
         return edges[cut], words[cut]
 
-    gumbel = -np.log(-np.log(uniform(own + np.uint64(stream(998)))))
-    ways = [_way(net, *tail(0, 0), float(gumbel[0]))]
-    values, origin, begin = np.zeros(0), np.zeros((0, 3), np.int64), 0  # of edges not taken: way, step, edge
-    while True:
-        i = len(ways) - 1
-        way, wanted = ways[i], k - i
-        keys = own + np.uint64(stream(999, i))
-        lo, hi = begin, max(begin, int(np.searchsorted(-way.before, _FIRST_REACH, side="right")))
-        while True:
-            value, step, edge = others(net, way, keys, lo, hi)
-            if len(value) > wanted:
-                best = np.argpartition(value, len(value) - wanted)[len(value) - wanted :]
-                value, step, edge = value[best], step[best], edge[best]
-            values = np.concatenate([values, value])
-            origin = np.concatenate([origin, np.stack([np.full(len(step), i), step, edge], axis=1)])
-            if len(values) > wanted:
-                best = np.argpartition(values, len(values) - wanted)[len(values) - wanted :]
-                values, origin = values[best], origin[best]
-            # What is left has too little mass to matter, whatever its noise.
-            if hi >= len(way.edges) or len(values) >= wanted and way.before[hi] + _MAX_NOISE < values.min():
-                break
-            lo, hi = hi, len(way.edges)
-        if not len(values):
-            return ways, -np.inf
-        top = int(np.argmax(values))
-        value, (parent, step, edge) = float(values[top]), origin[top].tolist()
-        if len(ways) == k:
-            return ways, value
-        values, origin = np.delete(values, top), np.delete(origin, top, axis=0)
-        known = ways[parent]
-        word, sample = int(known.words[step]), len(ways)
-        key = int(place_keys(own, np.array([word]))[0])
-        rest = [edge, *finished(net, int(net.target[edge]), int(net.end[types[word]]), key, sample + 500)]
-        after, owners = tail(sample, word + 1)
-        path = np.concatenate([known.edges[:step], rest, after])
-        owner = np.concatenate([known.words[:step], np.full(len(rest), word), owners])
-        ways.append(_way(net, path, owner, value))
-        begin = step + 1
+    gumbel = (-np.log(-np.log(uniform(seeds + np.uint64(stream(998)))))).tolist()
+    searches = [Search([_way(net, *tail(0, t, 0), g)], [], int(seed)) for t, (g, seed) in enumerate(zip(gumbel, seeds))]
+    for i in range(k):
+        going = [(t, s) for t, s in enumerate(searches) if s.beyond is None]
+        look_around(net, [s for _, s in going], i, k)
+        for t, s in going:
+            if not s.heap or i + 1 == k:
+                s.beyond = s.heap[0][0] if s.heap else -np.inf
+                continue
+            value, parent, step, edge = s.heap.pop(0)
+            known = s.ways[parent]
+            word = int(known.words[step])
+            key = s.key + (word + 1) * _ODD & _LONG
+            rest = [edge, *finished(net, int(net.target[edge]), int(net.end[types[begins[t] + word]]), key, i + 501)]
+            after, owners = tail(i + 1, t, word + 1)
+            path = np.concatenate([known.edges[:step], rest, after])
+            owner = np.concatenate([known.words[:step], np.full(len(rest), word), owners])
+            s.ways.append(_way(net, path, owner, value))
+            s.begin = step + 1
+    return searches
 
 
 def ids_of(pieces: Pieces, net: Lattice, edges: np.ndarray) -> np.ndarray:
@@ -392,11 +426,13 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def segmentations(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int, alpha: float) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each normalised text up to `k` distinct segmentations: (ids, log probability, inclusion probability)."""
-    kinds: dict[str, int] = {}
-    words = [[kinds.setdefault(w, len(kinds)) for w in pieces.word.findall(t)] for t in texts]
+    found = [pieces.word.findall(t) for t in texts]
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    words = list(chain.from_iterable(found))
+    kinds = {word: i for i, word in enumerate(dict.fromkeys(words))}
     net = lattice(pieces, list(kinds), alpha)
-    counts = np.array([len(w) for w in words], np.int64)
-    types = np.fromiter((x for w in words for x in w), np.int64, int(counts.sum()))
+    types = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
+    del found, words
     begins = np.cumsum(counts) - counts
     place = np.arange(len(types)) - np.repeat(begins, counts)
     keys = place_keys(np.repeat(seeds, counts), place)
@@ -406,14 +442,10 @@ def segmentations(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int, a
         edges, ways = walked(net, start, end, keys, sample)
         fresh.append((edges, np.repeat(place, np.diff(ways)), ways))
     out = []
-    for begin, count, own in zip(begins.tolist(), counts.tolist(), seeds):
-        mine = types[begin : begin + count]
-        ways, beyond = distinct_samples(net, mine, fresh, begin, own, k)
-        made = []
-        for way in ways:
-            inclusion = -np.expm1(-np.exp(min(700.0, way.log_p - beyond))) if np.isfinite(beyond) else 1.0
-            made.append((ids_of(pieces, net, way.edges), way.log_p, float(inclusion)))
-        out.append(made)
+    for search in distinct_ways(net, types, begins, counts, fresh, seeds, k):
+        beyond = search.beyond
+        inclusions = [-np.expm1(-np.exp(min(700.0, way.log_p - beyond))) if np.isfinite(beyond) else 1.0 for way in search.ways]
+        out.append([(ids_of(pieces, net, way.edges), way.log_p, float(p)) for way, p in zip(search.ways, inclusions)])
     return out
 
 
@@ -494,5 +526,6 @@ def decoded_text(decoded: list[bytes], prefix: bool, ids: np.ndarray) -> str | N
     """The text of piece ids."""
     if len(ids) and not (0 <= ids.min() and ids.max() < len(decoded)):
         return None
-    text = b"".join(map(decoded.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    parts = itemgetter(*ids.tolist())(decoded) if len(ids) > 1 else [decoded[i] for i in ids]
+    text = b"".join(parts).decode("utf-8", "replace")
     return text.removeprefix(" ") if prefix else text
