@@ -88,15 +88,22 @@ def prompt_limit(block_size: int, max_new: int = 256) -> int:
     return max(8, block_size - max_new - 4)
 
 
-def truncate_prompt(ids: Column, block_size: int, max_new: int = 256) -> Column:
-    """The first ids that leave room for `max_new` more; what is cut is the end."""
-    return F.slice(ids, 1, prompt_limit(block_size, max_new))
+def truncate_prompt(ids: Column, block_size: int, max_new: int = 256, keep: str = "start") -> Column:
+    """As many ids as leave room for `max_new` more; what is cut is the end, or with `keep="ends"` the middle."""
+    limit = prompt_limit(block_size, max_new)
+    start = F.slice(ids, 1, limit)
+    if keep == "start":
+        return start
+    tail = limit - limit // 2
+    ends = F.concat(F.slice(ids, 1, limit // 2), F.slice(ids, F.greatest(F.size(ids) - tail + 1, F.lit(1)), F.lit(tail)))
+    return F.when(F.size(ids) > limit, ends).otherwise(start)
 
 
-def build_prompts(df: DataFrame, codec: Codec, block_size: int, max_new: int = 256) -> DataFrame:
+def build_prompts(df: DataFrame, codec: Codec, block_size: int, max_new: int = 256, keep: str = "start") -> DataFrame:
     """Adds `ids`, the cut prompt of `text` under `system`; unreachable text is not encoded."""
     limit = prompt_limit(block_size, max_new)
     text = prompt_text(F.col("text"), F.col("system"))
     n_full = F.length(text) + 3
-    ids = truncate_prompt(F.array_append(codec.encode(F.substring(text, 1, limit)), F.lit(BOS_ID)), block_size, max_new)
+    reached = F.substring(text, 1, limit) if keep == "start" else text
+    ids = truncate_prompt(F.array_append(codec.encode(reached), F.lit(BOS_ID)), block_size, max_new, keep)
     return df.withColumn("n_full", n_full).withColumn("ids", ids)

@@ -255,3 +255,44 @@ def pairs_of_mixed(records: DataFrame, keys: tuple[str, str], max_chars: int | N
         .otherwise(single)
     )
     return _exploded_with_history(_with_told(parsed, max_chars), kept, pairs, max_chars)
+
+
+def _list_reasons(said: str, who: str, text: str, humans: list[str], models: list[str]) -> Column:
+    """What became of every element of a list of messages."""
+
+    def reason(m: Column, i: Column) -> Column:
+        after = F.get(said, i + 1)
+        return (
+            F.when(i + 1 == F.size(said), "last")
+            .when(~F.coalesce(m[who].isin(humans), F.lit(False)), "not_asked")
+            .when(~F.coalesce(after[who].isin(models), F.lit(False)), "not_answered")
+            .when(F.coalesce(strip(after[text]), F.lit("")) == "", "blank_answer")
+            .otherwise("paired")
+        )
+
+    return F.transform(said, reason)
+
+
+def record_drop_reasons(records: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """`(layout, reason, n)`: what became of every message, turn or record, each read by its own layout.
+
+    Counted are elements of lists, and records of one pair; a list without elements counts
+    once, as `empty`.
+    """
+    parsed = with_sharegpt(with_messages(L.by_layout(records), L.RAW[L.MESSAGES]), raw=L.RAW[L.SHAREGPT])
+    parsed = J.with_objects(parsed, "_said", "conversation", plain=("human", "assistant"), raw=L.RAW[L.TURNS])
+
+    def sides(one: Column, other: Column) -> Column:
+        blank = (F.coalesce(one, F.lit("")) == "") | (F.coalesce(other, F.lit("")) == "")
+        return F.when(blank, "blank_side").otherwise("paired")
+
+    raw = F.col(L.RAW[L.PAIRED])
+    single = F.when(J.is_object(raw), sides(*[clean(J.printed(raw, J.fields(raw, *keys)[key], key)) for key in keys])).otherwise("not_an_object")
+    reasons = (
+        F.when(F.col("layout") == L.TURNS, F.transform("_said", lambda t: sides(strip(t["human"]), strip(t["assistant"]))))
+        .when(F.col("layout") == L.MESSAGES, _list_reasons("_messages", "role", "content", ["user"], ["assistant"]))
+        .when(F.col("layout") == L.SHAREGPT, _list_reasons("_sharegpt", "from", "text", HUMAN_ALIASES, MODEL_ALIASES))
+        .otherwise(F.array(single))
+    )
+    some = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("empty")))
+    return each_value(parsed, ["layout"], some, "reason").groupBy("layout", "reason").agg(F.count("*").alias("n"))

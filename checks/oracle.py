@@ -213,18 +213,31 @@ UNION ALL SELECT rec_id, 'paired', 0, input, output FROM rp WHERE rec_id % 4 = 3
   WHEN next_role IS NULL THEN 'user_last' WHEN next_role <> 'assistant' THEN 'user_not_answered'
   WHEN {strip("text")} = '' OR {strip("next_text")} = '' THEN 'blank_side' ELSE 'paired' END AS reason, count(*) AS n_turns
 FROM ctx GROUP BY 1""",
-    "layouts": "SELECT ['messages', 'sharegpt', 'turns', 'paired'][doc_id % 4 + 1] AS layout, count(*) AS n FROM documents GROUP BY 1",
+    "record_drop_reasons": f"""WITH {MESSAGES}, {SHAREGPT.removeprefix(LINES + ",")}, {TURN_SIDES.removeprefix(LINES + ",")}, {TEXT_RAW},
+said AS (SELECT 'messages' AS layout, rec_id, pos, who = 'user' AS asks, who = 'assistant' AS answers, text FROM msg_m WHERE rec_id % 4 = 0
+  UNION ALL SELECT 'sharegpt', rec_id, pos, who IN ('human', 'user'), who IN ('gpt', 'assistant', 'model', 'chatbot'), text FROM sg_m WHERE rec_id % 4 = 1),
+after AS (SELECT *, lead(answers) OVER w AS next_answers, lead(text) OVER w AS next_text FROM said WINDOW w AS (PARTITION BY layout, rec_id ORDER BY pos)),
+r AS (SELECT layout, CASE WHEN next_answers IS NULL THEN 'last' WHEN NOT asks THEN 'not_asked' WHEN NOT next_answers THEN 'not_answered'
+    WHEN {strip("next_text")} = '' THEN 'blank_answer' ELSE 'paired' END AS reason FROM after
+  UNION ALL SELECT 'turns', CASE WHEN human = '' OR assistant = '' THEN 'blank_side' ELSE 'paired' END FROM sides WHERE rec_id % 4 = 2
+  UNION ALL SELECT 'paired', CASE WHEN {clean("asked")} = '' OR {clean("rest")} = '' THEN 'blank_side' ELSE 'paired' END FROM raw WHERE rec_id % 4 = 3)
+SELECT layout, reason, count(*) AS n FROM r GROUP BY ALL""",
+    "layouts": "SELECT doc_id AS rec_id, ['messages', 'sharegpt', 'turns', 'paired'][doc_id % 4 + 1] AS layout FROM documents",
+    "detect_layout": """SELECT * FROM (VALUES ('m', 'messages'), ('s', 'sharegpt'), ('t', 'turns'), ('p', 'paired')) AS t(corpus, layout)
+WHERE (SELECT count(*) FROM documents) > 0""",
     "uniform_system": """
 SELECT 'by source' AS corpus, CASE WHEN count(DISTINCT source) = 1 THEN min(source) END AS system FROM documents
 UNION ALL SELECT 'one name', CASE WHEN count(DISTINCT regexp_replace(source, '[0-9]+$', '')) = 1 THEN min(regexp_replace(source, '[0-9]+$', '')) END FROM documents""",
-    "dataset_summary": f"WITH {TEXT_PAIRS} SELECT count(*) AS n_pairs, 'prompt' AS input_key, 'output' AS output_key, NULL::VARCHAR AS system_excerpt FROM rp",
+    "dataset_summary": f"""WITH {TEXT_PAIRS}, {MESSAGES}
+SELECT count(*) AS n_pairs, 'prompt' AS input_key, 'output' AS output_key, NULL::VARCHAR AS system_excerpt FROM rp
+UNION ALL SELECT count(*), 'messages', 'messages', left('one system text of more than forty characters', 40) || '...' FROM msg""",
     "preview": f"""WITH {ADJACENT} SELECT conv_id, turn, {excerpt("input", 120)} AS input, {excerpt("output", 120)} AS output
 FROM adj ORDER BY conv_id, turn LIMIT 2""",
-    "read_jsonl_fields": "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1",
+    "read_jsonl_fields": "SELECT json_extract_string(props, '$.k') AS k FROM events",
     "read_json_documents": f"""WITH {LINES}
 SELECT doc_id, CAST(i AS BIGINT) AS line, {clean("line")} AS output FROM dl WHERE doc_id % 4 <> 3 AND {clean("line")} <> ''
 UNION ALL SELECT doc_id, doc_id, {clean("text")} FROM documents WHERE doc_id % 4 = 3 AND {clean("text")} <> ''""",
-    "split_corrupt": "SELECT CASE WHEN event_id % 3 = 0 THEN 'corrupt' ELSE 'good' END AS part, count(*) AS n FROM events GROUP BY 1",
+    "split_corrupt": "SELECT event_id AS rec_id, CASE WHEN event_id % 3 = 0 THEN 'corrupt' ELSE 'good' END AS part FROM events",
     "vocab": f"WITH {VOCAB} SELECT * FROM vocab",
     "vocab_size": f"WITH {VOCAB} SELECT count(*) AS vocab_size FROM vocab",
     "vocab_round_trip": f"WITH {VOCAB} SELECT * FROM vocab",
@@ -236,6 +249,7 @@ WHERE ch NOT IN (SELECT ch FROM vocab WHERE id >= 4) GROUP BY 1""",
     "encode": f"WITH {VOCAB}, {encoded_documents('enc', f'''list_concat(list_concat(['<bos>'], {chars('text')}), ['<eos>'])''')} SELECT doc_id, {csv('ids')} AS ids FROM enc",
     "encode_joined": f"WITH {VOCAB}, {encoded_documents('enc', chars('text'))} SELECT doc_id, {csv('ids')} AS ids FROM enc",
     "encode_arrow": f"WITH {VOCAB}, {encoded_documents('enc', chars('text'))} SELECT doc_id, {csv('ids')} AS ids FROM enc",
+    "encode_plugged": f"SELECT doc_id, {csv("list_transform(string_split(text, ' '), lambda w: length(w))")} AS ids FROM documents",
     "decode_round_trip": f"""WITH {VOCAB}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS p FROM documents)
 SELECT doc_id, coalesce(string_agg(CASE WHEN id >= 4 THEN ch END, '' ORDER BY p), '') AS text FROM c LEFT JOIN vocab USING (ch) GROUP BY 1""",
     "decode_with_specials": f"""WITH {VOCAB}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS p FROM documents)
@@ -243,14 +257,18 @@ SELECT doc_id, '<bos>' || string_agg(CASE WHEN id >= 4 THEN ch ELSE '{UNK_TEXT}'
     "shift_targets": f"WITH {SHIFTED} SELECT conv_id, turn, {csv('x')} AS x, {csv('y')} AS y FROM xy",
     "length_profile": f"""WITH {HISTORY}, l AS (SELECT length(input) + length(output) + 4 AS n FROM hist)
 SELECT count(*) AS n_samples, max(n) AS longest, round(avg(n), 6) AS mean, greatest(least(greatest(max(n), 16), 2048), 512) AS block_size FROM l""",
+    "write_samples": f"""WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || conv_id || ':' || turn)) AS r, count(*) OVER () AS n FROM samples)
+SELECT conv_id, turn, CASE WHEN n > 1 AND r <= greatest(1, floor(n * 0.1::DOUBLE)) THEN 'val' ELSE 'train' END AS split, {csv('ids')} AS ids FROM r""",
     "train_val_split": f"""WITH {HISTORY}, r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY md5('42:' || conv_id || ':' || turn)) AS r, count(*) OVER () AS n FROM hist)
 SELECT conv_id, turn, CASE WHEN n > 1 AND r <= greatest(1, floor(n * 0.1::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM r""",
     "assign_batches": f"WITH {BATCHES} SELECT conv_id, turn, 1 AS epoch, batch_id, row_in_batch FROM placed",
     "assign_batches_documents": f"""WITH {batched("(SELECT doc_id FROM documents)", "doc_id", "doc_id", 2, 16)}
 SELECT doc_id, 2 AS epoch, batch_id, row_in_batch FROM placed""",
     "pad_batches": f"WITH {BATCHES} SELECT batch_id, row_in_batch, {csv('x')} AS x, {csv('y')} AS y FROM padded",
-    "batch_matrices": f"""WITH {BATCHES} SELECT batch_id, CAST(count(*) AS INT) AS n_rows, CAST(sum(len(x)) AS BIGINT) AS n_cells, arg_min(y[1], row_in_batch) AS first_y FROM padded GROUP BY 1""",
-    "loss_mask": f"""WITH {BATCHES} SELECT batch_id, CAST(sum(len(list_filter(y, lambda t: t <> 0))) AS BIGINT) AS n_counted, CAST(sum(len(y)) AS BIGINT) AS n_cells FROM padded GROUP BY 1""",
+    "batch_matrices": f"""WITH {BATCHES} SELECT batch_id, CAST(count(*) AS INT) AS n_rows, string_agg({csv('x')}, ',' ORDER BY row_in_batch) AS x,
+  string_agg({csv('y')}, ',' ORDER BY row_in_batch) AS y FROM padded GROUP BY 1""",
+    "loss_mask": f"""WITH {BATCHES} SELECT batch_id, row_in_batch, CAST(len(list_filter(y, lambda t: t <> 0)) AS INT) AS n_counted,
+  array_to_string(list_transform(y, lambda t: CASE WHEN t <> 0 THEN '1' ELSE '0' END), '') AS mask FROM padded""",
     "batch_plan": f"""WITH {HISTORY}, s AS (SELECT count(*) // 16 AS per FROM hist), ids AS (SELECT per, unnest(range(per * 3)) AS id FROM s),
 p AS (SELECT id // per + 1 AS epoch, id % per AS batch, ((id % per + 1) % 4 = 0 OR id % per + 1 = per) AS is_step FROM ids)
 SELECT *, CAST(count(*) FILTER (is_step) OVER (ORDER BY epoch, batch) AS BIGINT) AS global_step FROM p""",
@@ -270,6 +288,8 @@ UNION ALL SELECT doc_id, 0, 'system', lang FROM documents""",
     "render_chat": f"""WITH {TEXT_RAW} SELECT rec_id, '<|im_start|>user' || {NL} || rec_id || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || rest ||
   '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} AS text FROM raw""",
     "render_turns": f"SELECT conv_id, turn, '<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL} AS piece FROM conversations",
+    "render_roles": f"""SELECT conv_id, turn, CASE role WHEN 'user' THEN '[ask] ' || text || {NL} WHEN 'assistant' THEN '[say] ' || text || ' [end]' || {NL}
+  ELSE '<' || role || '> ' || text || {NL} END AS piece FROM conversations""",
     "tokenize_truncate": f"WITH {VOCAB}, {encoded_documents('enc', f'''list_slice({chars('text')}, 1, 512)''')} SELECT doc_id, CAST(len(ids) AS INT) AS n, {csv('ids')} AS ids FROM enc",
     "pack_blocks": f"WITH {packed('documents', 'doc_id', 300, 512)} SELECT group_id, block_id, ids FROM b",
     "pack_global": f"WITH {packed('conversations', 'conv_id, turn', None, 1024)} SELECT block_id, ids FROM b",
@@ -277,6 +297,21 @@ UNION ALL SELECT doc_id, 0, 'system', lang FROM documents""",
 {batched("enc", "doc_id", "doc_id", 1, 4)},
 w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS w FROM placed WHERE batch_id < n // 4)
 SELECT doc_id, {csv('list_resize(ids, w, 0)')} AS ids, {csv('list_resize(ids, w, -100)')} AS labels FROM w""",
+    "finetune_turns": f"""WITH {VOCAB},
+pc AS (SELECT conv_id, turn, '<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL} AS text, (dense_rank() OVER (ORDER BY conv_id) - 1) // 40 AS group_id FROM conversations),
+t AS (SELECT group_id, conv_id, turn, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS p FROM pc),
+o AS (SELECT group_id, coalesce(id, 3) AS id, row_number() OVER (PARTITION BY group_id ORDER BY conv_id, turn, p) - 1 AS spot,
+  count(*) OVER (PARTITION BY group_id) AS total FROM t LEFT JOIN vocab USING (ch))
+SELECT group_id, spot // 512 AS block_id, string_agg(id, ',' ORDER BY spot) AS ids FROM o WHERE total < 512 OR spot < total // 512 * 512 GROUP BY ALL""",
+    "finetune_split": f"""WITH {VOCAB}, {TEXT_RAW},
+chat AS (SELECT rec_id, left('<|im_start|>user' || {NL} || rec_id || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || rest || '<|im_end|>' || {NL}, 48) AS text FROM raw),
+{ids_of("enc", "chat", "rec_id", chars("text"))},
+s AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || rec_id)) AS place, count(*) OVER () AS total FROM enc),
+parts AS (SELECT rec_id, ids, CASE WHEN total > 1 AND place <= greatest(1, floor(total * 0.1::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('42:1:' || rec_id), rec_id) - 1 AS r, count(*) OVER (PARTITION BY split) AS n FROM parts),
+b AS (SELECT *, r // 2 AS batch_id, CAST(r % 2 AS INT) AS row_in_batch FROM o WHERE split = 'val' OR r // 2 < n // 2),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY split, batch_id) AS w FROM b)
+SELECT split, rec_id, batch_id, row_in_batch, {csv('list_resize(ids, w, 0)')} AS ids, {csv('list_resize(ids, w, -100)')} AS labels FROM w""",
     "pack_efficiency": f"""WITH {batched("(SELECT doc_id, length(text) AS len FROM documents)", "doc_id", "doc_id", 1, 16).replace("'42:1:'", "'42:'")},
 c AS (SELECT batch_id, count(*) AS k, sum(len) AS re, sum(least(len, 512)) AS cu, max(least(len, 512)) AS wi FROM placed GROUP BY 1),
 u AS (SELECT sum(k) AS n_rows, sum(re) AS real_ids, sum(cu) AS cut_ids, sum(k * wi) AS padded_cells FROM c),
@@ -296,6 +331,9 @@ SELECT conv_id, turn, {csv('ids')} AS ids FROM enc""",
     "truncate_prompt": f"""WITH {VOCAB}, pt AS (SELECT conv_id, turn, CASE WHEN coalesce(system, '') <> '' THEN {strip(f"{strip('system')} || {NL} || {strip('text')}")} ELSE {strip('text')} END AS text FROM ctx WHERE role = 'user'),
 {ids_of("enc", "pt", "conv_id, turn", f"list_concat(list_concat(['<bos>'], {chars('text')}), ['<eos>', '<bos>'])")}
 SELECT conv_id, turn, CAST(len(ids) AS INT) AS n_full, {csv('ids[:252]')} AS ids FROM enc""",
+    "truncate_prompt_ends": f"""WITH {VOCAB}, pt AS (SELECT conv_id, turn, CASE WHEN coalesce(system, '') <> '' THEN {strip(f"{strip('system')} || {NL} || {strip('text')}")} ELSE {strip('text')} END AS text FROM ctx WHERE role = 'user'),
+{ids_of("enc", "pt", "conv_id, turn", f"list_concat(list_concat(['<bos>'], {chars('text')}), ['<eos>', '<bos>'])")}
+SELECT conv_id, turn, CAST(len(ids) AS INT) AS n_full, {csv('CASE WHEN len(ids) > 101 THEN list_concat(ids[:50], ids[len(ids) - 50:]) ELSE ids END')} AS ids FROM enc""",
     "clean_message": f"""WITH q AS (SELECT conv_id, turn, chr(9) || '"'''' ' || text || ' ''" ' AS q FROM conversations)
 SELECT conv_id, turn, {clean("q")} AS cleaned, {clean_keep("q")} AS kept FROM q""",
     "excerpts": f"SELECT doc_id, {excerpt('text', 120)} AS head FROM documents",
@@ -322,6 +360,9 @@ SELECT run_id, epoch, sum(seconds) AS seconds, count(*) FILTER (train) AS n_step
     "best_epoch": f"WITH {EPOCHS} SELECT run_id, arg_min(epoch, (val_loss, epoch)) AS epoch, round(min(val_loss), 9) AS val_loss FROM ep GROUP BY 1",
     "pool_embeddings": f"""WITH {VOCAB}, d AS (SELECT label + 4 AS id, CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 a AS (SELECT id, dim, sum(n * x) / sum(n) AS x FROM d GROUP BY ALL), grid AS (SELECT id, unnest(range(64)) AS dim FROM vocab)
+SELECT id, CAST(dim AS INT) AS dim, round(coalesce(x, 0), 6) AS x FROM grid LEFT JOIN a USING (id, dim)""",
+    "initial_embeddings": f"""WITH {VOCAB}, d AS (SELECT label + 4 AS id, CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+a AS (SELECT id, dim, sum(n * x) / sum(n) AS x FROM d GROUP BY ALL), grid AS (SELECT id, unnest(range(80)) AS dim FROM vocab)
 SELECT id, CAST(dim AS INT) AS dim, round(coalesce(x, 0), 6) AS x FROM grid LEFT JOIN a USING (id, dim)""",
     "pad_dims": """SELECT vec_id, CAST(dim AS INT) AS dim, round(coalesce(embedding[dim + 1]::DOUBLE, 0), 6) AS x
 FROM (SELECT vec_id, embedding, unnest(range(80)) AS dim FROM embeddings)""",

@@ -12,7 +12,7 @@ from checks import derive as D
 from checks.derive import table
 from chatprep.constants import SPLIT_SEED
 from chatprep.functions import jsonvals as J
-from chatprep.functions.codec import ids_csv
+from chatprep.functions.codec import ids_csv, register_tokenizer, tokenizer
 from chatprep.functions.rows import each
 from chatprep.functions.text import clean, clean_keep_inner_space, excerpt
 from chatprep.operators import batching as B
@@ -26,6 +26,7 @@ from chatprep.operators import samples as S
 from chatprep.operators import scores as G
 from chatprep.operators import turns as T
 from chatprep.operators import vocab as V
+from chatprep.plans import prepare
 from chatprep.sources import records as Rec
 from chatprep.sources import tables as Tab
 from chatprep.sources.shared import new_folder, stored
@@ -116,11 +117,23 @@ def pair_drop_reasons(spark, sf):
     return T.drop_reasons(_conversations(spark, sf))
 
 
+def record_drop_reasons(spark, sf):
+    return P.record_drop_reasons(D.records(_documents(spark, sf), D.mixed_raw()), ("prompt", "output"))
+
+
 # --- layout and summaries --------------------------------------------------------------
 
 
 def layouts(spark, sf):
-    return D.records(_documents(spark, sf), D.mixed_raw()).groupBy(L.layout_of(F.col("raw")).alias("layout")).agg(F.count("*").alias("n"))
+    return D.records(_documents(spark, sf), D.mixed_raw()).select("rec_id", L.layout_of(F.col("raw")).alias("layout"))
+
+
+def detect_layout(spark, sf):
+    """The layout each corpus gets from its first record."""
+    docs = _documents(spark, sf)
+    raws = {"m": D.message_raw(), "s": D.sharegpt_raw(), "t": D.turn_raw(), "p": D.text_raw()}
+    rows = [(name, L.detect_layout(D.records(docs, raw))) for name, raw in raws.items()]
+    return spark.createDataFrame(rows, "corpus string, layout string")
 
 
 def uniform_system(spark, sf):
@@ -131,9 +144,13 @@ def uniform_system(spark, sf):
 
 
 def dataset_summary(spark, sf):
-    records = D.records(_documents(spark, sf), D.text_raw())
+    docs = _documents(spark, sf)
+    records = D.records(docs, D.text_raw())
     keys = L.detect_keys(records)
-    return L.dataset_summary(P.pairs_from_records(records, *keys), *keys, L.uniform_system(records).first()["system"])
+    plain = L.dataset_summary(P.pairs_from_records(records, *keys), *keys, L.uniform_system(records).first()["system"])
+    led = D.records(docs.withColumn("source", F.lit("one system text of more than forty characters")), D.message_raw())
+    pairs, *names = P.load_pairs(led)
+    return plain.unionByName(L.dataset_summary(pairs, *names, L.uniform_system(led).first()["system"]))
 
 
 def preview(spark, sf):
@@ -144,8 +161,7 @@ def read_jsonl_fields(spark, sf):
     path = new_folder(spark, "events-jsonl")
     _events(spark, sf).select(F.concat(F.lit("  "), F.col("props"), F.lit("\n")).alias("value")).write.text(path)
     records = Rec.strict_objects(Rec.read_jsonl(spark, path))
-    fields = records.select(J.printed(F.col("raw"), J.fields(F.col("raw"), "k")["k"], "k").alias("k"))
-    return fields.groupBy("k").agg(F.count("*").alias("n"))
+    return records.select(J.printed(F.col("raw"), J.fields(F.col("raw"), "k")["k"], "k").alias("k"))
 
 
 def read_json_documents(spark, sf):
@@ -158,8 +174,8 @@ def read_json_documents(spark, sf):
 def split_corrupt(spark, sf):
     raw = F.when(F.col("event_id") % 3 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
     good, bad = Rec.split_corrupt(_events(spark, sf).select(F.col("event_id").alias("rec_id"), raw.alias("raw")))
-    sizes = [df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in (("good", good), ("corrupt", bad))]
-    return sizes[0].unionByName(sizes[1])
+    parts = [df.select("rec_id", F.lit(name).alias("part")) for name, df in (("good", good), ("corrupt", bad))]
+    return parts[0].unionByName(parts[1])
 
 
 # --- vocabulary and codec ----------------------------------------------------------------
@@ -206,6 +222,12 @@ def encode_arrow(spark, sf):
     return _documents(spark, sf).select("doc_id", ids_csv(encoder("text")).alias("ids"))
 
 
+def encode_plugged(spark, sf):
+    """An outside tokenizer: the lengths of blank-separated words stand for its ids."""
+    register_tokenizer("word_lengths", lambda texts: texts.map(lambda t: [len(w) for w in t.split(" ")]))
+    return _documents(spark, sf).select("doc_id", ids_csv(tokenizer("word_lengths")(F.col("text"))).alias("ids"))
+
+
 def decode_round_trip(spark, sf):
     codec = _codec(spark, sf)
     ids = _documents(spark, sf).select("doc_id", codec.encode(F.col("text")).alias("ids"))
@@ -231,6 +253,13 @@ def length_profile(spark, sf):
     return profile.withColumn("mean", F.round("mean", 6))
 
 
+def write_samples(spark, sf):
+    """Samples with their split, written by split and read back."""
+    path = new_folder(spark, "written")
+    Tab.write_samples(B.train_val_split(stored(_samples(spark, sf), "samples"), KEYS, RATIO), path)
+    return spark.read.parquet(path).select(*KEYS, "split", ids_csv(F.col("ids")).alias("ids"))
+
+
 def train_val_split(spark, sf):
     return B.train_val_split(_samples(spark, sf).select(*KEYS), KEYS, RATIO)
 
@@ -254,14 +283,14 @@ def pad_batches(spark, sf):
 
 def batch_matrices(spark, sf):
     rows = B.batch_matrices(B.padded_batches(stored(_samples(spark, sf), "samples"), KEYS))
-    cells = F.aggregate("x", F.lit(0).cast("bigint"), lambda n, row: n + F.size(row))
-    first = F.get(F.get("y", F.lit(0)), F.lit(0))
-    return rows.select("batch_id", F.size("x").alias("n_rows"), cells.alias("n_cells"), first.alias("first_y"))
+    flat = [ids_csv(F.flatten(c)).alias(c) for c in ("x", "y")]
+    return rows.select("batch_id", F.size("x").alias("n_rows"), *flat)
 
 
 def loss_mask(spark, sf):
-    masked = S.loss_mask(B.pad_batches(_batches(spark, sf)))
-    return masked.groupBy("batch_id").agg(F.sum("n_counted").alias("n_counted"), F.sum(F.size("mask")).alias("n_cells"))
+    masked = S.loss_mask(B.padded_batches(stored(_samples(spark, sf), "samples"), KEYS))
+    mask = F.array_join(F.transform("mask", lambda m: m.cast("int").cast("string")), "")
+    return masked.select("batch_id", "row_in_batch", "n_counted", mask.alias("mask"))
 
 
 def batch_plan(spark, sf):
@@ -297,6 +326,12 @@ def render_turns(spark, sf):
     return C.render_turns(_conversations(spark, sf))
 
 
+def render_roles(spark, sf):
+    """A template with texts of its own for some roles."""
+    template = C.ChatTemplate("<{role}> ", "\n", {"user": ("[ask] ", "\n"), "assistant": ("[say] ", " [end]\n")})
+    return C.render_turns(_conversations(spark, sf), template)
+
+
 def tokenize_truncate(spark, sf):
     cut = C.tokenize_truncate(_documents(spark, sf), _codec(spark, sf))
     return cut.select("doc_id", F.size("ids").alias("n"), ids_csv(F.col("ids")).alias("ids"))
@@ -319,6 +354,25 @@ def lm_collate(spark, sf):
     return collated.select("doc_id", ids_csv(F.col("ids")).alias("ids"), ids_csv(F.col("labels")).alias("labels"))
 
 
+def finetune_turns(spark, sf):
+    codec = _codec(spark, sf)
+    packed = prepare.finetune_turns(
+        _conversations(spark, sf), codec.encode(F.col("piece"), add_special=False), F.length("piece"), max_len=512, conversations=40
+    )
+    return packed.select("group_id", "block_id", ids_csv(F.col("ids")).alias("ids"))
+
+
+def finetune_split(spark, sf):
+    """Collated batches of both splits; ids come from a tokenizer that runs once."""
+    codec = _codec(spark, sf)
+    ids = codec.encode(F.col("text"), add_special=False)
+    rows = prepare.finetune_blocks(D.records(_documents(spark, sf), D.text_raw()), ids, max_len=48, packing=False)
+    rows = stored(rows, "rows")
+    parts = [prepare.finetune_batches(rows, ["rec_id"], RATIO, split).withColumn("split", F.lit(split)) for split in ("train", "val")]
+    both = parts[0].unionByName(parts[1])
+    return both.select("split", "rec_id", "batch_id", "row_in_batch", ids_csv(F.col("ids")).alias("ids"), ids_csv(F.col("labels")).alias("labels"))
+
+
 def pack_efficiency(spark, sf):
     return C.pack_efficiency(_documents(spark, sf), ["doc_id"], F.length("text"), rows_per_group=300)
 
@@ -350,6 +404,12 @@ def truncate_prompt(spark, sf):
     return cut.select(*KEYS, "n_full", ids_csv(F.col("ids")).alias("ids"))
 
 
+def truncate_prompt_ends(spark, sf):
+    asked = T.turns_in_context(_conversations(spark, sf)).filter("role = 'user'").select(*KEYS, "text", "system")
+    cut = X.build_prompts(asked, _codec(spark, sf), block_size=361, max_new=256, keep="ends")
+    return cut.select(*KEYS, "n_full", ids_csv(F.col("ids")).alias("ids"))
+
+
 def clean_message(spark, sf):
     quoted = F.concat(F.lit("\t\"'' "), F.col("text"), F.lit(" '\" "))
     rows = _conversations(spark, sf).select(*KEYS, quoted.alias("q"))
@@ -433,6 +493,11 @@ def pool_embeddings(spark, sf):
     return _long(E.pool_embeddings(pieces, source, _vocab(spark, sf), 64), "id", 6)
 
 
+def initial_embeddings(spark, sf):
+    pieces, source = D.label_pieces(table(spark, sf, "embeddings"))
+    return _long(prepare.initial_embeddings(pieces, source, _vocab(spark, sf), 64, 80), "id", 6)
+
+
 def pad_dims(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return _long(E.pad_dims(vectors, 80), "vec_id", 6)
@@ -506,17 +571,17 @@ def stream_throughput(spark, sf):
 
 QUERIES = [
     samples, pairs_adjacent, pairs_history, pairs_history_cut, pairs_messages_nested, pairs_sharegpt_nested,
-    pairs_turns_nested, pairs_records, pairs_records_numbers, pairs_mixed, pair_drop_reasons,
-    layouts, uniform_system, dataset_summary, preview, read_jsonl_fields, read_json_documents, split_corrupt,
-    vocab, vocab_size, vocab_round_trip, char_frequency, vocab_pruned, oov_report, encode, encode_joined, encode_arrow,
+    pairs_turns_nested, pairs_records, pairs_records_numbers, pairs_mixed, pair_drop_reasons, record_drop_reasons,
+    layouts, detect_layout, uniform_system, dataset_summary, preview, read_jsonl_fields, read_json_documents, split_corrupt,
+    vocab, vocab_size, vocab_round_trip, char_frequency, vocab_pruned, oov_report, encode, encode_joined, encode_arrow, encode_plugged,
     decode_round_trip, decode_with_specials,
-    shift_targets, length_profile, train_val_split, assign_batches, assign_batches_documents, pad_batches,
+    shift_targets, length_profile, write_samples, train_val_split, assign_batches, assign_batches_documents, pad_batches,
     batch_matrices, loss_mask, batch_plan, lr_schedule,
-    chat_messages, chat_messages_lists, render_chat, render_turns, tokenize_truncate, pack_blocks, pack_global,
-    lm_collate, pack_efficiency,
-    context_window_n2, normalize_history, build_prompt, truncate_prompt, clean_message, excerpts,
+    chat_messages, chat_messages_lists, render_chat, render_turns, render_roles, tokenize_truncate, pack_blocks, pack_global,
+    lm_collate, finetune_turns, finetune_split, pack_efficiency,
+    context_window_n2, normalize_history, build_prompt, truncate_prompt, truncate_prompt_ends, clean_message, excerpts,
     topk_ties, softmax, sample_one, sample_scores, nucleus,
     assemble_generation, running_generation, throughput, epoch_rollup, early_stop, best_epoch,
-    pool_embeddings, pad_dims, svd_energy, svd_columns,
+    pool_embeddings, initial_embeddings, pad_dims, svd_energy, svd_columns,
     stream_samples, stream_context_window, stream_early_stop, stream_throughput,
 ]

@@ -99,3 +99,26 @@ def test_grouped_offsets_with_a_hot_group(spark):
     for r in got:
         assert r["before"] == (r["id"] if r["id"] < 1900 else 0)
     assert len(got) == 2000
+
+
+@pytest.mark.parametrize("drop", [True, False])
+def test_padded_batches_move_ids_once(spark, drop):
+    from chatprep.operators import samples as S
+
+    rows = [(i, "k", list(range(1, 2 + i * 7 % 13 + 1))) for i in range(53)]
+    df = spark.createDataFrame(rows, "id long, more string, ids array<int>").repartition(3)
+    want = B.pad_batches(B.assign_batches(S.shift_targets(df), ["id"], 2, 8, drop_last=drop))
+    got = B.padded_batches(df, ["id"], 2, 8, drop_last=drop)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("size(ids") >= 1 and "x#" in text
+
+
+def test_padding_plan_carries_no_ids_to_ranks(spark, tmp_path):
+    """Only the join that brings ids to their place moves them."""
+    path = str(tmp_path / "samples")
+    spark.range(100).selectExpr("id", "sequence(1, 5) AS ids").write.parquet(path)
+    plan = B.padded_batches(spark.read.parquet(path), ["id"])._jdf.queryExecution().executedPlan().toString()
+    moved = [part.split("\n", 2)[1] for part in plan.split("Exchange hashpartitioning")[1:]]
+    assert sum("ids#" in line and "size(ids" not in line for line in moved) <= 1

@@ -187,3 +187,48 @@ def test_from_files_to_blocks(spark, tmp_path):
     text = "".join(r["t"] for r in blocks.orderBy("group_id", "block_id").select(codec.decode(F.col("ids")).alias("t")).collect())
     whole = "".join(f"q{p}.{i}\na{p}.{i}\n" for p in range(3) for i in range(20))
     assert text == whole[: len(whole) // 32 * 32]
+
+
+def test_packing_conversations_against_a_loop(spark):
+    """Groups are so many conversations, however long one of them is."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "abcdefg"[: 1 + (c + t) % 7]) for c in range(9) for t in range(200 if c == 4 else 3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    codec = V.Codec.of(V.build_vocab(spark.createDataFrame([("abcdefg<|im_start|>usertan\nd_i",)], "text string")))
+    ids = codec.encode(F.col("piece"), add_special=False)
+    pieces = {(r["conv_id"], r["turn"]): r["ids"] for r in C.render_turns(turns).select("conv_id", "turn", ids.alias("ids")).collect()}
+    want = {}
+    for g in range(3):
+        flat = [i for c in range(g * 4, min(9, g * 4 + 4)) for t in range(200) for i in pieces.get((c, t), [])]
+        blocks = [flat[k : k + 50] for k in range(0, len(flat) // 50 * 50, 50)] if len(flat) >= 50 else [flat]
+        want |= {(g, b): block for b, block in enumerate(blocks)}
+    for n_ids in (F.length("piece"), None):
+        got = prepare.finetune_turns(turns, ids, n_ids, max_len=50, conversations=4).collect()
+        assert {(r["group_id"], r["block_id"]): r["ids"] for r in got} == want
+
+
+def test_fine_tuning_splits_and_collates(spark):
+    rows = spark.createDataFrame([(i, [5] * (1 + i % 4) + [0]) for i in range(41)], "rec_id long, ids array<int>")
+    train, val = (prepare.finetune_batches(rows, ["rec_id"], 0.1, split).collect() for split in ("train", "val"))
+    assert len(val) == 4 and len(train) == 36 and not {r["rec_id"] for r in train} & {r["rec_id"] for r in val}
+    for batch in (train, val):
+        for r in batch:
+            mates = [len(x["ids"]) for x in batch if x["batch_id"] == r["batch_id"]]
+            assert len(set(mates)) == 1 and r["labels"] == [-100 if i == 0 else i for i in r["ids"]]
+
+
+def test_prompts_can_keep_both_ends(spark):
+    codec = V.Codec.of(V.build_vocab(spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz",)], "text string")))
+    df = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz", None), ("abc", None)], "text string, system string")
+    whole = df.select(X.prompt_ids(codec, F.col("text"), F.col("system")).alias("ids")).collect()
+    got = [r["ids"] for r in X.build_prompts(df, codec, 273, 256, keep="ends").collect()]
+    assert got == [whole[0]["ids"][:6] + whole[0]["ids"][-7:], whole[1]["ids"]]
+
+
+def test_embeddings_from_pieces_to_a_checked_matrix(spark):
+    vocab = spark.createDataFrame([(i,) for i in range(8)], "id int")
+    source = spark.createDataFrame([(i, [float(i), 1.0, float(i * i), 0.5]) for i in range(4)], "source_id long, vec array<float>")
+    pieces = spark.createDataFrame([(4 + i, 0, i) for i in range(4)], "id int, piece_pos int, source_id long")
+    wide = {r["id"]: r["vec"] for r in prepare.initial_embeddings(pieces, source, vocab, 4, 6).collect()}
+    assert wide[5] == [1.0, 1.0, 1.0, 0.5, 0.0, 0.0] and wide[0] == [0.0] * 6
+    narrow = {r["id"]: r["vec"] for r in prepare.initial_embeddings(pieces, source, vocab, 4, 2).collect()}
+    assert len(narrow) == 8 and all(len(v) == 2 for v in narrow.values())

@@ -156,3 +156,44 @@ def test_mixed_corpus(records):
 def test_newline_joins_the_vocabulary_only_when_used(records):
     single = records({"conversation": [{"human": "a", "assistant": "b"}]})
     assert {c for r in P.turns_corpus(single).collect() for c in r["text"]} == {"a", "b", " "}
+
+
+@pytest.mark.parametrize("limit", [None, 300])
+def test_a_record_of_thousands_of_turns(records, limit):
+    """Each pair takes its history when it is a row; offsets are right across blocks of turns."""
+    turns = [{"human": f"h{i}" + "é" * (i % 5), "assistant": " " if i % 97 == 5 else f"a{i}"} for i in range(4000)]
+    kept = [(t["human"], t["assistant"]) for t in turns if t["assistant"].strip()]
+    found = P.pairs_from_turns(records({"system": "S", "conversation": turns}), limit)
+    assert found.count() == len(kept)
+    for n in (0, 1, 63, 64, 65, 200):
+        at = turns.index({"human": kept[n][0], "assistant": kept[n][1]})
+        row = found.filter(f"pos = {at}").first()
+        whole = "\n".join(["S", *[f"{h}\n{a}" for h, a in kept[:n]], kept[n][0]])
+        assert (row["input"], row["output"]) == (whole[:limit], kept[n][1])
+
+
+def test_layouts_by_field_names(records):
+    raws = [{"conversation": 1, "messages": []}, {"conversation": [], "messages": []}, {"messages": {}, "conversations": []}, {"messages": None}, [1], 7, '{"messages": [], "messages": 1}']
+    found = records(*raws)
+    from pyspark.sql import functions as F
+
+    plain = [r[0] for r in found.orderBy("rec_id").select(L.layout_of(F.col("raw"))).collect()]
+    named = L.by_layout(found).orderBy("rec_id").collect()
+    assert [r["layout"] for r in named] == plain
+    assert all([r[c] is not None for c in L.RAW.values()] == [name == r["layout"] for name in L.RAW] for r in named)
+
+
+def test_record_drop_reasons(records):
+    found = records(
+        {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": " "}, {"role": "user", "content": "u"}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]},
+        {"messages": []},
+        {"conversations": [{"from": "human", "value": "u"}, {"from": "gpt", "value": "a"}, 7]},
+        {"conversation": [{"human": "h", "assistant": "a"}, {"human": "h"}, None]},
+        {"q": "x", "a": "y"}, {"q": "", "a": "y"}, "[1]",
+    )
+    got = {(r["layout"], r["reason"]): r["n"] for r in P.record_drop_reasons(found, ("q", "a")).collect()}
+    assert got == {
+        ("messages", "blank_answer"): 1, ("messages", "not_asked"): 1, ("messages", "not_answered"): 1, ("messages", "paired"): 1, ("messages", "last"): 1,
+        ("messages", "empty"): 1, ("sharegpt", "paired"): 1, ("sharegpt", "not_asked"): 1, ("sharegpt", "last"): 1,
+        ("turns", "paired"): 1, ("turns", "blank_side"): 2, ("paired", "paired"): 1, ("paired", "blank_side"): 1, ("paired", "not_an_object"): 1,
+    }
