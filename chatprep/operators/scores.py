@@ -90,7 +90,8 @@ def nucleus_filter(probs: DataFrame, p: float = 0.9, ctx: str = "ctx_id", token:
     """The most probable candidates of each context until their mass reaches `p`; ties by token.
 
     Masses by power of two say in which power the limit falls: all above it stay, all below
-    it go, and only the candidates of that one power are put in order.
+    it go, and only the candidates of that one power are put in order. `probs` is read twice:
+    give a stored table where it is dear to compute.
     """
     power = F.floor(F.log2("prob"))
     marked = probs.filter("prob > 0").withColumn("_power", power)

@@ -442,7 +442,7 @@ def sample_scores(spark, sf):
 
 
 def nucleus(spark, sf):
-    probs = G.softmax(D.event_scores(_events(spark, sf)), temperature=20.0)
+    probs = stored(G.softmax(D.event_scores(_events(spark, sf)), temperature=20.0), "probs")
     return G.nucleus_filter(probs, 0.9).select("ctx_id", "token_id")
 
 
