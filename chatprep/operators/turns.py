@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from chatprep.functions.rows import each_value
 from chatprep.functions.text import blank_to_null, join_lines, or_empty, strip
 from chatprep.sources.shared import pinned
 
@@ -193,15 +194,20 @@ def history_pairs(turns: DataFrame, max_chars: int | None = None, chunk_turns: i
     if chunks.any_long:
         # One text per chunk; its first exchange is always near its start, so none is missing.
         ordered = F.array_sort(F.collect_list(F.struct("turn", exchange.alias("t"))))
-        per_chunk = pinned(_exchanges(chunks, chunks.long_rows()).filter(near("in_chunk")).groupBy(*_UNIT).agg(
+        per_chunk = _exchanges(chunks, chunks.long_rows()).filter(near("in_chunk")).groupBy(*_UNIT).agg(
             cut(F.array_join(F.transform(ordered, lambda p: p["t"]), "\n")).alias("chunk_told"),
             F.first("carried").alias("carried"),
-        ))
+        )
         # One text per conversation, of which each chunk takes what was told before it.
-        parts = F.array_sort(F.collect_list(F.when(near("carried"), F.struct("chunk", "chunk_told"))))
-        whole = per_chunk.groupBy("conv_id").agg(cut(F.array_join(F.transform(parts, lambda p: p["chunk_told"]), "\n")).alias("whole"))
-        before = F.substring("whole", F.lit(1), F.greatest(F.col("carried") - 1, F.lit(0)).cast("int"))
-        carried = per_chunk.join(whole, "conv_id").select(*_UNIT, blank_to_null(before).alias("carried_told"))
+        part = F.struct("chunk", "carried", F.when(near("carried"), F.col("chunk_told")).alias("told"))
+        whole = per_chunk.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts")).select(
+            "conv_id",
+            cut(F.array_join(F.transform("parts", lambda p: p["told"]), "\n")).alias("whole"),
+            F.transform("parts", lambda p: F.struct(p["chunk"].alias("chunk"), p["carried"].alias("carried"))).alias("places"),
+        )
+        placed = each_value(whole, ["conv_id", "whole"], "places", "at")
+        before = F.substring("whole", F.lit(1), F.greatest(F.col("at.carried") - 1, F.lit(0)).cast("int"))
+        carried = placed.select("conv_id", "at.chunk", blank_to_null(before).alias("carried_told"))
         out = out.join(carried, _UNIT, "left")
     else:
         out = out.withColumn("carried_told", F.lit(None).cast("string"))
