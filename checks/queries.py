@@ -516,7 +516,8 @@ def svd_columns(spark, sf):
     projected = E.svd_project(vectors, "vec_id", "embedding", SVD_COLUMNS)
     product = [F.sum(F.col("vec")[i] * F.col("vec")[j]).alias(f"p{i}_{j}") for i in range(SVD_COLUMNS) for j in range(i, SVD_COLUMNS)]
     plain = [F.sum(F.col("embedding")[k].cast("double") * F.col("embedding")[k].cast("double")).alias(f"o{k}") for k in range(64)]
-    both = projected.agg(*product).crossJoin(vectors.agg(*plain))  # a row and a row
+    one = F.lit(1).alias("one")
+    both = projected.agg(one, *product).join(vectors.agg(one, *plain), "one")  # a row and a row
     most = F.greatest(*[F.col(f"o{k}") for k in range(64)])
     total = reduce(lambda a, b: a + b, [F.col(f"o{k}") for k in range(64)])
     kept = reduce(lambda a, b: a + b, [F.col(f"p{i}_{i}") for i in range(SVD_COLUMNS)])
