@@ -19,23 +19,33 @@ from chatprep.sources.shared import new_folder
 FILES_PER_BATCH = 64
 
 
-def write_available(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Process what has arrived into Parquet files, exactly once, then stop."""
-    checkpoint = checkpoint or new_folder(df.sparkSession, "stream")
-    return (
-        df.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+_IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
 
+def write_available(df: DataFrame, path: str, checkpoint: str | None = None, idle_batches: bool = True) -> StreamingQuery:
+    """Process what has arrived into Parquet files, exactly once, then stop.
 
-def drain(df: DataFrame, label: str) -> DataFrame:
+    Turn `idle_batches` off for streams with a timeout: these always ask for another batch,
+    with new rows or without, and what has arrived would never be done.
+    """
+    spark = df.sparkSession
+    checkpoint = checkpoint or new_folder(spark, "stream")
+    writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if idle_batches:
+        return writer.start()
+    before = spark.conf.get(_IDLE_BATCHES)
+    spark.conf.set(_IDLE_BATCHES, "false")  # a query takes the setting as it is when it starts
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(_IDLE_BATCHES, before)
+
+
+def drain(df: DataFrame, label: str, idle_batches: bool = True) -> DataFrame:
     """Run a stream over what has arrived and read back what it wrote."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    write_available(df, path).awaitTermination()
+    write_available(df, path, idle_batches=idle_batches).awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -53,7 +53,7 @@ def test_stream_early_stop_equals_the_batch(spark, tmp_path):
     epochs = spark.createDataFrame(rows, "run_id long, epoch long, val_loss double")
     path = str(tmp_path / "epochs")
     _files(epochs, path, "epoch", [range(5, 20), (1, 3), (0, 2, 4)])
-    states = Z.drain(Z.stream_early_stop(_one_at_a_time(spark, path, epochs.schema), timeout_minutes=600), "stops")
+    states = Z.drain(Z.stream_early_stop(_one_at_a_time(spark, path, epochs.schema), timeout_minutes=600), "stops", idle_batches=False)
     got = Z.current(states, "run_id", "n_known").drop("n_known").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, R.early_stop(epochs).collect()), key=repr)
 
