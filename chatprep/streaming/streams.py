@@ -182,22 +182,33 @@ def drain_updates(df: DataFrame, key: list[str], label: str) -> tuple[DataFrame,
     """Run an aggregating stream over what has arrived: the latest row of every key, and how many rows came too late.
 
     Keys come out as soon as they change, not when the watermark has passed them, so those
-    still open at the end are there too. A batch that is run again writes the same folder.
+    still open at the end are there too. Spark counts what came too late after the rows of a
+    key in one task of a batch have become one. A batch that is run again writes the same folder.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    late: dict[int, int] = {}
+    started: list[StreamingQuery] = []
+
+    def note() -> None:
+        # Spark keeps the progress of the last batches only, so it is read while they run.
+        for p in [p for query in started for p in query.recentProgress]:
+            dropped = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+            late[p["batchId"]] = max(dropped, late.get(p["batchId"], 0))
 
     def write(rows: DataFrame, number: int) -> None:
+        note()
         rows.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/{number}")
 
     writer = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
     query = writer.trigger(availableNow=True).start()
+    started.append(query)
     query.awaitTermination()
-    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    note()
     schema = df.schema.add("_batch", "long")
     reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
     history = reader.parquet(f"{path}/rows") if query.lastProgress else spark.createDataFrame([], schema)
-    return current(history, key, "_batch").drop("_batch"), late
+    return current(history, key, "_batch").drop("_batch"), sum(late.values())
 
 
 def stream_throughput(

@@ -89,3 +89,17 @@ def test_stream_throughput_gives_open_windows_and_counts_late_tokens(spark, tmp_
     # The token of minute 3 arrives after the watermark has passed minute 60, the end of its window.
     assert [r["n_tokens"] for r in got] == [3, 1, 3, 1] and late == 1
     assert got[0]["tokens_per_sec"] == 3 / 3600
+
+
+def test_late_tokens_are_counted_over_all_batches(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    for minutes in ((400,), (500,), (3, 70, 600), (700,), (5, 800), (900,), (1000,), (1100,)):
+        frame = spark.createDataFrame([("s", m) for m in minutes], "source string, m int")
+        frame = frame.select("source", F.timestamp_seconds(F.lit(1704067200) + F.col("m") * 60).alias("ts"))
+        frame.coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    try:
+        _, late = Z.drain_updates(Z.stream_throughput(_one_at_a_time(spark, path, frame.schema)), ["source", "window_start"], "rates")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert late == 3
