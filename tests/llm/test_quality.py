@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chatprep.llm import hashed, quality as Q
@@ -59,6 +60,18 @@ def test_samples_are_bounded(spark):
     assert small == few[: len(small)] and 0 < sum(len(r[1]) for r in small) <= 2000
 
 
+def test_long_texts_do_not_make_up_the_sample(spark, monkeypatch):
+    from chatprep.llm import sampling as L
+
+    monkeypatch.setattr(L, "MAX_TEXT_BYTES", 100)
+    docs = spark.createDataFrame([(i, "w " * (900 if i % 3 == 0 else 10)) for i in range(90)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    found = L.labelled_sample(docs, labels, "quality", "doc_id", "text", 90, 2000)
+    assert len(found) == 60 and {y for _, _, y in found} == {0, 1} and all(i % 3 for i, _, _ in found)
+    with pytest.raises(ValueError, match=r"label \[1\]"):
+        L.labelled_sample(docs, labels.withColumn("quality", (labels.doc_id % 3 == 0).cast("int")), "quality", "doc_id", "text", 90, 2000)
+
+
 def test_hashed_spans():
     rng = random.Random(3)
     texts = [" ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(rng.choice([0, 1, 40]))).encode() for _ in range(30)]
