@@ -26,8 +26,8 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sources share; `n_chars` follows the text."""
-    cleaned = line_dedup.remove_shared_lines(docs)
+    """All documents, those with lines of their own without the lines that many sources share; `n_chars` follows the text."""
+    cleaned = line_dedup.remove_shared_lines(docs, max_share=None)
     if "n_chars" in docs.columns:
         n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         cleaned = cleaned.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))

@@ -77,3 +77,10 @@ def test_run(spark):
     assert got.columns == ["doc_id", "source", "sample", "ids", "log_probability", "inclusion"]
     again = pipeline.run(spark, SMALL)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, again.collect())) and got.count() > 100
+
+
+def test_short_pages_lose_their_frame(spark):
+    frame = "subscribe to all of our news by mail and never miss a word of it"
+    docs = spark.createDataFrame([(i, f"{frame}\nown {i}", "en", f"src{i}", 9) for i in range(12)], spark.read.parquet(f"{SMALL}/documents.parquet").schema)
+    got = rows(pipeline.remove_lines(spark, docs, SMALL), "doc_id", "text", "n_chars")
+    assert sorted(got) == [(i, f"own {i}", len(f"own {i}")) for i in range(12)]
