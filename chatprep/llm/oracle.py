@@ -85,4 +85,100 @@ SQL = {
                    CASE WHEN text = '' OR copy OR coalesce(n_shared, 0) = 0 THEN text ELSE coalesce(rest, '') END AS text
             FROM d LEFT JOIN g USING (r))
         SELECT doc_id, n_lines, n_shared, n_removed, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM o""",
+    "op11_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+            SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex,
+                   min(page_id) OVER (PARTITION BY html) AS first_id
+            FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(hex, (5 * (i // 4) + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM d""",
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+        grams AS (
+            SELECT lang, w[i:i + k - 1] AS p, k FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)),
+        total AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+        f AS (SELECT lang, p, k, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        cuts AS (
+            SELECT f.lang, f.p, f.c AS a, t.n, x.k, l.c AS l, r.c AS r,
+                   ((1000::HUGEINT * f.c * t.n) // (l.c::HUGEINT * r.c))::BIGINT AS score
+            FROM f JOIN total t USING (lang), (SELECT unnest(range(1, 5)) AS k) x, f l, f r
+            WHERE f.k >= 2 AND x.k < f.k AND l.lang = f.lang AND l.p = f.p[1:x.k] AND r.lang = f.lang AND r.p = f.p[x.k + 1:]),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        held AS (
+            SELECT lang, p, max(c) AS longest FROM (
+                SELECT lang, p[1:k - 1] AS p, c FROM f WHERE k >= 3 UNION ALL SELECT lang, p[2:] AS p, c FROM f WHERE k >= 3)
+            GROUP BY ALL),
+        kept AS (
+            SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score
+            FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.p = b.p WHERE h.longest IS NULL OR 100 * h.longest < 100 * a),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM ranked WHERE rank <= 2000""",
+    "op13_merkle": r"""
+        WITH RECURSIVE enc AS (
+            SELECT row_number() OVER () AS row, doc_id, lang,
+                   coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                   || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+                   n_chars, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+            FROM documents),
+        docs AS (
+            SELECT row, doc_id, lang,
+                   sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                   sha256(head || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS changed
+            FROM enc),
+        crc AS (
+            SELECT row, doc_id::VARCHAR AS t, 0 AS i, 4294967295::UBIGINT AS c FROM docs WHERE doc_id IS NOT NULL
+            UNION ALL
+            SELECT row, t, i + 1, list_reduce(list_prepend(xor(c, ascii(t[i + 1])::UBIGINT), range(8)::UBIGINT[]),
+                       lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)
+            FROM crc WHERE i < length(t)),
+        hit AS (SELECT row FROM crc WHERE i = length(t) AND xor(c, 4294967295::UBIGINT) % 7 = 0),
+        placed AS (
+            SELECT docs.*, CASE WHEN hit.row IS NULL THEN leaf ELSE changed END AS seen,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+            FROM docs LEFT JOIN hit USING (row)),
+        tree AS (
+            SELECT lang, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS width FROM placed
+            UNION ALL
+            SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(width) + 1) // 2
+            FROM tree WHERE width > 1 GROUP BY lang, level, pos // 2),
+        subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos FROM tree WHERE width = 1),
+        top AS (
+            SELECT 0 AS level, pos, h, count(*) OVER () AS width FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(width) + 1) // 2
+            FROM top WHERE width > 1 GROUP BY level, pos // 2),
+        steps AS (
+            SELECT p.row, t.level AS level, t.pos < p.pos >> t.level AS is_left, t.h
+            FROM placed p JOIN tree t ON t.lang IS NOT DISTINCT FROM p.lang AND t.pos = xor(p.pos >> t.level, 1)
+            UNION ALL
+            SELECT p.row, 1000 + t.level, t.pos < s.pos >> t.level, t.h
+            FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN top t ON t.pos = xor(s.pos >> t.level, 1)),
+        levels AS (
+            SELECT p.row, t.level FROM placed p JOIN (SELECT DISTINCT lang, level FROM tree WHERE width > 1) t ON t.lang IS NOT DISTINCT FROM p.lang
+            UNION ALL
+            SELECT p.row, 1000 + t.level FROM placed p, (SELECT DISTINCT level FROM top WHERE width > 1) t),
+        path AS (
+            SELECT l.row, row_number() OVER (PARTITION BY l.row ORDER BY l.level) AS step,
+                   CASE WHEN is_left THEN h ELSE '' END AS l, CASE WHEN is_left THEN '' ELSE coalesce(h, '') END AS r
+            FROM levels l LEFT JOIN steps s ON s.row = l.row AND s.level = l.level),
+        proof AS (SELECT row, count(*) AS n, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY row),
+        fold AS (
+            SELECT row, 0 AS step, seen AS h FROM placed
+            UNION ALL
+            SELECT f.row, f.step + 1, sha256(p.l || f.h || p.r) FROM fold f JOIN path p ON p.row = f.row AND p.step = f.step + 1),
+        done AS (SELECT row, max_by(h, step) AS folded_root FROM fold GROUP BY row)
+        SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM top WHERE width = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+               folded_root, folded_root = (SELECT h FROM top WHERE width = 1) AS verified
+        FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN proof USING (row) JOIN done ON done.row = p.row""",
 }

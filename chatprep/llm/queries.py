@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.llm import embedding_dedup, line_dedup, mixing, quality, sentencepiece_sampling, simhash, suffix_tree, topk, toxicity, wordpiece
+from chatprep.llm import collocations, embedding_dedup, line_dedup, merkle, mixing, quality, sentencepiece_sampling, simhash, suffix_tree, topk, toxicity, warc, wordpiece
 from chatprep.llm.frames import remainder_of_id
 
 
@@ -82,4 +82,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_shared", "n_removed", F.length(left).alias("n_chars"), F.md5(left.cast("binary")).alias("text_md5"))
 
 
-QUERIES = [op1_token_counts, op2_top_k, op3_mixture, op4_embedding_dedup, op5_toxicity, op6_suffix_tree, op7_sentencepiece, op8_simhash_dedup, op9_quality, op10_line_dedup]
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of gzipped archives, read back by byte ranges."""
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.write(pages.select("page_id", "url", "html"))
+    records = warc.read(spark, folder, payload=False)
+    id_type = dict(pages.dtypes)["page_id"]
+    refers_to = F.col("refers_to").cast(id_type).alias("refers_to")
+    return records.select(F.col("record_id").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers_to)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose words keep together best."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document; one in seven is looked at after a change."""
+    documents = table(spark, sf_dir, "documents")
+    told = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    seen = F.when(hit, merkle.leaf([tampered if c == "n_chars" else F.col(c) for c in told]))
+    leaves = documents.select("doc_id", "lang", merkle.leaf([F.col(c) for c in told]).alias("leaf"), seen.alias("seen"))
+    proven = merkle.manifest(leaves, "doc_id", "lang", "leaf", carry=["seen"])
+    proof = proven.withColumn("folded_root", merkle.folded(F.coalesce("seen", "leaf"), F.col("path")))
+    return proof.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = [op1_token_counts, op2_top_k, op3_mixture, op4_embedding_dedup, op5_toxicity, op6_suffix_tree, op7_sentencepiece, op8_simhash_dedup, op9_quality, op10_line_dedup, op11_warc, op12_collocations, op13_merkle]

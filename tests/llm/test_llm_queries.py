@@ -9,7 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = {q.__name__ for q in queries.QUERIES}
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert names | {"pipeline"} <= set(contract.queries()) and set(oracle.SQL) <= names
 
 
