@@ -35,7 +35,7 @@ BUCKET_BITS = 22
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\x09", b"\n" * 9 + b" ")
 _RUN_BYTES = 1 << 20
 _RUN_WORDS = 1 << 18
-_BUFFER_ROWS = 1 << 20
+_BUFFER_ROWS = 1 << 18
 _HELD_MEMORY = 1 << 19
 _END = b"\n"
 
