@@ -33,10 +33,10 @@ LEAST_BUDGET = 1000
 BUCKET_BITS = 22
 # The characters that end a piece, all as line ends; tabs as blanks.
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\x09", b"\n" * 9 + b" ")
-_RUN_BYTES = 1 << 20
-_RUN_WORDS = 1 << 18
+_RUN_BYTES = 1 << 18
+_RUN_WORDS = 1 << 17
 _BUFFER_ROWS = 1 << 18
-_HELD_MEMORY = 1 << 19
+_HELD_MEMORY = 1 << 17
 _END = b"\n"
 
 
@@ -59,22 +59,30 @@ def word_counts(texts: DataFrame, spare: int = _HELD_MEMORY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
+            for lang, text in _texts(batch):
                 mine = counts.setdefault(lang, Counter())
                 for words in runs(text):
                     mine.update(words)
                     if sum(map(len, counts.values())) > spare:
-                        yield _counted(counts)
+                        yield from map(_counted, *zip(*counts.items()))
                         counts = {lang: (mine := Counter())}
-        yield _counted(counts)
+        if counts:
+            yield from map(_counted, *zip(*counts.items()))
 
     return texts.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _counted(counts: dict[str, Counter]) -> pa.RecordBatch:
-    rows = [(lang, word, n) for lang, found in counts.items() for word, n in found.items() if word != _END]
-    langs, words, n = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """Language and text of the rows, a text at a time."""
+    texts = batch["text"].cast(pa.binary())
+    for i, lang in enumerate(batch["lang"].to_pylist()):
+        yield lang, texts[i].as_py()
+
+
+def _counted(lang: str, found: Counter) -> pa.RecordBatch:
+    found.pop(_END, None)
+    words, n = pa.array(found.keys(), pa.binary()), pa.array(np.fromiter(found.values(), np.int64, len(found)))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), words, n], names=["lang", "word", "n"])
 
 
 def word_symbol(lang: str, word: bytes) -> int:
@@ -115,7 +123,7 @@ def encoded(texts: DataFrame, ranks: dict[str, dict[bytes, int]], rest: bool, ma
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
+            for lang, text in _texts(batch):
                 known = ranks.get(lang, {})
                 for words in runs(text):
                     if rest:
