@@ -34,8 +34,8 @@ BUCKET_BITS = 22
 # The characters that end a piece, all as line ends; tabs as blanks.
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\x09", b"\n" * 9 + b" ")
 _RUN_BYTES = 1 << 18
-_RUN_WORDS = 1 << 17
-_BUFFER_ROWS = 1 << 18
+_RUN_WORDS = 1 << 16
+_BUFFER_ROWS = 1 << 17
 _HELD_MEMORY = 1 << 17
 _END = b"\n"
 
@@ -210,10 +210,10 @@ def suffixes(texts: DataFrame, marks: np.ndarray, max_words: int, bits: int = BU
                     held.append(found)
                     size += len(found)
                 if size >= _BUFFER_ROWS:
-                    yield from _combined(np.concatenate(held), names)
+                    yield _combined(np.concatenate(held), names)
                     held, size = [], 0
         if held:
-            yield from _combined(np.concatenate(held), names)
+            yield _combined(np.concatenate(held), names)
 
     return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", n long")
 
@@ -232,10 +232,17 @@ def _begun(ids: np.ndarray, own: int, marks: np.ndarray, max_words: int, bits: i
     return out
 
 
-def _combined(rows: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    table = pa.table({n: rows[:, i] for i, n in enumerate(names)}).append_column("n", pa.array(np.ones(len(rows), np.int64)))
-    summed = table.group_by(names).aggregate([("n", "sum")]).rename_columns([*names, "n"])
-    yield from summed.combine_chunks().to_batches()
+def _combined(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Equal rows as one, with their number. Rows are brought together by a hash, and then compared."""
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(rows.shape[1]):
+        h = (h ^ np.ascontiguousarray(rows[:, i]).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    rows = rows[np.argsort(h)]
+    starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+    n = np.diff(np.append(starts, len(rows)))
+    found = rows[starts]
+    return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names))], pa.array(n.astype(np.int64))], names=[*names, "n"])
 
 
 def heavy_prefixes(rows: DataFrame, budget: int, max_words: int) -> list[set[tuple[int, ...]]]:
