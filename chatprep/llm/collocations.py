@@ -1,11 +1,12 @@
 """Phrases whose words keep together, read off depth-truncated suffix subtrees.
 
 Words become numbers, most frequent first. Every position of the text begins a suffix, which
-is cut to the longest phrase asked for, at the end of its piece, and where a word or a pair of
-words is too rare for any phrase that counts. Suffixes are partitioned by their first words:
-a prefix with more suffixes than the budget of a group is split by its next word, and so on;
-what is within the budget is dealt to groups by hash. Each group orders its suffixes and
-reads the counts of all its phrases off the totals of the leaves below them.
+is cut to the longest phrase asked for, at the end of its piece, and at a word too rare for
+any phrase that counts. Suffixes are partitioned by their first words: a prefix with more
+suffixes than the budget of a group is split by its next word, and so on; what is within the
+budget is dealt to groups by hash. Tasks send each group its suffixes in order, equal ones
+as one; a group brings them together and reads the counts of all its phrases off the totals
+of the leaves below them.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ MAX_WORDS = 5
 TOP = 2000
 HELD_WORDS = 1 << 18
 HELD_BYTES = 48
-GROUPS = 4096
-LEAST_BUDGET = 1000
-BUCKET_BITS = 22
+# Suffixes of a group; more, when the prefixes beyond it would be more than 2 ** 18.
+GROUP_ROWS = 1 << 18
+MAX_HEAVY = 1 << 18
 # The characters that end a piece, all as line ends; tabs as blanks.
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\x09", b"\n" * 9 + b" ")
 _RUN_BYTES = 1 << 18
 _RUN_WORDS = 1 << 16
-_BUFFER_ROWS = 1 << 17
+_BUFFER_ROWS = 1 << 18
 _HELD_MEMORY = 1 << 17
 _END = b"\n"
 
@@ -157,10 +158,10 @@ def _encoded(ids: np.ndarray, own: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lists, pa.array([own], pa.int32())], names=["ids", "own"])
 
 
-def _bucket(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    h = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+def _mixed(h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The hash of a prefix from that of the prefix a word shorter."""
+    h = (h ^ np.ascontiguousarray(symbol).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
@@ -168,173 +169,145 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
         yield ids.values.to_numpy(zero_copy_only=False), own
 
 
-def frequent_pairs(texts: DataFrame, min_count: int, bits: int = BUCKET_BITS) -> np.ndarray:
-    """For each of `2 ** bits` hash buckets, whether the pairs of words in it are `min_count` together.
+def _begun(ids: np.ndarray, own: int, max_words: int) -> np.ndarray:
+    """The suffixes of two words and more that begin at the first `own` places, 0 beyond their ends."""
+    goes_on = np.concatenate([(ids[:-1] != 0) & (ids[1:] != 0), np.zeros(max_words, bool)])
+    starts = np.flatnonzero(goes_on[:own])
+    out = np.zeros((len(starts), max_words), np.int64)
+    live = np.ones(len(starts), bool)
+    for k in range(max_words):
+        out[live, k] = ids[starts[live] + k]
+        live &= goes_on[starts + k]
+    return out
 
-    A pair in a bucket that is not cannot be frequent. However large the corpus, this is one
-    bit a bucket.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for ids, own in _rows(batch):
-                a, b = ids[:own], ids[1 : own + 1]
-                a = a[: len(b)]
-                at = (a != 0) & (b != 0)
-                found, n = np.unique(_bucket(a[at], b[at], bits), return_counts=True)
-                counts[found] += n
-        some = np.flatnonzero(counts)
-        for i in range(0, len(some), _BUFFER_ROWS):
-            part = some[i : i + _BUFFER_ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
-
-    full = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    bit = F.expr("shiftleft(1L, bucket & 63)")
-    marks = full.groupBy(F.expr("bucket >> 6").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
-    out = np.zeros(max(1, (1 << bits) >> 6), np.int64)
-    for row in marks:
-        out[row["at"]] = row["bits"]
+def heavy_prefixes(texts: DataFrame, words: DataFrame, budget: int, max_words: int) -> list[np.ndarray]:
+    """For each length, the hashes of the prefixes with more than `budget` suffixes, ordered; at most suffixes / budget of a length."""
+    large = [r["symbol"] for r in words.filter(F.col("n") > budget).select("symbol").collect()]
+    found = [np.sort(_mixed(np.zeros(len(large), np.uint64), np.array(large, np.int64)))]
+    while len(found[-1]) and len(found) < max_words - 1:
+        known = list(found)
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ids, own in _rows(batch):
+                    rows = _begun(ids, own, max_words)
+                    h, depth = _placed(rows, known)
+                    longer, n = np.unique(h[depth == len(known) + 1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+        counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > budget)
+        found.append(np.sort(np.array([r["h"] for r in counts.select("h").collect()], np.int64).view(np.uint64)))
+    return found if len(found[-1]) else found[:-1]
+
+
+def _placed(rows: np.ndarray, heavy: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each suffix's shortest prefix that is not heavy, its end included, and that prefix's length."""
+    h = _mixed(np.zeros(len(rows), np.uint64), rows[:, 0])
+    depth = np.ones(len(rows), np.int64)
+    for k, known in enumerate(heavy):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        split = np.flatnonzero((depth == k + 1) & (known[at] == h))
+        # Where the suffix ends the zero stands for the next word.
+        h[split] = _mixed(h[split], rows[split, k + 1])
+        depth[split] += 1
+    return h, depth
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers by planes of their bytes, of which the upper ones say little and shrink to nothing."""
+    out = [len(columns[0]).to_bytes(4, "little")]
+    for column in columns:
+        width = 8 if column.min() < 0 else max(1, (int(column.max()).bit_length() + 7) // 8)
+        planes = np.ascontiguousarray(column.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :width]
+        out += [bytes([width]), np.ascontiguousarray(planes.T).tobytes()]
+    return b"".join(out)
+
+
+def unpacked(data: bytes, n_columns: int) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(data[:4], "little"), 4, []
+    for _ in range(n_columns):
+        width = data[at]
+        planes = np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n)
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = planes.T
+        out.append(whole.view("<i8").ravel())
+        at += 1 + width * n
     return out
 
 
-def suffixes(texts: DataFrame, marks: np.ndarray, max_words: int, bits: int = BUCKET_BITS) -> DataFrame:
-    """Rows `(s1, ..., n)`: suffixes of two words and more as far as their pairs can be frequent, 0 beyond; equal ones of a task as one."""
-    names = [f"s{i + 1}" for i in range(max_words)]
+def _summed(rows: np.ndarray, n: np.ndarray, *first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows in order, by `first` before all, equal ones as one with the sum of their numbers."""
+    order = np.lexsort([*rows.T[::-1], *first[::-1]])
+    rows, n, first = rows[order], n[order], [f[order] for f in first]
+    starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+    return rows[starts], np.add.reduceat(n, starts) if len(starts) else n, [f[starts] for f in first]
+
+
+def suffix_blocks(texts: DataFrame, heavy: list[np.ndarray], groups: int, max_words: int) -> DataFrame:
+    """Rows `(part, block)`: ordered suffixes of a group, equal ones of a stretch of text as one with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for ids, own in _rows(batch):
-                if len(found := _begun(ids, own, marks, max_words, bits)):
-                    held.append(found)
-                    size += len(found)
+                held.append(_begun(ids, own, max_words))
+                size += len(held[-1])
                 if size >= _BUFFER_ROWS:
-                    yield _combined(np.concatenate(held), names)
+                    yield _blocks(np.concatenate(held), heavy, groups)
                     held, size = [], 0
-        if held:
-            yield _combined(np.concatenate(held), names)
+        if size:
+            yield _blocks(np.concatenate(held), heavy, groups)
 
-    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", n long")
+    return texts.mapInArrow(run, "part int, block binary")
 
 
-def _begun(ids: np.ndarray, own: int, marks: np.ndarray, max_words: int, bits: int) -> np.ndarray:
-    a, b = ids[:-1], ids[1:]
-    h = _bucket(a, b, bits)
-    goes_on = (a != 0) & (b != 0) & ((marks[h >> 6] >> (h & 63)) & 1).astype(bool)
-    starts = np.flatnonzero(goes_on[:own])
-    out = np.zeros((len(starts), max_words), np.int64)
-    live = np.ones(len(starts), bool)
-    padded = np.concatenate([goes_on, np.zeros(max_words, bool)])
-    for k in range(max_words):
-        out[live, k] = ids[starts[live] + k]
-        live &= padded[starts + k]
-    return out
-
-
-def _combined(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Equal rows as one, with their number. Rows are brought together by a hash, and then compared."""
-    h = np.zeros(len(rows), np.uint64)
-    for i in range(rows.shape[1]):
-        h = (h ^ np.ascontiguousarray(rows[:, i]).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    rows = rows[np.argsort(h)]
-    starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-    n = np.diff(np.append(starts, len(rows)))
-    found = rows[starts]
-    return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names))], pa.array(n.astype(np.int64))], names=[*names, "n"])
-
-
-def heavy_prefixes(rows: DataFrame, budget: int, max_words: int) -> list[set[tuple[int, ...]]]:
-    """For each length, the prefixes with more than `budget` suffixes; at most rows / budget of a length."""
-    found: list[set[tuple[int, ...]]] = []
-    for length in range(1, max_words):
-        names = [f"s{i + 1}" for i in range(length)]
-        within = rows
-        if found:
-            keys = rows.sparkSession.createDataFrame(sorted(found[-1]), ", ".join(f"{n} long" for n in names[:-1]))
-            within = rows.join(F.broadcast(keys), names[:-1], "left_semi")
-        large = within.groupBy(*names).agg(F.count("*").alias("rows")).filter(F.col("rows") > budget)
-        found.append({tuple(r[n] for n in names) for r in large.collect()})
-        if not found[-1]:
-            break
-    return found
+def _blocks(rows: np.ndarray, heavy: list[np.ndarray], groups: int) -> pa.RecordBatch:
+    h, depth = _placed(rows, heavy)
+    part = (h % np.uint64(groups)).astype(np.int64)
+    rows, n, (part, depth) = _summed(rows, np.ones(len(rows), np.int64), part, depth)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    blocks = [packed([*rows[a:b].T, n[a:b], depth[a:b]]) for a, b in zip(starts, [*starts[1:], len(rows)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(blocks, pa.binary())], names=["part", "block"])
 
 
-def partitioned(rows: DataFrame, max_words: int, groups: int = GROUPS, least: int = LEAST_BUDGET) -> DataFrame:
-    """The suffixes with `shallow`, how many words all of its group's prefix hold, and the group's number `part`."""
-    budget = max(least, rows.count() // groups)
-    part, shallow = F.xxhash64("s1"), F.lit(1)
-    for length, prefixes in enumerate(heavy_prefixes(rows, budget, max_words), 1):
-        if not prefixes:
-            break
-        names = [f"s{i + 1}" for i in range(length)]
-        keys = rows.sparkSession.createDataFrame(sorted(prefixes), ", ".join(f"{n} long" for n in names)).withColumn(f"heavy{length}", F.lit(True))
-        rows = rows.join(F.broadcast(keys), names, "left")
-        heavy = F.col(f"heavy{length}").isNotNull()
-        part = F.when(heavy, F.xxhash64(*names, f"s{length + 1}")).otherwise(part)
-        shallow = F.when(heavy, F.lit(length + 1)).otherwise(shallow)
-    names = [f"s{i + 1}" for i in range(max_words)]
-    return rows.select(*names, "n", shallow.alias("shallow"), F.pmod(part, F.lit(groups)).cast("int").alias("part"))
-
-
-def phrase_counts(parts: DataFrame, max_words: int, min_count: int) -> DataFrame:
+def phrase_counts(blocks: DataFrame, max_words: int, min_count: int) -> DataFrame:
     """Rows `(s1, ..., length, n)`: all phrases of two words and more that occur `min_count` times."""
     names = [f"s{i + 1}" for i in range(max_words)]
-    together = parts.repartition("part").sortWithinPartitions(*names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The path of phrases that the last suffix lies under, and their totals so far.
-        path, totals, shallow = None, np.zeros(max_words, np.int64), 1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.column_stack([batch[n].to_numpy() for n in names])
-            n, depth = batch["n"].to_numpy(), batch["shallow"].to_numpy()
-            if path is not None:
-                rows, n, depth = np.vstack([path, rows]), np.concatenate([[0], n]), np.concatenate([[shallow], depth])
-            found, totals = _totals(rows, n, depth, totals, min_count)
-            path, shallow = rows[-1], depth[-1]
-            yield _nodes(found, names)
-        if path is not None:
-            last = [(path, k + 1, totals[k]) for k in range(1, max_words) if path[k] and (totals[k] >= min_count or k + 1 < shallow)]
-            yield _nodes([(np.array([p[:length].tolist() + [0] * (max_words - length)]), np.array([length]), np.array([t])) for p, length, t in last], names)
-
-    nodes = together.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", length int, n long")
+    def counted(table: pa.Table) -> pa.Table:
+        columns = list(zip(*(unpacked(b, max_words + 2) for b in table["block"].to_pylist())))
+        *symbols, n, depth = [np.concatenate(c) for c in columns]
+        rows, n, (depth,) = _summed(np.column_stack(symbols), n, depth)
+        return _nodes(_totals(rows, n, depth, min_count), names)
+
+    nodes = blocks.groupBy("part").applyInArrow(counted, ", ".join(f"{n} long" for n in names) + ", length int, n long")
     # Phrases above a group's prefix have leaves in several groups.
     return nodes.groupBy(*names, "length").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
-def _totals(rows: np.ndarray, n: np.ndarray, depth: np.ndarray, carried: np.ndarray, min_count: int):
-    """Phrases that end before the last row, and the totals of those the last row lies under.
+def _totals(rows: np.ndarray, n: np.ndarray, depth: np.ndarray, min_count: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length, phrases, lengths and totals of the ordered leaves below.
 
-    The rows are ordered. `carried` are the totals of the first row's phrases from before.
+    A phrase shorter than the prefix that its leaves are dealt by, `depth` words, has others
+    elsewhere and counts whatever its total is here.
     """
-    found, left = [], np.zeros_like(carried)
-    new = np.zeros(len(rows), bool)
-    new[0] = True
-    for k in range(rows.shape[1]):
-        new[1:] |= rows[1:, k] != rows[:-1, k]
-        if k == 0:
-            continue
-        starts = np.flatnonzero(new)
+    found = []
+    for k in range(1, rows.shape[1]):
+        changed = (rows[1:, : k + 1] != rows[:-1, : k + 1]).any(axis=1) | (depth[1:] != depth[:-1])
+        starts = np.flatnonzero(np.concatenate([[True], changed]))
         sums = np.add.reduceat(n, starts)
-        sums[0] += carried[k]
-        left[k] = sums[-1]
-        heads, sums = starts[:-1], sums[:-1]
-        keep = (rows[heads, k] != 0) & ((sums >= min_count) | (k + 1 < depth[heads]))
-        cut = rows[heads[keep]].copy()
+        keep = (rows[starts, k] != 0) & ((sums >= min_count) | (k + 1 < depth[starts]))
+        cut = rows[starts[keep]]
         cut[:, k + 1 :] = 0
         found.append((cut, np.full(len(cut), k + 1), sums[keep]))
-    return found, left
+    return found
 
 
-def _nodes(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    rows = np.vstack([np.zeros((0, len(names)), np.int64), *(f[0] for f in found)])
-    lengths = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)]).astype(np.int32)
-    totals = np.concatenate([np.zeros(0, np.int64), *(f[2] for f in found)]).astype(np.int64)
-    columns = [pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(names))]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(lengths), pa.array(totals)], names=[*names, "length", "n"])
+def _nodes(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], names: list[str]) -> pa.Table:
+    rows, lengths, totals = (np.concatenate(c) for c in zip(*found))
+    columns = {name: np.ascontiguousarray(rows[:, i]) for i, name in enumerate(names)}
+    return pa.table({**columns, "length": lengths.astype(np.int32), "n": totals.astype(np.int64)})
 
 
 def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame, max_words: int, min_count: int, share: int = 100) -> DataFrame:
@@ -372,7 +345,7 @@ def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame, max_words: i
     return best.select("lang", "words", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, share: int = 100, held: int = HELD_WORDS, groups: int = GROUPS, least_budget: int = LEAST_BUDGET) -> DataFrame:
+def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, share: int = 100, held: int = HELD_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows `(lang, rank, phrase, a, l, r, n, score)`: the `top` phrases of each language.
 
     Texts are cut into pieces at `.,;:!?` and line ends and those into words at blanks and
@@ -393,8 +366,10 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     totals = stored(counts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words, ranks, rest = symbols(counts, min_count, held)
     ids = stored(encoded(texts, ranks, rest, max_words), "encoded")
-    rows = stored(suffixes(ids, frequent_pairs(ids, min_count), max_words), "suffixes")
-    phrases = stored(phrase_counts(partitioned(rows, max_words, groups, least_budget), max_words, min_count), "phrases")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    budget = max(group_rows, total // MAX_HEAVY)
+    blocks = suffix_blocks(ids, heavy_prefixes(ids, words, budget, max_words), max(1, total // budget), max_words)
+    phrases = stored(phrase_counts(blocks, max_words, min_count), "phrases")
     rated = stored(scored(phrases, words, totals, max_words, min_count, share), "scored")
     spelled = rated.select("lang", "words", F.posexplode("words").alias("at", "symbol")).join(hint_small(words.select("symbol", "word")), "symbol")
     texts_of = spelled.groupBy("lang", "words").agg(F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))).alias("spelled"))
