@@ -29,7 +29,8 @@ MAX_WORDS = 5
 TOP = 2000
 HELD_WORDS = 1 << 18
 HELD_BYTES = 48
-# Suffixes of a group; more, when the prefixes beyond it would be more than 2 ** 18.
+# A group has a 1024th of all suffixes, but no more than fit a task, unless the prefixes beyond would be more than 2 ** 18.
+GROUPS = 1 << 10
 GROUP_ROWS = 1 << 18
 MAX_HEAVY = 1 << 18
 # The characters that end a piece, all as line ends; tabs as blanks.
@@ -189,18 +190,27 @@ def heavy_prefixes(texts: DataFrame, words: DataFrame, budget: int, max_words: i
         known = list(found)
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
             for batch in batches:
                 for ids, own in _rows(batch):
-                    rows = _begun(ids, own, max_words)
-                    h, depth = _placed(rows, known)
-                    longer, n = np.unique(h[depth == len(known) + 1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+                    h, depth = _placed(_begun(ids, own, max_words), known)
+                    held.append(h[depth == len(known) + 1])
+                    size += len(held[-1])
+                    if size >= _BUFFER_ROWS:
+                        yield _hash_counts(held)
+                        held, size = [], 0
+            yield _hash_counts(held)
 
         counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > budget)
         found.append(np.sort(np.array([r["h"] for r in counts.select("h").collect()], np.int64).view(np.uint64)))
     return found if len(found[-1]) else found[:-1]
 
 
+def _hash_counts(held: list[np.ndarray]) -> pa.RecordBatch:
+    found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+
 def _placed(rows: np.ndarray, heavy: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each suffix's shortest prefix that is not heavy, its end included, and that prefix's length."""
     h = _mixed(np.zeros(len(rows), np.uint64), rows[:, 0])
@@ -367,7 +377,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     words, ranks, rest = symbols(counts, min_count, held)
     ids = stored(encoded(texts, ranks, rest, max_words), "encoded")
     total = words.agg(F.sum("n")).first()[0] or 0
-    budget = max(group_rows, total // MAX_HEAVY)
+    budget = max(1, min(group_rows, total // GROUPS), total // MAX_HEAVY)
     blocks = suffix_blocks(ids, heavy_prefixes(ids, words, budget, max_words), max(1, total // budget), max_words)
     phrases = stored(phrase_counts(blocks, max_words, min_count), "phrases")
     rated = stored(scored(phrases, words, totals, max_words, min_count, share), "scored")
