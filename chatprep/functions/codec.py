@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,5 +45,77 @@ def register_tokenizer(name: str, fn: Callable[[pd.Series], pd.Series]) -> None:
     _TOKENIZERS[name] = F.pandas_udf(fn, "array<int>")
 
 
+@dataclass(frozen=True)
+class TokenizerSpec:
+    """How a worker makes its tokenizer: a factory by its place, and what it is called with.
+
+    The factory, `package.module:function`, gives a function from a list of texts to a list of
+    id lists. Only the spec travels with the plan, not the tokenizer, which may be large and
+    need not be picklable.
+    """
+
+    factory: str
+    options: tuple[tuple[str, object], ...] = ()
+
+    def made(self) -> Callable[[list[str]], list]:
+        """The tokenizer, made once in a process."""
+        if self not in _MADE:
+            module, _, name = self.factory.partition(":")
+            _MADE[self] = getattr(importlib.import_module(module), name)(**dict(self.options))
+        return _MADE[self]
+
+
+_MADE: dict[TokenizerSpec, Callable[[list[str]], list]] = {}
+
+
+def _id_lists(made: Callable[[list[str]], list], texts: list[str | None]) -> pa.Array:
+    """Ids of the texts; null for null."""
+    there = [t for t in texts if t is not None]
+    found = iter(made(there) if there else [])
+    return pa.array([None if t is None else next(found) for t in texts], pa.list_(pa.int32()))
+
+
+def register_tokenizer_spec(name: str, factory: str, kind: str = "arrow", **options) -> None:
+    """Make the tokenizer that `factory(**options)` gives usable as `tokenizer(name)`.
+
+    It is made once per worker, before its first batch. `kind` is how batches reach it: as
+    Arrow arrays, which is cheaper, or as pandas `series`.
+    """
+    spec = TokenizerSpec(factory, tuple(sorted(options.items())))
+
+    def of_arrays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        made = spec.made()
+        for texts in batches:
+            yield _id_lists(made, texts.to_pylist())
+
+    def of_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made = spec.made()
+        for texts in batches:
+            yield _id_lists(made, texts.tolist()).to_pandas()
+
+    if kind not in ("arrow", "series"):
+        raise ValueError(f"kind is arrow or series, not {kind}")
+    _TOKENIZERS[name] = F.arrow_udf(of_arrays, "array<int>") if kind == "arrow" else F.pandas_udf(of_series, "array<int>")
+
+
+def tokenizer_file(path: str, specials_are_text: bool = True) -> Callable[[list[str]], list[list[int]]]:
+    """A factory: the tokenizer of a `tokenizers` file, without begin and end ids; needs that library on the workers."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = specials_are_text
+    model.no_truncation()
+    model.no_padding()
+    return lambda texts: [found.ids for found in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def detokenizer_file(path: str) -> Callable[[list[list[int]]], list[str]]:
+    """A function from id lists to texts for the same file."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    return lambda ids: model.decode_batch(ids, skip_special_tokens=False)
+
+
 def tokenizer(name: str) -> Callable[[Column], Column]:
     return _TOKENIZERS[name]

@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatprep.constants import HUMAN_ALIASES, MODEL_ALIASES, PAD_ID
+from chatprep.constants import PAD_ID
 from chatprep.functions import jsonvals as J
 from chatprep.functions.rows import each, each_value
 from chatprep.functions.text import or_empty, strip
 from chatprep.operators import layout as L
 from chatprep.operators.batching import pad_batches
-from chatprep.operators.pairs import with_messages, with_sharegpt
-from chatprep.operators.ranks import grouped_offset, ordered_offset, ordered_rank, shuffled_rank
+from chatprep.operators.pairs import SPEAKERS, Speakers, with_messages, with_sharegpt
+from chatprep.operators.packing import packed
+from chatprep.operators.ranks import ordered_rank, shuffled_rank
 from chatprep.operators.vocab import Codec
-from chatprep.sources.shared import pinned, stored
 
 IGNORED_LABEL = -100
 
@@ -40,9 +40,9 @@ def _of_turns(turns: Column) -> Column:
     return F.flatten(both)
 
 
-def _of_speakers(said: Column, who: str, text: str) -> Column:
+def _of_speakers(said: Column, who: str, text: str, speakers: Speakers) -> Column:
     def message(m: Column) -> Column:
-        role = F.when(m[who].isin(HUMAN_ALIASES), "user").when(m[who].isin(MODEL_ALIASES), "assistant").otherwise(m[who])
+        role = F.when(m[who].isin(list(speakers.humans)), "user").when(m[who].isin(list(speakers.models)), "assistant").otherwise(m[who])
         return _message(role, m[text])
 
     return F.transform(F.filter(said, lambda m: m.isNotNull()), message)
@@ -58,7 +58,7 @@ def _of_pair(raw: Column, entries: Column, keys: Column) -> Column:
     return F.array(_message("user", side("instruction", 1)), _message("assistant", side("output", -1)))
 
 
-def chat_messages(records: DataFrame) -> DataFrame:
+def chat_messages(records: DataFrame, speakers: Speakers = SPEAKERS) -> DataFrame:
     """Adds `messages`, one array of `(role, content)` per record, in place of the raw text.
 
     Turns give an optional system message and both sides of every turn that has any text;
@@ -73,8 +73,8 @@ def chat_messages(records: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("_entries", F.map_entries(F.from_json(pair, "map<string,string>"))).withColumn("_keys", J.keys_of(pair))
     messages = (
         F.when(F.col("layout") == L.TURNS, F.concat(_first_system(raw), _of_turns(F.col("_turns"))))
-        .when(F.col("layout") == L.MESSAGES, F.concat(_first_system(raw), _of_speakers(F.col("_messages"), "role", "content")))
-        .when(F.col("layout") == L.SHAREGPT, F.concat(_first_system(raw), _of_speakers(F.col("_sharegpt"), "from", "text")))
+        .when(F.col("layout") == L.MESSAGES, F.concat(_first_system(raw), _of_speakers(F.col("_messages"), "role", "content", speakers)))
+        .when(F.col("layout") == L.SHAREGPT, F.concat(_first_system(raw), _of_speakers(F.col("_sharegpt"), "from", "text", speakers)))
         .otherwise(_of_pair(pair, F.col("_entries"), F.col("_keys")))
     )
     return parsed.select(*kept, messages.alias("messages"))
@@ -125,39 +125,6 @@ def tokenize_truncate(df: DataFrame, codec: Codec, text: str = "text", max_len:
     return df.withColumn("ids", ids)
 
 
-def _placed(df: DataFrame, order: list[str], n_ids: Column, max_len: int, rows_per_group: int | None, unit: list[str] | None = None) -> DataFrame:
-    """Rows with `group_id` and the span `_from`, `_to` their kept ids take in their group.
-
-    A group is `rows_per_group` rows, or as many of the `unit`, leading columns of the
-    order. Ordering and summing carry lengths only; what a row holds moves once, to meet its
-    span.
-    """
-    sizes = df.select(*order, n_ids.cast("bigint").alias("_n"))
-    if unit and rows_per_group:
-        ranked = ordered_rank(sizes.select(*unit).distinct(), unit, "_rank")
-        groups = pinned(ranked.select(*unit, F.floor(F.col("_rank") / rows_per_group).alias("group_id")))
-        grouped = pinned(sizes.join(groups, unit))
-        placed = grouped_offset(grouped, ["group_id"], order, "_n", "_from")
-        placed = placed.join(grouped.groupBy("group_id").agg(F.sum("_n").alias("_all")), "group_id")
-    elif rows_per_group is None:
-        placed = ordered_offset(sizes, order, "_n", "_from").withColumn("group_id", F.lit(0).cast("bigint"))
-        total = placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-        placed = placed.withColumn("_all", F.lit(total).cast("bigint"))
-    else:
-        ranked = ordered_rank(sizes, order, "_rank")
-        grouped = ranked.withColumn("group_id", F.floor(F.col("_rank") / rows_per_group))
-        group = W.partitionBy("group_id")
-        earlier = group.orderBy("_rank").rowsBetween(W.unboundedPreceding, -1)
-        placed = grouped.withColumn("_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        placed = placed.withColumn("_all", F.sum("_n").over(group))
-
-    whole = F.floor(F.col("_all") / max_len) * max_len
-    end = F.when(F.col("_all") >= max_len, whole).otherwise(F.col("_all"))
-    placed = placed.withColumn("_to", F.least(F.col("_from") + F.col("_n"), end)).filter("_from < _to")
-    # Both sides by key: spans are few bytes a row and unique, so they make the hash table.
-    return df.join(placed.select(*order, "group_id", "_from", "_to").hint("shuffle_hash"), order)
-
-
 def pack(
     df: DataFrame,
     order: list[str],
@@ -175,25 +142,15 @@ def pack(
     out, unless the group is shorter than one block, which is then kept short. With no
     group size the whole table is one group.
 
-    Rows know from running sums over lengths at which id they begin, so each cuts itself
-    into its parts of blocks, and only one block is ever gathered in one place. `n_ids`
-    gives the number of ids without making them, `ids` makes them; without it ids are made
-    once and kept, so that no tokenizer runs twice.
+    What rows hold moves once, by range of the order (`packing`). `n_ids` gives the number of
+    ids without making them, `ids` makes them after the move; without it ids are made once
+    and move themselves, so that no tokenizer runs twice. Where both are given, `ids` must
+    depend on nothing but the row.
     """
     if n_ids is None:
-        df = stored(df.select(*order, ids.alias("_ids")), "ids")
+        df = df.select(*order, ids.alias("_ids"))
         ids, n_ids = F.col("_ids"), F.size("_ids")
-    met = _placed(df, order, n_ids, max_len, rows_per_group, unit)
-    blocks = F.sequence(F.floor(F.col("_from") / max_len), F.floor((F.col("_to") - 1) / max_len))
-    made = met.select("group_id", "_from", "_to", ids.alias("_ids"), blocks.alias("_blocks"))
-    parts = each_value(made, ["group_id", "_from", "_to", "_ids"], "_blocks", "block_id")
-
-    begin = F.greatest(F.col("_from"), F.col("block_id") * max_len)
-    end = F.least(F.col("_to"), (F.col("block_id") + 1) * max_len)
-    cut = F.slice("_ids", (begin - F.col("_from") + 1).cast("int"), (end - begin).cast("int"))
-    # Parts hold at least one id each, so a block gathers at most `max_len` of them.
-    joined = F.array_sort(F.collect_list(F.struct(begin.alias("at"), cut.alias("part"))))
-    return parts.groupBy("group_id", "block_id").agg(F.flatten(F.transform(joined, lambda p: p["part"])).alias("ids"))
+    return packed(df, order, ids, n_ids, max_len, rows_per_group, unit, text=False).withColumnRenamed("part", "ids")
 
 
 def pack_text(
@@ -201,24 +158,11 @@ def pack_text(
 ) -> DataFrame:
     """`pack` of a text column under the character vocabulary, without begin and end ids.
 
-    One character is one id, so texts are cut and shuffled as they are, a quarter of the
-    bytes of their ids, and encoded block by block.
+    One character is one id, so texts are moved and cut as they are, a quarter of the bytes
+    of their ids, and encoded block by block.
     """
-    met = _placed(df.select(*order, text), order, F.length(text), max_len, rows_per_group)
-    kept = F.substring(F.col(text), F.lit(1), (F.col("_to") - F.col("_from")).cast("int"))
-    first = F.floor(F.col("_from") / max_len)
-    lead = ((F.col("_first") + 1) * max_len - F.col("_from")).cast("int")
-    # The rest begins at a block's start; one pass of the pattern cuts it, however long it is.
-    rest = F.regexp_extract_all(F.substring("_kept", lead + 1, F.length("_kept")), F.lit(f"(?s).{{1,{max_len}}}"), F.lit(0))
-    made = met.select("group_id", "_from", first.alias("_first"), kept.alias("_kept"))
-    pieces = F.concat(F.array(F.substring("_kept", F.lit(1), lead)), rest)
-    parts = each(made, ["group_id", "_from", "_first"], pieces, "i", "part")
-    block = F.col("_first") + F.col("i")
-    joined = F.array_sort(F.collect_list(F.struct(F.col("_from").alias("at"), "part")))
-    blocks = parts.groupBy("group_id", block.alias("block_id")).agg(
-        F.array_join(F.transform(joined, lambda p: p["part"]), "").alias("text")
-    )
-    return blocks.select("group_id", "block_id", codec.encode(F.col("text"), add_special=False).alias("ids"))
+    blocks = packed(df.select(*order, text), order, F.col(text), F.length(text), max_len, rows_per_group, None, text=True)
+    return blocks.select("group_id", "block_id", codec.encode(F.col("part"), add_special=False).alias("ids"))
 
 
 def labels_of(ids: Column, pad_id: int = PAD_ID) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.constants import INPUT_CANDIDATES, OUTPUT_CANDIDATES
@@ -86,26 +86,42 @@ def uniform_system(records: DataFrame) -> DataFrame:
     text and a record that does not parse make it null. One combinable aggregate over one
     pass: all texts are equal where the least is the greatest.
     """
+    facts = _marked(records).agg(*_system_facts())
+    nulls_lead = F.col("last_null").isNull() | (F.col("last_null") < F.col("first_text"))
+    same = (F.col("lo") == F.col("hi")) & nulls_lead & (F.col("lo") != "") & ~F.col("broken")
+    return facts.select(F.when(same, F.col("lo")).alias("system"))
+
+
+def _marked(records: DataFrame) -> DataFrame:
     raw = F.col("raw")
     text = J.fields(raw, "system")["system"]
-    marked = records.select(
-        "rec_id",
-        F.when(J.has_field(raw, "system"), text).otherwise("").alias("text"),
-        J.is_object(raw).alias("object"),
-        (~J.is_object(raw) & J.root_kind(raw).isNull()).alias("broken"),
-    )
-    said = F.when(F.col("object"), F.col("text"))
-    at = F.col("rec_id")
-    facts = marked.agg(
+    told = F.when(J.has_field(raw, "system"), text).otherwise("")
+    broken = ~J.is_object(raw) & J.root_kind(raw).isNull()
+    return records.withColumns({"_system_text": told, "_object": J.is_object(raw), "_broken": broken})
+
+
+def _system_facts() -> list[Column]:
+    said, at = F.when(F.col("_object"), F.col("_system_text")), F.col("rec_id")
+    return [
         F.min(said).alias("lo"),
         F.max(said).alias("hi"),
         F.min(F.when(said.isNotNull(), at)).alias("first_text"),
-        F.max(F.when(F.col("object") & said.isNull(), at)).alias("last_null"),
-        F.coalesce(F.bool_or("broken"), F.lit(False)).alias("broken"),
-    )
-    nulls_lead = F.col("last_null").isNull() | (F.col("last_null") < F.col("first_text"))
-    same = (F.col("lo") == F.col("hi")) & nulls_lead & (F.col("lo") != "") & ~F.col("broken")
-    return facts.select(F.when(same, F.col("lo")).alias("system"))
+        F.max(F.when(F.col("_object") & said.isNull(), at)).alias("last_null"),
+        F.coalesce(F.bool_or("_broken"), F.lit(False)).alias("broken"),
+    ]
+
+
+def observed_system(records: DataFrame, seen: Observation) -> DataFrame:
+    """The records as they are; `seen` has what `system_seen` asks for once they have been read through."""
+    marked = _marked(records).observe(seen, F.count("*").alias("n_records"), *_system_facts())
+    return marked.select(*records.columns)
+
+
+def system_seen(facts: dict) -> str | None:
+    """`uniform_system` from what was observed."""
+    nulls_lead = facts["last_null"] is None or (facts["first_text"] is not None and facts["last_null"] < facts["first_text"])
+    same = facts["lo"] is not None and facts["lo"] == facts["hi"] and nulls_lead and not facts["broken"]
+    return (facts["lo"] or None) if same else None
 
 
 def dataset_summary(pairs: DataFrame, input_key: str, output_key: str, system: str | None = None) -> DataFrame:

@@ -6,7 +6,10 @@ the same code runs on a stream. Row-per-turn tables are in `turns`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chatprep.constants import HUMAN_ALIASES, MODEL_ALIASES
@@ -17,6 +20,17 @@ from chatprep.operators import layout as L
 from chatprep.sources.records import assert_records
 
 
+@dataclass(frozen=True)
+class Speakers:
+    """What the two sides of a `conversations` record are called."""
+
+    humans: tuple[str, ...] = tuple(HUMAN_ALIASES)
+    models: tuple[str, ...] = tuple(MODEL_ALIASES)
+
+
+SPEAKERS = Speakers()
+
+
 def _kept(records: DataFrame) -> list[str]:
     return [c for c in records.columns if c != "raw"]
 
@@ -134,13 +148,13 @@ def with_sharegpt(records: DataFrame, parts: bool = False, raw: str = "raw") ->
     return marked.withColumn("_sharegpt", F.transform("_both", one)).withColumn("_sharegpt_prefix", prefix).drop("_both", "_there")
 
 
-def _sharegpt_pairs() -> Column:
-    return _adjacent("_sharegpt", "_sharegpt_prefix", "from", "text", HUMAN_ALIASES, MODEL_ALIASES)
+def _sharegpt_pairs(speakers: Speakers) -> Column:
+    return _adjacent("_sharegpt", "_sharegpt_prefix", "from", "text", list(speakers.humans), list(speakers.models))
 
 
-def pairs_from_sharegpt(records: DataFrame) -> DataFrame:
+def pairs_from_sharegpt(records: DataFrame, speakers: Speakers = SPEAKERS) -> DataFrame:
     """Pairs of `{conversations: [{from, value}]}` records."""
-    return _exploded(with_sharegpt(records), _kept(records), _sharegpt_pairs())
+    return _exploded(with_sharegpt(records), _kept(records), _sharegpt_pairs(speakers))
 
 
 def system_of(raw: Column) -> Column:
@@ -204,43 +218,86 @@ def pairs_from_turns(records: DataFrame, max_chars: int | None = None) -> DataFr
 
 
 def turns_corpus(records: DataFrame) -> DataFrame:
-    """Texts `(text)` with exactly the characters of `pairs_from_turns`, each turn once.
+    """Texts `(text, n_ids)` with exactly the characters of `pairs_from_turns`, each turn once.
 
     A newline is among them only if some input has a system text or an earlier turn in front.
+    `n_ids` is the length of the record's longest uncut sample, that of its last pair.
     """
     parsed = with_turns(records)
     said = F.array_join(F.transform("_turns", lambda t: F.concat(t["human"], F.lit(" "), t["assistant"])), " ")
     newline = F.when(F.col("_system").isNotNull() | (F.size("_turns") > 1), "\n").otherwise("")
     whole = F.concat(or_empty(F.col("_system")), newline, said)
-    return parsed.select(F.when(F.size("_turns") > 0, whole).otherwise("").alias("text"))
+    some = F.size("_turns") > 0
+    told = _sum(F.transform("_turns", lambda t: (F.length(t["human"]) + F.length(t["assistant"]) + 2).cast("bigint")))
+    n_ids = F.coalesce(F.length("_system") + 1, F.lit(0)) + told + 2
+    return parsed.select(F.when(some, whole).otherwise("").alias("text"), F.when(some, n_ids).alias("n_ids"))
 
 
-def pairs_of_layout(records: DataFrame, layout: str, keys: tuple[str, str] | None = None, max_chars: int | None = None) -> DataFrame:
+def pairs_of_layout(records: DataFrame, layout: str, keys: tuple[str, str] | None = None, max_chars: int | None = None, speakers: Speakers = SPEAKERS) -> DataFrame:
     """Pairs of a corpus whose layout (and, if paired, fields) are known."""
     if layout == L.TURNS:
         return pairs_from_turns(records, max_chars)
     if layout == L.MESSAGES:
         return pairs_from_messages(records)
     if layout == L.SHAREGPT:
-        return pairs_from_sharegpt(records)
+        return pairs_from_sharegpt(records, speakers)
     return pairs_from_records(records, *keys)
 
 
-def load_pairs(records: DataFrame, max_chars: int | None = None, first: str | None = None) -> tuple[DataFrame, str, str]:
-    """Pairs of a corpus and the names of its two sides, decided by its first record.
-
-    Pass `first` where it is known, or all records are looked through for it.
-    """
-    first = first or assert_records(records)
+def sides_of_first(records: DataFrame, first: str, **candidates) -> tuple[str, tuple[str, str]]:
+    """The layout of a corpus and the names of its two sides, decided by its first record."""
     layout = L.layout_of_text(records.sparkSession, first)
     if layout == L.PAIRED:
-        keys = L.keys_of_text(first)
-        return pairs_from_records(records, *keys), *keys
+        return layout, L.keys_of_text(first, **candidates)
     name = {L.TURNS: "conversation", L.MESSAGES: "messages", L.SHAREGPT: "conversations"}[layout]
-    return pairs_of_layout(records, layout, max_chars=max_chars), name, name
+    return layout, (name, name)
 
 
-def pairs_of_mixed(records: DataFrame, keys: tuple[str, str], max_chars: int | None = None) -> DataFrame:
+def load_pairs(records: DataFrame, max_chars: int | None = None, first: str | None = None, speakers: Speakers = SPEAKERS, **candidates) -> tuple[DataFrame, str, str]:
+    """Pairs of a corpus and the names of its two sides, decided by its first record.
+
+    Pass `first` where it is known, or all records are looked through for it. `candidates`
+    are those of `layout.choose_keys`.
+    """
+    layout, names = sides_of_first(records, first or assert_records(records), **candidates)
+    return pairs_of_layout(records, layout, names, max_chars, speakers), *names
+
+
+def observed_pairs(records: DataFrame, layout: str, keys: tuple[str, str], seen: Observation, max_chars: int | None = None, speakers: Speakers = SPEAKERS) -> DataFrame:
+    """`pairs_of_layout`, and what became of the elements of records, counted while the pairs are made.
+
+    `seen` has a count per reason of `record_drop_reasons` once the pairs have been written.
+    """
+    kept = _kept(records)
+    if layout == L.TURNS:
+        said = J.with_objects(records, "_said", "conversation", plain=("human", "assistant"))
+        reasons = F.transform("_said", lambda t: _sides_reason(strip(t["human"]), strip(t["assistant"])))
+        return _exploded_with_history(_with_told(with_turns(_observed(said, reasons, seen).drop("_said")), max_chars), kept, _turn_pairs(), max_chars)
+    if layout == L.MESSAGES:
+        parsed = with_messages(records)
+        return _exploded(_observed(parsed, _list_reasons("_messages", "role", "content", ["user"], ["assistant"]), seen), kept, _message_pairs())
+    if layout == L.SHAREGPT:
+        parsed = with_sharegpt(records)
+        reasons = _list_reasons("_sharegpt", "from", "text", list(speakers.humans), list(speakers.models))
+        return _exploded(_observed(parsed, reasons, seen), kept, _sharegpt_pairs(speakers))
+    return pairs_from_records(_observed(records, F.array(_single_reason(F.col("raw"), keys)), seen), *keys)
+
+
+REASONS = ["paired", "last", "not_asked", "not_answered", "blank_answer", "blank_side", "not_an_object", "empty"]
+
+
+def _observed(parsed: DataFrame, reasons: Column, seen: Observation) -> DataFrame:
+    some = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("empty")))
+    counted = parsed.withColumn("_reasons", some)
+    counts = [F.sum(F.size(F.filter("_reasons", _equal_to(r)))).alias(r) for r in REASONS]
+    return counted.observe(seen, *counts).drop("_reasons")
+
+
+def _equal_to(reason: str) -> Callable[[Column], Column]:
+    return lambda x: x == reason
+
+
+def pairs_of_mixed(records: DataFrame, keys: tuple[str, str], max_chars: int | None = None, speakers: Speakers = SPEAKERS) -> DataFrame:
     """Pairs of a corpus in which every record is read by its own layout, kept as `layout`; one scan."""
     kept = [*_kept(records), "layout"]
     parsed = with_messages(L.by_layout(records), L.RAW[L.MESSAGES])
@@ -251,7 +308,7 @@ def pairs_of_mixed(records: DataFrame, keys: tuple[str, str], max_chars: int | N
     pairs = (
         F.when(F.col("layout") == L.TURNS, _turn_pairs())
         .when(F.col("layout") == L.MESSAGES, _message_pairs())
-        .when(F.col("layout") == L.SHAREGPT, _sharegpt_pairs())
+        .when(F.col("layout") == L.SHAREGPT, _sharegpt_pairs(speakers))
         .otherwise(single)
     )
     return _exploded_with_history(_with_told(parsed, max_chars), kept, pairs, max_chars)
@@ -273,7 +330,17 @@ def _list_reasons(said: str, who: str, text: str, humans: list[str], models: lis
     return F.transform(said, reason)
 
 
-def record_drop_reasons(records: DataFrame, keys: tuple[str, str]) -> DataFrame:
+def _sides_reason(one: Column, other: Column) -> Column:
+    blank = (F.coalesce(one, F.lit("")) == "") | (F.coalesce(other, F.lit("")) == "")
+    return F.when(blank, "blank_side").otherwise("paired")
+
+
+def _single_reason(raw: Column, keys: tuple[str, str]) -> Column:
+    sides = [clean(J.printed(raw, J.fields(raw, *keys)[key], key)) for key in keys]
+    return F.when(J.is_object(raw), _sides_reason(*sides)).otherwise("not_an_object")
+
+
+def record_drop_reasons(records: DataFrame, keys: tuple[str, str], speakers: Speakers = SPEAKERS) -> DataFrame:
     """`(layout, reason, n)`: what became of every message, turn or record, each read by its own layout.
 
     Counted are elements of lists, and records of one pair; a list without elements counts
@@ -281,18 +348,11 @@ def record_drop_reasons(records: DataFrame, keys: tuple[str, str]) -> DataFrame:
     """
     parsed = with_sharegpt(with_messages(L.by_layout(records), L.RAW[L.MESSAGES]), raw=L.RAW[L.SHAREGPT])
     parsed = J.with_objects(parsed, "_said", "conversation", plain=("human", "assistant"), raw=L.RAW[L.TURNS])
-
-    def sides(one: Column, other: Column) -> Column:
-        blank = (F.coalesce(one, F.lit("")) == "") | (F.coalesce(other, F.lit("")) == "")
-        return F.when(blank, "blank_side").otherwise("paired")
-
-    raw = F.col(L.RAW[L.PAIRED])
-    single = F.when(J.is_object(raw), sides(*[clean(J.printed(raw, J.fields(raw, *keys)[key], key)) for key in keys])).otherwise("not_an_object")
     reasons = (
-        F.when(F.col("layout") == L.TURNS, F.transform("_said", lambda t: sides(strip(t["human"]), strip(t["assistant"]))))
+        F.when(F.col("layout") == L.TURNS, F.transform("_said", lambda t: _sides_reason(strip(t["human"]), strip(t["assistant"]))))
         .when(F.col("layout") == L.MESSAGES, _list_reasons("_messages", "role", "content", ["user"], ["assistant"]))
-        .when(F.col("layout") == L.SHAREGPT, _list_reasons("_sharegpt", "from", "text", HUMAN_ALIASES, MODEL_ALIASES))
-        .otherwise(F.array(single))
+        .when(F.col("layout") == L.SHAREGPT, _list_reasons("_sharegpt", "from", "text", list(speakers.humans), list(speakers.models)))
+        .otherwise(F.array(_single_reason(F.col(L.RAW[L.PAIRED]), keys)))
     )
     some = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("empty")))
     return each_value(parsed, ["layout"], some, "reason").groupBy("layout", "reason").agg(F.count("*").alias("n"))

@@ -8,6 +8,8 @@ written once to the shared folder before two passes look at it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,5 +122,8 @@ def grouped_offset(df: DataFrame, group: list[str], order: list, value: str, out
     earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sums = rows.groupBy(*unit).agg(F.sum(value).alias("_n"))
     carried = sums.select(*unit, F.sum("_n").over(earlier).alias("_carried")).filter("_carried IS NOT NULL")
-    joined = summed.join(F.broadcast(carried), unit, "left")
-    return joined.withColumn(out, F.col("_inside") + F.coalesce("_carried", F.lit(0))).drop("_part", "_row", "_inside", "_carried")
+    # Null is a group like any other.
+    theirs = {c: f"_of_{i}" for i, c in enumerate(unit)}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(t)) for c, t in theirs.items()])
+    joined = summed.join(F.broadcast(carried.withColumnsRenamed(theirs)), same, "left")
+    return joined.withColumn(out, F.col("_inside") + F.coalesce("_carried", F.lit(0))).drop("_part", "_row", "_inside", "_carried", *theirs.values())

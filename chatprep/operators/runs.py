@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from chatprep.constants import EOS_ID, N_SPECIAL
 from chatprep.functions.rows import each
 from chatprep.functions.text import escape_tilde
+from chatprep.operators.ranks import grouped_offset
 from chatprep.operators.vocab import Codec
 
 _STRETCH = 4096  # steps of a generation that one task gathers
@@ -106,37 +102,81 @@ def epoch_losses(epochs: DataFrame) -> DataFrame:
     return typed.filter(F.col("val_loss").isNotNull())
 
 
-def early_stop(epochs: DataFrame, patience: int = 3, threshold: float = 0.005) -> DataFrame:
+def early_stop(epochs: DataFrame, patience: int = 3, threshold: float = 0.005, stretch: int = _STRETCH) -> DataFrame:
     """`(run_id, stop_epoch, best_val, bad_epochs, n_epochs)` from `(run_id, epoch, val_loss)`.
 
     An epoch improves a run if it falls below the best loss by more than `threshold`; after
     `patience` epochs without improvement the run stops (`stop_epoch` null: it did not).
 
-    Whether an epoch improves depends on which earlier ones did, so a run is folded in
-    order: one shuffle by run, sorted there, and a fold that holds four numbers a run,
-    whatever its length and however its epochs are numbered.
+    Whether an epoch improves depends on which earlier ones did. But from an epoch that did,
+    the next one that does lies among the `patience` epochs after it, or the run stops there.
+    So a stretch of a run is a table of `patience` entries: from each of its first epochs
+    the chain of improvements ends in it, or leaves it for one of the next stretch's first.
+    These tables follow each other per run; no task holds more of a run than a stretch, and
+    a row per stretch.
+    """
+    if patience < 1:
+        raise ValueError("patience must be at least 1")
+    stretch = max(stretch, patience)
+    losses = epoch_losses(epochs)
+    longest = losses.groupBy("run_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= stretch:
+        parts = losses.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        placed = grouped_offset(losses.withColumn("_one", F.lit(1)), ["run_id"], ["epoch", "val_loss"], "_one", "_pos")
+        part = F.expr(f"_pos div {stretch}L")
+        # The first epochs of a stretch are also what the one before looks ahead to.
+        both = F.when((F.col("_pos") % stretch < patience) & (part > 0), F.array(part, part - 1)).otherwise(F.array(part))
+        parts = placed.select("run_id", "epoch", "val_loss", F.explode(both).alias("part"))
+    spots = F.array_sort(F.collect_list(F.struct("epoch", "val_loss")))
+    gathered = parts.groupBy("run_id", "part").agg(spots.alias("spots"))
+    # Every run begins at a loss that any improves on.
+    start = F.array(F.struct(F.lit(None).cast("bigint").alias("epoch"), F.lit(float("inf")).alias("val_loss")))
+    first = F.col("part") == 0
+    led = gathered.select("run_id", "part", F.when(first, F.concat(start, "spots")).otherwise(F.col("spots")).alias("spots"))
+    own = stretch + F.when(first, 1).otherwise(0)
+    tables = led.select("run_id", "part", _entries("spots", own, F.col("part") * stretch - F.when(first, 1).otherwise(0), patience, threshold).alias("entries"))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "entries")))
+    runs = tables.groupBy("run_id").agg(in_order.alias("parts"))
+    begin = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in _STATE[:-1]], F.lit(0).cast("int").alias("leaves"))
+    end = F.aggregate("parts", begin, lambda s, p: F.when(s["leaves"].isNull(), s).otherwise(F.element_at(p["entries"], s["leaves"] + 1)))
+    return runs.select("run_id", end.alias("end")).select("run_id", *[f"end.{n}" for n, _ in _STATE[:-1]])
+
+
+_STATE = [("stop_epoch", "bigint"), ("best_val", "double"), ("bad_epochs", "int"), ("n_epochs", "bigint"), ("leaves", "int")]
+
+
+def _entries(spots: str, own: Column, offset: Column, patience: int, threshold: float) -> Column:
+    """What becomes of a run whose best loss so far is that of one of a stretch's first `patience` spots.
+
+    `spots` has the stretch's `own` and then up to `patience` of the next; the first is at
+    `offset` of its run. The outcome is a state of `_STATE`; `leaves` says at which of the next
+    stretch's spots the chain goes on, null if it ends here.
     """
-    ordered = epoch_losses(epochs).repartition("run_id").sortWithinPartitions("run_id", "epoch")
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema)
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, state, rows = None, None, []
-        for batch in batches:
-            for key, epoch, loss in zip(*(batch[c].to_pylist() for c in ("run_id", "epoch", "val_loss"))):
-                if state is None or key != run:
-                    if state is not None:
-                        rows.append((run, *state))
-                    run, state = key, NEW_RUN
-                state = followed(state, epoch, loss, patience, threshold)
-            yield batch_of(rows)
-            rows = []
-        if state is not None:
-            yield batch_of([(run, *state)])
-
-    schema = to_arrow_schema(StructType([epochs.schema["run_id"], *StructType.fromDDL(STOP_COLUMNS)]))
-    return ordered.mapInArrow(follow, f"run_id {dict(epochs.dtypes)['run_id']}, {STOP_COLUMNS}")
+    kind = "struct<" + ", ".join(f"{n}: {t}" for n, t in _STATE) + ">"
+
+    def seen(spot: Column, i: Column) -> Column:
+        ahead = F.slice(spots, i + 2, F.lit(patience))
+        better = F.transform(ahead, lambda x: x["val_loss"] < spot["val_loss"] - F.lit(threshold))
+        full = F.size(ahead) == patience
+        return F.struct(
+            F.array_position(better, True).cast("int").alias("next"),
+            F.when(full, F.element_at(ahead, -1)["epoch"]).alias("stop_epoch"),
+            spot["val_loss"].alias("best_val"),
+            F.size(ahead).alias("bad_epochs"),
+            (offset + i + 1 + F.size(ahead)).cast("bigint").alias("n_epochs"),
+            (own - i - 1).cast("int").alias("left"),
+        )
+
+    def outcome(known: Column, spot: Column) -> Column:
+        ends = F.struct(spot["stop_epoch"], spot["best_val"], spot["bad_epochs"], spot["n_epochs"], F.lit(None).cast("int"))
+        leaves = F.struct(*[F.lit(None).cast(t) for _, t in _STATE[:-1]], (spot["next"] - spot["left"] - 1).cast("int"))
+        here = F.when(spot["next"] == 0, ends.cast(kind)).when(spot["next"] > spot["left"], leaves.cast(kind))
+        return here.otherwise(F.get(known, spot["next"] - 1))
+
+    mine = F.slice(F.transform(spots, seen), F.lit(1), own)
+    # From the last spot back: the outcomes of the `patience` spots that follow are known.
+    return F.aggregate(F.reverse(mine), F.array().cast(f"array<{kind}>"), lambda known, spot: F.slice(F.concat(F.array(outcome(known, spot)), known), 1, patience))
 
 
 def followed(state: tuple, epoch: int, loss: float, patience: int, threshold: float) -> tuple:

@@ -47,7 +47,8 @@ class _ChunkedTurns:
 
     def __init__(self, turns: DataFrame, chunk_turns: int):
         self.rows = self._cut(turns, chunk_turns)
-        later = self._cut(turns.filter(F.col("turn") >= chunk_turns).select("conv_id", "turn"), chunk_turns)
+        beyond = (F.col("turn") >= chunk_turns) | (F.col("turn") < 0)
+        later = self._cut(turns.filter(beyond).select("conv_id", "turn"), chunk_turns)
         with_first = F.explode(F.array(F.lit(0).cast("bigint"), F.col("chunk")))
         self.carried = None
         self.any_long = not later.isEmpty()
@@ -61,7 +62,14 @@ class _ChunkedTurns:
 
     @staticmethod
     def _cut(turns: DataFrame, chunk_turns: int) -> DataFrame:
-        return turns.withColumn("chunk", F.expr(f"turn div {chunk_turns}"))
+        # Rounded down: a negative turn is not in the chunk of turn 0.
+        return turns.withColumn("chunk", F.expr(f"CAST((turn - pmod(turn, {chunk_turns})) div {chunk_turns} AS BIGINT)"))
+
+    def places(self) -> DataFrame:
+        """`(conv_id, chunk, place, n_places)`: the chunks of long conversations by number, keys alone."""
+        of_one = W.partitionBy("conv_id")
+        numbered = self.edges.select(*_UNIT, F.row_number().over(of_one.orderBy("chunk")).alias("place"), F.count("*").over(of_one).alias("n_places"))
+        return pinned(numbered.select(*_UNIT, F.col("place").cast("bigint").alias("place"), "n_places"))
 
     def long_rows(self) -> DataFrame:
         """The turns of long conversations, picked before anything is computed on them."""
@@ -198,16 +206,7 @@ def history_pairs(turns: DataFrame, max_chars: int | None = None, chunk_turns: i
             cut(F.array_join(F.transform(ordered, lambda p: p["t"]), "\n")).alias("chunk_told"),
             F.first("carried").alias("carried"),
         )
-        # One text per conversation, of which each chunk takes what was told before it.
-        part = F.struct("chunk", "carried", F.when(near("carried"), F.col("chunk_told")).alias("told"))
-        whole = per_chunk.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts")).select(
-            "conv_id",
-            cut(F.array_join(F.transform("parts", lambda p: p["told"]), "\n")).alias("whole"),
-            F.transform("parts", lambda p: F.struct(p["chunk"].alias("chunk"), p["carried"].alias("carried"))).alias("places"),
-        )
-        placed = each_value(whole, ["conv_id", "whole"], "places", "at")
-        before = F.substring("whole", F.lit(1), F.greatest(F.col("at.carried") - 1, F.lit(0)).cast("int"))
-        carried = placed.select("conv_id", "at.chunk", blank_to_null(before).alias("carried_told"))
+        carried = _told_before(chunks, per_chunk) if max_chars is None else _told_before_cut(per_chunk, max_chars)
         out = out.join(carried, _UNIT, "left")
     else:
         out = out.withColumn("carried_told", F.lit(None).cast("string"))
@@ -223,6 +222,34 @@ def history_pairs(turns: DataFrame, max_chars: int | None = None, chunk_turns: i
     )
 
 
+def _told_before(chunks: _ChunkedTurns, per_chunk: DataFrame) -> DataFrame:
+    """`(conv_id, chunk, carried_told)`: all that was told before a chunk, put together where it is needed.
+
+    A chunk's text goes to every later chunk of its conversation, under that chunk's own key:
+    texts leave from as many tasks as there are chunks and meet in as many, and no task
+    gathers a conversation but for the one whose rows each hold it.
+    """
+    placed = per_chunk.join(chunks.places(), _UNIT).filter(F.col("place") < F.col("n_places"))
+    later = F.explode(F.sequence(F.col("place") + 1, F.col("n_places")))
+    sent = placed.select("conv_id", later.alias("place"), F.struct("chunk", F.col("chunk_told").alias("told")).alias("part"))
+    ordered = F.transform(F.array_sort(F.collect_list("part")), lambda p: p["told"])
+    told = sent.groupBy("conv_id", "place").agg(F.array_join(ordered, "\n").alias("carried_told"))
+    return told.join(chunks.places().drop("n_places"), ["conv_id", "place"]).select(*_UNIT, "carried_told")
+
+
+def _told_before_cut(per_chunk: DataFrame, max_chars: int) -> DataFrame:
+    """As `_told_before`, no further than `max_chars`: one text per conversation, of which each chunk takes its part."""
+    near = F.struct("chunk", "carried", F.when(F.col("carried") < max_chars, F.col("chunk_told")).alias("told"))
+    whole = per_chunk.groupBy("conv_id").agg(F.array_sort(F.collect_list(near)).alias("parts")).select(
+        "conv_id",
+        F.substring(F.array_join(F.transform("parts", lambda p: p["told"]), "\n"), 1, max_chars).alias("whole"),
+        F.transform("parts", lambda p: F.struct(p["chunk"].alias("chunk"), p["carried"].alias("carried"))).alias("places"),
+    )
+    placed = each_value(whole, ["conv_id", "whole"], "places", "at")
+    before = F.substring("whole", F.lit(1), F.greatest(F.col("at.carried") - 1, F.lit(0)).cast("int"))
+    return placed.select("conv_id", "at.chunk", blank_to_null(before).alias("carried_told"))
+
+
 def pair_corpus(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """Texts `(text)` with exactly the characters of all history pairs, in linear size.
 

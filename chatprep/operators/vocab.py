@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from chatprep.constants import BOS_TEXT, EOS_TEXT, MAX_CODE_POINTS, N_SPECIAL, PAD_TEXT, UNK_ID, UNK_TEXT
 from chatprep.functions.codec import characters, ids_of, text_of, with_specials
 from chatprep.functions.rows import each, each_value
+from chatprep.sources.shared import stored
 from chatprep.sources.tables import assert_vocab_size
 
 
-def pair_text(pairs: DataFrame) -> DataFrame:
-    """`(text)`: both sides of a pair, a blank between them."""
-    return pairs.select(F.concat("input", F.lit(" "), "output").alias("text"))
+def pair_text(pairs: DataFrame, *kept: str) -> DataFrame:
+    """`(text, kept...)`: both sides of a pair, a blank between them."""
+    return pairs.select(F.concat("input", F.lit(" "), "output").alias("text"), *kept)
 
 
 def _each_char(df: DataFrame, text: str, distinct: bool) -> DataFrame:
@@ -52,13 +53,19 @@ def prune_vocab(frequency: DataFrame, min_count: int) -> DataFrame:
     return build_vocab(frequency.filter(F.col("n") >= min_count), "ch")
 
 
+def _counted(vocab: DataFrame) -> DataFrame:
+    """The vocabulary as a stored table, made once for its count and its use, refused if it is none."""
+    kept = stored(vocab.select("ch", "id").limit(MAX_CODE_POINTS + N_SPECIAL + 1), "vocabulary")
+    assert_vocab_size(kept.count())
+    return kept
+
+
 def oov_report(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
     """`(ch, n)` of the characters the vocabulary does not hold.
 
     Counts come first, so both sides of the anti join are at most one row per code point.
     """
-    assert_vocab_size(vocab.limit(MAX_CODE_POINTS + N_SPECIAL + 1).count())
-    known = vocab.filter(F.col("id") >= N_SPECIAL).select("ch")
+    known = _counted(vocab).filter(F.col("id") >= N_SPECIAL).select("ch")
     return char_frequency(df, text).join(F.broadcast(known), "ch", "left_anti")
 
 
@@ -119,9 +126,8 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, keys: list[str], text: str =
     For vocabularies that should stay a table; slower than `Codec.encode`, which is the
     default. Rows are regrouped by their unique keys, so a group is one text.
     """
-    assert_vocab_size(vocab.limit(MAX_CODE_POINTS + N_SPECIAL + 1).count())
     chars = each(df, keys, characters(F.col(text)), "pos", "ch")
-    known = vocab.filter(F.col("id") >= UNK_ID).select("ch", "id")
+    known = _counted(vocab).filter(F.col("id") >= UNK_ID).select("ch", "id")
     looked = chars.join(F.broadcast(known), "ch", "left")
     spots = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
     grouped = looked.groupBy(*keys).agg(F.transform(spots, lambda s: s["id"]).alias("ids"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.constants import BLOCK_SIZES
+from chatprep.constants import BLOCK_SIZES, MAX_BLOCK, MIN_BLOCK, N_SPECIAL, UNK_ID
 from chatprep.operators import batching, chat, context, embeddings, layout, pairs, samples, turns, vocab
 from chatprep.sources import records as R
 from chatprep.sources.shared import stored
@@ -18,15 +18,24 @@ def open_records(spark: SparkSession, path: str) -> DataFrame:
     return R.read_jsonl(spark, path) if path.rstrip("/*").endswith(".jsonl") else R.read_json(spark, path)
 
 
+def open_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """`open_records` and the first record, looked for in the first file that has one and in no other."""
+    records = open_records(spark, path)
+    if path.rstrip("/*").endswith(".jsonl"):
+        return records, R.first_line(spark, path)
+    return records, R.first_of_documents(spark, path)
+
+
 @dataclass(frozen=True)
 class TrainingSet:
     """Samples with their split, the vocabulary behind them, and the shared system text.
 
-    The samples are a stored table: the split and every epoch's batches read them again.
+    The samples are a stored table: the split and every epoch's batches read them again. There
+    is no vocabulary table where a codec was given.
     """
 
     samples: DataFrame
-    vocabulary: DataFrame
+    vocabulary: DataFrame | None
     codec: vocab.Codec
     system: str | None = None
 
@@ -50,6 +59,72 @@ def training_set_from_records(
     return TrainingSet(batching.train_val_split(made, ["rec_id", "pos"], eval_ratio, **split), vocabulary, codec, system)
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """A training set and what was seen while it was made.
+
+    `reasons` counts what became of the elements of records (`pairs.record_drop_reasons`),
+    `longest` is the longest sample before any was cut, null if a vocabulary was given;
+    `n_unknown` counts ids of characters that the vocabulary lacks.
+    """
+
+    training: TrainingSet
+    layout: str
+    keys: tuple[str, str]
+    block_size: int
+    longest: int | None
+    n_records: int
+    n_samples: int
+    n_unknown: int
+    reasons: dict[str, int]
+
+    def summary(self) -> DataFrame:
+        """One row: `n_pairs`, the two sides' names, and the start of the shared system text."""
+        system = self.training.system
+        row = (self.n_samples, *self.keys, system[:40] + "..." if system else None)
+        return self.training.samples.sparkSession.createDataFrame([row], "n_pairs long, input_key string, output_key string, system_excerpt string")
+
+
+def load_corpus(
+    records: DataFrame, size: str = "small", eval_ratio: float = 0.0, first: str | None = None, adapt: bool = False,
+    codec: vocab.Codec | None = None, speakers: pairs.Speakers = pairs.SPEAKERS, **split,
+) -> Corpus:
+    """Records of any layout to split samples and all that is told about them, in two scans of the corpus.
+
+    The first makes the vocabulary and sees the longest sample; it is left out if a `codec` is
+    given. The second writes the samples, and counts records, drop reasons and unknown
+    characters and compares system texts as they pass. With `adapt` blocks are as long as
+    the longest sample asks for, up to the largest block there is.
+    """
+    first = first or R.assert_records(records)
+    kind, keys = pairs.sides_of_first(records, first)
+    block, longest = BLOCK_SIZES[size], None
+    vocabulary = None
+    if codec is None:
+        seen = Observation("lengths")
+        if kind == layout.TURNS:
+            texts = pairs.turns_corpus(records)
+        else:
+            whole = pairs.pairs_of_layout(records, kind, keys, speakers=speakers)
+            n_ids = (F.length("input") + F.length("output") + 4).cast("bigint")
+            texts = vocab.pair_text(whole.withColumn("n_ids", n_ids), "n_ids")
+        vocabulary = stored(vocab.build_vocab(texts.observe(seen, F.max("n_ids").alias("longest"))), "vocabulary")
+        codec = vocab.Codec.of(vocabulary)
+        # A pair has a blank at least; where nothing is paired Spark may have left out the counting.
+        longest = seen.get["longest"] if codec.size > N_SPECIAL else None
+        if adapt:
+            block = max(block, min(max(longest or 0, MIN_BLOCK), MAX_BLOCK))
+    system, reasons, made = Observation("system"), Observation("reasons"), Observation("samples")
+    read = layout.observed_system(records, system)
+    cut = pairs.observed_pairs(read, kind, keys, reasons, block, speakers)
+    unknown = F.size(F.filter("ids", lambda i: i == UNK_ID))
+    rows = samples.make_samples(cut, codec, block).observe(made, F.count("*").alias("n"), F.sum(unknown).alias("unknown"))
+    kept = stored(rows, "samples")
+    told = {r: n for r, n in reasons.get.items() if n}
+    training = TrainingSet(batching.train_val_split(kept, ["rec_id", "pos"], eval_ratio, **split), vocabulary, codec, layout.system_seen(system.get))
+    return Corpus(training, kind, keys, block, longest, system.get["n_records"], made.get["n"], made.get["unknown"] or 0, told)
+
+
 def training_set_from_turns(
     table: DataFrame, size: str = "small", eval_ratio: float = 0.0, block_size: int | None = None, **split
 ) -> TrainingSet:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatprep.functions import jsonvals as J
 from chatprep.functions.rows import each
 from chatprep.functions.text import strip
+from chatprep.sources import jsondocs
 
 
 class CorpusError(ValueError):
@@ -36,14 +37,26 @@ def _ordered_lines(lines: DataFrame, text: Column) -> DataFrame:
     return lines.select(rec_id.alias("rec_id"), text.alias("raw")).filter("raw <> ''")
 
 
-def read_json(spark: SparkSession, path) -> DataFrame:
+def read_json(spark: SparkSession, path, split_bytes: int = jsondocs.SPLIT_BYTES) -> DataFrame:
     """Files that each hold one JSON document: a list, a wrapped list, or one object.
 
-    A document is one row of text here, so many files scale and one giant file does not;
-    keep large corpora as JSON lines.
+    Files of up to `split_bytes` are a row of text each, so many of them scale. Larger ones
+    are read by byte ranges of that size (`jsondocs`), wherever `pyarrow.fs` can open them.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")
-    return records_of_documents(whole, "doc", "value")
+    small = read_json_whole(spark, path, split_bytes)
+    if jsondocs.large_documents(spark, path, split_bytes).isEmpty():
+        return small
+    return small.unionByName(jsondocs.split_documents(spark, path, split_bytes))
+
+
+def read_json_whole(spark: SparkSession, path, max_bytes: int | None = None) -> DataFrame:
+    """As `read_json`, a row of text for every file, or every one of up to `max_bytes`: for stores that only Spark opens."""
+    files = spark.read.text(path, wholetext=True)
+    if max_bytes is not None:
+        files = files.filter(F.col("_metadata.file_size") <= max_bytes)
+    whole = files.select(F.col("_metadata.file_path").alias("doc"), "value")
+    records = records_of_documents(whole, "doc", "value")
+    return records.select(F.struct("rec_id.doc", F.col("rec_id.pos").cast("bigint").alias("pos")).alias("rec_id"), "raw")
 
 
 def records_of_documents(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,15 +67,24 @@ def records_of_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     which `assert_records` reports.
     """
     raw = F.col("raw")
-    # A map keeps source order, so the first list left in it is the first in the document.
-    lists = F.map_filter(J.kinds(raw), lambda _, value: F.schema_of_variant(value).startswith("ARRAY"))
     parsed = df.select(F.col(key).alias("doc"), F.col(text).alias("raw"))
-    parsed = parsed.select("doc", "raw", J.root_kind(raw).alias("kind"), F.map_keys(lists).alias("lists"))
-    chosen = F.when(F.array_contains("lists", "data"), F.lit("data")).otherwise(F.get("lists", F.lit(0)))
+    # A map keeps source order and fields given twice, of which the last value counts, at the place of the first.
+    parsed = parsed.select("doc", "raw", J.root_kind(raw).alias("kind"), F.map_entries(J.kinds(raw)).alias("fields"))
+    parsed = parsed.withColumn("names", F.transform("fields", lambda e: e["key"]))
+
+    def last(e: Column, i: Column) -> Column:
+        return ~F.array_contains(F.slice("names", i + 2, F.size("names")), e["key"])
+
+    is_list = lambda e, i: F.schema_of_variant(e["value"]).startswith("ARRAY") & last(e, i)
+    parsed = parsed.withColumn("lists", F.transform(F.filter("fields", is_list), lambda e: e["key"]))
+    placed = F.array_sort(F.transform("lists", lambda k: F.struct(F.array_position("names", k).alias("at"), k.alias("name"))))
+    chosen = F.when(F.array_contains("lists", "data"), F.lit("data")).otherwise(F.get(placed, F.lit(0))["name"])
     parsed = parsed.select("doc", "raw", "kind", chosen.alias("chosen"))
+    entries = F.map_entries(F.from_json(raw, "map<string,string>"))
+    value = F.try_element_at(F.filter(entries, lambda e: e["key"] == F.col("chosen")), F.lit(-1))["value"]
     records = (
         F.when(F.col("kind").startswith("ARRAY"), J.root_list(raw))
-        .when(F.col("chosen").isNotNull(), J.root_list(F.from_json(raw, "map<string,string>")[F.col("chosen")]))
+        .when(F.col("chosen").isNotNull(), J.root_list(value))
         .when(F.col("kind").startswith("OBJECT"), F.array(raw))
         .otherwise(F.array(F.lit(None).cast("string")))
     )
@@ -95,6 +117,17 @@ def first_line(spark: SparkSession, path) -> str:
     raise CorpusError("dataset is empty")
 
 
+def first_of_documents(spark: SparkSession, path) -> str:
+    """The first record of the first JSON document under `path` that has one, without reading the others."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        top = read_json(spark, unquote(file)).orderBy("rec_id").limit(1).select("raw").collect()
+        if top and top[0]["raw"] is None:
+            raise CorpusError("unsupported JSON document: neither list nor object")
+        if top:
+            return top[0]["raw"]
+    raise CorpusError("dataset is empty")
+
+
 def first_record(records: DataFrame) -> str:
     """Raw text of the first record, a top-1 by `rec_id`; raises on an empty corpus."""
     top = records.orderBy("rec_id").limit(1).select("raw").collect()

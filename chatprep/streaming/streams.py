@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from chatprep.operators.pairs import pairs_of_layout
 from chatprep.operators.runs import NEW_RUN, STOP_COLUMNS, epoch_losses, followed
@@ -20,25 +20,35 @@ FILES_PER_BATCH = 64
 
 
 _IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for as long as a query takes to start, which keeps them as they are then."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def write_available(df: DataFrame, path: str, checkpoint: str | None = None, idle_batches: bool = True) -> StreamingQuery:
     """Process what has arrived into Parquet files, exactly once, then stop.
 
+    State is kept in RocksDB: on local disk and in the checkpoint, not in an executor's heap.
     Turn `idle_batches` off for streams with a timeout: these always ask for another batch,
     with new rows or without, and what has arrived would never be done.
     """
     spark = df.sparkSession
     checkpoint = checkpoint or new_folder(spark, "stream")
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if idle_batches:
+    with _settings(spark, {_STATE_STORE: _ROCKS_DB} | ({} if idle_batches else {_IDLE_BATCHES: "false"})):
         return writer.start()
-    before = spark.conf.get(_IDLE_BATCHES)
-    spark.conf.set(_IDLE_BATCHES, "false")  # a query takes the setting as it is when it starts
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(_IDLE_BATCHES, before)
 
 
 def drain(df: DataFrame, label: str, idle_batches: bool = True) -> DataFrame:
@@ -81,94 +91,146 @@ def _trimmed(n: int):
     return trim
 
 
-def _timeout(minutes: float | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if minutes else GroupStateTimeout.NoTimeout
-
-
-def _keep(state: GroupState, value: tuple, minutes: float | None) -> None:
-    """Holds the value until nothing has come for so long."""
-    state.update(value)
-    if minutes:
-        state.setTimeoutDuration(int(minutes * 60_000))
+class _Forgetful(StatefulProcessor):
+    """State of a key that is forgotten once nothing has come for `minutes`, but for how often it has spoken.
 
+    That number stays, so that what a key says after it came back counts as later than what it
+    said before.
+    """
 
-def _remember(n: int, minutes: float | None):
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, *lists = state.get if state.exists else (0, [], [], [], [], [])
-        system, others = list(zip(*lists[:2])), list(zip(*lists[2:]))
-        for pdf in frames:
+    def __init__(self, minutes: float | None):
+        self.minutes = minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spoken = handle.getValueState("spoken", "version long")
+        self.states = []
+
+    def held(self, state):
+        """The state, to be forgotten with the others."""
+        self.states.append(state)
+        return state
+
+    def next_version(self, timers) -> int:
+        version = self.spoken.get()[0] + 1 if self.spoken.exists() else 1
+        self.spoken.update((version,))
+        if self.minutes:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + int(self.minutes * 60_000))
+        return version
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in self.states:
+            state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+    @property
+    def time_mode(self) -> str:
+        return "ProcessingTime" if self.minutes else "None"
+
+
+class _Context(_Forgetful):
+    """The last `2n` messages and all system messages of a conversation, an entry each."""
+
+    def __init__(self, n: int, minutes: float | None):
+        super().__init__(minutes)
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.system = self.held(handle.getMapState("system", "turn long", "text string"))
+        self.others = self.held(handle.getMapState("others", "turn long", "role string, text string"))
+        self.seen = self.held(handle.getValueState("seen", "n long"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        newest = {k[0]: v for k, v in self.others.iterator()}
+        came, gone = {}, set(newest)
+        for pdf in rows:
             seen += int(pdf["weight"].sum())
             for turn, role, text in zip(pdf["turn"].tolist(), pdf["role"], pdf["text"]):
                 if role == "system":
-                    system.append((turn, text))
+                    self.system.updateValue((turn,), (text,))
                 else:
-                    others.append((turn, role, text))
-            others = sorted(others, key=lambda m: m[0])[-2 * n :]
-        system.sort(key=lambda m: m[0])
-        held = [list(c) for c in zip(*system)] or [[], []], [list(c) for c in zip(*others)] or [[], [], []]
-        _keep(state, (seen, *held[0], *held[1]), minutes)
-        front = 0 if seen > 2 * n else 1
-        rows = [(key[0], seen, front, turn, "system", text) for turn, text in system] + [(key[0], seen, 1, *m) for m in others]
-        yield pd.DataFrame(rows, columns=["conv_id", "n_seen", "section", "turn", "role", "text"])
-
-    return update
+                    came[turn] = (role, text)
+            kept = sorted(newest | came)[-2 * self.n :]
+            newest, came = {t: v for t, v in newest.items() if t in kept}, {t: v for t, v in came.items() if t in kept}
+        for turn, value in came.items():
+            self.others.updateValue((turn,), value)
+        for turn in gone - set(newest) - set(came):
+            self.others.removeKey((turn,))
+        self.seen.update((seen,))
+        version = self.next_version(timerValues)
+        front = 0 if seen > 2 * self.n else 1
+        system = sorted((k[0], v[0]) for k, v in self.system.iterator())
+        out = [(key[0], version, seen, front, turn, "system", text) for turn, text in system]
+        out += [(key[0], version, seen, 1, turn, *value) for turn, value in sorted((newest | came).items())]
+        yield pd.DataFrame(out, columns=["conv_id", "version", "n_seen", "section", "turn", "role", "text"])
 
 
 def stream_context_window(turns: DataFrame, n: int, timeout_minutes: float | None = None) -> DataFrame:
     """`context_window` kept up to date while turns arrive, `n > 0`.
 
-    Every conversation touched by a batch gives its whole context again, marked `n_seen`;
+    Every conversation touched by a batch gives its whole context again, marked `version`;
     the largest is the current one. State per conversation is the last `2n` messages and
-    its system messages; batches are cut down to that in each task before the shuffle. A
-    conversation is forgotten once nothing has come for `timeout_minutes`, if given.
+    its system messages, of which a batch writes those that came and removes those that
+    went; batches are cut down to them in each task before the shuffle. A conversation is
+    forgotten once nothing has come for `timeout_minutes`, if given; one that comes back
+    starts anew.
     """
     light = turns.select("conv_id", "turn", "role", "text").mapInPandas(_trimmed(n), f"{_MESSAGES}, weight long")
-    return light.groupBy("conv_id").applyInPandasWithState(
-        _remember(n, timeout_minutes),
-        "conv_id long, n_seen long, section int, turn long, role string, text string",
-        "seen long, system_turn array<long>, system array<string>, turn array<long>, role array<string>, text array<string>",
-        "append",
-        _timeout(timeout_minutes),
-    )
-
-
-def _follow(patience: int, threshold: float, minutes: float | None):
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        losses = dict(zip(*state.get)) if state.exists else {}
-        for pdf in frames:
-            losses.update(zip(pdf["epoch"].tolist(), pdf["val_loss"].tolist()))
-        order = sorted(losses)
-        _keep(state, (order, [losses[e] for e in order]), minutes)
-        run = NEW_RUN
-        for epoch in order:
-            run = followed(run, epoch, losses[epoch], patience, threshold)
-        frame = pd.DataFrame([(key[0], len(order), *run)], columns=["run_id", "n_known", "stop_epoch", "best_val", "bad_epochs", "n_epochs"])
+    context = _Context(n, timeout_minutes)
+    schema = "conv_id long, version long, n_seen long, section int, turn long, role string, text string"
+    return light.groupBy("conv_id").transformWithStateInPandas(context, schema, "Append", context.time_mode)
+
+
+class _Stopping(_Forgetful):
+    """A run's losses, an entry per epoch, and how far they have been followed."""
+
+    def __init__(self, patience: int, threshold: float, minutes: float | None):
+        super().__init__(minutes)
+        self.patience, self.threshold = patience, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.losses = self.held(handle.getMapState("losses", "epoch long", "val_loss double"))
+        self.known = self.held(handle.getValueState("known", f"last long, n_known long, {STOP_COLUMNS}"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = {}
+        for pdf in rows:
+            came.update(zip(pdf["epoch"].tolist(), pdf["val_loss"].tolist()))
+        for epoch, loss in came.items():
+            self.losses.updateValue((epoch,), (loss,))
+        last, n_known, *run = self.known.get() if self.known.exists() else (None, 0, *NEW_RUN)
+        if last is not None and min(came) <= last:
+            # A late epoch can change what every later one meant.
+            came = {k[0]: v[0] for k, v in self.losses.iterator()}
+            n_known, run = 0, NEW_RUN
+        run = tuple(run)
+        for epoch in sorted(came):
+            run = followed(run, epoch, came[epoch], self.patience, self.threshold)
+        n_known += len(came)
+        self.known.update((max(came), n_known, *run))
+        frame = pd.DataFrame([(key[0], self.next_version(timerValues), n_known, *run)], columns=["run_id", "version", "n_known", "stop_epoch", "best_val", "bad_epochs", "n_epochs"])
         yield frame.astype({"stop_epoch": "Int64"})
 
-    return update
-
 
 def stream_early_stop(epochs: DataFrame, patience: int = 3, threshold: float = 0.005, timeout_minutes: float | None = None) -> DataFrame:
-    """`early_stop` while epochs arrive, in any order; one row per run and batch, the largest `n_known` is current.
+    """`early_stop` while epochs arrive, in any order; one row per run and batch, the largest `version` is current.
 
-    An epoch that comes late can change what every later one meant, so the state of a run is
-    its epochs and losses, and each batch folds them anew; an epoch that comes again
-    replaces its loss. A run is forgotten once nothing has come for `timeout_minutes`, if
-    given.
+    An epoch that follows those known is one step; one that comes late can change what every
+    later one meant, so the run's losses, an entry of state each, are followed anew. An
+    epoch that comes again replaces its loss. A run is forgotten once nothing has come for
+    `timeout_minutes`, if given; one that comes back starts anew.
     """
-    return epoch_losses(epochs).groupBy("run_id").applyInPandasWithState(
-        _follow(patience, threshold, timeout_minutes),
-        f"run_id long, n_known long, {STOP_COLUMNS}",
-        "epochs array<long>, losses array<double>",
-        "append",
-        _timeout(timeout_minutes),
-    )
+    stopping = _Stopping(patience, threshold, timeout_minutes)
+    schema = f"run_id long, version long, n_known long, {STOP_COLUMNS}"
+    return epoch_losses(epochs).groupBy("run_id").transformWithStateInPandas(stopping, schema, "Append", stopping.time_mode)
 
 
 def current(history: DataFrame, key: str | list[str], version: str) -> DataFrame:

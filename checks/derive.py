@@ -110,6 +110,28 @@ def json_documents(documents: DataFrame) -> DataFrame:
     return with_lines(documents).select("doc_id", doc.alias("value"))
 
 
+def json_files(documents: DataFrame) -> DataFrame:
+    """`(source, value)`: lines of one JSON document per source, in order: a list, `data`, or some other list.
+
+    The first record is blank, so that every other one follows a comma.
+    """
+    kind = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(3))
+    blank = F.lit('{"instruction": "", "output": ""}')
+    head = (
+        F.when(kind == 0, F.lit("["))
+        .when(kind == 1, F.lit('{"meta": {"a": [1, "]"], "b": "[\\\\"}, "rows": [7], "data": ['))
+        .otherwise(F.lit('{"meta": "[\\"", "rows": ['))
+    )
+    foot = F.when(kind == 0, F.lit("]")).when(kind == 1, F.lit('], "more": [1, {"x": [2]}]}')).otherwise(F.lit('], "other": [{"instruction": 7, "output": 7}]}'))
+    record = F.to_json(F.struct(F.col("doc_id").alias("instruction"), F.col("text").alias("output")))
+    sources = documents.select("source").distinct().withColumn("doc_id", F.lit(None).cast("bigint"))
+    rows = documents.select("source", "doc_id", F.lit(1).alias("at"), F.concat(F.lit(", "), record).alias("value"))
+    rows = rows.unionByName(sources.select("source", "doc_id", F.lit(0).alias("at"), F.concat(head, blank).alias("value")))
+    rows = rows.unionByName(sources.select("source", "doc_id", F.lit(2).alias("at"), foot.alias("value")))
+    ordered = rows.repartition("source").sortWithinPartitions("source", "at", "doc_id")
+    return ordered.select("source", "value")
+
+
 def answer_tokens(conversations: DataFrame, codec: Codec) -> DataFrame:
     """Tokens of every answer with begin and end ids: a generation each; after the end of every third answer more tokens follow."""
     answers = conversations.filter("role = 'assistant'")

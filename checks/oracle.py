@@ -201,6 +201,7 @@ SQL = {
     "pairs_history_cut": f"WITH {HISTORY} SELECT conv_id, turn, left(input, 128) AS input, output, CAST(length(input) AS BIGINT) AS input_chars FROM hist",
     "pairs_messages_nested": f"WITH {MESSAGES} SELECT * FROM msg",
     "pairs_sharegpt_nested": f"WITH {SHAREGPT} SELECT * FROM sg",
+    "pairs_sharegpt_named": f"""WITH {SHAREGPT}, {neighbours("named", "'human'|'gpt', 'bot'").replace("named_m", "sg_m")} SELECT * FROM named""",
     "pairs_turns_nested": f"WITH {TURN_PAIRS} SELECT * FROM tp",
     "pairs_records": f"WITH {TEXT_PAIRS} SELECT * FROM rp",
     "pairs_records_numbers": "SELECT event_id AS rec_id, value AS number, 'True' AS output FROM events",
@@ -237,6 +238,25 @@ FROM adj ORDER BY conv_id, turn LIMIT 2""",
     "read_json_documents": f"""WITH {LINES}
 SELECT doc_id, CAST(i AS BIGINT) AS line, {clean("line")} AS output FROM dl WHERE doc_id % 4 <> 3 AND {clean("line")} <> ''
 UNION ALL SELECT doc_id, doc_id, {clean("text")} FROM documents WHERE doc_id % 4 = 3 AND {clean("text")} <> ''""",
+    "read_json_files": f"""SELECT doc_id, {clean("text")} AS output FROM documents WHERE {clean("text")} <> ''""",
+    "corpus_facts": f"""WITH {MESSAGES}, {SHAREGPT.removeprefix(LINES + ",")}, {TURN_PAIRS.removeprefix(LINES + ",")}, {TEXT_PAIRS},
+said AS (SELECT 'messages' AS corpus, rec_id, pos, who = 'user' AS asks, who = 'assistant' AS answers, text FROM msg_m
+  UNION ALL SELECT 'sharegpt', rec_id, pos, who IN ('human', 'user'), who IN ('gpt', 'assistant', 'model', 'chatbot'), text FROM sg_m),
+after AS (SELECT *, lead(answers) OVER w AS next_answers, lead(text) OVER w AS next_text FROM said WINDOW w AS (PARTITION BY corpus, rec_id ORDER BY pos)),
+r AS (SELECT corpus, CASE WHEN next_answers IS NULL THEN 'last' WHEN NOT asks THEN 'not_asked' WHEN NOT next_answers THEN 'not_answered'
+    WHEN {strip("next_text")} = '' THEN 'blank_answer' ELSE 'paired' END AS reason FROM after
+  UNION ALL SELECT 'turns', CASE WHEN human = '' OR assistant = '' THEN 'blank_side' ELSE 'paired' END FROM sides
+  UNION ALL SELECT 'paired', CASE WHEN {clean("asked")} = '' OR {clean("rest")} = '' THEN 'blank_side' ELSE 'paired' END FROM raw),
+p AS (SELECT 'messages' AS corpus, input, output FROM msg UNION ALL SELECT 'sharegpt', input, output FROM sg
+  UNION ALL SELECT 'turns', input, output FROM tp UNION ALL SELECT 'paired', input, output FROM rp),
+c AS (SELECT corpus, count(*) AS n, max(length(input) + length(output) + 4) AS longest FROM p GROUP BY corpus),
+v AS (SELECT corpus, count(DISTINCT ch) + 4 AS n FROM (SELECT corpus, unnest(string_split(input || ' ' || output, '')) AS ch FROM p) WHERE ch <> '{UNK_TEXT}' GROUP BY corpus)
+SELECT corpus, reason AS fact, count(*) AS value FROM r GROUP BY ALL
+UNION ALL SELECT corpus, 'n_records', (SELECT count(*) FROM documents) FROM c
+UNION ALL SELECT corpus, 'n_samples', n FROM c UNION ALL SELECT corpus, 'longest', longest FROM c
+UNION ALL SELECT corpus, 'block_size', greatest(128, least(greatest(longest, 16), 2048)) FROM c
+UNION ALL SELECT corpus, 'vocabulary', n FROM v
+UNION ALL SELECT corpus, 'n_unknown', (SELECT count(*) FROM p AS q WHERE q.corpus = c.corpus AND contains(q.input || q.output, '{UNK_TEXT}')) FROM c""",
     "split_corrupt": "SELECT event_id AS rec_id, CASE WHEN event_id % 3 = 0 THEN 'corrupt' ELSE 'good' END AS part FROM events",
     "vocab": f"WITH {VOCAB} SELECT * FROM vocab",
     "vocab_size": f"WITH {VOCAB} SELECT count(*) AS vocab_size FROM vocab",
@@ -250,6 +270,7 @@ WHERE ch NOT IN (SELECT ch FROM vocab WHERE id >= 4) GROUP BY 1""",
     "encode_joined": f"WITH {VOCAB}, {encoded_documents('enc', chars('text'))} SELECT doc_id, {csv('ids')} AS ids FROM enc",
     "encode_arrow": f"WITH {VOCAB}, {encoded_documents('enc', chars('text'))} SELECT doc_id, {csv('ids')} AS ids FROM enc",
     "encode_plugged": f"SELECT doc_id, {csv("list_transform(string_split(text, ' '), lambda w: length(w))")} AS ids FROM documents",
+    "encode_tokenizer_file": "SELECT doc_id, text FROM documents",
     "decode_round_trip": f"""WITH {VOCAB}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS p FROM documents)
 SELECT doc_id, coalesce(string_agg(CASE WHEN id >= 4 THEN ch END, '' ORDER BY p), '') AS text FROM c LEFT JOIN vocab USING (ch) GROUP BY 1""",
     "decode_with_specials": f"""WITH {VOCAB}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS p FROM documents)
@@ -364,6 +385,9 @@ SELECT id, CAST(dim AS INT) AS dim, round(coalesce(x, 0), 6) AS x FROM grid LEFT
     "initial_embeddings": f"""WITH {VOCAB}, d AS (SELECT label + 4 AS id, CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 a AS (SELECT id, dim, sum(n * x) / sum(n) AS x FROM d GROUP BY ALL), grid AS (SELECT id, unnest(range(80)) AS dim FROM vocab)
 SELECT id, CAST(dim AS INT) AS dim, round(coalesce(x, 0), 6) AS x FROM grid LEFT JOIN a USING (id, dim)""",
+    "initial_embeddings_projected": f"""WITH {VOCAB}, d AS (SELECT label + 4 AS id, CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+a AS (SELECT id, dim, sum(n * x) / sum(n) AS x FROM d GROUP BY ALL), e AS (SELECT id, sum(x * x) AS energy FROM a GROUP BY id)
+SELECT id, 48 AS n_dims, round(coalesce(energy, 0), 6) AS energy FROM vocab LEFT JOIN e USING (id)""",
     "pad_dims": """SELECT vec_id, CAST(dim AS INT) AS dim, round(coalesce(embedding[dim + 1]::DOUBLE, 0), 6) AS x
 FROM (SELECT vec_id, embedding, unnest(range(80)) AS dim FROM embeddings)""",
     "svd_energy": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS energy FROM embeddings",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from checks import derive as D
 from checks.derive import table
 from chatprep.constants import SPLIT_SEED
 from chatprep.functions import jsonvals as J
-from chatprep.functions.codec import ids_csv, register_tokenizer, tokenizer
+from chatprep.functions.codec import detokenizer_file, ids_csv, register_tokenizer, register_tokenizer_spec, tokenizer
 from chatprep.functions.rows import each
 from chatprep.functions.text import clean, clean_keep_inner_space, excerpt
 from chatprep.operators import batching as B
@@ -37,6 +38,7 @@ KEYS = ["conv_id", "turn"]
 RATIO = 0.1
 SVD_COLUMNS = 8
 STREAM_BATCHES = 4
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,6 +97,12 @@ def pairs_sharegpt_nested(spark, sf):
     return P.pairs_from_sharegpt(D.records(_documents(spark, sf), D.sharegpt_raw()))
 
 
+def pairs_sharegpt_named(spark, sf):
+    """As `pairs_sharegpt_nested`, with speakers of other names."""
+    speakers = P.Speakers(humans=("human",), models=("gpt", "bot"))
+    return P.pairs_from_sharegpt(D.records(_documents(spark, sf), D.sharegpt_raw()), speakers)
+
+
 def pairs_turns_nested(spark, sf):
     return P.pairs_from_turns(D.records(_documents(spark, sf), D.turn_raw()))
 
@@ -171,6 +179,27 @@ def read_json_documents(spark, sf):
     )
 
 
+def read_json_files(spark, sf):
+    """One JSON file per source; those of more than 128 kB are read by ranges of that size."""
+    path = new_folder(spark, "json-files")
+    D.json_files(_documents(spark, sf)).write.partitionBy("source").text(path)
+    records = Rec.read_json(spark, path, split_bytes=1 << 17)
+    return P.pairs_from_records(records, "instruction", "output").select(F.col("input").cast("bigint").alias("doc_id"), "output")
+
+
+def corpus_facts(spark, sf):
+    """What loading a corpus tells, for one of each layout: counted while vocabulary and samples are made."""
+    docs = _documents(spark, sf)
+    raws = {"messages": D.message_raw(), "sharegpt": D.sharegpt_raw(), "turns": D.turn_raw(), "paired": D.text_raw()}
+    rows = []
+    for name, raw in raws.items():
+        corpus = prepare.load_corpus(D.records(docs, raw), adapt=True)
+        facts = {"n_records": corpus.n_records, "n_samples": corpus.n_samples, "longest": corpus.longest, "block_size": corpus.block_size}
+        facts |= {"vocabulary": corpus.training.codec.size, "n_unknown": corpus.n_unknown} | corpus.reasons
+        rows += [(name, fact, value) for fact, value in facts.items()]
+    return spark.createDataFrame(rows, "corpus string, fact string, value long")
+
+
 def split_corrupt(spark, sf):
     raw = F.when(F.col("event_id") % 3 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
     good, bad = Rec.split_corrupt(_events(spark, sf).select(F.col("event_id").alias("rec_id"), raw.alias("raw")))
@@ -228,6 +257,18 @@ def encode_plugged(spark, sf):
     return _documents(spark, sf).select("doc_id", ids_csv(tokenizer("word_lengths")(F.col("text"))).alias("ids"))
 
 
+def encode_tokenizer_file(spark, sf):
+    """A byte-level tokenizer file loses nothing: its ids, told back, are the text."""
+    register_tokenizer_spec("byte_level", "chatprep.functions.codec:tokenizer_file", path=TOKENIZER)
+    ids = _documents(spark, sf).select("doc_id", tokenizer("byte_level")(F.col("text")).alias("ids"))
+
+    @F.pandas_udf("string")
+    def told(ids: pd.Series) -> pd.Series:
+        return pd.Series(detokenizer_file(TOKENIZER)([x.tolist() for x in ids]))
+
+    return ids.select("doc_id", told("ids").alias("text"))
+
+
 def decode_round_trip(spark, sf):
     codec = _codec(spark, sf)
     ids = _documents(spark, sf).select("doc_id", codec.encode(F.col("text")).alias("ids"))
@@ -498,6 +539,14 @@ def initial_embeddings(spark, sf):
     return _long(prepare.initial_embeddings(pieces, source, _vocab(spark, sf), 64, 80), "id", 6)
 
 
+def initial_embeddings_projected(spark, sf):
+    """Fewer dimensions than the source has, and more than the pooled vectors span: their lengths stay."""
+    pieces, source = D.label_pieces(table(spark, sf, "embeddings"))
+    made = prepare.initial_embeddings(pieces, source, _vocab(spark, sf), 64, 48)
+    energy = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    return made.select("id", F.size("vec").alias("n_dims"), F.round(energy, 6).alias("energy"))
+
+
 def pad_dims(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return _long(E.pad_dims(vectors, 80), "vec_id", 6)
@@ -554,12 +603,12 @@ def _arriving(spark, rows, keys):
 def stream_context_window(spark, sf):
     arriving = _arriving(spark, _conversations(spark, sf), KEYS)
     history = Z.drain(Z.stream_context_window(arriving, 2), "context")
-    return Z.current(history, "conv_id", "n_seen").drop("n_seen")
+    return Z.current(history, "conv_id", "version").drop("version", "n_seen")
 
 
 def stream_early_stop(spark, sf):
     arriving = _arriving(spark, D.event_epochs(_events(spark, sf)), ["run_id", "epoch"])
-    states = Z.current(Z.drain(Z.stream_early_stop(arriving), "stops"), "run_id", "n_known").drop("n_known")
+    states = Z.current(Z.drain(Z.stream_early_stop(arriving), "stops"), "run_id", "version").drop("version", "n_known")
     return states.withColumn("best_val", F.round("best_val", 9)).withColumn("bad_epochs", F.col("bad_epochs").cast("bigint"))
 
 
@@ -571,10 +620,10 @@ def stream_throughput(spark, sf):
 
 
 QUERIES = [
-    samples, pairs_adjacent, pairs_history, pairs_history_cut, pairs_messages_nested, pairs_sharegpt_nested,
+    samples, pairs_adjacent, pairs_history, pairs_history_cut, pairs_messages_nested, pairs_sharegpt_nested, pairs_sharegpt_named,
     pairs_turns_nested, pairs_records, pairs_records_numbers, pairs_mixed, pair_drop_reasons, record_drop_reasons,
-    layouts, detect_layout, uniform_system, dataset_summary, preview, read_jsonl_fields, read_json_documents, split_corrupt,
-    vocab, vocab_size, vocab_round_trip, char_frequency, vocab_pruned, oov_report, encode, encode_joined, encode_arrow, encode_plugged,
+    layouts, detect_layout, uniform_system, dataset_summary, preview, read_jsonl_fields, read_json_documents, read_json_files, corpus_facts, split_corrupt,
+    vocab, vocab_size, vocab_round_trip, char_frequency, vocab_pruned, oov_report, encode, encode_joined, encode_arrow, encode_plugged, encode_tokenizer_file,
     decode_round_trip, decode_with_specials,
     shift_targets, length_profile, write_samples, train_val_split, assign_batches, assign_batches_documents, pad_batches,
     batch_matrices, loss_mask, batch_plan, lr_schedule,
@@ -583,6 +632,6 @@ QUERIES = [
     context_window_n2, normalize_history, build_prompt, truncate_prompt, truncate_prompt_ends, clean_message, excerpts,
     topk_ties, softmax, sample_one, sample_scores, nucleus,
     assemble_generation, running_generation, throughput, epoch_rollup, early_stop, best_epoch,
-    pool_embeddings, initial_embeddings, pad_dims, svd_energy, svd_columns,
+    pool_embeddings, initial_embeddings, initial_embeddings_projected, pad_dims, svd_energy, svd_columns,
     stream_samples, stream_context_window, stream_early_stop, stream_throughput,
 ]

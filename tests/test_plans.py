@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatprep.operators import batching as B
+from chatprep.operators import chat as C
 from chatprep.operators import context as X
 from chatprep.operators import pairs as P
 from chatprep.operators import samples as S
@@ -107,3 +108,15 @@ def test_results_do_not_depend_on_partitioning(turns, parts):
         return sorted(map(str, B.pad_batches(B.assign_batches(made, ["conv_id", "turn"])).collect()))
 
     assert batches(moved) == batches(turns)
+
+
+def test_a_packed_text_moves_once(spark, tmp_path):
+    """By range, before the plan that is left: in that only pieces at the ends of parts do."""
+    path = str(tmp_path / "texts")
+    spark.range(500).selectExpr("id as k", "repeat('ab ', cast(id % 50 as int)) as text").write.parquet(path)
+    texts = spark.read.parquet(path)
+    codec = V.Codec.of(V.build_vocab(texts))
+    for group in (40, None):
+        packed = C.pack_text(texts, ["k"], codec, max_len=64, rows_per_group=group)
+        assert [re.sub(r"#\d+L?", "", e) for e in exchanges(packed)] == ["hashpartitioning(group_id, block_id, 4)"]
+        assert "part" in plan(packed) and "Filter" in plan(packed)

@@ -1,4 +1,5 @@
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -8,6 +9,7 @@ from chatprep.constants import WHITESPACE
 from chatprep.functions.text import clean, clean_keep_inner_space, excerpt, strip
 from chatprep.operators import layout as L
 from chatprep.operators import pairs as P
+from chatprep.sources import jsondocs
 from chatprep.sources import records as R
 from chatprep.sources import shared
 from chatprep.sources import tables as Tab
@@ -185,3 +187,49 @@ def test_shared_tables_need_a_folder_and_go_with_their_scope(spark, tmp_path):
         folder = Path(kept.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
         assert kept.count() == 3 and folder.is_dir()
     assert not folder.exists()
+
+
+def _value(rng, depth=0):
+    if depth > 3 or rng.random() < 0.4:
+        return "".join(rng.choice(["a", '"', "\\", "[", "]", "{", "}", ",", ":", "é", "日", " ", "\n", '\\"']) for _ in range(rng.randint(0, 12)))
+    if rng.random() < 0.3:
+        return [_value(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    return {_value(rng, 9): rng.choice([1, 2.5, None, True, _value(rng, depth + 1)]) for _ in range(rng.randint(0, 4))}
+
+
+@pytest.mark.parametrize("split, chunk", [(9, 4), (64, 16), (300, 1 << 20)])
+def test_documents_by_ranges_equal_documents_as_rows(spark, tmp_path, split, chunk):
+    """Ranges cut strings, escapes, characters and field names; lists hold brackets in strings, nothing, or anything."""
+    rng = random.Random(split)
+    docs = []
+    for _ in range(6 if split < 64 else 20):
+        name = rng.choice([lambda: "data", lambda: 'x"[', lambda: "m\\", lambda: _value(rng, 9)])
+        docs.append([_value(rng) for _ in range(rng.randint(0, 6))] if rng.random() < 0.5 else {name(): _value(rng) for _ in range(rng.randint(1, 5))})
+    texts = [" \n" * rng.randint(0, 2) + json.dumps(d, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) + " " * rng.randint(0, 2) for d in docs]
+    texts += ["[]", " [ ] ", '{"a": []}', "{}", '{"a": 1, "a": [1, 2], "b": [3]}', '{"a": [1], "b": [2], "a": 3}', "[[[]], {}]", '["\\\\", "\\\\\\""]']
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i:03d}.json").write_text(text, encoding="utf-8")
+
+    def rows(df):
+        return [(r["rec_id"]["doc"], r["raw"]) for r in df.orderBy("rec_id").collect()]
+
+    want = rows(R.read_json_whole(spark, str(tmp_path)))
+    assert rows(R.read_json(spark, str(tmp_path), split)) == want
+    assert [r for r in rows(jsondocs.split_documents(spark, str(tmp_path), split, chunk)) if len(texts[int(r[0][-8:-5])].encode()) > split] == [
+        r for r in want if len(texts[int(r[0][-8:-5])].encode()) > split
+    ]
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a"', '[1, "abc', '"a string of some length"', "12345678901234567890", "      \n      ", '{"a": [1, 2}  '])
+def test_broken_documents_are_one_null_record(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    assert [r["raw"] for r in R.read_json(spark, str(tmp_path), 4).collect()] == [None]
+
+
+def test_a_task_reads_a_range(spark, tmp_path):
+    """As many tasks as ranges, and no more of a file in one than its range and an element."""
+    (tmp_path / "x.json").write_text(json.dumps([{"k": "v" * 90, "i": i} for i in range(2000)]))
+    size = (tmp_path / "x.json").stat().st_size
+    df = R.read_json(spark, str(tmp_path), size // 10 + 1)
+    per_task = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in per_task) == 2000 and len(per_task) >= 5 and max(r["n"] for r in per_task) < 1000

@@ -141,3 +141,61 @@ def test_ragged_rows_are_refused(spark, rows):
 
 def test_svd_of_no_rows(spark):
     assert E.svd_project(spark.createDataFrame([], "id int, vec array<float>"), "id", "vec", 1).collect() == []
+
+
+def _looped(losses, patience, threshold):
+    run = R.NEW_RUN
+    for epoch, loss in enumerate(losses):
+        run = R.followed(run, epoch, loss, patience, threshold)
+    return run
+
+
+@pytest.mark.parametrize("patience, stretch", [(1, 4), (3, 4), (3, 7), (5, 2), (3, 4096)])
+def test_early_stop_in_stretches_equals_the_loop(spark, patience, stretch):
+    """Falling, rising, random and level losses, nothing that improves, runs of any length in stretches of any."""
+    rng = random.Random(patience * 10 + stretch)
+    runs = {i: [rng.choice([rng.uniform(0, 1), 0.5, float("nan")]) for _ in range(rng.randint(1, 40))] for i in range(40)}
+    runs |= {100: [1 - i / 1000 for i in range(90)], 101: [1 - i * 0.006 for i in range(60)], 102: [float(i) for i in range(30)], 103: [float("nan")] * 9, 104: [float("inf"), 3.0]}
+    runs |= {105: [5.0 - i // 3 for i in range(60)], None: [0.9 - i * 0.01 for i in range(31)], 106: [1.0 - (i % 7) * 0.1 for i in range(50)]}
+    rows = [(run, e, x) for run, losses in runs.items() for e, x in enumerate(losses)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "run_id long, epoch long, val_loss double").repartition(6)
+    for threshold in (0.005, 0.0, 0.05):
+        got = {r["run_id"]: tuple(r)[1:] for r in R.early_stop(df, patience, threshold, stretch=stretch).collect()}
+        assert repr(got) == repr({k: _looped(runs[k], patience, threshold) for k in got}) and got.keys() == runs.keys()
+
+
+def test_a_hot_run_is_in_no_task_whole(spark, tmp_path):
+    path = str(tmp_path / "epochs")
+    spark.range(3000).selectExpr("id % 3 as run_id", "id as epoch", "1.0 / (id + 1) as val_loss").write.parquet(path)
+    plan = R.early_stop(spark.read.parquet(path), stretch=64)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+    first = plan.split("collect_list")[-1]  # the innermost list is that of a stretch
+    assert "part#" in first.split("Exchange hashpartitioning(")[1].split("\n")[0]
+
+
+def _columns(spark, a, k, **more):
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(a)], "id int, vec array<double>").repartition(7)
+    got = {r["id"]: r["vec"] for r in E.svd_project(df, "id", "vec", k, **more).collect()}
+    return np.array([got[i] for i in range(len(a))])
+
+
+def _conditioned(n, d, smallest):
+    rng = np.random.default_rng(3)
+    u, v = np.linalg.qr(rng.normal(size=(n, d)))[0], np.linalg.qr(rng.normal(size=(d, d)))[0]
+    return u * np.logspace(0, smallest, d), v
+
+
+def test_svd_keeps_small_singular_values(spark):
+    """Values of 1 to 1e-10: the square of the last is below the rounding of the first's."""
+    scaled, v = _conditioned(400, 12, -10)
+    found = _columns(spark, scaled @ v.T, 12)
+    lengths = np.linalg.norm(found, axis=0)
+    assert np.allclose(lengths, np.logspace(0, -10, 12), rtol=1e-4, atol=0)
+    assert np.allclose(np.abs(found / lengths), np.abs(scaled / np.logspace(0, -10, 12)), atol=1e-4)
+
+
+def test_svd_of_more_dimensions_than_a_factor_holds(spark):
+    scaled, v = _conditioned(150, 60, -8)
+    found = _columns(spark, scaled @ v.T, 5, max_dim=30)
+    assert np.allclose(np.abs(found), np.abs(scaled[:, :5]), atol=1e-8)

@@ -89,3 +89,59 @@ def test_certain_and_impossible_candidates(spark):
     probs = spark.createDataFrame([(1, 5, 1.0), (1, 6, 0.0), (2, 7, 1.0)], "ctx_id long, token_id long, prob double")
     assert {tuple(r) for r in G.sample_one(probs, 1).collect()} == {(1, 5), (2, 7)}
     assert {(r[0], r[1]) for r in G.nucleus_filter(probs).collect()} == {(1, 5), (2, 7)}
+
+
+@pytest.mark.parametrize("slice_rows", [7, 100])
+def test_slices_change_nothing(spark, slice_rows):
+    """Large contexts in many slices, cut and joined again, or all in one."""
+    rows = _scores(3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for k in (1, 6, 150, 1500):
+        want = {tuple(r) for r in G.topk_filter(df, k).collect()}
+        assert {tuple(r) for r in G.topk_filter(df, k, slice_rows=slice_rows).collect()} == want
+    probs = {(r[0], r[1]): r["prob"] for r in G.softmax(df, 2.0).collect()}
+    sliced = {(r[0], r[1]): r["prob"] for r in G.softmax(df, 2.0, slice_rows=slice_rows).collect()}
+    assert probs.keys() == sliced.keys() and all(math.isclose(probs[x], sliced[x], rel_tol=1e-12) for x in probs)
+    table = spark.createDataFrame([(*x, p) for x, p in probs.items()], "ctx_id long, token_id long, prob double")
+    want = {tuple(r) for r in G.nucleus_filter(table, 0.8).collect()}
+    assert {tuple(r) for r in G.nucleus_filter(table, 0.8, slice_rows=slice_rows).collect()} == want
+
+
+def test_a_hot_context_spreads_evenly_and_small_ones_are_not_copied(spark):
+    hot = spark.range(30_000).selectExpr("0L as ctx_id", "id as token_id", "1.0 as score")
+    small = spark.range(60_000).selectExpr("id div 6 + 1 as ctx_id", "id as token_id", "1.0 as score")
+    rows = hot.unionByName(small)
+    slices = G.Slices(rows, "ctx_id", 1000)
+    sizes = {r["_slice"]: r["n"] for r in slices.cut(rows, "token_id").filter("ctx_id = 0").groupBy("_slice").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) == 30 and max(sizes.values()) < 1300
+    assert slices.large and len(slices.large) == 1
+    facts = rows.select("ctx_id").distinct()
+    copies = slices.meet(slices.cut(facts.withColumn("token_id", F.lit(1)), "token_id"), facts)
+    assert copies.count() == facts.count()
+
+
+@pytest.mark.parametrize("p", [0.05, 0.5, 0.9, 1.0])
+def test_nucleus_of_many_equal_and_nearly_equal_probabilities(spark, p):
+    """Masses are eighths and smaller powers of two, so that sums are exact; tokens are far apart and negative."""
+    rng = random.Random(5)
+    rows = []
+    for c in range(12):
+        parts = [1.0]
+        while len(parts) < 40 and rng.random() < 0.97:
+            x = parts.pop(rng.randrange(len(parts)))
+            parts += [x / 2, x / 2]
+        tokens = rng.sample(range(-(10**12), 10**12), len(parts))
+        rows += [(c, t, x) for t, x in zip(tokens, parts)]
+    rows += [(50, 1, math.nextafter(0.25, 1)), (50, 2, 0.25), (50, 3, math.nextafter(0.25, 0)), (50, 4, 0.0), (51, 9, 5e-324), (51, 8, 1e-310), (52, 3, 1.0)]
+    want = set()
+    for c in {r[0] for r in rows}:
+        mass = 0.0
+        for falling, t in sorted((-x, t) for k, t, x in rows if k == c and x > 0):
+            if mass >= p:
+                break
+            want.add((c, t))
+            mass -= falling
+    df = spark.createDataFrame(rows, "ctx_id long, token_id long, prob double").repartition(4)
+    got = G.nucleus_filter(df, p)
+    assert {(r["ctx_id"], r["token_id"]) for r in got.collect()} == want
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString().lower()

@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def test_stream_context_equals_the_batch(spark, tmp_path):
     _files(turns, path, "turn", [range(12, 30), range(0, 5), range(5, 12)])
     for n in (1, 2):
         arriving = _one_at_a_time(spark, path, turns.schema)
-        got = Z.current(Z.drain(Z.stream_context_window(arriving, n), "context"), "conv_id", "n_seen")
+        got = Z.current(Z.drain(Z.stream_context_window(arriving, n), "context"), "conv_id", "version")
         want = X.context_window(turns, n)
         columns = ["conv_id", "section", "turn", "role", "text"]
         assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
@@ -54,7 +55,7 @@ def test_stream_early_stop_equals_the_batch(spark, tmp_path):
     path = str(tmp_path / "epochs")
     _files(epochs, path, "epoch", [range(5, 20), (1, 3), (0, 2, 4)])
     states = Z.drain(Z.stream_early_stop(_one_at_a_time(spark, path, epochs.schema), timeout_minutes=600), "stops", idle_batches=False)
-    got = Z.current(states, "run_id", "n_known").drop("n_known").collect()
+    got = Z.current(states, "run_id", "version").drop("version", "n_known").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, R.early_stop(epochs).collect()), key=repr)
 
 
@@ -103,3 +104,42 @@ def test_late_tokens_are_counted_over_all_batches(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert late == 3
+
+
+def _arrive(spark, folder, name, rows, schema, made, checkpoint):
+    """One more file, and what the stream says to it."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{name}")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    query = Z.write_available(made(arriving), f"{folder}/out", checkpoint, idle_batches=False)
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_a_conversation_that_comes_back_starts_anew(spark, tmp_path):
+    """After the timeout its messages are gone, and what it says then is later than what it said before."""
+    schema = "conv_id long, turn long, role string, text string"
+    made = lambda turns: Z.stream_context_window(turns, 2, timeout_minutes=1 / 60)
+    where = (spark, str(tmp_path))
+    checkpoint = str(tmp_path / "checkpoint")
+    _arrive(*where, "a", [(1, t, "user", f"old {t}") for t in range(6)], schema, made, checkpoint)
+    time.sleep(1.5)
+    _arrive(*where, "b", [(2, 0, "user", "another")], schema, made, checkpoint)
+    history = _arrive(*where, "c", [(1, 9, "user", "new")], schema, made, checkpoint)
+    got = Z.current(history, "conv_id", "version").filter("conv_id = 1").collect()
+    assert [(r["turn"], r["text"], r["n_seen"]) for r in got] == [(9, "new", 1)]
+
+
+def test_a_run_that_comes_back_starts_anew(spark, tmp_path):
+    schema = "run_id long, epoch long, val_loss double"
+    made = lambda epochs: Z.stream_early_stop(epochs, timeout_minutes=1 / 60)
+    where = (spark, str(tmp_path))
+    checkpoint = str(tmp_path / "checkpoint")
+    _arrive(*where, "a", [(1, e, 0.5) for e in range(3)], schema, made, checkpoint)
+    history = _arrive(*where, "b", [(1, 3, 0.4)], schema, made, checkpoint)
+    first = Z.current(history, "run_id", "version").first()
+    assert (first["n_known"], first["best_val"], first["bad_epochs"]) == (4, 0.4, 0)
+    time.sleep(1.5)
+    _arrive(*where, "c", [(2, 0, 1.0)], schema, made, checkpoint)
+    history = _arrive(*where, "d", [(1, 7, 0.9)], schema, made, checkpoint)
+    back = Z.current(history, "run_id", "version").filter("run_id = 1").first()
+    assert (back["n_known"], back["best_val"], back["n_epochs"]) == (1, 0.9, 1)

@@ -76,3 +76,25 @@ def test_one_conversation_may_hold_most_rows(spark):
         before = whole[: whole.index(f"\nt{t}\n") + len(f"\nt{t}")] if t else "S\nt0"
         row = got[(1, t + 1)]
         assert row["input"] == before[:40] and row["input_chars"] == len(before) and row["output"] == f"t{t + 1}"
+
+
+def test_negative_turns_stand_before_the_others(spark):
+    """A chunk is counted from below, so it never holds turns of both signs."""
+    rows = _conversations(11, longest=9)
+    shifted = {c: [(t - 7, r, x) for t, r, x in turns] for c, turns in rows.items()}
+    for chunk in (2, 4, 4096):
+        for make in (T.adjacent_pairs, lambda t, n: T.history_pairs(t, chunk_turns=n), lambda t, n: T.history_pairs(t, 9, n)):
+            want = sorted((r["conv_id"], r["turn"] - 7, r["input"], r["output"]) for r in make(_frame(spark, rows), chunk).collect())
+            assert sorted(tuple(r)[:4] for r in make(_frame(spark, shifted), chunk).collect()) == want
+
+
+def test_whole_histories_are_gathered_where_they_are_needed(spark, tmp_path):
+    """No text is grouped by conversation alone: it goes from each chunk to each later one."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for c in range(20) for t in range(12 if c else 400)]
+    path = str(tmp_path / "turns")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    text = T.history_pairs(spark.read.parquet(path), chunk_turns=8)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(conv_id#" in text
+    for line in text.split("Exchange hashpartitioning(")[1:]:
+        keys = line.split("\n")[0].rsplit(", ", 1)[0]
+        assert "chunk#" in keys or "place#" in keys, keys

@@ -1,8 +1,10 @@
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chatprep.functions.codec import register_tokenizer, tokenizer
+from chatprep.functions.codec import register_tokenizer, register_tokenizer_spec, tokenizer
 from chatprep.operators import samples as S
 from chatprep.operators import vocab as V
 from tests import model
@@ -94,3 +96,28 @@ def test_outside_tokenizer(spark):
     register_tokenizer("words", lambda texts: pd.Series([[len(w) for w in t.split()] for t in texts]))
     df = spark.createDataFrame([("a bb ccc",)], "t string")
     assert df.select(tokenizer("words")(F.col("t")).alias("i")).first()["i"] == [1, 2, 3]
+
+
+def counting_tokenizer(log: str, scale: int):
+    """Writes a line whenever it is made."""
+    with open(log, "a") as out:
+        out.write(f"{os.getpid()}\n")
+    return lambda texts: [[len(w) * scale for w in t.split()] for t in texts]
+
+
+@pytest.mark.parametrize("kind", ["arrow", "series"])
+def test_a_worker_makes_its_tokenizer_once(spark, tmp_path, kind):
+    log = str(tmp_path / "made")
+    register_tokenizer_spec("counted", "tests.test_vocab:counting_tokenizer", kind=kind, log=log, scale=10)
+    texts = spark.range(40_000).repartition(12).selectExpr("id", "if(id % 10 = 0, null, concat('a ', repeat('b', id % 7))) as t")
+    got = texts.select("id", tokenizer("counted")(F.col("t")).alias("ids")).collect()
+    for r in got:
+        n = r["id"] % 7
+        assert r["ids"] == (None if r["id"] % 10 == 0 else [10] + [10 * n] * (n > 0))
+    made = open(log).read().split()
+    assert made and len(made) == len(set(made))
+
+
+def test_tokenizer_kinds(spark):
+    with pytest.raises(ValueError, match="arrow or series"):
+        register_tokenizer_spec("x", "tests.test_vocab:counting_tokenizer", kind="rows")
