@@ -26,6 +26,22 @@ def remainder_of_id(id_col: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(divisor))
 
 
+def set_apart(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its other columns under names that no operator uses, and what each of these was."""
+    names = {c: f"_kept_{i}" for i, c in enumerate(c for c in df.columns if c not in used)}
+    return df.select(*[_named(c).alias(names.get(c, c)) for c in df.columns]), {kept: c for c, kept in names.items()}
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def put_back(df: DataFrame, names: dict[str, str], order: list[str], added: list[str]) -> DataFrame:
+    """The columns of `order` under their own names again, then those added."""
+    kept = {c: k for k, c in names.items()}
+    return df.select(*[_named(kept.get(c, c)).alias(c) for c in order], *added)
+
+
 def usable_vector(vec: Column) -> Column:
     """Not null, and no component null or non-finite."""
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatprep.llm.frames import WORD, hint_small
+from chatprep.llm.frames import WORD, hint_small, put_back, set_apart
 from chatprep.operators.ranks import ordered_rank
 from chatprep.sources.shared import pinned, stored
 
@@ -99,20 +99,24 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     digest, histograms, then a filter against one row per source.
 
     Rows that repeat an id go together. Null or empty texts have size 0 and are taken as
-    their hash says. Columns of the input with the names of the results are replaced; an
-    empty table gives an empty one.
+    their hash says. Columns of the input with the names of the results are replaced, all
+    others stay as they are, whatever they are called; an empty table gives an empty one. A
+    text of any length is counted where it is.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
-    rows = df.drop(*[c for c in added if c not in (id_col, text_col, source_col)])
+    wanted = [c for c in df.columns if c in (id_col, text_col, source_col) or c not in added]
+    rows, names = set_apart(df.select(*wanted), id_col, text_col, source_col)
     slim = rows.select(F.col(source_col).alias("source"), row_hash(id_col, text_col, seed).alias("h"), word_count(F.col(text_col)).alias("size"))
     digest = stored(slim, "mix")
     targets = source_targets(digest.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, max_repeats, share)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = pinned(targets.withColumn("_full", full.cast("long")).withColumn("budget", F.col("target") - F.col("_full") * F.col("source_size")))
     plan = pinned(thresholds(digest, plan.select("source", "budget", "source_size", "target", "_full")))
-    marks = hint_small(plan.select(F.col("source").alias("_source"), "source_size", "target", "_full", "upto"))
-    sized = rows.withColumn("size", word_count(F.col(text_col))).withColumn("_h", row_hash(id_col, text_col, seed))
-    joined = sized.join(marks, F.col(source_col).eqNullSafe(F.col("_source")))
-    copies = F.least(F.col("_full") + (F.col("_h") <= F.col("upto")).cast("long"), F.lit(max_repeats).cast("long"))
-    out = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_h", "_source", "_full", "upto")
+    facts = ["source", "source_size", "target", "_full", "upto"]
+    marks = hint_small(plan.select(*[F.col(c).alias(f"_of_{c}") for c in facts]))
+    sized = rows.withColumn("_size", word_count(F.col(text_col))).withColumn("_h", row_hash(id_col, text_col, seed))
+    joined = sized.join(marks, F.col(source_col).eqNullSafe(F.col("_of_source")))
+    copies = F.least(F.col("_of__full") + (F.col("_h") <= F.col("_of_upto")).cast("long"), F.lit(max_repeats).cast("long"))
+    told = joined.withColumn("_copies", copies).withColumn("_taken", copies * F.col("_size"))
+    made = ["_size", "_of_source_size", "_of_target", "_copies", "_taken"]
+    return put_back(told, names, wanted, [F.col(m).alias(a) for m, a in zip(made, added)])

@@ -142,6 +142,8 @@ def learnable(id_col: str = "doc_id") -> Column:
 
 def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with `held_out`, `score` and `predicted`, by a model trained here on rows not held out."""
-    model = train(df, labels, id_col=id_col, text_col=text_col, wanted=learnable(id_col))
+    # What is not marked 1 counts against it, whatever else a label may be.
+    marked = labels.withColumn("quality", (F.col("quality") == 1).cast("int"))
+    model = train(df, marked, id_col=id_col, text_col=text_col, wanted=learnable(id_col))
     scored = with_scores(df.drop("held_out", "predicted"), model, text_col)
     return scored.withColumn("held_out", ~learnable(id_col)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
