@@ -8,10 +8,13 @@ the documents they were given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.llm import line_dedup, mixing, quality, sentencepiece_sampling, simhash
+from chatprep.llm.frames import put_back, set_apart
 from chatprep.sources.shared import stored
 
 SAMPLES = 2
@@ -19,31 +22,41 @@ SAMPLES = 2
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage on documents whose further columns have names that no operator gives to its results."""
+    used = ("doc_id", "text", "source", "lang", "n_chars")
+    rows, names = set_apart(docs, *used)
+    return put_back(stage(rows), names, docs.columns, [])
+
+
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the folder's labels."""
-    judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.filter("predicted = 1").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _apart(docs, lambda rows: quality.judged(rows, labels).filter("predicted = 1"))
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, those with lines of their own without the lines that many sources share; `n_chars` follows the text."""
-    cleaned = line_dedup.remove_shared_lines(docs, max_share=None)
-    if "n_chars" in docs.columns:
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        left = line_dedup.remove_shared_lines(rows, max_share=None)
+        if "n_chars" not in rows.columns:
+            return left
         n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        cleaned = cleaned.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+        return left.withColumn("n_chars", n_chars.cast(rows.schema["n_chars"].dataType))
+
+    return _apart(docs, cleaned)
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    return _apart(docs, simhash.keep_one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, a row for each time."""
-    taken = mixing.mix(docs).filter("copies > 0")
-    again = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return again.select(*docs.columns)
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return _apart(docs, lambda rows: mixing.mix(rows).filter("copies > 0").withColumn("_copy", again))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
