@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.llm import line_dedup, mixing, quality, sentencepiece_sampling, simhash
+from chatprep.llm import line_dedup, mixing, near_copies, quality, sentencepiece_sampling
 from chatprep.llm.frames import put_back, set_apart
 from chatprep.sources.shared import stored
 
@@ -49,8 +49,8 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return _apart(docs, simhash.keep_one)
+    """One document of each group of near copies: five words, a similarity of 0.8 or more. Texts without words are one group."""
+    return _apart(docs, near_copies.keep_one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
