@@ -76,7 +76,7 @@ SQL = {
         m AS (SELECT t.*, s.key IS NOT NULL AS shared FROM t LEFT JOIN s USING (key)),
         g AS (
             SELECT r, (count(*) FILTER (key <> ''))::INTEGER AS n_lines, (count(*) FILTER (shared))::INTEGER AS n_shared,
-                   coalesce(sum(length(key)) FILTER (shared), 0) > 0.5 * sum(length(key)) AS copy,
+                   count(*) FILTER (shared) = count(*) FILTER (key <> '') AS copy,
                    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT shared) AS rest
             FROM m GROUP BY r),
         o AS (
