@@ -39,7 +39,7 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, those with lines of their own without the lines that many sources share; `n_chars` follows the text."""
 
     def cleaned(rows: DataFrame) -> DataFrame:
-        left = line_dedup.remove_shared_lines(rows, max_share=None)
+        left = line_dedup.remove_shared_lines(rows)
         if "n_chars" not in rows.columns:
             return left
         n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
