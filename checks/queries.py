@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from checks import derive as D
 from checks.derive import table
 from chatprep.constants import SPLIT_SEED
 from chatprep.functions import jsonvals as J
-from chatprep.functions.codec import detokenizer_file, ids_csv, register_tokenizer, register_tokenizer_spec, tokenizer
+from chatprep.functions.codec import detokenizer, ids_csv, register_tokenizer, register_tokenizer_spec, tokenizer
 from chatprep.functions.rows import each
 from chatprep.functions.text import clean, clean_keep_inner_space, excerpt
 from chatprep.operators import batching as B
@@ -261,12 +260,8 @@ def encode_tokenizer_file(spark, sf):
     """A byte-level tokenizer file loses nothing: its ids, told back, are the text."""
     register_tokenizer_spec("byte_level", "chatprep.functions.codec:tokenizer_file", path=TOKENIZER)
     ids = _documents(spark, sf).select("doc_id", tokenizer("byte_level")(F.col("text")).alias("ids"))
-
-    @F.pandas_udf("string")
-    def told(ids: pd.Series) -> pd.Series:
-        return pd.Series(detokenizer_file(TOKENIZER)([x.tolist() for x in ids]))
-
-    return ids.select("doc_id", told("ids").alias("text"))
+    told = detokenizer("chatprep.functions.codec:detokenizer_file", path=TOKENIZER)
+    return ids.select("doc_id", told(F.col("ids")).alias("text"))
 
 
 def decode_round_trip(spark, sf):

@@ -1,10 +1,11 @@
 import os
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chatprep.functions.codec import register_tokenizer, register_tokenizer_spec, tokenizer
+from chatprep.functions.codec import detokenizer, pieces, register_tokenizer, register_tokenizer_spec, tokenizer
 from chatprep.operators import samples as S
 from chatprep.operators import vocab as V
 from tests import model
@@ -121,3 +122,40 @@ def test_a_worker_makes_its_tokenizer_once(spark, tmp_path, kind):
 def test_tokenizer_kinds(spark):
     with pytest.raises(ValueError, match="arrow or series"):
         register_tokenizer_spec("x", "tests.test_vocab:counting_tokenizer", kind="rows")
+
+
+def test_batches_reach_tokenizers_in_pieces(spark):
+    """A batch of many or long texts is never made into ids as a whole; a text is never cut."""
+    texts = ["", None, "a" * 5, "é" * 40, "b", None, "c" * 3]
+    column = pa.array(texts)
+    for most in (1, 4, 10, 1000):
+        found = [p.to_pylist() for p in pieces(column, most)]
+        assert sum(found, []) == texts
+        assert all(sum(len((t or "").encode()) for t in p[:-1]) <= most for p in found)
+    assert [p.to_pylist() for p in pieces(pa.array([[1, 2], None, [], [3]], pa.list_(pa.int32())), 8)] == [[[1, 2]], [None, [], [3]]]
+    assert list(pieces(pa.array([], pa.string()))) == []
+    longest = 3 << 20
+
+    register_tokenizer_spec("met_arrow", "tests.test_vocab:bounded_tokenizer", longest=longest)
+    rows = spark.range(24).coalesce(1).select("id", F.repeat(F.lit("漢x"), 1 << 18).alias("t"))
+    for name in ("met_arrow",):
+        assert [r["ids"] for r in rows.select(tokenizer(name)("t").alias("ids")).collect()] == [[1 << 19]] * 24
+
+
+def bounded_tokenizer(longest: int):
+    def ids(texts):
+        assert sum(map(len, texts)) <= longest
+        return [[len(t)] for t in texts]
+
+    return ids
+
+
+def test_ids_told_back(spark):
+    """Every worker makes its detokenizer once; null ids stay null."""
+    told = detokenizer("tests.test_vocab:joining_detokenizer", sep="-")
+    rows = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "k int, ids array<int>")
+    assert {r["k"]: r["t"] for r in rows.select("k", told(F.col("ids")).alias("t")).collect()} == {1: "1-2", 2: "", 3: None}
+
+
+def joining_detokenizer(sep: str):
+    return lambda ids: [sep.join(map(str, x)) for x in ids]
