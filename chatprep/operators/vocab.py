@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatprep.constants import BOS_TEXT, EOS_TEXT, MAX_CODE_POINTS, N_SPECIAL, PAD_TEXT, UNK_ID, UNK_TEXT
-from chatprep.functions.codec import characters, ids_of, text_of, with_specials
+from chatprep.functions.codec import characters, ids_of, pieces, text_of, with_specials
 from chatprep.functions.rows import each, each_value
 from chatprep.sources.shared import stored
 from chatprep.sources.tables import assert_vocab_size
@@ -138,19 +140,21 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, keys: list[str], text: str =
 def arrow_encoder(codec: Codec):
     """A function from text column to ids, the same as `Codec.ids`, vectorised over Arrow batches.
 
-    A batch is decoded to code points in one go and looked up in one array access; moving
-    the ids back costs more than that saves (half the speed of `Codec.ids` where measured),
-    so it is meant for pipelines that are in Python already.
+    A piece of a batch is decoded to code points in one go and looked up in one array access;
+    moving the ids back costs more than that saves (half the speed of `Codec.ids` where
+    measured), so it is meant for pipelines that are in Python already.
     """
     lookup = np.fromstring(codec.lookup, dtype=np.int32, sep=",")
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        texts = texts.fillna("")
-        whole = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-        known = whole < len(lookup)
-        ids = np.where(known, lookup[np.where(known, whole, 0)], UNK_ID).astype(np.int32)
-        ends = texts.str.len().cumsum().to_numpy()
-        return pd.Series(np.split(ids, ends[:-1])) if len(texts) else pd.Series([], dtype=object)
-
-    return encode
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for piece in pieces(batch):
+                texts = pc.fill_null(piece, "")
+                whole = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+                known = whole < len(lookup)
+                ids = np.full(len(whole), UNK_ID, np.int32)
+                ids[known] = lookup[whole[known]]
+                ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+                yield pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+
+    return F.arrow_udf(encode, "array<int>")
