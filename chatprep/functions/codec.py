@@ -59,8 +59,17 @@ def pieces(column: pa.Array, most: int = _PIECE_BYTES) -> Iterator[pa.Array]:
 
 
 def register_tokenizer(name: str, fn: Callable[[pd.Series], pd.Series]) -> None:
-    """Make an outside tokenizer (text series -> id-list series) usable as `tokenizer(name)`."""
-    _TOKENIZERS[name] = F.pandas_udf(fn, "array<int>")
+    """Make an outside tokenizer (text series -> id-list series) usable as `tokenizer(name)`.
+
+    It is given a batch in pieces, each a series of its own, and told nothing of the others.
+    """
+
+    def of_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for piece in pieces(pa.array(texts, pa.string())):
+                yield fn(piece.to_pandas())
+
+    _TOKENIZERS[name] = F.pandas_udf(of_series, "array<int>")
 
 
 @dataclass(frozen=True)

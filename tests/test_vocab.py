@@ -136,9 +136,14 @@ def test_batches_reach_tokenizers_in_pieces(spark):
     assert list(pieces(pa.array([], pa.string()))) == []
     longest = 3 << 20
 
+    def met(batch):
+        assert batch.str.len().sum() <= longest
+        return batch.map(lambda t: [len(t)])
+
+    register_tokenizer("met", met)
     register_tokenizer_spec("met_arrow", "tests.test_vocab:bounded_tokenizer", longest=longest)
     rows = spark.range(24).coalesce(1).select("id", F.repeat(F.lit("漢x"), 1 << 18).alias("t"))
-    for name in ("met_arrow",):
+    for name in ("met", "met_arrow"):
         assert [r["ids"] for r in rows.select(tokenizer(name)("t").alias("ids")).collect()] == [[1 << 19]] * 24
 
 
