@@ -123,18 +123,24 @@ class Codec:
 
 
 def encode_by_join(df: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """`(keys..., ids)` through a broadcast join on exploded characters.
+    """`(keys..., ids)` through a broadcast join on the distinct characters of each text.
 
     For vocabularies that should stay a table; slower than `Codec.encode`, which is the
-    default. Rows are regrouped by their unique keys, so a group is one text.
+    default. Only a text's distinct characters become rows, the first with the text; the
+    ids met are put in the places of the characters when the rows of a text, known by its
+    keys and 64 bits of hash, are together again. Repeated rows are encoded each.
     """
-    chars = each(df, keys, characters(F.col(text)), "pos", "ch")
     known = _counted(vocab).filter(F.col("id") >= UNK_ID).select("ch", "id")
-    looked = chars.join(F.broadcast(known), "ch", "left")
-    spots = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
-    grouped = looked.groupBy(*keys).agg(F.transform(spots, lambda s: s["id"]).alias("ids"))
-    none = F.array().cast("array<int>")
-    return df.select(*keys).join(grouped, keys, "left").withColumn("ids", F.coalesce("ids", none))
+    told = df.select(*keys, F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    rows = told.select("*", F.posexplode_outer(F.array_distinct(characters(F.col("_text")))).alias("_pos", "ch"))
+    first = F.coalesce("_pos", F.lit(0)) == 0
+    rows = rows.select(*keys, "_hash", "ch", F.when(first, F.col("_text")).alias("_text"), first.cast("int").alias("_n"))
+    met = F.when(F.col("id").isNotNull(), F.struct("ch", "id"))
+    looked = rows.join(F.broadcast(known), "ch", "left").groupBy(*keys, "_hash")
+    grouped = looked.agg(F.first("_text", ignorenulls=True).alias("_text"), F.sum("_n").cast("int").alias("_n"), F.map_from_entries(F.collect_set(met)).alias("_ids"))
+    each_time = grouped.select("*", F.explode_outer(F.sequence(F.lit(1), "_n")))
+    ids = F.transform(characters(F.col("_text")), lambda ch: F.coalesce(F.try_element_at("_ids", ch), F.lit(UNK_ID)))
+    return each_time.select(*keys, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def arrow_encoder(codec: Codec):

@@ -147,6 +147,19 @@ def test_batches_reach_tokenizers_in_pieces(spark):
         assert [r["ids"] for r in rows.select(tokenizer(name)("t").alias("ids")).collect()] == [[1 << 19]] * 24
 
 
+def test_a_join_moves_no_row_per_character(spark):
+    """What is exploded and shuffled grows with the distinct characters of a text; keys may be null or repeated."""
+    texts = [(1, "ab" * 5000), (2, "漢" * 9000 + "z"), (3, ""), (4, None), (None, "bb"), (1, "ab" * 5000), (1, "ba"), (None, None)]
+    df = spark.createDataFrame(texts, "k int, text string").coalesce(1)
+    vocab = spark.createDataFrame([("<pad>", 0), ("<bos>", 1), ("<eos>", 2), (UNK, 3), ("a", 4), ("b", 5), ("漢", 6)], "ch string, id int")
+    counted = V.encode_by_join(df, vocab, ["k"])
+    exploded = [n for n in str(counted._jdf.queryExecution().optimizedPlan()).splitlines() if "posexplode" in n]
+    assert len(exploded) == 1 and "array_distinct" in exploded[0]
+    found = sorted(((r["k"], r["ids"]) for r in counted.collect()), key=repr)
+    ids = {"a": 4, "b": 5, "漢": 6}
+    assert found == sorted(((k, [ids.get(c, 3) for c in t or ""]) for k, t in texts), key=repr)
+
+
 def bounded_tokenizer(longest: int):
     def ids(texts):
         assert sum(map(len, texts)) <= longest
