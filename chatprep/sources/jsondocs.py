@@ -238,9 +238,14 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, weight) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def _tasks(spark: SparkSession, n: int, split_bytes: int) -> int:
+    """A task for every range, or for so many as `SPLIT_BYTES` hold once all cores have enough to do."""
+    return max(1, min(n, max(3 * spark.sparkContext.defaultParallelism, n * split_bytes // SPLIT_BYTES)))
+
+
 def _spread(df: DataFrame, n: int) -> DataFrame:
-    """A task for every range: they are few bytes here and many where they lead."""
-    return df.repartition(max(1, n))
+    """So many tasks: ranges are few bytes here and many where they lead."""
+    return df.repartition(n)
 
 
 def split_documents(spark: SparkSession, path, split_bytes: int = SPLIT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -254,7 +259,7 @@ def split_documents(spark: SparkSession, path, split_bytes: int = SPLIT_BYTES, c
     files = large_documents(spark, path, split_bytes)
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split_bytes).cast("bigint")))
     ranges = files.select("doc", "file", "size", start.alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, "size"))
-    n = ranges.count()
+    n = _tasks(spark, ranges.count(), split_bytes)
 
     def effects(row: dict, source) -> Iterator[pa.RecordBatch]:
         found = range_effect(source, row["start"], row["end"], chunk_bytes)

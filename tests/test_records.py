@@ -233,3 +233,11 @@ def test_a_task_reads_a_range(spark, tmp_path):
     df = R.read_json(spark, str(tmp_path), size // 10 + 1)
     per_task = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in per_task) == 2000 and len(per_task) >= 5 and max(r["n"] for r in per_task) < 1000
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    """Tasks grow with the bytes, not with the number of ranges."""
+    (tmp_path / "x.json").write_text(json.dumps([{"k": "v" * 90, "i": i} for i in range(2000)]))
+    df = jsondocs.split_documents(spark, str(tmp_path), (tmp_path / "x.json").stat().st_size // 100)
+    per_task = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in per_task) == 2000 and len(per_task) <= 3 * spark.sparkContext.defaultParallelism
