@@ -1,6 +1,8 @@
 import json
+import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from chatprep.operators import context as X
@@ -143,3 +145,51 @@ def test_a_run_that_comes_back_starts_anew(spark, tmp_path):
     history = _arrive(*where, "d", [(1, 7, 0.9)], schema, made, checkpoint)
     back = Z.current(history, "run_id", "version").filter("run_id = 1").first()
     assert (back["n_known"], back["best_val"], back["n_epochs"]) == (1, 0.9, 1)
+
+
+def test_early_stopping_asks_its_states_seldom():
+    """A batch of a run's epochs is a few calls of its states, not one an epoch, and late ones are followed from all entries."""
+    calls = []
+
+    class State(dict):
+        def __getattribute__(self, name):
+            if name in ("get", "update", "getValue", "updateValue", "iterator", "exists"):
+                calls.append(name)
+            return super().__getattribute__(name)
+
+        def get(self):
+            return self["v"] if "v" in self else None
+
+        def exists(self):
+            return "v" in self
+
+        def update(self, value):
+            self["v"] = value
+
+        def getValue(self, key):  # noqa: N802
+            return self[key] if key in self else None
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle:
+        getValueState = getMapState = staticmethod(lambda *_: State())  # noqa: N815
+
+    rng, losses = random.Random(5), {}
+    stopping = Z._Stopping(3, 0.005, None)
+    stopping.init(Handle())
+    epochs = [*range(40), *rng.sample(range(40, 300), 260)]
+    for first in range(0, 300, 20):
+        some = {e: rng.random() for e in epochs[first : first + 20]} | ({7: 0.5} if first == 100 else {})
+        losses |= some
+        calls.clear()
+        (got,) = stopping.handleInputRows((1,), iter([pd.DataFrame({"epoch": list(some), "val_loss": list(some.values())})]), None)
+        run = R.NEW_RUN
+        for epoch in sorted(losses):
+            run = R.followed(tuple(run), epoch, losses[epoch], 3, 0.005)
+        want = [1, first // 20 + 1, len(losses), *run]
+        assert [None if pd.isna(x) else x for x in got.iloc[0].tolist()] == want
+        assert len(calls) <= (6 if first < 40 else 15)
