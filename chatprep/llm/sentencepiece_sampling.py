@@ -22,7 +22,7 @@ SAMPLES = 3
 ALPHA = 1.0
 SEED = 23
 _SPACE = "▁"
-_CHUNK_CHARS = 1_000_000
+_CHUNK_CHARS = 100_000  # lattices and ways of a run take much more than its text
 _MAX_NOISE = 23.0  # -log of the smallest exponential number that 32 random bits give
 _FIRST_REACH = 30.0
 _RANK_SHIFT = 2.0

@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -99,3 +101,18 @@ def test_decoding(spark, pieces, processor):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, ids array<int>").repartition(3)
     got = {r["i"]: r["decoded"] for r in S.decode(df, pieces).collect()}
     assert got == {0: "", 1: "ab", 2: "�", 3: None, 4: None, 5: None, 6: "a"}
+
+
+def test_memory_does_not_grow_with_the_texts_of_a_batch(pieces):
+    def peak(n):
+        rng = np.random.default_rng(3)
+        letters = np.array(list("aeioustrnlmdc"))
+        texts = pa.array([" ".join("".join(letters[rng.integers(0, 13, 7)]) for _ in range(120)) for _ in range(n)])
+        tracemalloc.start()
+        for first, last in S.text_chunks(texts):
+            S.segmentations(pieces, texts.slice(first, last - first).to_pylist(), np.arange(first, last, dtype=np.uint64), 2, 1.0)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(900) < 1.5 * peak(150)
