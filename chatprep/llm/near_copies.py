@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chatprep.llm.frames import raw_texts, words
 from chatprep.llm.graph import Forest, components
 from chatprep.llm.simhash import N_PIVOTS, pivots, whole_tasks
-from chatprep.sources.shared import stored
+from chatprep.sources.shared import shuffles_let_go, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -201,7 +201,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
     Of rows that repeat id and text any one stays.
     """
-    near = stored(near_copies(df, id_col, text_col, similarity, shingle), "near")
+    with shuffles_let_go(df.sparkSession):
+        near = stored(near_copies(df, id_col, text_col, similarity, shingle), "near")
     first = near.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("x"))
     keep = stored(first.select(F.col("x.id").alias("_id"), F.col("x.text_hash").alias("_hash")), "keep")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))

@@ -78,3 +78,21 @@ def test_long_texts_and_large_groups(spark):
 
 def test_no_rows(spark):
     assert N.keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_shuffles_of_finished_steps_go(spark, monkeypatch):
+    def count():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    found, kept_as = [], N.stored
+
+    def stored(df, label):
+        out = kept_as(df, label)
+        found.append((label, count()))
+        return out
+
+    monkeypatch.setattr(N, "stored", stored)
+    before = count()
+    kept(spark, corpus(4))
+    assert [n for label, n in found if label == "near"][0] <= before
