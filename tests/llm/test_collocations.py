@@ -2,9 +2,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from chatprep.llm import collocations as C
+from chatprep.sources.shared import arrow_rows
 
 SCHEMA = "doc_id long, lang string, text string, n string, words string, s1 string, rank string"
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -76,3 +78,19 @@ def test_products_beyond_64_bits(spark):
 def test_no_rows(spark):
     assert C.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
     assert C.collocations(spark.createDataFrame([(1, "en", "too few words", "", "", "", "")], SCHEMA)).collect() == []
+
+
+def test_memory_of_encoded_texts(spark):
+    """A symbol takes the bytes it needs, and batches to Python hold few rows, whatever their size."""
+    texts = spark.createDataFrame([("en", "a b c d " * 50_000)] * 3, "lang string, text string").repartition(1)
+    rows = C.encoded(texts, {"en": {w: i + 1 for i, w in enumerate([b"a", b"b", b"c", b"d"])}}, False, 5).collect()
+    assert sum(len(r["ids"]) for r in rows) < 2 * 600_000
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with arrow_rows(spark, 256):
+        assert spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] <= 256
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
