@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.functions.text import or_empty
+
 # A JSON value whose text begins with none of these can only have been a string.
 _MAYBE_NOT_STRING = r"^[\[{\-0-9tf]"
 
@@ -93,7 +95,7 @@ def printed_parts(raw: Column, text: Column, key: str) -> Column:
 
 
 def with_objects(
-    df: DataFrame, out: str, key: str, plain: tuple = (), shown: tuple = (), parts: tuple = (), raw: str = "raw"
+    df: DataFrame, out: str, key: str, plain: tuple = (), shown: tuple = (), parts: tuple = (), raw: str = "raw", there: str | None = None
 ) -> DataFrame:
     """Adds `out`: the objects in the list under `key` as structs of text, null for other elements.
 
@@ -101,20 +103,29 @@ def with_objects(
     `printed_parts`. One typed parse reads the list; only where its outcome leaves a doubt
     (an element that is no object, a text that may not have been a string) are the elements
     read one by one. Null when the value is no list.
+
+    A record whose text has no `null` holds none: what the typed parse does not find there is
+    missing. `there`, if named, tells for each element whether it has the first field that is
+    `shown` or one of `parts`; null where only the elements themselves can tell.
     """
     names = [*plain, *shown, *parts]
     element = "struct<" + ", ".join(f"{_quoted(n)}: string" for n in names) + ">"
     typed = F.from_json(raw, f"struct<{_quoted(key)}: array<{element}>>")[key]
 
+    no_null = ~F.col(raw).contains("null")
+
     def doubtful(e: Column) -> Column:
-        found = F.lit(False)
+        found = e.isNull() if (shown or parts) else F.lit(False)
         for name in (*shown, *parts):
             text = e[name]
-            found = found | text.isNull() | text.isin("true", "false")
+            found = found | (text.isNull() & ~F.col("_no_null")) | F.coalesce(text.isin("true", "false"), F.lit(False))
             if name in parts:
-                found = found | text.startswith("[")
+                found = found | F.coalesce(text.startswith("["), F.lit(False))
         return found
 
+    def certain(e: Column) -> Column:
+        return F.struct(*[e[n].alias(n) for n in plain], *[or_empty(e[n]).alias(n) for n in (*shown, *parts)])
+
     def one(p: Column) -> Column:
         text = p["fields"]
         values = [text[n].alias(n) for n in plain]
@@ -125,5 +136,10 @@ def with_objects(
     # The inner pass parses an element once, the outer one reads its fields many times.
     parsed = F.transform(list_under(F.col(raw), key), lambda e: F.struct(e.alias("raw"), fields(e, *names).alias("fields")))
     sure = F.col("_typed").isNotNull() & ~F.exists("_typed", doubtful)
-    chosen = F.when(sure, F.col("_typed")).otherwise(F.transform(parsed, one).cast(f"array<{element}>"))
-    return df.withColumn("_typed", typed).withColumn(out, chosen).drop("_typed")
+    known = F.transform("_typed", certain).cast(f"array<{element}>") if shown or parts else F.col("_typed")
+    chosen = F.when(F.col("_sure"), known).otherwise(F.transform(parsed, one).cast(f"array<{element}>"))
+    found = df.withColumn("_typed", typed).withColumn("_no_null", no_null).withColumn("_sure", sure).withColumn(out, chosen)
+    if there:
+        first = [*shown, *parts][0]
+        found = found.withColumn(there, F.when(F.col("_sure"), F.transform("_typed", lambda e: e[first].isNotNull())))
+    return found.drop("_typed", "_no_null", "_sure")

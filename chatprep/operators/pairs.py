@@ -132,11 +132,11 @@ def pairs_from_messages(records: DataFrame) -> DataFrame:
 def with_sharegpt(records: DataFrame, parts: bool = False, raw: str = "raw") -> DataFrame:
     """Adds `_sharegpt`, `(from, text)` objects, `content` standing in for a missing `value`, and `_sharegpt_prefix`."""
     texts = ("value", "content")
-    said = J.with_objects(records, "_both", "conversations", plain=("from",), raw=raw, **{"parts" if parts else "shown": texts})
+    said = J.with_objects(records, "_both", "conversations", plain=("from",), raw=raw, there="_found", **{"parts" if parts else "shown": texts})
     raws = J.list_under(F.col(raw), "conversations")
     # A blank `value` beside a `content` is the one case that needs to know whether the field is there.
     unsure = F.exists("_both", lambda m: (m["value"] == "") & (m["content"] != ""))
-    there = F.when(unsure, F.transform(raws, lambda e: J.has_field(e, "value")))
+    there = F.when(unsure, F.coalesce(F.col("_found"), F.transform(raws, lambda e: J.has_field(e, "value"))))
     marked = said.withColumn("_there", there)
 
     def one(m: Column, i: Column) -> Column:
@@ -145,7 +145,7 @@ def with_sharegpt(records: DataFrame, parts: bool = False, raw: str = "raw") ->
 
     system = J.fields(F.col(raw), "system")["system"]
     prefix = F.when(J.is_text(F.col(raw), system, "system"), system).otherwise("")
-    return marked.withColumn("_sharegpt", F.transform("_both", one)).withColumn("_sharegpt_prefix", prefix).drop("_both", "_there")
+    return marked.withColumn("_sharegpt", F.transform("_both", one)).withColumn("_sharegpt_prefix", prefix).drop("_both", "_there", "_found")
 
 
 def _sharegpt_pairs(speakers: Speakers) -> Column:
@@ -163,14 +163,14 @@ def system_of(raw: Column) -> Column:
 
 
 def with_turns(records: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds `_turns`, the stripped `(pos, human, assistant)` turns with text on both sides, and `_system`."""
+    """Adds `_said`, `(human, assistant)` objects, `_turns`, the stripped `(pos, human, assistant)` turns with text on both sides, and `_system`."""
     said = J.with_objects(records, "_said", "conversation", plain=("human", "assistant"), raw=raw)
 
     def turn(t: Column, i: Column) -> Column:
         return F.struct(i.alias("pos"), strip(t["human"]).alias("human"), strip(t["assistant"]).alias("assistant"))
 
     both = F.filter(F.transform("_said", turn), lambda t: (t["human"] != "") & (t["assistant"] != ""))
-    return said.withColumn("_turns", both).withColumn("_system", system_of(F.col(raw))).drop("_said")
+    return said.withColumn("_turns", both).withColumn("_system", system_of(F.col(raw)))
 
 
 _BLOCK = 64  # turns whose lengths are summed at once
@@ -270,9 +270,9 @@ def observed_pairs(records: DataFrame, layout: str, keys: tuple[str, str], seen:
     """
     kept = _kept(records)
     if layout == L.TURNS:
-        said = J.with_objects(records, "_said", "conversation", plain=("human", "assistant"))
         reasons = F.transform("_said", lambda t: _sides_reason(strip(t["human"]), strip(t["assistant"])))
-        return _exploded_with_history(_with_told(with_turns(_observed(said, reasons, seen).drop("_said")), max_chars), kept, _turn_pairs(), max_chars)
+        parsed = _observed(with_turns(records), reasons, seen)
+        return _exploded_with_history(_with_told(parsed, max_chars), kept, _turn_pairs(), max_chars)
     if layout == L.MESSAGES:
         parsed = with_messages(records)
         return _exploded(_observed(parsed, _list_reasons("_messages", "role", "content", ["user"], ["assistant"]), seen), kept, _message_pairs())
@@ -280,7 +280,10 @@ def observed_pairs(records: DataFrame, layout: str, keys: tuple[str, str], seen:
         parsed = with_sharegpt(records)
         reasons = _list_reasons("_sharegpt", "from", "text", list(speakers.humans), list(speakers.models))
         return _exploded(_observed(parsed, reasons, seen), kept, _sharegpt_pairs(speakers))
-    return pairs_from_records(_observed(records, F.array(_single_reason(F.col("raw"), keys)), seen), *keys)
+    # A column, or the record would be parsed again for every look at a side.
+    parsed = records.withColumn("_fields", J.fields(F.col("raw"), *keys))
+    reason = _single_reason(F.col("raw"), keys, F.col("_fields"))
+    return pairs_from_records(_observed(parsed, F.array(reason), seen).drop("_fields"), *keys)
 
 
 REASONS = ["paired", "last", "not_asked", "not_answered", "blank_answer", "blank_side", "not_an_object", "empty"]
@@ -335,8 +338,9 @@ def _sides_reason(one: Column, other: Column) -> Column:
     return F.when(blank, "blank_side").otherwise("paired")
 
 
-def _single_reason(raw: Column, keys: tuple[str, str]) -> Column:
-    sides = [clean(J.printed(raw, J.fields(raw, *keys)[key], key)) for key in keys]
+def _single_reason(raw: Column, keys: tuple[str, str], fields: Column | None = None) -> Column:
+    fields = J.fields(raw, *keys) if fields is None else fields
+    sides = [clean(J.printed(raw, fields[key], key)) for key in keys]
     return F.when(J.is_object(raw), _sides_reason(*sides)).otherwise("not_an_object")
 
 

@@ -24,18 +24,28 @@ def pair_text(pairs: DataFrame, *kept: str) -> DataFrame:
     return pairs.select(F.concat("input", F.lit(" "), "output").alias("text"), *kept)
 
 
-def _each_char(df: DataFrame, text: str, distinct: bool) -> DataFrame:
-    chars = characters(F.col(text))
-    return each_value(df, [], F.array_distinct(chars) if distinct else chars, "ch")
+def _distinct_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The characters of a task's texts, each once; texts are decoded a piece of a batch at a time."""
+    seen = np.zeros(MAX_CODE_POINTS, bool)
+    for batch in batches:
+        for piece in pieces(batch["text"]):
+            whole = b"".join(piece.drop_null().to_pylist()).decode("utf-8", "replace")
+            seen[np.frombuffer(whole.encode("utf-32-le"), np.uint32)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in np.flatnonzero(seen).tolist()], pa.string())], names=["ch"])
+
+
+def _each_char(df: DataFrame, text: str) -> DataFrame:
+    return each_value(df, [], characters(F.col(text)), "ch")
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     """`(ch, id)`: the four special rows, then the distinct characters by code point.
 
-    Characters are made distinct per row and per task before the shuffle, so no more than
+    Characters are made distinct per task before the shuffle, so no more than
     one row per code point and task is moved; the numbering runs over at most all of Unicode.
     """
-    seen = _each_char(df, text, distinct=True).distinct().filter(F.col("ch") != UNK_TEXT)
+    texts = df.select(F.col(text).cast("binary").alias("text"))
+    seen = texts.mapInArrow(_distinct_chars, "ch string").distinct().filter(F.col("ch") != UNK_TEXT)
     numbered = seen.select("ch", (F.row_number().over(W.orderBy("ch")) + (N_SPECIAL - 1)).alias("id"))
     specials = [(t, i) for i, t in enumerate([PAD_TEXT, BOS_TEXT, EOS_TEXT, UNK_TEXT])]
     return df.sparkSession.createDataFrame(specials, "ch string, id int").unionByName(numbered)
@@ -47,7 +57,7 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
 
 def char_frequency(df: DataFrame, text: str = "text") -> DataFrame:
     """`(ch, n)` over a text column."""
-    return _each_char(df, text, distinct=False).groupBy("ch").agg(F.count("*").alias("n"))
+    return _each_char(df, text).groupBy("ch").agg(F.count("*").alias("n"))
 
 
 def prune_vocab(frequency: DataFrame, min_count: int) -> DataFrame:
@@ -103,6 +113,10 @@ class Codec:
             lookup[point] = i
         return cls(",".join(map(str, lookup)), tuple(texts))
 
+    def array(self) -> np.ndarray:
+        """The id of each code point."""
+        return np.array(self.lookup.split(","), np.int32)
+
     def ids(self, text: Column) -> Column:
         return ids_of(text, F.split(F.lit(self.lookup), ",").cast("array<int>"))
 
@@ -143,6 +157,16 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, keys: list[str], text: str =
     return each_time.select(*keys, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
+def looked_up(texts: pa.Array, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all characters of the texts, and how many each has; null has none."""
+    texts = pc.fill_null(texts, "")
+    whole = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+    known = whole < len(lookup)
+    ids = np.full(len(whole), UNK_ID, np.int32)
+    ids[known] = lookup[whole[known]]
+    return ids, pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def arrow_encoder(codec: Codec):
     """A function from text column to ids, the same as `Codec.ids`, vectorised over Arrow batches.
 
@@ -150,17 +174,12 @@ def arrow_encoder(codec: Codec):
     moving the ids back costs more than that saves (half the speed of `Codec.ids` where
     measured), so it is meant for pipelines that are in Python already.
     """
-    lookup = np.fromstring(codec.lookup, dtype=np.int32, sep=",")
+    lookup = codec.array()
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for piece in pieces(batch):
-                texts = pc.fill_null(piece, "")
-                whole = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
-                known = whole < len(lookup)
-                ids = np.full(len(whole), UNK_ID, np.int32)
-                ids[known] = lookup[whole[known]]
-                ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
-                yield pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+                ids, sizes = looked_up(piece, lookup)
+                yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
 
     return F.arrow_udf(encode, "array<int>")

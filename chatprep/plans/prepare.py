@@ -117,8 +117,8 @@ def load_corpus(
     system, reasons, made = Observation("system"), Observation("reasons"), Observation("samples")
     read = layout.observed_system(records, system)
     cut = pairs.observed_pairs(read, kind, keys, reasons, block, speakers)
-    unknown = F.size(F.filter("ids", lambda i: i == UNK_ID))
-    rows = samples.make_samples(cut, codec, block).observe(made, F.count("*").alias("n"), F.sum(unknown).alias("unknown"))
+    unknown = F.size("ids") - F.size(F.array_remove("ids", UNK_ID))
+    rows = samples.make_samples(cut, codec, block, arrow=True).observe(made, F.count("*").alias("n"), F.sum(unknown).alias("unknown"))
     kept = stored(rows, "samples")
     told = {r: n for r, n in reasons.get.items() if n}
     training = TrainingSet(batching.train_val_split(kept, ["rec_id", "pos"], eval_ratio, **split), vocabulary, codec, layout.system_seen(system.get))

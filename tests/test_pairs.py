@@ -197,3 +197,22 @@ def test_record_drop_reasons(records):
         ("messages", "empty"): 1, ("sharegpt", "paired"): 1, ("sharegpt", "not_asked"): 1, ("sharegpt", "last"): 1,
         ("turns", "paired"): 1, ("turns", "blank_side"): 2, ("paired", "paired"): 1, ("paired", "blank_side"): 1, ("paired", "not_an_object"): 1,
     }
+
+
+def test_fields_that_are_missing_null_or_blank(spark, records):
+    """What the typed parse does not find is missing where no `null` stands in the record, and looked for elsewhere."""
+    said = [
+        {"from": "human", "value": "a"}, {"from": "gpt", "content": "b"}, {"from": "human", "value": "", "content": "c"}, {"from": "gpt", "value": "d"},
+        {"from": "human", "content": "e"}, {"from": "gpt", "value": "f"}, {"from": "human"}, {"from": "gpt", "value": True},
+    ]
+    raws = [{"conversations": said}, {"conversations": [*said, {"from": "human", "value": "null"}, {"from": "gpt", "value": "g"}]}]
+    raws += [{"conversations": [*said, {"from": "human", "value": None}, {"from": "gpt", "value": "h"}]}, {"conversations": [*said[:2], 5, *said[2:]]}, {"conversations": [*said[:2], None, [1], *said[2:]]}]
+    got = [tuple(r) for r in P.pairs_from_sharegpt(records(*raws)).select("rec_id", "pos", "input", "output").orderBy("rec_id", "pos").collect()]
+    base = [(0, "a", "b"), (2, "", "d"), (4, "e", "f"), (6, "", "True")]
+    more = {0: base, 1: [*base, (8, "null", "g")], 2: [*base, (8, "None", "h")]}
+    for i, shift in ((3, 1), (4, 2)):
+        more[i] = [(pos + shift * (pos >= 2), asked, answer) for pos, asked, answer in base]
+    assert got == [(i, *row) for i in sorted(more) for row in more[i]]
+    frame = P.pairs_from_sharegpt(records(raws[0]))
+    read = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(raw" in read.lower() and "_found" in read

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chatprep.constants import BOS_ID, EOS_ID, N_SPECIAL, UNK_ID
 from chatprep.functions.codec import detokenizer, pieces, register_tokenizer, register_tokenizer_spec, tokenizer
 from chatprep.operators import samples as S
 from chatprep.operators import vocab as V
@@ -177,3 +178,20 @@ def test_ids_told_back(spark):
 
 def joining_detokenizer(sep: str):
     return lambda ids: [sep.join(map(str, x)) for x in ids]
+
+
+@pytest.mark.parametrize("arrow", [True, False])
+@pytest.mark.parametrize("block", [1, 3, 5, 6, 7, 12, 200])
+def test_samples_of_cut_texts(spark, block, arrow):
+    """Ids cut and framed as by encoding both sides whole; over Arrow batches no character is looked up by itself."""
+    rows = [(i, a, b) for i, (a, b) in enumerate([("ab", "c"), ("", ""), (None, "abc"), ("abc", None), ("😀b", "é😀" * 9), ("abcabcabc", "cab"), ("z", "ß" * 400)])]
+    codec = V.Codec.of(V.build_vocab(spark.createDataFrame([("abcé😀",), (None,), ("",)], "text string")))
+    made = S.make_samples(spark.createDataFrame(rows, "k int, input string, output string"), codec, block, arrow)
+    ids = {c: i for i, c in enumerate(sorted("abcé😀"), N_SPECIAL)}
+
+    def framed(text):
+        return [BOS_ID, *(ids.get(c, UNK_ID) for c in text or ""), EOS_ID]
+
+    want = {k: (framed(a) + framed(b))[:block] for k, a, b in rows}
+    assert {r["k"]: r["ids"] for r in made.collect()} == {k: x for k, x in want.items() if len(x) >= 2}
+    assert ("ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()) == arrow
