@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -94,3 +95,34 @@ def test_memory_of_encoded_texts(spark):
     with arrow_rows(spark, 256):
         assert spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] <= 256
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_rows_of_encoded_texts_stay_small(spark):
+    """Where frequent words have no rank, rare ones are left out all the same, and the others alone take eight bytes."""
+    rng = random.Random(3)
+    common, rare = [f"w{i}" for i in range(40)], [f"rare{i}" for i in range(2000)]
+    said = [rng.choices([*common, rng.choice(rare)], [40 / (i + 1) for i in range(41)])[0] for _ in range(100_000)]
+    texts = spark.createDataFrame([("en", " ".join(said))], "lang string, text string")
+    _, ranks, others = C.symbols(C.word_counts(texts), 100, held=20)
+    assert len(ranks["en"]) == 20 and others
+    rows = C.encoded(texts, ranks, others, 5).collect()
+    ids = np.concatenate([C.unpacked(r["ids"], 1)[0][: r["own"]] for r in rows])
+    counts = Counter(said)
+    unranked = {C.word_symbol("en", w.encode()) for w, n in counts.items() if n >= 100 and w.encode() not in ranks["en"]}
+    taken = set(ids[ids < 0].tolist())
+    assert unranked <= taken and len(taken - unranked) < len(rare) // 4
+    assert max(len(r["ids"]) for r in rows) < 1 << 15
+    assert sum(len(r["ids"]) for r in rows) < 4 * len(said)
+
+
+@pytest.mark.parametrize("share", [0, 0.02, 0.5, 1])
+def test_packed_numbers(share):
+    rng = np.random.default_rng(5)
+    column = rng.integers(0, 1 << 18, 5000)
+    apart = rng.random(5000) < share
+    column[apart] = rng.integers(-(1 << 62), 0, apart.sum())
+    ends = np.array([np.iinfo(np.int64).max, 0, np.iinfo(np.int64).min])
+    got = C.unpacked(C.packed([column, column // 7]), 2)
+    assert (got[0] == column).all() and (got[1] == column // 7).all()
+    assert (C.unpacked(C.packed([ends]), 1)[0] == ends).all()
+    assert share > 0.02 or len(C.packed([column])) < 4 * 5000
